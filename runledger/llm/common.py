@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +70,53 @@ def slices(batches, max_bytes: int = 16 << 20, max_rows: int = 4096):
                 held, size, rows = [], 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+#: For each byte: 0 for white space, else the byte with A-Z lower-cased, plus 1.
+_LOWER = np.array([0 if b in b"\x20\x09\x0a\x0b\x0c\x0d" else (b + 32 if 65 <= b <= 90 else b) + 1 for b in range(256)], np.uint64)
+#: The same, where ASCII other than letters and digits counts as white space.
+_ALNUM = np.where([b < 128 and not chr(b).isalnum() for b in range(256)], 0, _LOWER).astype(np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A finaliser for 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def hash_words(texts: pa.Array, alnum: bool = False, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all lower-cased words of a column, and where each text's words begin in them (one entry more).
+
+    A word's hash is the sum of byte * base^place over its bytes, for all words of the batch at once. prefix: gives
+    the hashes of the words' first bytes, so many, as a third array."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
+    texts = texts.cast(pa.large_string()).fill_null("") if texts.null_count else texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    value = (_ALNUM if alnum else _LOWER)[raw]
+    inside = value > 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = offsets[:-1][(offsets[:-1] < len(raw))]
+    begins[at] = inside[at]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return (np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), *[np.empty(0, np.uint64)] * bool(prefix))
+    spans = np.diff(np.append(starts, len(raw)))
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, spans)
+    ends = np.flatnonzero(inside & ~np.append(inside[1:], False))
+    longest = int((ends - starts[np.searchsorted(starts, ends, "right") - 1]).max()) + 1
+    power = np.full(longest, _BASE)
+    power[0] = 1
+    power = np.cumprod(power)
+    value = value[starts[0] :] * power[np.minimum(place, longest - 1)]
+    h = mixed(np.add.reduceat(value, starts - starts[0]))
+    begins = np.searchsorted(starts, offsets)
+    if prefix:
+        value[place >= prefix] = 0
+        return h, begins, mixed(np.add.reduceat(value, starts - starts[0]) + np.uint64(1))
+    return h, begins

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, media, mixing, pieces, token_files
+from . import chat_format, media, mixing, page_text, pieces, token_files, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op2_token_counts(spark, sf_dir):
     return token_files.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark, sf_dir):
+    return page_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,11 @@ def op7_chat_format(spark, sf_dir):
     return chat_format.digest(chat_format.format_conversations(rows.unionByName(extra)))
 
 
+def op8_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels))
+
+
 def op9_media_columns(spark, sf_dir):
     return media.media_digests(table(spark, sf_dir, "documents"))
 
@@ -32,7 +41,7 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_to_targets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_token_counts, op5_sentencepiece, op7_chat_format, op9_media_columns, op10_mixing)}
+QUERIES = {q.__name__: q for q in (op2_token_counts, op3_html_extraction, op5_sentencepiece, op7_chat_format, op8_toxicity, op9_media_columns, op10_mixing)}
 
 ORACLE_SQL = {
     "op7_chat_format": r"""
