@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, media, mixing, page_text, pieces, token_files, toxicity
+from . import chat_format, media, mixing, ngram_join, page_text, pieces, token_files, toxicity
 from .common import table
 
 
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_token_counts(spark, sf_dir):
     return token_files.token_counts(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_to_targets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_token_counts, op3_html_extraction, op5_sentencepiece, op7_chat_format, op8_toxicity, op9_media_columns, op10_mixing)}
+QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_token_counts, op3_html_extraction, op5_sentencepiece, op7_chat_format, op8_toxicity, op9_media_columns, op10_mixing)}
 
 ORACLE_SQL = {
     "op7_chat_format": r"""
