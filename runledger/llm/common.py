@@ -120,3 +120,36 @@ def hash_words(texts: pa.Array, alnum: bool = False, prefix: int = 0) -> tuple[n
         value[place >= prefix] = 0
         return h, begins, mixed(np.add.reduceat(value, starts - starts[0]) + np.uint64(1))
     return h, begins
+
+
+class KeyIndex:
+    """Vectorised look-up of 64-bit keys in a fixed set: an open-addressing table."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, (len(keys) * 4).bit_length())
+        self.key, self.at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.at[slot[left]] < 0
+            _, first = np.unique(slot[left], return_index=True)
+            won = np.zeros(len(left), bool)
+            won[first] = True
+            won &= free
+            put = left[won]
+            self.at[slot[put]], self.key[slot[put]] = put, keys[put]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' numbers in the set, -1 for others."""
+        slot = self._slot(keys)
+        out = self.at[slot]
+        odd = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
+        while len(odd):
+            slot[odd] = (slot[odd] + 1) & ((1 << self.bits) - 1)
+            out[odd] = self.at[slot[odd]]
+            odd = odd[(out[odd] >= 0) & (self.key[slot[odd]] != keys[odd])]
+        return out

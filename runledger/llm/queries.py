@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, media, mixing, ngram_join, page_text, pieces, token_files, toxicity
+from . import chat_format, lm, media, mixing, ngram_join, page_text, pieces, token_files, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_html_extraction(spark, sf_dir):
     return page_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    return lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_to_targets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_token_counts, op3_html_extraction, op5_sentencepiece, op7_chat_format, op8_toxicity, op9_media_columns, op10_mixing)}
+QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_token_counts, op3_html_extraction, op4_lm_scoring, op5_sentencepiece, op7_chat_format, op8_toxicity, op9_media_columns, op10_mixing)}
 
 ORACLE_SQL = {
     "op7_chat_format": r"""
