@@ -1,16 +1,20 @@
 """N-gram Jaccard join by parity sketches: every pair of texts whose shingle sets are similar enough, linked.
 
-A text's set holds its distinct word shingles. Each shingle toggles one bit of a sketch, so the Hamming distance of two
-sketches never exceeds the sets' symmetric difference. Similarity num/den bounds that difference by
-D = (|A| + |B|) * (den - num) / (den + num), so of D + 1 chunks of the sketches one at least is equal (pigeonhole). Sets
-are put into size bands that grow by half, with one number of chunks for each band; a set near a band's upper end is
-sketched for the next band too, so every pair within reach meets in one band. Chunks are 64 bits wide, which leaves
-nine shingles or so in each at similarity 0.9: unrelated texts hardly ever share one.
-
-Equal sets are one class from the start. Texts that share a chunk are tested against one hub of that chunk, then
+A text's set holds its distinct word shingles. Similarity num/den bounds the symmetric difference of two sets by
+D = (|A| + |B|) * (den - num) / (den + num). Shingles are dealt by hash over D + 3 chunks and each chunk is the XOR of
+its shingles' hashes, so of two linked sets' chunks three at least are equal (pigeonhole). Sets are put into size
+bands that grow by half, with one number of chunks for each; a set near a band's upper end is sketched for the next
+band too, so every pair within reach meets in one band. A set is looked up by each of its chunks that has a shingle
+and, since empty chunks tell little, by each three of its empty ones.
+
+A second sketch has one bit toggled for each shingle; the Hamming distance of two of them never exceeds the symmetric
+difference, which rules out nearly all pairs that met by chance.
+
+Equal sets are one class from the start. Sets that share a chunk are tested against one hub of that chunk, then
 components are found, and only pairs between different components are tested further, all of them in the last
-round: groups of n copies cost n tests, yet no link between components is lost. A test first compares whole sketches and
-then counts the common shingles.
+round: groups of n copies cost n tests, yet no link between components is lost. A test first compares sketches and
+then counts the common shingles; the texts whose shingles it needs are picked out by a Bloom filter of fixed size, so
+other texts aren't shuffled.
 
 Shingles are compared by 64-bit hashes. Nothing is broadcast or collected but counts.
 
@@ -22,6 +26,9 @@ ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +39,9 @@ from .common import hash_words, mixed, slices, stage
 from .graph import connected
 
 HUB_ROUNDS = 3
-SKETCHES = "doc_id long, n long, s1 long, s2 long, band int, own array<long>, up array<long>, fold array<long>"
+FOLD = 16
+BLOOM_WORDS = 1 << 19
+SKETCHES = "doc_id long, n long, s1 long, s2 long, fold array<long>, keys array<long>"
 
 
 def band_starts(limit: int = 1 << 40) -> np.ndarray:
@@ -42,9 +51,9 @@ def band_starts(limit: int = 1 << 40) -> np.ndarray:
     return np.array(starts)
 
 
-def band_chunks(starts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Chunks of each band: one more than the most two of its sets may differ by."""
-    return 2 * (starts[1:] - 1) * (den - num) // (den + num) + 1
+def band_reach(starts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The most that two linked sets of a band may differ by."""
+    return 2 * (starts[1:] - 1) * (den - num) // (den + num)
 
 
 def shingle_sets(texts, words: int) -> list[np.ndarray]:
@@ -71,16 +80,33 @@ def shingle_sets(texts, words: int) -> list[np.ndarray]:
     return out
 
 
-def parity_sketch(shingles: np.ndarray, chunks: int) -> np.ndarray:
-    """64 * chunks bits, each the parity of the shingles that hash to it."""
-    place = (((shingles >> np.uint64(32)) * np.uint64(chunks * 64)) >> np.uint64(32)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=chunks * 64) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+def parity_sketch(shingles: np.ndarray, words: int = FOLD) -> np.ndarray:
+    """64 * words bits, each the parity of the shingles that hash to it."""
+    place = (mixed(shingles) & np.uint64(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=words * 64) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def chunk_keys(shingles: np.ndarray, band: int, reach: int) -> np.ndarray:
+    """The keys by which a set (sorted hashes) is looked up in a band; none where only equal sets can be linked."""
+    if not reach:
+        return np.empty(0, np.uint64)
+    k = reach + 3
+    place = ((shingles >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)  # rises with the hash
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    full = place[first]
+    salt = np.uint64(band) << np.uint64(40)
+    keys = mixed(np.bitwise_xor.reduceat(mixed(shingles), first) + mixed(full.astype(np.uint64) + salt))
+    empty = np.setdiff1d(np.arange(k), full, assume_unique=True)
+    if len(empty) < 3:
+        return keys
+    three = np.array(list(combinations(empty.tolist(), 3)), np.uint64)
+    return np.concatenate([keys, mixed(mixed(mixed(three[:, 0] + salt) + three[:, 1]) + three[:, 2])])
 
 
 def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """For each row of (doc_id, text) its set's size and 128-bit digest, band, and sketches in its band and the next."""
+    """For each row of (doc_id, text) its set's size and 128-bit digest, sketch and keys."""
     starts = band_starts()
-    chunks = band_chunks(starts, num, den)
+    reach = band_reach(starts, num, den)
 
     def run(batches):
         for part in slices(batches):
@@ -88,23 +114,56 @@ def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             for doc, s in zip(part[0].to_pylist(), shingle_sets(part[1], words), strict=True):
                 n = len(s)
                 if not n:
-                    rows.append((doc, 0, 0, 0, 0, None, None, None))
+                    rows.append((doc, 0, 0, 0, None, None))
                     continue
                 band = int(np.searchsorted(starts, n, "right")) - 1
-                up = parity_sketch(s, int(chunks[band + 1])) if n * den >= num * int(starts[band + 1]) else None
-                rows.append((doc, n, int(s.sum().view(np.int64)), int(mixed(s).sum().view(np.int64)), band,
-                             parity_sketch(s, int(chunks[band])), up, parity_sketch(s, 4)))
+                keys = chunk_keys(s, band, int(reach[band]))
+                if n * den >= num * int(starts[band + 1]):
+                    keys = np.concatenate([keys, chunk_keys(s, band + 1, int(reach[band + 1]))])
+                rows.append((doc, n, int(s.sum().view(np.int64)), int(mixed(s).sum().view(np.int64)), parity_sketch(s), keys.view(np.int64)))
             cols = list(zip(*rows, strict=True))
-            types = [pa.int64()] * 4 + [pa.int32()] + [pa.list_(pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                             names=["doc_id", "n", "s1", "s2", "band", "own", "up", "fold"])
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "s1", "s2", "fold", "keys"])
 
     return docs.mapInArrow(run, SKETCHES)
 
 
-def shingle_rows(docs: DataFrame, words: int) -> DataFrame:
+def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
+    h = mixed(ids.view(np.uint64))
+    return [(h >> np.uint64(k * 20)) & np.uint64(BLOOM_WORDS * 64 - 1) for k in range(3)]
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids: a bit set of fixed size, put together by Spark."""
+
     def run(batches):
-        for part in slices(batches):
+        bits = np.zeros(BLOOM_WORDS, np.uint64)
+        for batch in batches:
+            for place in _bloom_places(batch.column(0).to_numpy()):
+                np.bitwise_or.at(bits, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], names=["at", "bits"])
+
+    found = ids.mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(BLOOM_WORDS, np.uint64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def shingle_rows(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
+    """The shingles of the texts whose ids the filter lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        bits = shared.value
+
+        def kept(batches=batches):
+            for batch in batches:
+                ids = batch.column(0).fill_null(0).to_numpy()
+                keep = np.logical_and.reduce([(bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) for p in _bloom_places(ids)]).astype(bool)
+                yield batch.filter(pa.array(keep))
+
+        for part in slices(kept()):
             yield pa.RecordBatch.from_arrays([part[0].combine_chunks(), pa.array([x.view(np.int64) for x in shingle_sets(part[1], words)], pa.list_(pa.int64()))],
                                              names=["rep", "shingles"])
 
@@ -115,73 +174,77 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-class Linker:
-    """Tests candidate pairs of classes: sketches first, then the sets themselves."""
-
-    def __init__(self, reps: DataFrame, shingles: DataFrame, num: int, den: int):
-        self.reps, self.shingles, self.num, self.den = reps, shingles, num, den
+@dataclass
+class Rule:
+    words: int
+    num: int
+    den: int
 
-    def reach(self, na: str, nb: str) -> Column:
-        """The most the sets may differ by."""
-        return F.floor((F.col(na) + F.col(nb)) * (self.den - self.num) / (self.den + self.num))
+    def reach(self) -> Column:
+        return F.floor((F.col("n_a") + F.col("n_b")) * (self.den - self.num) / (self.den + self.num))
 
-    def fits(self, na: str, nb: str) -> Column:
-        return F.least(na, nb) * self.den >= F.greatest(na, nb) * self.num
+    def possible(self) -> Column:
+        """Sizes and sketches allow a link."""
+        return ((F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num) & (hamming(F.col("fold_a"), F.col("fold_b")) <= self.reach()))
 
-    def test(self, pairs: DataFrame) -> DataFrame:
-        side = lambda k: self.reps.select(*[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "band", "own", "up")])
-        near = pairs.join(side("a"), "rep_a").join(side("b"), "rep_b")
-        distance = (F.when(F.col("band_a") == F.col("band_b"), hamming(F.col("own_a"), F.col("own_b")))
-                    .when(F.col("band_a") + 1 == F.col("band_b"), hamming(F.col("up_a"), F.col("own_b")))
-                    .when(F.col("band_b") + 1 == F.col("band_a"), hamming(F.col("own_a"), F.col("up_b"))))
-        near = stage(near.where(self.fits("n_a", "n_b")).where(distance <= self.reach("n_a", "n_b")).select("rep_a", "rep_b", "n_a", "n_b"), "near")
-        sets = lambda k: self.shingles.select(F.col("rep").alias(f"rep_{k}"), F.col("shingles").alias(f"set_{k}"))
+    def verified(self, near: DataFrame, docs: DataFrame) -> DataFrame:
+        """The links (a, b) among pairs (rep_a, n_a, rep_b, n_b), by counting common shingles."""
+        ids = near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
+        sets = stage(shingle_rows(docs, self.words, bloom(ids)).join(ids.hint("shuffle_hash"), "rep", "left_semi").groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
+        side = lambda k: sets.select(F.col("rep").alias(f"rep_{k}"), F.col("shingles").alias(f"set_{k}"))
         common = F.size(F.array_intersect("set_a", "set_b"))
-        return (near.join(sets("a"), "rep_a").join(sets("b"), "rep_b").withColumn("common", common)
+        return (near.join(side("a"), "rep_a").join(side("b"), "rep_b").withColumn("common", common)
                 .where(F.col("common") * self.den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * self.num)
-                .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
+                .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id (smallest within reach of links)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rule = Rule(words, num, den)
     rows = stage(sketches(docs, words, num, den), "sketches")
-    reps = stage(rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(
-        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("band", "own", "up", "fold")]), "reps")
-    # chunks that classes share
-    chunk = lambda band, c: F.transform(c, lambda x, i: F.xxhash64(band, i, x))
-    keys = F.concat(chunk(F.col("band"), F.col("own")), F.coalesce(chunk(F.col("band") + 1, F.col("up")), F.array().cast("array<bigint>")))
-    signed = reps.select("rep", F.explode(keys).alias("key"))
+    classes = stage(rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = rows.join(classes.withColumn("doc_id", F.col("rep")), ["doc_id", "n", "s1", "s2"]).dropDuplicates(["doc_id", "n", "s1", "s2"])
     by = W.partitionBy("key")
-    shared = stage(signed.withColumn("hub", F.min("rep").over(by)).withColumn("other", F.max("rep").over(by)).where("hub < other").drop("other"), "shared")
+    shared = stage(reps.select("rep", F.explode("keys").alias("key")).withColumn("hub", F.min("rep").over(by)).withColumn("other", F.max("rep").over(by))
+                   .where("hub < other").drop("other"), "shared")
     met = shared.select("rep").distinct()
-    linker = Linker(reps, stage(shingle_rows(docs.join(met.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "shingles"), num, den)
-    links = stage(linker.test(shared.where("rep <> hub").select(F.col("hub").alias("rep_a"), F.col("rep").alias("rep_b")).distinct()), "links")
+    folds = stage(rows.select(F.col("doc_id").alias("rep"), "n", "fold", "s1", "s2").join(classes, ["rep", "n", "s1", "s2"], "left_semi")
+                  .join(met.hint("shuffle_hash"), "rep", "left_semi").dropDuplicates(["rep"]).drop("s1", "s2"), "folds")
+    side = lambda k: folds.select(*[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "fold")])
+
+    def test(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
+        near = stage(pairs.join(side("a"), "rep_a").join(side("b"), "rep_b").where(rule.possible()).select("rep_a", "n_a", "rep_b", "n_b"), "near")
+        return rule.verified(near, docs)
+
+    links = stage(test(shared.where("rep <> hub").select(F.col("hub").alias("rep_a"), F.col("rep").alias("rep_b"))), "links")
+    roots = connected(links)
     for k in range(1, HUB_ROUNDS + 2):
-        roots = connected(links)
         placed = shared.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-        mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
-        open_ = stage(placed.join(mixed_keys, "key").join(reps.select("rep", "n", "fold"), "rep"), "open")
-        if open_.isEmpty():
-            break
+        several = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
+        open_ = stage(placed.join(several, "key"), "open")
         sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
         total = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-        last = k > HUB_ROUNDS or total["pairs"] <= 8 * total["rows"]
+        if not total["rows"]:
+            break
+        last = k > HUB_ROUNDS or total["pairs"] <= 4 * total["rows"]
         if last:
-            a, b = (open_.select(F.col("key"), *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "fold")]) for s in "ab")
-            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & linker.fits("n_a", "n_b")
-                           & (hamming(F.col("fold_a"), F.col("fold_b")) <= linker.reach("n_a", "n_b")))
+            a, b = (open_.join(folds, "rep").select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "fold")]) for s in "ab")
+            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & rule.possible())
         else:  # another hub for each chunk
-            hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)), F.col("rep"), F.col("comp"))).alias("hub")).select("key", "hub.*").select("key", F.col("rep").alias("rep_a"), F.col("comp").alias("comp_a"))
+            hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep"), F.col("comp"))).alias("hub"))
+            hub = hub.select("key", F.col("hub.rep").alias("rep_a"), F.col("hub.comp").alias("comp_a"))
             pairs = open_.join(hub, "key").where("comp <> comp_a").withColumnRenamed("rep", "rep_b")
-        new = linker.test(pairs.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct())
-        links = stage(links.unionByName(new), "links")
-        if last:
+        new = stage(test(pairs), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
             roots = connected(links)
+        if last:
             break
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     component = roots.join(least, "root").select(F.col("node").alias("class_id"), "component_id")
-    classes = rows.select("doc_id", "n", "s1", "s2").join(reps.select("n", "s1", "s2", F.col("rep").alias("class_id")), ["n", "s1", "s2"], "left")
+    named = rows.select("doc_id", "n", "s1", "s2").join(classes.withColumnRenamed("rep", "class_id"), ["n", "s1", "s2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return (classes.withColumn("class_id", own).join(component, "class_id", "left")
+    return (named.withColumn("class_id", own).join(component, "class_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id")))
