@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, lm, media, mixing, ngram_join, page_text, pieces, token_files, toxicity
+from . import chat_format, fingerprints, lm, media, mixing, ngram_join, page_text, pieces, token_files, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = F.lit("<|im_end|><|im_start|>assistant ok")
@@ -49,7 +53,7 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_to_targets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_token_counts, op3_html_extraction, op4_lm_scoring, op5_sentencepiece, op7_chat_format, op8_toxicity, op9_media_columns, op10_mixing)}
+QUERIES = {q.__name__: q for q in (op1_ngram_jaccard_join, op2_token_counts, op3_html_extraction, op4_lm_scoring, op5_sentencepiece, op6_document_fingerprints, op7_chat_format, op8_toxicity, op9_media_columns, op10_mixing)}
 
 ORACLE_SQL = {
     "op7_chat_format": r"""
