@@ -111,7 +111,7 @@ def usage_sessions(t):
 
 
 RUNS = f"""SELECT s.session_id, s.external_session_id, s.client_id, s.agent, s.parent_session_id, s.first_message_at, u.last_message_at, coalesce(u.messages, 0) AS message_count,
- {STATUS.replace('message_count', 'coalesce(u.messages, 0)')} AS status, s.agent || ' — ' || substring(s.external_session_id, 1, 12) AS title, c.title AS session_title,
+ {STATUS.replace('message_count', 'coalesce(u.messages, 0)').replace('parent_session_id', 's.parent_session_id')} AS status, s.agent || ' — ' || substring(s.external_session_id, 1, 12) AS title, c.title AS session_title,
  CASE WHEN c.session_model LIKE '{{%' THEN (c.session_model ->> '$.providerID') || ' / ' || (c.session_model ->> '$.id') ELSE c.session_model END AS session_model,
  coalesce(d.todos, 0) AS todos, coalesce(d.todos_completed, 0) AS todos_completed, coalesce(d.todos_blocked, 0) AS todos_blocked, coalesce(k.children, 0) AS children,
  coalesce(u.reasoning_tokens, 0) AS reasoning_tokens, coalesce(u.input_tokens, 0) AS input_tokens, coalesce(u.output_tokens, 0) AS output_tokens, q.primary_provider, u.estimated_cost_usd
