@@ -32,8 +32,8 @@ SELECT concat(CAST(l.l_orderkey AS VARCHAR(20)), '-', CAST(l.l_linenumber AS VAR
  CASE l.l_returnflag WHEN 'A' THEN 'alpha' WHEN 'R' THEN 'beta' ELSE '' END AS provider, l.l_linestatus AS mode,
  CASE WHEN l.l_suppkey % 13 = 0 THEN NULL ELSE concat('proj-', CAST(l.l_suppkey % 7 AS VARCHAR(20))) END AS project_id,
  CAST(l.l_suppkey % 10 AS BIGINT) AS source_database_id,
- row_number() OVER (PARTITION BY l.l_orderkey, l.l_linenumber ORDER BY l.l_shipdate, l.l_partkey, l.l_suppkey,
-      l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus) AS arrival_seq
+ CAST(row_number() OVER (PARTITION BY l.l_orderkey, l.l_linenumber ORDER BY l.l_shipdate, l.l_partkey, l.l_suppkey,
+      l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus) AS BIGINT) AS arrival_seq
 FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {part} p ON p.p_partkey = l.l_partkey""",
     "fx_facts": """
 SELECT u.*, coalesce(u.cache_read_tokens, 0) + coalesce(u.cache_write_tokens, 0) AS cached_tokens FROM {fx_usage} u WHERE u.arrival_seq = 1""",
@@ -88,6 +88,62 @@ FROM {events}""",
     "fx_identities": """
 SELECT CAST(k AS BIGINT) AS identity_id, CAST(k % 4 AS BIGINT) AS owner_id, CASE WHEN k IN (7, 8) THEN CAST(k - 4 AS BIGINT) END AS canonical_parent_id
 FROM (SELECT DISTINCT o_custkey % 10 AS k FROM {orders}) t""",
+    "fx_raw": """
+SELECT source_record_id, arrival_seq, client_id, source_database_id,
+ CASE WHEN session_id % 50 = 0 THEN 'n/a' WHEN session_id % 51 = 0 THEN '-5' ELSE CAST(input_tokens AS VARCHAR(20)) END AS input_tokens,
+ CAST(output_tokens AS VARCHAR(20)) AS output_tokens, CASE WHEN session_id % 53 = 0 THEN '' ELSE '0' END AS cached_tokens,
+ CASE WHEN session_id % 49 = 0 THEN -1 ELSE reasoning_tokens END AS reasoning_tokens, cache_read_tokens, cache_write_tokens
+FROM {fx_usage}""",
+    "fx_received": """
+SELECT u.*, coalesce(u.cache_read_tokens, 0) + coalesce(u.cache_write_tokens, 0) AS cached_tokens, CAST(u.source_database_id % 4 AS BIGINT) AS identity_id,
+ concat(CAST(u.client_id AS VARCHAR(20)), ':', CAST(u.source_database_id AS VARCHAR(20))) AS batch,
+ CAST(u.arrival_seq * 1000 + u.session_id % 97 AS BIGINT) AS ingest_order
+FROM {fx_usage} u""",
+    "fx_directories": """
+SELECT CAST(o_custkey AS BIGINT) AS client_id, CAST(o_orderkey AS BIGINT) AS batch,
+ CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN concat(' /srv/', o_orderpriority, ' ') ELSE concat('/srv/', CAST(o_orderkey % 9 AS VARCHAR(20))) END AS directory
+FROM {orders}""",
+    "fx_links": """
+SELECT concat('run-', CAST(o_custkey AS VARCHAR(20))) AS run_id, concat('issue:', CAST(o_orderkey % 500 AS VARCHAR(20))) AS entity_id, CAST(o_orderkey AS BIGINT) AS arrival_seq,
+ CAST(o_orderkey % 10 AS DOUBLE) / 10 AS confidence, concat('e', CAST(o_orderkey AS VARCHAR(20))) AS evidence, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS method,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'resolved' ELSE 'referenced' END AS role, 'direct' AS source
+FROM {orders}""",
+    "fx_rollup": """
+SELECT CASE WHEN client_id % 10 = 3 THEN client_id + 1000000 ELSE client_id END AS client_id, project_id, CAST(reported_at AS DATE) AS day,
+ CAST(sum(input_tokens) + CASE WHEN client_id % 10 = 1 THEN 1 ELSE 0 END AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+ CAST(sum(coalesce(estimated_cost_usd, 0)) AS DECIMAL(28,6)) AS estimated_cost_usd, count(*) AS message_count
+FROM {fx_facts} WHERE project_id IS NOT NULL GROUP BY client_id, project_id, CAST(reported_at AS DATE)""",
+    "fx_closure": """
+SELECT concat('host/repo-', CAST(user_id % 5 AS VARCHAR(20))) AS repository, entity_type,
+ CAST(CASE WHEN entity_type = 'issue' THEN user_id % 200 ELSE user_id % 300 END AS VARCHAR(20)) AS external_id, event_type, date_trunc('day', occurred_at) AS occurred_at,
+ CASE WHEN event_id % 3 = 0 THEN 'webhook' ELSE 'backfill' END AS observed_via,
+ CASE WHEN entity_type = 'change_request' AND event_id % 4 <> 0 THEN CAST(user_id % 200 AS VARCHAR(20)) END AS link_a,
+ CASE WHEN entity_type = 'change_request' AND event_id % 4 <> 0 THEN CAST((user_id + 5 * (event_id % 7)) % 200 AS VARCHAR(20)) END AS link_b
+FROM (SELECT e.*, CAST(e.external_id AS BIGINT) AS user_id FROM {fx_events} e) f""",
+    "fx_runs": """
+SELECT concat('c', CAST(o_custkey AS VARCHAR(20))) AS scope, concat('run-', CAST(o_orderkey AS VARCHAR(20))) AS run_id, concat('Change ', CAST(o_orderkey % 17 AS VARCHAR(20))) AS title,
+ CAST(o_orderdate AS TIMESTAMP) AS started_at, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 2 DAY AS finished_at, concat('k', CAST(o_orderkey % 9 AS VARCHAR(20))) AS client
+FROM {orders}""",
+    "fx_entities": """
+SELECT DISTINCT concat('c', CAST(o.o_custkey AS VARCHAR(20))) AS scope, t.entity_type, concat(CAST(l.l_orderkey AS VARCHAR(20)), '-', CAST(l.l_linenumber AS VARCHAR(20))) AS external_id,
+ concat(t.entity_type, ':', CAST(l.l_orderkey AS VARCHAR(20)), '-', CAST(l.l_linenumber AS VARCHAR(20))) AS entity_id, CAST(o.o_orderkey % 30 AS BIGINT) AS number,
+ CASE t.entity_type WHEN 'change_request' THEN concat('Change ', CAST(o.o_orderkey % 17 AS VARCHAR(20))) WHEN 'commit' THEN concat('Work on #', CAST(o.o_orderkey % 30 AS VARCHAR(20)), ' and #', CAST(o.o_orderkey * 7 % 30 AS VARCHAR(20))) ELSE 'x' END AS title,
+ CASE WHEN t.entity_type = 'change_request' THEN concat('Resolves #', CAST(o.o_orderkey * 3 % 30 AS VARCHAR(20)), ', ', CAST(o.o_orderkey % 30 AS VARCHAR(20)), ' see #', CAST((o.o_orderkey + 1) % 30 AS VARCHAR(20)), ', fix #', CAST(o.o_orderkey * 7 % 30 AS VARCHAR(20))) END AS description,
+ CASE WHEN t.entity_type = 'change_request' AND o.o_orderkey % 2 = 0 THEN concat('feature/', CAST(o.o_orderkey % 30 AS VARCHAR(20)), '-x') END AS branch,
+ CASE WHEN t.entity_type IN ('commit', 'review') THEN concat(CAST(l.l_orderkey AS VARCHAR(20)), '-2') END AS owning_change_request_id,
+ CASE o.o_orderkey % 3 WHEN 0 THEN 'Merged' WHEN 1 THEN 'closed' ELSE 'open' END AS state, o.o_orderpriority AS author, concat('proj-', CAST(o.o_custkey % 7 AS VARCHAR(20))) AS repository,
+ CAST(o.o_orderdate AS TIMESTAMP) AS created_at, CAST(o.o_orderdate AS TIMESTAMP) + INTERVAL 5 DAY AS updated_at, CAST(l.l_orderkey * 10 + l.l_linenumber AS BIGINT) AS arrival_seq
+FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey
+ JOIN (SELECT 0 AS k, 'merge_event' AS entity_type UNION ALL SELECT 1, 'issue' UNION ALL SELECT 2, 'change_request' UNION ALL SELECT 3, 'commit' UNION ALL SELECT 4, 'review') t ON t.k = l.l_linenumber % 5""",
+    "fx_run_events": """
+SELECT concat('c', CAST(o_custkey AS VARCHAR(20))) AS scope, concat('issue:', CAST(o_orderkey AS VARCHAR(20)), '-1') AS entity_id,
+ CASE WHEN o_orderkey % 3 = 0 THEN concat(chr(123), '"run_id":"run-', CAST(o_orderkey AS VARCHAR(20)), '"', chr(125)) ELSE concat(chr(123), '"x":1', chr(125)) END AS payload
+FROM {orders}""",
+    "fx_run_sessions": """
+SELECT concat('c', CAST(o_custkey AS VARCHAR(20))) AS scope, CAST(o_orderkey AS BIGINT) AS session_id, o_orderpriority AS agent, concat('k', CAST(o_orderkey % 5 AS VARCHAR(20))) AS client,
+ concat('proj-', CAST(o_orderkey % 7 AS VARCHAR(20))) AS project, CAST(o_orderdate AS TIMESTAMP) AS session_started_at,
+ CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY END AS session_finished_at
+FROM {orders}""",
 }
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
