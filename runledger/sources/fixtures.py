@@ -179,6 +179,7 @@ def with_fixtures(sql: str) -> str:
             text = text.replace("{" + t + "}", t)
         parts.append(f"{name} AS ({text})")
     body = sql.strip()
-    if parts and body.upper().startswith("WITH "):
-        return "WITH " + ", ".join(parts) + ", " + body[5:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if parts and body.upper().startswith(head):
+            return head + ", ".join(parts) + ", " + body[len(head) :]
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
