@@ -92,7 +92,7 @@ def append_new(rows: DataFrame, path: str, key: list[str], order: list[Column])
 def run_stream(source: DataFrame, parse, key: list[str], order: list[str], table: str, dead_letters: str, checkpoint: str, after=None, **trigger):
     """Starts a feed: good rows go to table (each key once), others to dead_letters with value and reason.
 
-    after: called with the batch's good rows once they are stored, to bring what hangs on them up to date."""
+    after: called with the batch's good rows, once they are stored, and its number, to bring what hangs on them up to date."""
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
         try:
@@ -100,7 +100,7 @@ def run_stream(source: DataFrame, parse, key: list[str], order: list[str], table
             append_new(good, table, key, [F.col(c) for c in order])
             rows.where("reason is not null").select("value", "reason").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{dead_letters.rstrip('/')}/batch={number}")
             if after:
-                after(good)
+                after(good, number)
         finally:
             rows.unpersist()
 
@@ -116,15 +116,15 @@ def event_feed(source: DataFrame, table: str, dead_letters: str, checkpoint: str
 
 
 def closure_refresh(table: str, episodes: str):
-    """An `after` step: recomputes the episodes of the issues that a batch touches and writes them as a new version."""
+    """An `after` step: recomputes the episodes of the issues that a batch touches and writes them as that batch's version."""
     from ..operators import closure as E
 
-    def after(good: DataFrame) -> None:
+    def after(good: DataFrame, number: int) -> None:
         spark = good.sparkSession
         facts = _stored(spark, table, good)
         issues = E.affected(good, facts)
         found = E.episodes(E.facts_of(facts, issues)).join(issues, E.ISSUE, "left_semi")
-        found.withColumn("version", F.lit(spark.sparkContext.startTime) + F.lit(0)).write.mode("append").parquet(episodes)
+        found.write.mode("overwrite").parquet(f"{episodes.rstrip('/')}/version={number}")
 
     return after
 
