@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows and bytes of a batch that goes to Python: bounds its memory, on either side, where texts are long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
@@ -22,8 +24,10 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, unless PYTHONPATH already does that."""
+    """Make the package importable in Python workers, unless PYTHONPATH already does that, and bound the batches that they get."""
     sc = spark.sparkContext
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or sc.applicationId in _shipped:
         return
     path = Path(tempfile.mkdtemp(prefix="runledger-")) / "runledger.zip"
