@@ -53,7 +53,7 @@ def fold(doc_id: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
-def slices(batches, max_bytes: int = 16 << 20, max_rows: int = 4096):
+def slices(batches, max_bytes: int = 4 << 20, max_rows: int = 4096):
     """Arrow batches cut and joined to batches of bounded size, so that memory doesn't follow the text length."""
     held, size, rows = [], 0, 0
     for batch in batches:
