@@ -10,11 +10,11 @@ and, since empty chunks tell little, by each three of its empty ones.
 A second sketch has one bit toggled for each shingle; the Hamming distance of two of them never exceeds the symmetric
 difference, which rules out nearly all pairs that met by chance.
 
-Equal sets are one class from the start. Sets that share a chunk are tested against one hub of that chunk, then
-components are found, and only pairs between different components are tested further, all of them in the last
-round: groups of n copies cost n tests, yet no link between components is lost. A test first compares sketches and
-then counts the common shingles; the texts whose shingles it needs are picked out by a Bloom filter of fixed size, so
-other texts aren't shuffled.
+Equal sets are one class from the start. Of the sets that share a chunk each is tested against the first and against
+the one before it; then components are found, and within a chunk only sets of different components are compared
+further, all of them, by their sketches inside the join: groups of n copies cost 2 n tests, yet no link between
+components is lost. What passes is verified by counting common shingles; the texts whose shingles that needs are
+picked out by a Bloom filter of fixed size, so other texts aren't shuffled.
 
 Shingles are compared by 64-bit hashes. Nothing is broadcast or collected but counts.
 
@@ -38,7 +38,6 @@ from pyspark.sql import functions as F
 from .common import hash_words, mixed, slices, stage
 from .graph import connected
 
-HUB_ROUNDS = 3
 FOLD = 16
 BLOOM_WORDS = 1 << 19
 SKETCHES = "doc_id long, n long, s1 long, s2 long, fold array<long>, keys array<long>"
@@ -170,8 +169,9 @@ def shingle_rows(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "rep long, shingles array<long>")
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def hamming(a: str, b: str) -> Column:
+    """Distance of two sketches, given as FOLD columns each: plain expressions, so that joins compile it."""
+    return sum((F.bit_count(F.col(f"f{k}_{a}").bitwiseXOR(F.col(f"f{k}_{b}"))) for k in range(FOLD)), F.lit(0))
 
 
 @dataclass
@@ -185,7 +185,7 @@ class Rule:
 
     def possible(self) -> Column:
         """Sizes and sketches allow a link."""
-        return ((F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num) & (hamming(F.col("fold_a"), F.col("fold_b")) <= self.reach()))
+        return ((F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num) & (hamming("a", "b") <= self.reach()))
 
     def verified(self, near: DataFrame, docs: DataFrame) -> DataFrame:
         """The links (a, b) among pairs (rep_a, n_a, rep_b, n_b), by counting common shingles."""
@@ -206,42 +206,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     classes = stage(rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = rows.join(classes.withColumn("doc_id", F.col("rep")), ["doc_id", "n", "s1", "s2"]).dropDuplicates(["doc_id", "n", "s1", "s2"])
     by = W.partitionBy("key")
-    shared = stage(reps.select("rep", F.explode("keys").alias("key")).withColumn("hub", F.min("rep").over(by)).withColumn("other", F.max("rep").over(by))
-                   .where("hub < other").drop("other"), "shared")
+    shared = stage(reps.select("rep", F.explode("keys").alias("key")).withColumn("hub", F.min("rep").over(by)).withColumn("before", F.lag("rep").over(by.orderBy("rep")))
+                   .withColumn("other", F.max("rep").over(by)).where("hub < other").drop("other"), "shared")
     met = shared.select("rep").distinct()
-    folds = stage(rows.select(F.col("doc_id").alias("rep"), "n", "fold", "s1", "s2").join(classes, ["rep", "n", "s1", "s2"], "left_semi")
+    sketch = [F.get("fold", F.lit(k)).alias(f"f{k}") for k in range(FOLD)]
+    folds = stage(rows.select(F.col("doc_id").alias("rep"), "n", *sketch, "s1", "s2").join(classes, ["rep", "n", "s1", "s2"], "left_semi")
                   .join(met.hint("shuffle_hash"), "rep", "left_semi").dropDuplicates(["rep"]).drop("s1", "s2"), "folds")
-    side = lambda k: folds.select(*[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "fold")])
+    side = lambda df, k: df.select(*[F.col(c).alias(c if c == "key" else f"{c}_{k}") for c in df.columns])
 
-    def test(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
-        near = stage(pairs.join(side("a"), "rep_a").join(side("b"), "rep_b").where(rule.possible()).select("rep_a", "n_a", "rep_b", "n_b"), "near")
-        return rule.verified(near, docs)
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.where(rule.possible()).select("rep_a", "n_a", "rep_b", "n_b").distinct()
 
-    links = stage(test(shared.where("rep <> hub").select(F.col("hub").alias("rep_a"), F.col("rep").alias("rep_b"))), "links")
+    first = shared.select(F.explode(F.array_distinct(F.array("hub", "before"))).alias("rep_a"), F.col("rep").alias("rep_b")).where("rep_a < rep_b").distinct()
+    links = stage(rule.verified(stage(near(first.join(side(folds, "a"), "rep_a").join(side(folds, "b"), "rep_b")), "near"), docs), "links")
     roots = connected(links)
-    for k in range(1, HUB_ROUNDS + 2):
-        placed = shared.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-        several = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("key")
-        open_ = stage(placed.join(several, "key"), "open")
-        sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        total = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-        if not total["rows"]:
-            break
-        last = k > HUB_ROUNDS or total["pairs"] <= 4 * total["rows"]
-        if last:
-            a, b = (open_.join(folds, "rep").select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "fold")]) for s in "ab")
-            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & rule.possible())
-        else:  # another hub for each chunk
-            hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep"), F.col("comp"))).alias("hub"))
-            hub = hub.select("key", F.col("hub.rep").alias("rep_a"), F.col("hub.comp").alias("comp_a"))
-            pairs = open_.join(hub, "key").where("comp <> comp_a").withColumnRenamed("rep", "rep_b")
-        new = stage(test(pairs), "links")
+    placed = shared.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+    apart = placed.withColumn("least", F.min("comp").over(by)).withColumn("most", F.max("comp").over(by)).where("least < most").select("key", "rep", "comp")
+    open_ = stage(apart.join(folds, "rep"), "open")
+    if not open_.isEmpty():
+        a, b = side(open_, "a"), side(open_, "b")
+        rest = a.join(b, (a["key"] == b["key"]) & (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & rule.possible())
+        new = stage(rule.verified(stage(near(rest), "near"), docs), "links")
         if not new.isEmpty():
-            links = links.unionByName(new)
-            roots = connected(links)
-        if last:
-            break
+            roots = connected(links.unionByName(new))
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     component = roots.join(least, "root").select(F.col("node").alias("class_id"), "component_id")
     named = rows.select("doc_id", "n", "s1", "s2").join(classes.withColumnRenamed("rep", "class_id"), ["n", "s1", "s2"], "left")
