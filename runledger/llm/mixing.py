@@ -5,7 +5,7 @@ target over its size. Instead of drawing documents on their own, the cube method
 probabilities through the null space of two constraints (number of documents, number of words), so both totals stay
 exact until at most two documents of a block are undecided. Blocks of one source are balanced on their own, in
 parallel; their undecided documents form new blocks, level by level, until one block of at most two is left, which
-is landed on the nearest word total.
+is landed on the nearest word total, trading decided documents for what a large undecided one leaves over.
 
 Source sizes are sums over all rows. A source is cut into blocks by a hash of the document, so a hot source is only
 more blocks, and no task ever holds more than a few thousand rows. Every draw is seeded by source, level and block and rows
@@ -94,13 +94,20 @@ def flight(p: list[float], size: list[int], rng: random.Random) -> list[float]:
     return p
 
 
-def land(p: list[float], size: list[int]) -> list[float]:
-    """Decides the one or two that are left: the choice whose words come nearest to their expectation."""
+def land(p: list[float], size: list[int], goal: float, trades: int = 16) -> list[float]:
+    """Decides the one or two that are left, then turns over decided ones: each time the choice whose words come nearest to goal."""
     left = [k for k, x in enumerate(p) if x not in (0.0, 1.0)]
-    goal = sum(p[k] * size[k] for k in left)
-    best = min(range(1 << len(left)), key=lambda m: (abs(sum(size[k] for b, k in enumerate(left) if m >> b & 1) - goal), m))
+    off = sum(p[k] * size[k] for k in range(len(p)) if p[k] == 1.0) - goal
+    best = min(range(1 << len(left)), key=lambda m: (abs(off + sum(size[k] for b, k in enumerate(left) if m >> b & 1)), m))
     for b, k in enumerate(left):
         p[k] = float(best >> b & 1)
+        off += size[k] * p[k]
+    for _ in range(trades):
+        k = min(range(len(p)), key=lambda k: (abs(off + size[k] * (1 - 2 * p[k])), k), default=None)
+        if k is None or abs(off + size[k] * (1 - 2 * p[k])) >= abs(off):
+            break
+        off += size[k] * (1 - 2 * p[k])
+        p[k] = 1 - p[k]
     return p
 
 
@@ -110,8 +117,9 @@ def balancer(seed: int, level: int, last: bool):
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "doc_id", "size", "p"], kind="stable")
         p, size = part["p"].tolist(), part["size"].tolist()
+        goal = sum(x * n for x, n in zip(p, size, strict=True))
         p = flight(p, size, random.Random(f"{seed}|{level}|{'|'.join(map(str, key))}"))
-        part["p"] = land(p, size) if last else p
+        part["p"] = land(p, size, goal) if last else p
         return part.drop(columns=["_n", "block"])
 
     return run
