@@ -174,7 +174,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: np.nda
 
     def run(batches):
         vocab, index = shared.value, None
-        for part in slices(batches, 16 << 20, 1 << 14):
+        for part in slices(batches, 8 << 20, 1 << 14):
             if index is None:
                 index = vocab.index()
                 model = Network(vocab.symbol_counts, hidden).load(net.value)
@@ -186,27 +186,19 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, weights: np.nda
                 t = np.concatenate([[0.0], np.cumsum(x, dtype=float)])
                 return t[begins[1:]] - t[begins[:-1]]
 
-            rare = vocab.symbol[at] < 0
+            rare, unheaded = vocab.symbol[at] < 0, np.flatnonzero(at < 0)
+            tails = np.searchsorted(unheaded, begins).astype(np.int32)
             log_p = score_documents(model, symbols, ends, vocab.end) / LOG10 + sums(np.where(rare, logs[at] - vocab.log_mass[kind], 0.0))
             yield pa.RecordBatch.from_arrays(
                 [part[0].combine_chunks(), pa.array(_keys(h, begins)), pa.array(n + 1), pa.array(sums(at >= 0).astype(np.int64) + (vocab.end_count > 0)),
-                 pa.array(sums(at < 0).astype(np.int64)), pa.array(sums(logs[at]) + np.log10(vocab.end_count + 1)), pa.array(log_p)],
-                names=["doc_id", "key", "n_tokens", "n_known", "n_tail", "base", "log_p"])
+                 pa.ListArray.from_arrays(tails, pa.array(h[unheaded].view(np.int64))), pa.array(sums(logs[at]) + np.log10(vocab.end_count + 1)), pa.array(log_p)],
+                names=["doc_id", "key", "n_tokens", "n_known", "tail", "base", "log_p"])
 
-    def tail(batches):
-        vocab, index = shared.value, None
-        for part in slices(batches):
-            if index is None:
-                index = vocab.index()
-            h, begins, _ = hash_words(part[0], prefix=PREFIX)
-            which = np.flatnonzero(index.find(h) < 0)
-            owner = np.searchsorted(begins, which, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(h, begins)[owner]), pa.array(np.diff(begins)[owner] + 1), pa.array(h[which].view(np.int64))], names=["key", "n_tokens", "h"])
-
-    rows = stage(docs.mapInArrow(run, "doc_id long, key long, n_tokens long, n_known long, n_tail long, base double, log_p double"), "scored")
-    rest = docs.select("text").mapInArrow(tail, "key long, n_tokens long, h long").join(counts.select("h", "c"), "h").groupBy("key", "n_tokens").agg(
+    rows = stage(docs.mapInArrow(run, "doc_id long, key long, n_tokens long, n_known long, tail array<long>, base double, log_p double"), "scored")
+    rare = rows.where(F.size("tail") > 0)
+    rest = rare.select("key", "n_tokens", F.explode("tail").alias("h")).join(counts.select("h", "c"), "h").groupBy("key", "n_tokens").agg(
         F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.count("*").alias("known"))
-    copies = rows.where("n_tail > 0").groupBy("key", "n_tokens").agg(F.count("*").alias("m"))
+    copies = rare.groupBy("key", "n_tokens").agg(F.count("*").alias("m"))
     rest = rest.join(copies, ["key", "n_tokens"]).select("key", "n_tokens", (F.col("logs") / F.col("m")).alias("logs"), (F.col("known") / F.col("m")).alias("known"))
     logs = F.coalesce("logs", F.lit(0.0))
     return rows.join(rest, ["key", "n_tokens"], "left").select(
