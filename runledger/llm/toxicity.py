@@ -210,8 +210,9 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFr
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(chance[evidence_bins(batch.column(at), shared.value, scale, log_k)] < REJECT))
+        for part in slices(batches):
+            kept = part.filter(pa.array(chance[evidence_bins(part[at], shared.value, scale, log_k)] < REJECT))
+            yield from kept.to_batches()
 
     return docs.mapInArrow(run, docs.schema)
 
