@@ -1,11 +1,13 @@
 """N-gram Jaccard join by parity sketches: every pair of texts whose shingle sets are similar enough, linked.
 
 A text's set holds its distinct word shingles. Similarity num/den bounds the symmetric difference of two sets by
-D = (|A| + |B|) * (den - num) / (den + num). Shingles are dealt by hash over D + 3 chunks and each chunk is the XOR of
-its shingles' hashes, so of two linked sets' chunks three at least are equal (pigeonhole). Sets are put into size
+D = (|A| + |B|) * (den - num) / (den + num). Shingles are dealt by hash over D + s chunks and each chunk is the XOR of
+its shingles' hashes, so of two linked sets' chunks s at least are equal (pigeonhole). Sets are put into size
 bands that grow by half, with one number of chunks for each; a set near a band's upper end is sketched for the next
-band too, so every pair within reach meets in one band. A set is looked up by each of its chunks that has a shingle
-and, since empty chunks tell little, by each three of its empty ones.
+band too, so every pair within reach meets in one band. A set is looked up by each of its chunks that has a shingle.
+Empty chunks tell little. Where few are to be expected s is 3 and each three of a set's empty ones are a key too; in
+other bands s is more than nearly every set's number of empty chunks, so one of the equal chunks isn't empty, and the
+few sets with s empty chunks or more share a key.
 
 A second sketch has one bit toggled for each shingle; the Hamming distance of two of them never exceeds the symmetric
 difference, which rules out nearly all pairs that met by chance.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import combinations
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,18 @@ def band_reach(starts: np.ndarray, num: int, den: int) -> np.ndarray:
     return 2 * (starts[1:] - 1) * (den - num) // (den + num)
 
 
+def band_slack(starts: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """How many chunks a band has beyond its reach: 3, or four deviations more than the empty chunks to be expected."""
+    out = []
+    for start, r in zip(starts.tolist(), reach.tolist(), strict=False):
+        slack = 3
+        if r and (r + 3) * exp(-start / (r + 3)) > 8.5:
+            while (empty := (r + slack) * exp(-start / (r + slack))) + 4 * sqrt(empty) + 1 > slack:
+                slack += 1 + slack // 50
+        out.append(slack)
+    return np.array(out)
+
+
 def shingle_sets(texts, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a column."""
     h, begins = hash_words(texts)
@@ -85,19 +100,21 @@ def parity_sketch(shingles: np.ndarray, words: int = FOLD) -> np.ndarray:
     return np.packbits((np.bincount(place, minlength=words * 64) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def chunk_keys(shingles: np.ndarray, band: int, reach: int) -> np.ndarray:
+def chunk_keys(shingles: np.ndarray, band: int, reach: int, slack: int = 3) -> np.ndarray:
     """The keys by which a set (sorted hashes) is looked up in a band; none where only equal sets can be linked."""
     if not reach:
         return np.empty(0, np.uint64)
-    k = reach + 3
+    k = reach + slack
     place = ((shingles >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)  # rises with the hash
     first = np.flatnonzero(np.diff(place, prepend=-1))
     full = place[first]
     salt = np.uint64(band) << np.uint64(40)
     keys = mixed(np.bitwise_xor.reduceat(mixed(shingles), first) + mixed(full.astype(np.uint64) + salt))
-    empty = np.setdiff1d(np.arange(k), full, assume_unique=True)
-    if len(empty) < 3:
+    if k - len(full) < slack:
         return keys
+    if slack > 3:
+        return np.append(keys, mixed(np.array([k], np.uint64) + salt))
+    empty = np.setdiff1d(np.arange(k), full, assume_unique=True)
     three = np.array(list(combinations(empty.tolist(), 3)), np.uint64)
     return np.concatenate([keys, mixed(mixed(mixed(three[:, 0] + salt) + three[:, 1]) + three[:, 2])])
 
@@ -106,6 +123,7 @@ def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """For each row of (doc_id, text) its set's size and 128-bit digest, sketch and keys."""
     starts = band_starts()
     reach = band_reach(starts, num, den)
+    slack = band_slack(starts, reach)
 
     def run(batches):
         for part in slices(batches):
@@ -116,9 +134,9 @@ def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                     rows.append((doc, 0, 0, 0, None, None))
                     continue
                 band = int(np.searchsorted(starts, n, "right")) - 1
-                keys = chunk_keys(s, band, int(reach[band]))
+                keys = chunk_keys(s, band, int(reach[band]), int(slack[band]))
                 if n * den >= num * int(starts[band + 1]):
-                    keys = np.concatenate([keys, chunk_keys(s, band + 1, int(reach[band + 1]))])
+                    keys = np.concatenate([keys, chunk_keys(s, band + 1, int(reach[band + 1]), int(slack[band + 1]))])
                 rows.append((doc, n, int(s.sum().view(np.int64)), int(mixed(s).sum().view(np.int64)), parity_sketch(s), keys.view(np.int64)))
             cols = list(zip(*rows, strict=True))
             types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
