@@ -194,6 +194,34 @@ def test_edit_distance_and_pairs(spark):
     assert {(r.hub, r.doc_id, r.distance) for r in got} == {(2 * k, 2 * k + 1, 1) for k in range(10)}
 
 
+def test_near_pairs_in_shared_bands(spark):
+    rnd = random.Random(16)
+    base = ["".join(rnd.choice("ab") for _ in range(200)) for _ in range(24)]
+    texts = base[:12]  # unrelated to all, with the smallest ids of the bands
+    for t in base[12:]:
+        texts += [t, t[:90] + "b" + t[90:], t[:30] + t[31:], t[:150] + "aba" + t[150:]]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if fingerprints.edit_distance(texts[a], texts[b]) <= 20:
+                root = [root[a] if r == root[b] else r for r in root]
+    links = fingerprints.near_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = list(range(len(texts)))
+    for r in links:
+        assert r.hub < r.doc_id and r.distance == fingerprints.edit_distance(texts[r.hub], texts[r.doc_id]) <= 20
+        got = [got[r.hub] if x == got[r.doc_id] else x for x in got]
+    assert [got.index(x) for x in got] == [root.index(x) for x in root] and len(set(root)) == 24
+
+
+def test_grams_rule_out_no_near_pair():
+    rnd = random.Random(17)
+    for _ in range(300):
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randrange(40)))
+        b = "".join(rnd.choice([c, c, c, "", "x"]) for c in a)
+        d = fingerprints.edit_distance(a, b)
+        assert fingerprints.distance_within(a, b, d) == d and (not d or fingerprints.distance_within(a, b, d - 1) is None)
+
+
 def brute_segments(s):
     """All maximal scoring segments: take the best one, then go on left and right of it."""
     best = max(((sum(s[a:b]), -a, -b) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=(0, 0, 0))
