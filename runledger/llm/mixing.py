@@ -4,8 +4,9 @@ Every document of a source is taken floor(r) times and once more with probabilit
 target over its size. Instead of drawing documents on their own, the cube method moves the vector of inclusion
 probabilities through the null space of two constraints (number of documents, number of words), so both totals stay
 exact until at most two documents of a block are undecided. Blocks of one source are balanced on their own, in
-parallel; their undecided documents form new blocks, level by level, until one block of at most two is left, which
-is landed on the nearest word total, trading decided documents for what a large undecided one leaves over.
+parallel; their undecided documents form new blocks, level by level, together with a bounded set of decided ones of
+graded sizes. Once a source is down to one block, on a level of its own, it is landed on the nearest word total,
+trading decided documents for what a large undecided one leaves over.
 
 Source sizes are sums over all rows. A source is cut into blocks by a hash of the document, so a hot source is only
 more blocks, and no task ever holds more than a few thousand rows. Every draw is seeded by source, level and block and rows
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WORD, stage
 
 BLOCK = 1024
-UNITS = "doc_id long, no_source boolean, source string, size long, source_size long, target double, base long, p double, h long, taken long"
+UNITS = "doc_id long, no_source boolean, source string, size long, source_size long, target double, base long, p double, h long, taken long, carried boolean"
 
 
 def word_count(text: Column) -> Column:
@@ -94,32 +95,53 @@ def flight(p: list[float], size: list[int], rng: random.Random) -> list[float]:
     return p
 
 
-def land(p: list[float], size: list[int], goal: float, trades: int = 16) -> list[float]:
-    """Decides the one or two that are left, then turns over decided ones: each time the choice whose words come nearest to goal."""
+def land(p: list[float], size: list[int], goal: float) -> list[float]:
+    """Decides the one or two that are left, then turns over decided ones, each time the choice whose words come nearest to goal, until none comes nearer."""
     left = [k for k, x in enumerate(p) if x not in (0.0, 1.0)]
     off = sum(p[k] * size[k] for k in range(len(p)) if p[k] == 1.0) - goal
     best = min(range(1 << len(left)), key=lambda m: (abs(off + sum(size[k] for b, k in enumerate(left) if m >> b & 1)), m))
     for b, k in enumerate(left):
         p[k] = float(best >> b & 1)
         off += size[k] * p[k]
-    for _ in range(trades):
+    while True:
         k = min(range(len(p)), key=lambda k: (abs(off + size[k] * (1 - 2 * p[k])), k), default=None)
-        if k is None or abs(off + size[k] * (1 - 2 * p[k])) >= abs(off):
+        if k is None or abs(off + size[k] * (1 - 2 * p[k])) >= abs(off) - 1e-6:
             break
         off += size[k] * (1 - 2 * p[k])
         p[k] = 1 - p[k]
     return p
 
 
-def balancer(seed: int, level: int, last: bool):
-    """The flight of one block, and the landing too where it's the last level."""
+def graded(p: list[float], size: list[int], most: int) -> list[int]:
+    """At most so many decided documents, half of them taken and half not, dealt in turn from all size classes (powers of two), the largest of each first."""
+    out: list[int] = []
+    for side in (0.0, 1.0):
+        seen: dict[int, int] = {}
+        ranked = []
+        for k in sorted((k for k, x in enumerate(p) if x == side), key=lambda k: (-size[k], k)):
+            c = size[k].bit_length()
+            seen[c] = seen.get(c, 0) + 1
+            ranked.append((seen[c], -c, k))
+        out += [k for *_, k in sorted(ranked)[: most // 2]]
+    return out
+
+
+def balancer(seed: int, level: int, block: int):
+    """The flight of one block, and the landing too where it's the only one of its source; carried: goes on to the next level."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "doc_id", "size", "p"], kind="stable")
         p, size = part["p"].tolist(), part["size"].tolist()
         goal = sum(x * n for x, n in zip(p, size, strict=True))
         p = flight(p, size, random.Random(f"{seed}|{level}|{'|'.join(map(str, key))}"))
-        part["p"] = land(p, size, goal) if last else p
+        carried = [False] * len(p)
+        if part["_n"].iloc[0] <= block:
+            p = land(p, size, goal)
+        else:
+            for k in graded(p, size, block // 4):
+                carried[k] = True
+            carried = [c or 0 < x < 1 for c, x in zip(carried, p, strict=True)]
+        part["p"], part["carried"] = p, carried
         return part.drop(columns=["_n", "block"])
 
     return run
@@ -139,21 +161,16 @@ def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
         F.lit(0).cast("long").alias("taken"), F.col("n").alias("_n"))
     done = units.where("p <= 1e-9 or size = 0").drop("_n").withColumn("p", F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.col("p")))
     rest = units.where("p > 1e-9 and size > 0")
-    most = targets.agg(F.max("n")).first()[0] or 0
     level = 0
     while True:
-        last = most <= block
-
         blocks = F.when(F.col("_n") <= block, F.lit(0)).otherwise(F.pmod(F.xxhash64("h", F.lit(level)), F.ceil(F.col("_n") / block)))
-        moved = rest.withColumn("block", blocks.cast("long")).groupBy("no_source", "source", "block").applyInPandas(balancer(seed, level, last), UNITS)
+        moved = rest.withColumn("block", blocks.cast("long")).groupBy("no_source", "source", "block").applyInPandas(balancer(seed, level, block), UNITS)
         moved = stage(moved, "moved")
-        done = done.unionByName(moved.where("p <= 1e-9 or p >= 1 - 1e-9"))
-        if last:
+        done = done.unionByName(moved.where("not carried").drop("carried"))
+        left = moved.where("carried").drop("carried")
+        if left.isEmpty():
             break
-        open_ = moved.where("p > 1e-9 and p < 1 - 1e-9")
-        counts = open_.groupBy("no_source", "source").agg(F.count("*").alias("_n"))
-        rest = open_.join(counts, ["no_source", "source"])
-        most = counts.agg(F.max("_n")).first()[0] or 0
+        rest = left.join(left.groupBy("no_source", "source").agg(F.count("*").alias("_n")), ["no_source", "source"])
         level += 1
     copies = F.col("base") + F.round("p").cast("long")
     return done.select("doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target",

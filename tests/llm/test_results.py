@@ -300,6 +300,21 @@ def test_mixing(spark):
     assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in sizes)
 
 
+def test_mixing_closes_gaps_of_large_documents(spark):
+    rnd = random.Random(19)
+    rows = [(i, "w " * rnd.randrange(1, 12), "large") for i in range(1500)]
+    for s in range(8):  # one document has half of a small source's words
+        small = [rnd.randrange(1, 80) for _ in range(100)]
+        rows += [(len(rows) + k, "w " * n, f"small{s}") for k, n in enumerate([*small, sum(small)])]
+    for s in range(2):
+        many = [rnd.randrange(1, 12) for _ in range(1500)]
+        rows += [(len(rows) + k, "w " * n, f"skew{s}") for k, n in enumerate([*many, sum(many) // 5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix_to_targets(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in got) == len(rows)
+    assert {r.source: r.taken - r.target for r in got if abs(r.taken - r.target) > 0.005 * r.target} == {}
+
+
 def test_flight_keeps_totals():
     rnd = random.Random(5)
     p, size = [rnd.random() for _ in range(200)], [rnd.randrange(1, 100) for _ in range(200)]
