@@ -2,7 +2,8 @@
 
 The forward Viterbi pass gives every position the best score of any segmentation up to it. These scores are exact
 heuristics for a backward A-star search: hypotheses grow from the end, ordered by their own score plus the forward
-score of where they begin, so they complete in order of total score, best first.
+score of where they begin, so they complete in order of total score, best first. Equal ones are followed towards
+the start, and of a position no more than N are: the N best of the whole need no others.
 
 Where two neighbours stand next to each other in no piece, every segmentation has a border, so the lattice of a text
 falls apart into units (about a word each) and a text's best segmentations combine its units'. Units repeat: each
@@ -101,9 +102,12 @@ class PieceModel:
                 out.append(ids)
                 b = a
             return [(ahead[size], [i for ids in reversed(out) for i in ids])]
-        heap, order, found = [(-ahead[size], 0, size, 0.0, None)], 0, []
+        heap, order, found, taken = [(-ahead[size], size, 0, 0.0, None)], 0, [], [0] * (size + 1)
         while heap and len(found) < n:
-            f, _, at, g, tail = heapq.heappop(heap)
+            _, at, _, g, tail = heapq.heappop(heap)
+            if taken[at] == n:
+                continue
+            taken[at] += 1
             if at == 0:
                 ids = []
                 while tail:
@@ -112,8 +116,9 @@ class PieceModel:
                 found.append((g, ids))
                 continue
             for a, ids, s in ends[at]:
-                order += 1
-                heapq.heappush(heap, (-(ahead[a] + s + g), order, a, s + g, (ids, tail)))
+                if taken[a] < n:
+                    order += 1
+                    heapq.heappush(heap, (-(ahead[a] + s + g), a, order, s + g, (ids, tail)))
         return found
 
     def decode(self, ids) -> str:

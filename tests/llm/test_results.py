@@ -160,6 +160,26 @@ def test_best_segmentations():
         assert [s for s, _ in model.nbest(unit, 5)] == pytest.approx(brute_segmentations(model, unit)[:5])
 
 
+def test_runs_of_spaces_are_searched_in_few_steps(monkeypatch):
+    model = pieces.PieceModel([("<unk>", 0), ("<s>", 0), ("</s>", 0), *[(f"<0x{k:02X}>", 0.0) for k in range(256)], ("a", -5.0), *[("▁" * k, -1e9) for k in (*range(1, 15), 16)]])
+    steps = []
+
+    def push(heap, entry, put=pieces.heapq.heappush):
+        steps.append(1)
+        assert len(steps) < 100_000
+        put(heap, entry)
+
+    monkeypatch.setattr(pieces.heapq, "heappush", push)
+    for unit in (" " * 5, " " * 11, "   a    "):
+        assert [s for s, _ in model.nbest(unit, 5)] == pytest.approx(brute_segmentations(model, unit)[:5])
+    for size in (260, 340, 1990):
+        del steps[:]
+        found = model.nbest(" " * size, 3)
+        assert [s for s, _ in found] == [-5.0 * -(-size // 16)] * 3
+        assert len({tuple(ids) for _, ids in found}) == 3 and all(len(model.decode(ids)) == size - 1 for _, ids in found)
+        assert found[0][1] == model.nbest(" " * size, 1)[0][1]
+
+
 def test_piece_round_trip(spark):
     texts = ["Hello world", "", " lead  double ", "日本語 \U0001f600", "a\nb\tc", "▁ mark", "\x00"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
