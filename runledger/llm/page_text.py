@@ -2,12 +2,18 @@
 
 The standard library's parser streams its events; text between block borders is a line, with the characters and the
 tags since the line before. The ratios are smoothed with a Gaussian, and a threshold on their spread splits lines
-into content and clutter. The content region is the container that holds the content lines' text; it's given out
-whole, so short paragraphs between long ones stay. Elements that never are article text (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments), known by tag, role or class words, are no lines.
+into content and clutter: runs of content lines, between lines that pass it by themselves, are the clusters that choose
+the region, the innermost container that holds nine tenths of their text. Tags are evidence: what stands in an element that never is article text (menus,
+headers, footers, sidebars, notices, adverts, forms, reader comments), known by tag, role or class words, has no ratio;
+nor has what stands beside an article or main element that holds at least half of the clusters' text.
+
+Of the region's lines those in clusters are given out, text blocks that stand in the same container as one (so short
+paragraphs and headings stay), and short gaps between cluster lines; of lists and cells only what isn't mostly links.
+A heading and lead right before the region belong to it.
 
 Defined results: null, empty and text-free pages give an empty text; broken, unclosed and cut-off markup is read as
-far as it goes; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored. White
+far as it goes, in time linear in its length; a page whose text all seems clutter by class words is read as if they
+weren't there; repeated rows give repeated rows; an empty table gives no rows; other columns are ignored. White
 space inside a line becomes one space; lines are joined by one space.
 """
 
@@ -15,6 +21,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +29,15 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-SKIPPED = frozenset("head title script style noscript template nav footer aside form button select option textarea iframe "
-                    "svg canvas object dialog menu audio video map".split())
+#: Never text.
+SILENT = frozenset("head title script style noscript template iframe svg canvas object audio video map".split())
+SKIPPED = frozenset("nav footer aside form button select option textarea dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("body article main section div td center".split())
 ARTICLE = frozenset(("article", "main"))
+LISTS = CONTAINERS | {"table", "ul", "ol", "dl"}
 #: A new one of these closes an open one of the same list.
 CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 #: Words in class, id or role that mark clutter.
@@ -39,90 +48,111 @@ CLUTTER = frozenset("ad ads adbox advert adverts advertisement advertising spons
                     "skip hidden".split())
 READERS = frozenset("comment comments commentlist respond disqus reply replies".split())
 WORDS = re.compile(r"[A-Za-z]+")
+#: Class names that begin so tell about a page's layout, not what an element is.
+LAYOUT = ("has-", "with-", "no-", "is-", "has_", "with_", "no_")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of running text, and blocks that may as well be menus.
+PROSE = frozenset("p blockquote pre figcaption".split()) | HEADINGS
+ITEMS = frozenset("li dt dd td th caption summary".split())
+#: Elements that leave the head open; any other tag closes it.
+IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
+#: What a line is: text, clutter by evidence, or clutter whatever stands in it.
+TEXT, SOFT, HARD = 0, 1, 2
+GAP = 3
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int  # characters in links
+    box: int  # the container it stands in, or -1
+    block: str  # the tag of its block
+    state: int
 
 
 class Lines(HTMLParser):
-    """lines: text, tags, characters in links, containers around it."""
+    """lines, in page order, and the containers around them: kinds and parents by number (a parent's is smaller)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.kinds: list[str] = []  # of containers
-        self.stack: list[tuple[str, int, int]] = []  # tag, 0 text / 1 clutter / 2 clutter whatever stands in it, container or -1
-        self.open: dict[str, int] = {}
-        self.path: tuple[int, ...] = ()
-        self.state, self.links, self.tags, self.linked, self.buffer = 0, 0, 0, 0, []
+        self.lines: list[Line] = []
+        self.kinds: list[str] = []
+        self.parents: list[int] = []
+        self.stack: list[tuple[str, int, bool, int, str]] = []  # tag, and what held before it: state, silence, container, block
+        self.at: dict[str, list[int]] = {}  # where in the stack each tag is open
+        self.state, self.silent, self.box, self.block = TEXT, False, -1, ""
+        self.tags, self.linked, self.buffer = 0, 0, []
 
     def flush(self):
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             if text:
-                self.lines.append((text, self.tags, self.linked, self.path))
+                self.lines.append(Line(text, self.tags, self.linked, self.box, self.block, self.state))
                 self.tags = 0
             self.buffer, self.linked = [], 0
 
+    def top(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag not in IN_HEAD and self.at.get("head"):
+            self.close_tag("head")
         if tag not in INLINE:
             self.flush()
         if tag in VOID:
             return
         for other in CLOSES.get(tag, ()):
-            if self.open.get(other):
-                self.close_tag(other, {"table", "ul", "ol", "dl", *CONTAINERS})
-        state = self.state
-        if tag in ARTICLE and state == 1:
-            state = 0  # clutter that was never closed
-        if tag in SKIPPED:
-            state = max(state, 2 if tag in ("aside", "template", "script", "style") else 1)
-        elif tag == "header" and not any(t in ARTICLE for t, _, _ in self.stack):
-            state = max(state, 1)
+            self.close_tag(other, LISTS)
+        before = self.state, self.silent, self.box, self.block
+        if tag in ARTICLE and self.state == SOFT:
+            self.state = TEXT  # clutter that was never closed
+        if tag in SILENT:
+            self.silent = True
+        elif tag in SKIPPED:
+            self.state = max(self.state, HARD if tag == "aside" else SOFT)
+        elif tag == "header" and not (self.at.get("article") or self.at.get("main")):
+            self.state = max(self.state, SOFT)
         if attrs and tag not in ("html", "body"):
             for name, value in attrs:
                 if name in ("class", "id", "role") and value:
-                    words = set(map(str.lower, WORDS.findall(value)))
+                    words = {w for c in value.lower().split() if not c.startswith(LAYOUT) for w in WORDS.findall(c)}
                     if words & CLUTTER:
-                        state = max(state, 2 if words & READERS else 1)
+                        self.state = max(self.state, HARD if words & READERS else SOFT)
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                    state = 2
-        box = -1
-        if tag in CONTAINERS and not state:
-            box = len(self.kinds)
+                    self.silent = True
+        if tag in CONTAINERS:
+            self.parents.append(self.box)
+            self.box = len(self.kinds)
             self.kinds.append(tag)
-            self.path += (box,)
-        self.links += tag == "a"
-        self.stack.append((tag, self.state, box))
-        self.open[tag] = self.open.get(tag, 0) + 1
-        self.state = state
+        if tag not in INLINE:
+            self.block = tag
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, *before))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def close_tag(self, tag, borders=frozenset()):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                for t, before, box in reversed(self.stack[k:]):
-                    self.open[t] -= 1
-                    self.links -= t == "a"
-                    self.state = before
-                    if box >= 0:
-                        self.path = self.path[:-1]
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in borders:
-                return
+        """Closes the innermost such tag and what is open in it, unless a border stands between."""
+        k = self.top((tag,))
+        if k < 0 or k < self.top(borders):
+            return
+        _, self.state, self.silent, self.box, self.block = self.stack[k]
+        for other, *_ in self.stack[k:]:
+            self.at[other].pop()
+        del self.stack[k:]
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag not in INLINE:
             self.flush()
-        if self.open.get(tag):
-            self.close_tag(tag, CONTAINERS if tag in INLINE or tag == "p" else frozenset())
+        self.close_tag(tag, CONTAINERS if tag in INLINE or tag == "p" else frozenset())
 
     def handle_data(self, data):
-        if not self.state:
+        if not self.silent:
             self.buffer.append(data)
-            if self.links:
+            if self.at.get("a"):
                 self.linked += len(data)
 
 
@@ -134,40 +164,84 @@ def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(x, kernel, "full")[r : r + len(x)] / near
 
 
-def content_lines(lines: list) -> np.ndarray:
-    """Which lines have a smoothed text-to-tag ratio over the ratios' standard deviation."""
-    ratio = smooth(np.array([(len(t) - k) / max(1, tags) for t, tags, k, _ in lines], float))
-    return ratio >= ratio.std()
+def content_lines(lines: list[Line], clutter: np.ndarray) -> np.ndarray:
+    """Which lines are in a cluster: a run whose smoothed text-to-tag ratios pass their standard deviation, from its first to its last line that does so by itself."""
+    own = np.where(clutter, 0.0, [max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
+    ratio = smooth(own)
+    high = (ratio >= ratio.std()) & (ratio > 0)
+    run = np.cumsum(np.diff(high.astype(np.int8), prepend=0) != 0)
+    alone = np.flatnonzero(high & (own >= ratio.std()))
+    first, last = np.full(run[-1] + 1, len(lines)), np.full(run[-1] + 1, -1)
+    np.minimum.at(first, run[alone], alone)
+    np.maximum.at(last, run[alone], alone)
+    at = np.arange(len(lines))
+    return high & ~clutter & (at >= first[run]) & (at <= last[run])
+
+
+def gathered(lines: list[Line], content: np.ndarray, parents: list[int]) -> np.ndarray:
+    """Characters of content within each container."""
+    mass = np.zeros(len(parents) + 1, np.int64)  # the last is the page
+    for x, c in zip(lines, content, strict=True):
+        mass[x.box] += c * len(x.text)
+    for box in range(len(parents) - 1, -1, -1):
+        mass[parents[box]] += mass[box]
+    return mass
+
+
+def region_lines(page: Lines, clutter: np.ndarray) -> np.ndarray:
+    """Which lines are the page's main text, given those that evidence rules out."""
+    lines, parents = page.lines, page.parents
+    content = content_lines(lines, clutter)
+    inside = np.zeros(len(parents) + 1, bool)
+    for box, kind in enumerate(page.kinds):
+        inside[box] = kind in ARTICLE or inside[parents[box]]
+    held = inside[[x.box for x in lines]]
+    size = np.array([len(x.text) for x in lines])
+    if 2 * size[content & held].sum() >= size[content].sum() > 0:
+        clutter = clutter | ~held
+        content = content_lines(lines, clutter)
+    if not content.any():
+        content = ~clutter
+    mass = gathered(lines, content, parents)
+    region = int(np.flatnonzero(np.append(mass[-1:], mass[:-1]) * 10 >= mass[-1] * 9)[-1]) - 1
+    within = np.zeros(len(parents) + 1, bool)
+    within[region] = True
+    if region >= 0:
+        for box in range(region + 1, len(parents)):
+            within[box] = within[parents[box]]
+    else:
+        within[:] = True
+    here = within[[x.box for x in lines]] & ~clutter
+    both = np.zeros(len(parents) + 1, bool)
+    both[[x.box for x, c in zip(lines, content & here, strict=True) if c]] = True
+    at = np.flatnonzero(content & here)
+    before = np.searchsorted(at, np.arange(len(lines)), "right") - 1
+    gap = np.where((before >= 0) & (before + 1 < len(at)), at[np.minimum(before + 1, len(at) - 1)] - at[np.maximum(before, 0)], len(lines)) if len(at) else np.full(len(lines), 1 << 30)
+    out = content & here
+    for k, x in enumerate(lines):
+        if here[k] and not content[k]:
+            prose = x.block in PROSE or 2 * x.linked <= len(x.text)
+            out[k] = prose and (gap[k] <= GAP + 1 or both[x.box] and x.block in PROSE | ITEMS | CONTAINERS)
+    first = k = int(np.argmax(out)) if out.any() else 0
+    while k and lines[k].block != "h1" and not clutter[k - 1] and lines[k - 1].block in PROSE and 2 * lines[k - 1].linked <= len(lines[k - 1].text):
+        k -= 1
+        if lines[k].block in HEADINGS:
+            out[k:first] = True
+    return out
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    p = Lines()
-    p.feed(html)
-    p.close()
-    p.flush()
-    lines = p.lines
-    if not lines:
+    page = Lines()
+    page.feed(html)
+    page.close()
+    page.flush()
+    if not page.lines:
         return ""
-    content = content_lines(lines)
-    if not content.any():
-        content[:] = True
-    mass: dict[int, int] = {}
-    total = 0
-    for (text, _, _, path), c in zip(lines, content, strict=True):
-        if c:
-            total += len(text)
-            for box in path:
-                mass[box] = mass.get(box, 0) + len(text)
-    articles = [b for b in mass if p.kinds[b] in ARTICLE and mass[b] * 2 > total]
-    if articles:
-        region = max(articles)  # the innermost
-        return " ".join(t for t, _, _, path in lines if region in path)
-    # else the innermost container that holds nearly all content and every heading of its text
-    held = [b for b in mass if mass[b] * 10 >= total * 9]
-    region = max(held, default=-1)
-    return " ".join(t for (t, _, k, path), c in zip(lines, content, strict=True) if (region < 0 or region in path) and (c or 2 * k <= len(t)))
+    state = np.array([x.state for x in page.lines])
+    clutter = state > TEXT if (state == TEXT).any() else state > SOFT if (state == SOFT).any() else np.zeros(len(state), bool)
+    return " ".join(x.text for x, k in zip(page.lines, region_lines(page, clutter), strict=True) if k)
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
