@@ -85,13 +85,23 @@ def parse_formatted(formatted: Column) -> Column:
     return F.flatten(F.transform(F.slice(blocks, F.lit(2), F.size(blocks)), block))
 
 
-def digest(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Per conversation the counts and digests of its turns and its trained text, read back from the text."""
-    back = formatted.select("conv_id", "formatted", "n_messages", "loss_mask",
-                            parse_formatted(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == loss_role), lambda x: x["text"]), "")
+def trained_text(formatted: Column, loss_mask: Column) -> Column:
+    """What the mask lets through of a formatted text, piece by piece, unescaped and joined."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
+
+    def step(done: Column, m: Column) -> Column:
+        piece = F.substring(formatted, (done["at"] + m["skip"] + 1).cast("int"), m["keep"].cast("int"))
+        return F.struct((done["at"] + m["skip"] + m["keep"]).alias("at"), F.concat(done["text"], unescape(piece)).alias("text"))
+
+    return F.aggregate(loss_mask, start, step, lambda done: done["text"])
+
+
+def digest(formatted: DataFrame) -> DataFrame:
+    """Per conversation the counts and digests of its turns and of the text under its mask, read back from the formatted text."""
+    back = formatted.select("conv_id", "formatted", "n_messages", parse_formatted(F.col("formatted")).alias("turns"),
+                            trained_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"), "n_messages")
