@@ -6,7 +6,7 @@ documents. A block is searched for separators with one vectorised comparison. A
 its separator, so blocks are stitched with a prefix scan: running sums of tokens and separators and the last
 separator's place before each block, per file over one row for each block.
 
-Defined results: a null or empty text is a document of 0 tokens; repeated rows are documents of their own; tokens
+Defined results: a null or empty text is a document of 0 tokens; runs of any length, of white space too, are encoded as ever; repeated rows are documents of their own; tokens
 after the last separator of a file are an unfinished document (closed = false); a block that isn't a whole number of
 tokens raises ValueError; an empty table gives no rows; other columns are ignored.
 """
@@ -14,6 +14,7 @@ tokens raises ValueError; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public splitting pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_TOKENS = 1 << 18
+#: The characters that the pattern's \\s matches (Unicode's White_Space).
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 4096
 BLOCKS = "file long, block long, data binary, closes array<long>"
 
 
@@ -37,6 +41,28 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def encoder(ranks: dict[bytes, int], long_run: int = LONG_RUN):
+    """Encodes a text. A long run of white space, which the pattern's engine can't take, goes to the vocabulary as the one piece it is.
+
+    That piece ends before the run's last character, unless the text does: the last one belongs to what follows."""
+    import tiktoken
+
+    plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    runs = re.compile(f"[{SPACES}]{{{long_run},}}")
+
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for m in runs.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            ids += plain.encode_ordinary(text[at : m.start()])
+            ids += whole.encode_ordinary(text[m.start() : end])
+            at = end
+        return ids + plain.encode_ordinary(text[at:])
+
+    return encode
+
+
 def token_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int = BLOCK_TOKENS,
                  doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokenizes the texts into flat files, one for each partition: file, block, data (16-bit ids), closes.
@@ -46,9 +72,7 @@ def token_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(tokenizer))
 
     def run(batches):
-        import tiktoken
-
-        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+        encode = encoder(ranks.value)
         end = np.array([len(ranks.value)], np.uint16)
         file, block, held, size, closes = TaskContext.get().partitionId(), 0, [], 0, []
 
@@ -70,7 +94,7 @@ def token_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, block_tokens: int
 
         for part in slices(batches, 4 << 20):
             for doc, text_ in zip(part[0].to_pylist(), part[1].to_pylist(), strict=True):
-                ids = encoding.encode_ordinary(text_) if text_ else []
+                ids = encode(text_) if text_ else []
                 held += [np.array(ids, np.uint16), end]
                 size += len(ids) + 1
                 closes.append(doc)
