@@ -16,7 +16,7 @@ A text is encoded with a space put before it. Characters without a piece, and th
 back every text exactly.
 
 Defined results: a null text is empty; an empty text has no pieces and no other segmentation; ties in score go to
-the segmentation whose pieces are longer at the end; repeated rows give repeated rows; an empty table gives no
+the segmentation whose pieces are longer at the end; a long unbroken run takes time linear in its length; repeated rows give repeated rows; an empty table gives no
 rows; other columns are ignored. The model's file is read on the driver and broadcast (32,000 pieces, fixed).
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import insort
 from functools import lru_cache
 
 import numpy as np
@@ -59,50 +60,29 @@ class PieceModel:
         self.unk = low - 10 if unk is None else unk
         self.ids = {p: (i, s if s > UNSCORED else low) for p, (i, s) in self.ids.items()}
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p))}
-
-    def lattice(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each end position the edges (start, ids, score)."""
-        n = len(unit)
-        ends: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
-        ids, starts = self.ids, self.starts
-        for a in range(n):
-            b, one = a + 1, False
-            while b <= n:
-                part = unit[a:b]
-                if (hit := ids.get(part)) is not None:
-                    ends[b].append((a, (hit[0],), hit[1]))
-                    one |= b == a + 1
-                if part not in starts:
-                    break
-                b += 1
-            if not one:
-                raw = unit[a].encode("utf-8", "surrogatepass")
-                ends[a + 1].append((a, tuple(self.bytes_[x] for x in raw), self.unk * len(raw)))
-        return ends
+        self.longest = max(map(len, self.ids))
+
+    def edges(self, unit: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """The lattice's edges (start, ids, score) that lead to a position, longest first."""
+        out = []
+        for a in range(max(0, end - self.longest), end):
+            if (hit := self.ids.get(unit[a:end])) is not None:
+                out.append((a, (hit[0],), hit[1]))
+        if not out or out[-1][0] < end - 1:
+            raw = unit[end - 1].encode("utf-8", "surrogatepass")
+            out.append((end - 1, tuple(self.bytes_[x] for x in raw), self.unk * len(raw)))
+        return out
 
     def nbest(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations, best first: score and ids."""
-        if not unit:
-            return [(0.0, [])]
-        ends = self.lattice(unit)
         size = len(unit)
+        if not size:
+            return [(0.0, [])]
         ahead = [0.0] * (size + 1)
-        back: list = [None] * (size + 1)
         for b in range(1, size + 1):
-            best = None
-            for e in ends[b]:
-                s = ahead[e[0]] + e[2]
-                if best is None or s > best:
-                    best, back[b] = s, e
-            ahead[b] = best
-        if n == 1 or all(len(e) == 1 for e in ends[1:]):
-            out, b = [], size
-            while b:
-                a, ids, _ = back[b]
-                out.append(ids)
-                b = a
-            return [(ahead[size], [i for ids in reversed(out) for i in ids])]
+            ahead[b] = max(ahead[a] + s for a, _, s in self.edges(unit, b))
         heap, order, found, taken = [(-ahead[size], size, 0, 0.0, None)], 0, [], [0] * (size + 1)
+        best: list[list[float]] = [[] for _ in range(size + 1)]  # of each position: the n best scores it was reached with
         while heap and len(found) < n:
             _, at, _, g, tail = heapq.heappop(heap)
             if taken[at] == n:
@@ -115,8 +95,10 @@ class PieceModel:
                     tail = tail[1]
                 found.append((g, ids))
                 continue
-            for a, ids, s in ends[at]:
-                if taken[a] < n:
+            for a, ids, s in self.edges(unit, at):
+                if taken[a] < n and (len(best[a]) < n or s + g > best[a][0]):
+                    insort(best[a], s + g)
+                    del best[a][:-n]
                     order += 1
                     heapq.heappush(heap, (-(ahead[a] + s + g), a, order, s + g, (ids, tail)))
         return found
@@ -133,17 +115,23 @@ def load_model(path: str = MODEL) -> list[tuple[str, float]]:
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())]
 
 
-def combine(costs: list[tuple[float, ...]], n: int) -> list[float]:
-    """The n least sums of one cost from each list (ascending, first 0), by the same search over a chain."""
-    costs = sorted((c for c in costs if len(c) > 1), key=lambda c: c[1])[: n - 1]
-    heap, found = [(0.0, len(costs))], []
+def combine(costs: list[tuple[float, ...]], n: int) -> list[tuple[float, list[tuple[int, int]]]]:
+    """The n least sums of one cost from each list (ascending, first 0), by the same search over a chain: sum, and (list, place in it) where that isn't 0."""
+    order = sorted((k for k, c in enumerate(costs) if len(c) > 1), key=lambda k: costs[k][1])[: n - 1]
+    heap, pushed, found = [(0.0, len(order), 0, None)], 0, []
     while heap and len(found) < n:
-        g, at = heapq.heappop(heap)
+        g, at, _, chosen = heapq.heappop(heap)
         if at == 0:
-            found.append(g)
+            picks = []
+            while chosen:
+                picks.append(chosen[0])
+                chosen = chosen[1]
+            found.append((g, picks))
             continue
-        for c in costs[at - 1]:
-            heapq.heappush(heap, (g + c, at - 1))
+        k = order[at - 1]
+        for j, c in enumerate(costs[k]):
+            pushed += 1
+            heapq.heappush(heap, (g + c, at - 1, pushed, ((k, j), chosen) if j else chosen))
     return found
 
 
@@ -297,11 +285,26 @@ def ragged(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + n, n)
 
 
+OTHERS_SQL = "others array<struct<score:double,swaps:array<struct<at:int,n:int,ids:array<int>>>>>"
+OTHERS = pa.list_(pa.struct([("score", pa.float64()), ("swaps", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
+
+
+def swapped(ids: list[int], swaps) -> list[int]:
+    """The ids of another segmentation, given the best one's."""
+    out = list(ids)
+    for at, n, new in sorted(((x["at"], x["n"], x["ids"]) for x in swaps), reverse=True):
+        out[at : at + n] = new
+    return out
+
+
 _READY: dict[str, tuple] = {}
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, n_best: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_pieces, ids, score, other_scores (of the next n_best - 1 segmentations), exact (decoding gives the text)."""
+    """doc_id, n_pieces, ids, score, others, exact (decoding gives the text).
+
+    others has the next n_best - 1 segmentations, best first: score, and where they differ from ids, as swaps: instead of the
+    `n` ids from place `at` (counted in the best one) stand others. `swapped` writes one out."""
     shared = docs.sparkSession.sparkContext.broadcast(load_model(model))
 
     def run(batches):
@@ -314,7 +317,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, n_best: int = 3, doc_i
             texts = [" " + t if t else "" for t in part[1].to_pylist()]
             full = [k for k, t in enumerate(texts) if t]
             n, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            other: list[list[float]] = [[] for _ in texts]
+            other: list[list[tuple]] = [[] for _ in texts]
             exact = np.ones(len(texts), bool)
             ids = np.empty(0, np.int32)
             if full:
@@ -330,6 +333,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, n_best: int = 3, doc_i
                 n[full] = np.add.reduceat(counts, lower)
                 score[full] = np.add.reduceat(np.where(kept, scores[unit], 0.0), lower)
                 costs = np.where(kept, second[unit], np.inf)
+                upto_here = np.cumsum(counts) - counts
                 at = 0
                 for k, a, b in zip(full, lower, upto, strict=True):
                     exact[k] = b"".join([raw[i] for i in ids[at : at + n[k]].tolist()]) == texts[k].encode("utf-8", "surrogatepass")
@@ -337,15 +341,21 @@ def encode_documents(docs: DataFrame, model: str = MODEL, n_best: int = 3, doc_i
                     if n_best > 1:
                         near = np.argpartition(costs[a:b], n_best - 2)[: n_best - 1] + a if b - a >= n_best else np.arange(a, b)
                         near = [x for x in near if costs[x] < np.inf]
-                        found = [nbest(whole[starts[x] : starts[x] + sizes[x]], n_best) for x in near]
-                        other[k] = [score[k] - c for c in combine([tuple(f[0][0] - s for s, _ in f) for f in found], n_best)[1:]]
+                        found = []
+                        for x in near:  # of equal ones the first is what the text was given
+                            own = pool[pool_at[unit[x]] : pool_at[unit[x]] + counts[x]].tolist()
+                            next_ = nbest(whole[starts[x] : starts[x] + sizes[x]], n_best)
+                            found.append([(next_[0][0], own), *[f for f in next_ if f[1] != own][: n_best - 1]])
+                        for cost, picks in combine([tuple(f[0][0] - s for s, _ in f) for f in found], n_best)[1:]:
+                            swaps = sorted((int(upto_here[near[i]] - upto_here[a]), int(counts[near[i]]), found[i][j][1]) for i, j in picks)
+                            other[k].append((score[k] - cost, swaps))
             flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.array(ids))
             yield pa.RecordBatch.from_arrays(
-                [part[0].combine_chunks().cast(pa.int64()), pa.array(n), flat, pa.array(score), pa.array(other, pa.list_(pa.float64())), pa.array(exact)],
-                names=["doc_id", "n_pieces", "ids", "score", "other_scores", "exact"])
+                [part[0].combine_chunks().cast(pa.int64()), pa.array(n), flat, pa.array(score), pa.array(other, OTHERS), pa.array(exact)],
+                names=["doc_id", "n_pieces", "ids", "score", "others", "exact"])
 
     return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(
-        run, "doc_id long, n_pieces long, ids array<int>, score double, other_scores array<double>, exact boolean")
+        run, f"doc_id long, n_pieces long, ids array<int>, score double, {OTHERS_SQL}, exact boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
