@@ -6,7 +6,7 @@ Sizes of dimensions aren't assumed: joins are left to the optimiser, which broad
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,20 +25,37 @@ def checked(value: str, allowed, what: str) -> str:
     return value
 
 
-def window(facts: DataFrame, start: datetime | None = None, end: datetime | None = None, **equal) -> DataFrame:
-    """Rows reported between start and end, both included, that have the given values; None filters nothing."""
+def window(facts: DataFrame, start: datetime | None = None, end: datetime | None = None, half_open: bool = False, **equal) -> DataFrame:
+    """Rows reported between start and end, both included (half_open: without end itself), that have the given values; None filters nothing."""
     if start and end and start > end:
         raise ValueError("start is after end")
     if start:
         facts = facts.where(F.col("reported_at") >= F.lit(start).cast("timestamp"))
     if end:
-        facts = facts.where(F.col("reported_at") <= F.lit(end).cast("timestamp"))
+        last = F.lit(end).cast("timestamp")
+        facts = facts.where(F.col("reported_at") < last if half_open else F.col("reported_at") <= last)
     for name, value in equal.items():
         if value is not None:
             facts = facts.where(F.col(name) == value)
     return facts
 
 
+def preset(name: str, now: datetime, start: str | None = None, end: str | None = None) -> tuple[datetime, datetime]:
+    """Start and end of a named range of days; "custom" goes from the first moment of start to the last second of end. What isn't known is this month."""
+    day = now.replace(hour=0, minute=0, second=0, microsecond=0)
+    first = day.replace(day=1)
+    if name == "custom" and start and end:
+        try:
+            return datetime.fromisoformat(start), datetime.fromisoformat(end).replace(hour=23, minute=59, second=59)
+        except ValueError:
+            return first, now
+    if name == "last-month":
+        return (first - timedelta(days=1)).replace(day=1), first
+    if name in ("last-30-days", "last-7-days"):
+        return day - timedelta(days=30 if name == "last-30-days" else 7), now
+    return first, now
+
+
 def measures() -> list[Column]:
     return [*[F.coalesce(F.sum(t), F.lit(0)).cast("long").alias(t) for t in TOKENS], F.sum("estimated_cost_usd").alias("estimated_cost_usd"),
             F.count("*").alias("message_count"), F.countDistinct("session_id").alias("session_count"), F.countDistinct("model_name").alias("model_count")]
@@ -88,15 +105,27 @@ def group_value(columns: list[Column]) -> Column:
     return value
 
 
+def _with_providers(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """rows with the records of each group and provider as JSON, and the share of input read from cache."""
+    per = provider_breakdown(keyed, ["group_value"]).withColumnRenamed("group_value", "_group")
+    joined = rows.join(per, F.col("group_value").eqNullSafe(F.col("_group")), "left").drop("_group")
+    return joined.withColumn("provider_breakdown", F.coalesce("provider_breakdown", F.lit("{}"))).withColumn(
+        "cache_hit_ratio", C.cache_hit_ratio(F.col("cache_read_tokens"), F.col("input_tokens")))
+
+
 def total(facts: DataFrame) -> DataFrame:
-    """One row, also for no facts: sums, cost (null if no record has one), counts."""
-    return facts.agg(*measures())
+    """One row, also for no facts: sums, cost (null if no record has one), counts, providers."""
+    rows = facts.agg(*measures()).select(F.lit("total").alias("group_value"), "*")
+    return _with_providers(rows, facts.withColumn("group_value", F.lit("total")))
 
 
 def aggregates(facts: DataFrame, group_by: list[str], **dims: DataFrame) -> DataFrame:
-    """The measures for each combination of dimensions, named by group_value."""
+    """The measures for each combination of dimensions, named by group_value; projects' labels, and agents among several, have a column too."""
     facts, parts = dimensions(facts, group_by, **dims)
-    return facts.withColumn("group_value", group_value(parts)).groupBy("group_value").agg(*measures())
+    shown = [c.alias(n) for p, n, c in (("project", "project_label", F.col("project_label") if "project" in group_by else None),
+                                        ("agent", "agent", F.coalesce("agent", F.lit(C.UNKNOWN)) if "agent" in group_by and len(group_by) > 1 else None)) if c is not None]
+    keyed = facts.withColumn("group_value", group_value(parts))
+    return _with_providers(keyed.groupBy("group_value", *shown).agg(*measures()), keyed)
 
 
 def provider_breakdown(facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,10 +135,25 @@ def provider_breakdown(facts: DataFrame, keys: list[str]) -> DataFrame:
     return per.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias("provider_breakdown"))
 
 
+def session_totals(facts: DataFrame) -> DataFrame:
+    """Each session's sums and last message, and its provider with most records: ties go to the first name, empty names don't count.
+
+    Facts are read once and combined before each of two shuffles."""
+    per = facts.groupBy("session_id", "provider").agg(F.max("reported_at").alias("last"), F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TOKENS], F.sum("estimated_cost_usd").alias("cost"))
+    best = F.min(F.when(F.col("provider") != "", F.struct((-F.col("n")).alias("n"), F.col("provider"))))
+    return per.groupBy("session_id").agg(
+        F.max("last").alias("last_message_at"), F.sum("n").alias("message_count"), *[F.coalesce(F.sum(t), F.lit(0)).cast("long").alias(t) for t in TOKENS],
+        F.sum("cost").alias("estimated_cost_usd"), best["provider"].alias("primary_provider"))
+
+
 def primary_provider(facts: DataFrame) -> DataFrame:
-    """Each session's provider with most records; ties go to the first name; empty names don't count."""
-    per = facts.where("provider <> ''").groupBy("session_id", "provider").agg(F.count("*").alias("n"))
-    return per.groupBy("session_id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("provider"))).alias("p")).select("session_id", F.col("p.provider").alias("primary_provider"))
+    """The sessions that have a provider, with the one of most records."""
+    return session_totals(facts).select("session_id", "primary_provider").where("primary_provider is not null")
+
+
+def of_page(facts: DataFrame, page_: DataFrame) -> DataFrame:
+    """The facts of a page's sessions. A page has 1,000 rows at most (see `page`), so it's broadcast."""
+    return facts.join(F.broadcast(page_.select("session_id")), "session_id", "left_semi")
 
 
 def records(facts: DataFrame, sessions: DataFrame, contexts: DataFrame, sort_by: str = "reported_at", sort_dir: str = "desc", limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -120,19 +164,13 @@ def records(facts: DataFrame, sessions: DataFrame, contexts: DataFrame, sort_by:
     c = contexts.select(F.col("source_database_id").alias("session_database_id"), "external_session_id", F.timestamp_millis("source_created_at").alias("context_created_at"))
     rows = facts.join(s, "session_id").join(c, ["session_database_id", "external_session_id"], "left").withColumn("source_created_at", F.coalesce("context_created_at", "reported_at"))
     rows = rows.select("source_record_id", "client_id", F.col("session_database_id").alias("source_database_id"), "session_id", "model_name", *TOKENS,
-                       F.nullif("provider", F.lit("")).alias("provider"), "mode", "estimated_cost_usd", "reported_at", "source_created_at")
+                       F.nullif("provider", F.lit("")).alias("provider"), "mode", "estimated_cost_usd", "reported_at", F.col("first_ingested_at").alias("ingested_at"), "source_created_at")
     if limit is None:
         return rows
-    key = F.col("reported_at" if sort_by == "ingested_at" else sort_by)
+    key = F.col(sort_by)
     return rows.orderBy(key.desc_nulls_last() if sort_dir == "desc" else key.asc_nulls_last(), "source_record_id").offset(offset).limit(limit)
 
 
-def session_totals(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("session_id").agg(
-        F.max("reported_at").alias("last_message_at"), F.count("*").alias("message_count"), *[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in TOKENS],
-        F.sum("estimated_cost_usd").alias("estimated_cost_usd"))
-
-
 def overlapping(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Rows whose time from first to last message meets the window; an open end counts as lasting."""
     a, b = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
@@ -141,8 +179,7 @@ def overlapping(rows: DataFrame, start: datetime, end: datetime) -> DataFrame:
 
 def sessions(sessions_: DataFrame, facts: DataFrame, projects: DataFrame) -> DataFrame:
     """Session summaries: totals, primary provider, project label."""
-    rows = sessions_.join(session_totals(facts), "session_id", "left").join(primary_provider(facts), "session_id", "left")
-    return with_project_label(rows, projects)
+    return with_project_label(sessions_.join(session_totals(facts), "session_id", "left"), projects)
 
 
 def todo_counts(todos: DataFrame) -> DataFrame:
@@ -165,17 +202,20 @@ def agent_runs(sessions_: DataFrame, facts: DataFrame, todos: DataFrame, context
         rows = rows.where(F.col("status") == status)
     ctx = contexts.select("source_database_id", "external_session_id", F.col("title").alias("session_title"), C.model_display(F.col("session_model")).alias("session_model"))
     rows = (rows.join(todo_counts(todos), "session_id", "left").join(child_counts(sessions_), "external_session_id", "left")
-            .join(primary_provider(facts), "session_id", "left").join(ctx, ["source_database_id", "external_session_id"], "left"))
+            .join(ctx, ["source_database_id", "external_session_id"], "left"))
     return rows.select("session_id", "external_session_id", "client_id", "agent", "parent_session_id", "first_message_at", "last_message_at", "message_count", "status",
                        C.derived_title(F.col("agent"), F.col("external_session_id")).alias("title"), "session_title", "session_model",
                        *[zero(c).alias(c) for c in ("todos", "todos_completed", "todos_blocked", "children", "reasoning_tokens", "input_tokens", "output_tokens")],
                        "primary_provider", "estimated_cost_usd")
 
 
-def agent_run_detail(runs: DataFrame, sessions_: DataFrame, session_id: int) -> DataFrame:
-    """One run, with its parent's id: the smallest of the sessions that carry the parent's external id."""
+def agent_run_detail(runs: DataFrame, sessions_: DataFrame, todos: DataFrame, session_id: int | None = None) -> DataFrame:
+    """Runs (or one) with their parent's id, the smallest of the sessions that carry the parent's external id, and their to-do list by position."""
+    if session_id is not None:
+        runs, todos = runs.where(F.col("session_id") == session_id), todos.where(F.col("session_id") == session_id)
     parents = sessions_.groupBy(F.col("external_session_id").alias("parent_session_id")).agg(F.min("session_id").alias("parent_id"))
-    return runs.where(F.col("session_id") == session_id).join(parents, "parent_session_id", "left")
+    lists = todos.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("position", "status"))).alias("todo_list"))
+    return runs.join(parents, "parent_session_id", "left").join(lists, "session_id", "left")
 
 
 def page(rows: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:

@@ -36,39 +36,72 @@ def money(df):
     return df.withColumns({c: F.col(c).cast("double") for c, kind in df.dtypes if kind.startswith("decimal")})
 
 
-def grouped(name, parts, expression, joins=""):
-    @query(name, f"SELECT {expression} AS group_value, {MEASURES} FROM fx_facts r {joins} GROUP BY 1")
+PROVIDERS = """pc AS (SELECT group_value, coalesce(nullif(provider, ''), 'unknown') AS p, count(*) AS n FROM g GROUP BY 1, 2),
+ pb AS (SELECT group_value AS pg, '{' || string_agg('"' || p || '":' || n, ',' ORDER BY p) || '}' AS providers FROM pc GROUP BY 1)"""
+RATIO = "CASE WHEN input_tokens + cache_read_tokens > 0 THEN CAST(round(CAST(cache_read_tokens AS DECIMAL(20,0)) / CAST(input_tokens + cache_read_tokens AS DECIMAL(20,0)), 4) AS DOUBLE) END AS cache_hit_ratio"
+
+
+def measured(expression, joins="", where="", shown=""):
+    """The SQL of aggregates: measures by group, providers, ratio; shown: further columns of a group."""
+    keys = ", ".join(["group_value", *shown.split()])
+    extra = ("".join(f", {c}" for c in shown.split()))
+    return f"""WITH g AS (SELECT {expression} AS group_value, r.* FROM fx_facts r {joins} {where}), m AS (SELECT {keys}, {MEASURES} FROM g GROUP BY {keys}), {PROVIDERS}
+SELECT m.group_value{extra}, m.* EXCLUDE ({keys}), coalesce(providers, '{{}}') AS provider_breakdown, {RATIO} FROM m LEFT JOIN pb ON pb.pg IS NOT DISTINCT FROM m.group_value"""
+
+
+def grouped(name, parts, expression, joins="", shown=""):
+    @query(name, measured(expression, joins, shown=shown))
     def run(t, parts=parts):
         return money(U.aggregates(t.fx_facts, parts, clients=t.fx_clients, sessions=t.fx_sessions, projects=t.fx_projects))
 
 
-@query("usage_total", f"SELECT {MEASURES} FROM fx_facts")
+@query("usage_total", measured("'total'"))
 def usage_total(t):
     return money(U.total(t.fx_facts))
 
 
 CLIENT = "LEFT JOIN (SELECT client_id, name AS client_name FROM fx_clients) c ON c.client_id = r.client_id"
-AGENT = "LEFT JOIN (SELECT session_id AS sid, agent FROM fx_sessions) s ON s.sid = r.session_id"
+AGENT = "LEFT JOIN (SELECT session_id AS sid, agent AS a FROM fx_sessions) s ON s.sid = r.session_id"
 grouped("usage_by_client", ["client"], "client_name", CLIENT)
 grouped("usage_by_model", ["model"], "model_name")
 grouped("usage_by_session", ["session"], "CAST(session_id AS VARCHAR)")
 for _unit in ("day", "week", "month"):
     grouped(f"usage_by_{_unit}", [_unit], BUCKET.format(_unit))
-grouped("usage_by_agent", ["agent"], "coalesce(agent, 'unknown')", AGENT)
+grouped("usage_by_agent", ["agent"], "coalesce(a, 'unknown')", AGENT)
 grouped("usage_by_client_model", ["client", "model"], "client_name || '|' || model_name", CLIENT)
-grouped("usage_by_agent_month", ["agent", "month"], "coalesce(agent, 'unknown') || '|' || " + BUCKET.format("month"), AGENT)
+grouped("usage_by_agent_month", ["agent", "month"], "coalesce(a, 'unknown') AS agent, coalesce(a, 'unknown') || '|' || " + BUCKET.format("month"), AGENT, "agent")
 
 
-@query("usage_by_project", f"WITH l AS (SELECT r.*, {LABEL} AS project_label FROM fx_facts r {PROJECT_JOIN}) SELECT project_label AS group_value, {MEASURES} FROM l GROUP BY 1")
-def usage_by_project(t):
-    return money(U.aggregates(t.fx_facts, ["project"], projects=t.fx_projects))
+grouped("usage_by_project", ["project"], f"{LABEL} AS project_label, {LABEL}", PROJECT_JOIN, "project_label")
 
 
-@query("usage_aggregates", f"SELECT {MEASURES} FROM fx_facts WHERE reported_at BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' AND client_id = 10")
+@query("usage_aggregates", measured("'total'", where=f"WHERE reported_at BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' AND client_id = 10"))
 def usage_aggregates(t):
     return money(U.total(U.window(t.fx_facts, START, END, client_id=10)))
 
 
+@query("usage_no_rows", measured("'total'", where="WHERE client_id = -1").replace("FROM g GROUP BY group_value)", "FROM g)").replace("SELECT group_value, CAST", "SELECT 'total' AS group_value, CAST", 1))
+def usage_no_rows(t):
+    return money(U.total(U.window(t.fx_facts, client_id=-1)))
+
+
+@query("usage_half_open", "SELECT client_id, count(*) AS n FROM fx_facts WHERE reported_at >= TIMESTAMP '1995-01-01' AND reported_at < TIMESTAMP '1996-01-01' GROUP BY 1")
+def usage_half_open(t):
+    return U.window(t.fx_facts, datetime(1995, 1, 1), datetime(1996, 1, 1), half_open=True).groupBy("client_id").agg(F.count("*").alias("n"))
+
+
+PRESETS = {"this-month": ("2001-08-01", NOW), "last-month": ("2001-07-01", "2001-08-01"), "last-30-days": ("2001-07-02", NOW), "last-7-days": ("2001-07-25", NOW), "custom": ("1998-02-01", "1998-02-28 23:59:59"), "what": ("2001-08-01", NOW)}
+
+
+@query("usage_presets", " UNION ALL ".join(f"SELECT '{k}' AS preset, count(*) AS records, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM fx_facts WHERE reported_at BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}'" for k, (a, b) in PRESETS.items()))
+def usage_presets(t):
+    out = None
+    for name in PRESETS:
+        rows = U.window(t.fx_facts, *U.preset(name, CLOCK, "1998-02-01", "1998-02-28")).agg(F.count("*").alias("records"), F.sum("input_tokens").alias("input_tokens")).withColumn("preset", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("provider_breakdown", """WITH n AS (SELECT model_name, coalesce(nullif(provider, ''), 'unknown') AS p, count(*) AS n FROM fx_facts GROUP BY 1, 2)
 SELECT model_name, '{' || string_agg('"' || p || '":' || n, ',' ORDER BY p) || '}' AS provider_breakdown FROM n GROUP BY 1""")
 def provider_breakdown(t):
@@ -86,7 +119,7 @@ def cache_hit_ratio(t):
     return t.fx_facts.groupBy("model_name").agg(F.sum("cache_read_tokens").alias("r"), F.sum("input_tokens").alias("i")).select("model_name", C.cache_hit_ratio(F.col("r"), F.col("i")).cast("double").alias("cache_hit_ratio"))
 
 
-RECORD_COLUMNS = f"r.source_record_id, r.client_id, s.source_database_id, r.session_id, r.model_name, {', '.join('r.' + x for x in T)}, nullif(r.provider, '') AS provider, r.mode, CAST(r.estimated_cost_usd AS DOUBLE) AS estimated_cost_usd, r.reported_at"
+RECORD_COLUMNS = f"r.source_record_id, r.client_id, s.source_database_id, r.session_id, r.model_name, {', '.join('r.' + x for x in T)}, nullif(r.provider, '') AS provider, r.mode, CAST(r.estimated_cost_usd AS DOUBLE) AS estimated_cost_usd, r.reported_at, r.first_ingested_at AS ingested_at"
 RECORDS = f"""SELECT {RECORD_COLUMNS}, coalesce(make_timestamp(c.source_created_at * 1000), r.reported_at) AS source_created_at FROM fx_facts r JOIN fx_sessions s ON s.session_id = r.session_id
  LEFT JOIN fx_contexts c ON c.source_database_id = s.source_database_id AND c.external_session_id = s.external_session_id"""
 
@@ -101,6 +134,11 @@ def usage_records_page(t):
     return money(U.records(U.window(t.fx_facts, START, END), t.fx_sessions, t.fx_contexts, "source_created_at", "desc", 50, 100))
 
 
+@query("usage_records_by_ingest", f"SELECT * FROM ({RECORDS}) ORDER BY ingested_at ASC NULLS LAST, source_record_id LIMIT 100")
+def usage_records_by_ingest(t):
+    return money(U.records(t.fx_facts, t.fx_sessions, t.fx_contexts, "ingested_at", "asc", 100))
+
+
 TOTALS = f"""(SELECT session_id AS sid, max(reported_at) AS last_message_at, count(*) AS messages, {SUMS}, CAST(sum(estimated_cost_usd) AS DOUBLE) AS estimated_cost_usd FROM fx_facts GROUP BY 1)"""
 
 
@@ -110,6 +148,13 @@ def usage_sessions(t):
     return money(U.overlapping(U.sessions(t.fx_sessions, t.fx_facts, t.fx_projects), START, END))
 
 
+@query("usage_sessions_page", f"""WITH s AS (SELECT * FROM fx_sessions ORDER BY first_message_at DESC, session_id LIMIT 50 OFFSET 100), r AS (SELECT s.*, u.* EXCLUDE (sid, messages), u.messages AS message_count, q.primary_provider FROM s LEFT JOIN {TOTALS} u ON u.sid = s.session_id LEFT JOIN {PRIMARY} q ON q.session_id = s.session_id)
+SELECT r.*, {LABEL} AS project_label FROM r {PROJECT_JOIN}""")
+def usage_sessions_page(t):
+    first = U.page(t.fx_sessions, [F.col("first_message_at").desc(), F.col("session_id")], 50, 100)
+    return money(U.sessions(first, U.of_page(t.fx_facts, first), t.fx_projects))
+
+
 RUNS = f"""SELECT s.session_id, s.external_session_id, s.client_id, s.agent, s.parent_session_id, s.first_message_at, u.last_message_at, coalesce(u.messages, 0) AS message_count,
  {STATUS.replace('message_count', 'coalesce(u.messages, 0)').replace('parent_session_id', 's.parent_session_id')} AS status, s.agent || ' — ' || substring(s.external_session_id, 1, 12) AS title, c.title AS session_title,
  CASE WHEN c.session_model LIKE '{{%' THEN (c.session_model ->> '$.providerID') || ' / ' || (c.session_model ->> '$.id') ELSE c.session_model END AS session_model,
@@ -136,14 +181,23 @@ def agent_runs_by_status(t):
     return all_runs(t).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("agent_runs_stale", f"SELECT * FROM ({RUNS}) WHERE status = 'unknown' AND client_id = 10 ORDER BY last_message_at DESC NULLS LAST, session_id LIMIT 50")
+@query("agent_runs_stale", f"SELECT * FROM ({RUNS}) WHERE status = 'unknown' ORDER BY last_message_at DESC NULLS LAST, session_id LIMIT 50")
 def agent_runs_stale(t):
-    return money(U.page(all_runs(t, "unknown").where("client_id = 10"), [F.col("last_message_at").desc_nulls_last(), F.col("session_id")]))
+    return money(U.page(all_runs(t, "unknown"), [F.col("last_message_at").desc_nulls_last(), F.col("session_id")]))
+
+
+@query("agent_runs_page", f"SELECT x.* FROM ({RUNS}) x JOIN (SELECT session_id FROM fx_sessions ORDER BY first_message_at DESC, session_id LIMIT 50) p USING (session_id)")
+def agent_runs_page(t):
+    first = U.page(t.fx_sessions, [F.col("first_message_at").desc(), F.col("session_id")])
+    runs = U.agent_runs(t.fx_sessions, U.of_page(t.fx_facts, first), U.of_page(t.fx_todos, first), t.fx_contexts, CLOCK)
+    return money(U.of_page(runs, first))
 
 
-@query("agent_run_detail", f"SELECT r.*, p.parent_id FROM ({RUNS}) r LEFT JOIN (SELECT external_session_id AS e, min(session_id) AS parent_id FROM fx_sessions GROUP BY 1) p ON p.e = r.parent_session_id WHERE r.session_id = 32")
+@query("agent_run_detail", f"""SELECT r.*, p.parent_id, l.todo_list FROM ({RUNS}) r LEFT JOIN (SELECT external_session_id AS e, min(session_id) AS parent_id FROM fx_sessions GROUP BY 1) p ON p.e = r.parent_session_id
+ LEFT JOIN (SELECT session_id AS s, string_agg(position || ' ' || status, ',' ORDER BY position) AS todo_list FROM fx_todos GROUP BY 1) l ON l.s = r.session_id""")
 def agent_run_detail(t):
-    return money(U.agent_run_detail(all_runs(t), t.fx_sessions, 32))
+    rows = money(U.agent_run_detail(all_runs(t), t.fx_sessions, t.fx_todos))
+    return rows.withColumn("todo_list", F.array_join(F.transform("todo_list", lambda x: F.concat_ws(" ", x["position"].cast("string"), x["status"])), ","))
 
 
 @query("todo_counts", "SELECT session_id, count(*) AS todos, count(*) FILTER (WHERE status = 'completed') AS todos_completed, count(*) FILTER (WHERE status = 'blocked') AS todos_blocked FROM fx_todos GROUP BY 1")
