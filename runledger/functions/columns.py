@@ -158,6 +158,21 @@ def explorer_url(base: str, **fields: Column) -> Column:
     return F.concat(F.lit(base + "?q="), F.url_encode(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))))
 
 
+def entity_display(entity_type: Column, external_id: Column) -> Column:
+    return F.concat(entity_type, F.lit(":"), external_id)
+
+
+def provisional(role: Column) -> Column:
+    """A link that isn't resolved may still change."""
+    return ~F.coalesce(role == "resolved", F.lit(False))
+
+
+def project_name(name: Column, worktree: Column) -> Column:
+    """A project's name, else the last part of its work tree (either slash)."""
+    return F.when(name.isNull() & worktree.isNotNull() & ~worktree.isin("", "/"), F.regexp_replace(worktree, r"^.*[\\/]", "")).otherwise(name)
+
+
 def canonical_json(*columns: Column) -> Column:
-    """{"data": ..., "schema_version": 1} with the given (alphabetical) fields; times as UTC with Z."""
-    return F.to_json(F.struct(F.struct(*columns).alias("data"), F.lit(1).alias("schema_version")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"})
+    """{"data": ..., "schema_version": 1} with the given (alphabetical) fields; times as UTC with Z, with microseconds where they have any."""
+    text = F.to_json(F.struct(F.struct(*columns).alias("data"), F.lit(1).alias("schema_version")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"})
+    return F.regexp_replace(text, r'(?<=T\d\d:\d\d:\d\d)\.000000Z"', 'Z"')

@@ -80,6 +80,16 @@ def unresolved(found: DataFrame) -> DataFrame:
     return found.where("found in ('unmatched', 'ambiguous')").select(*ISSUE, "closed_at", F.col("found").alias("reason"), "candidates")
 
 
+def histories(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Each issue's episodes (superseded ones too) in order of close, open ones last, its closes without one cause, and all that ever declared to close it."""
+    late = lambda c: F.struct(F.col(c).isNull().alias(f"no_{c}"), F.col(c).alias(c))
+    item = F.struct(late("closed_at").alias("closed"), late("opened_at").alias("opened"), "segment", "status", "cr_id")
+    open_ = F.when(F.col("found").isin("unmatched", "ambiguous"), F.struct("closed_at", F.col("found").alias("reason"), "candidates"))
+    rows = found.groupBy(*ISSUE).agg(F.sort_array(F.collect_list(item)).alias("episodes"), F.sort_array(F.collect_list(open_)).alias("unresolved"))
+    evidence = links.groupBy(*ISSUE).agg(F.sort_array(F.collect_list(F.struct("cr_id", "state"))).alias("evidence"))
+    return rows.join(evidence, ISSUE, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<struct<cr_id:string,state:string>>")))
+
+
 def issues_within(facts: DataFrame, start, end) -> DataFrame:
     """Issues all of whose own facts lie between start and end."""
     own = facts.where("entity_type = 'issue'").groupBy("repository", F.col("external_id").alias("issue_id")).agg(F.min("occurred_at").alias("a"), F.max("occurred_at").alias("b"))

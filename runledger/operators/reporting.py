@@ -56,6 +56,13 @@ def trail(deliveries: DataFrame, key: list[str] = RESOURCE) -> DataFrame:
         F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("occurred_at", "state"))), lambda x: x["state"])).alias("states"))
 
 
+def resource_details(deliveries: DataFrame, key: list[str] = RESOURCE, created: str = "created_at") -> DataFrame:
+    """Each resource's last delivery (of equal times that with the greatest id), number of deliveries, and trail of states in order of time and arrival."""
+    last = F.max(F.struct("occurred_at", "delivery_id"))
+    steps = F.sort_array(F.collect_list(F.struct("occurred_at", created, "state", "delivery_id")))
+    return deliveries.groupBy(*key).agg(F.count("*").alias("deliveries"), last["delivery_id"].alias("last_delivery_id"), F.max("occurred_at").alias("last_occurred_at"), steps.alias("state_trail"))
+
+
 def resource_count(deliveries: DataFrame, key: list[str] = RESOURCE) -> DataFrame:
     return deliveries.select(*key).distinct().agg(F.count("*").alias("resources"))
 

@@ -136,11 +136,6 @@ def binding_insert_once(t):
     return M.insert_once(rows, ["job"], ["event_type", "kind"], "arrival").select("job", "arrival", "outcome")
 
 
-@query("run_upsert", """SELECT run_id, min(arrival_seq) AS started_at, max(arrival_seq) AS finished_at, arg_max(method, arrival_seq) FILTER (WHERE method IS NOT NULL) AS title FROM fx_links GROUP BY 1""")
-def run_upsert(t):
-    return t.fx_links.groupBy("run_id").agg(F.min("arrival_seq").alias("started_at"), F.max("arrival_seq").alias("finished_at"), M.latest("method", "arrival_seq").alias("title"))
-
-
 @query("legacy_backfill", """SELECT source_record_id, arrival_seq FROM fx_received r WHERE NOT EXISTS (SELECT 1 FROM fx_facts f WHERE f.source_record_id = r.source_record_id AND f.mode = 'F')
  AND NOT EXISTS (SELECT 1 FROM fx_identities i WHERE i.identity_id = r.identity_id AND i.owner_id = 1)""")
 def legacy_backfill(t):

@@ -99,12 +99,44 @@ SELECT u.*, coalesce(u.cache_read_tokens, 0) + coalesce(u.cache_write_tokens, 0)
  concat(CAST(u.client_id AS VARCHAR(20)), ':', CAST(u.source_database_id AS VARCHAR(20))) AS batch,
  CAST(u.arrival_seq * 1000 + u.session_id % 97 AS BIGINT) AS ingest_order
 FROM {fx_usage} u""",
+    "fx_run_saves": """
+SELECT concat('run-', CAST(o_custkey AS VARCHAR(20))) AS run_id, CAST(o_orderkey AS BIGINT) AS arrival_seq, CASE WHEN o_orderkey % 2 = 0 THEN 'github' ELSE 'gitlab' END AS provider,
+ CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('Change ', CAST(o_orderkey % 17 AS VARCHAR(20))) END AS title,
+ CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS started_at, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) + INTERVAL 2 DAY END AS finished_at,
+ CASE o_orderkey % 6 WHEN 1 THEN 'merged' WHEN 2 THEN 'closed' END AS outcome_status, CAST(o_orderdate AS TIMESTAMP) AS seen_at
+FROM {orders}""",
+    "fx_session_saves": """
+SELECT concat('run-', CAST(o_custkey AS VARCHAR(20))) AS run_id, concat('ses_', CAST(o_orderkey - o_orderkey % 3 AS VARCHAR(20))) AS external_session_id, CAST(o_orderkey AS BIGINT) AS arrival_seq,
+ CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey AS BIGINT) END AS session_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS started_at,
+ CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY END AS finished_at, CAST(o_orderdate AS TIMESTAMP) AS seen_at
+FROM {orders}""",
+    "fx_open_saves": """
+SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'github' ELSE 'gitlab' END AS provider, concat('proj-', CAST(o_custkey % 7 AS VARCHAR(20))) AS repository, CASE WHEN o_orderkey % 3 = 0 THEN 'issue' ELSE 'change_request' END AS entity_type,
+ CAST(o_orderkey % 40 AS VARCHAR(20)) AS external_id, concat('run-', CAST(o_custkey AS VARCHAR(20))) AS run_id, 'temporal' AS method, CAST(o_orderkey % 10 AS DOUBLE) / 10 AS confidence, concat('e', CAST(o_orderkey AS VARCHAR(20))) AS evidence,
+ CASE o_orderkey % 4 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'unmatched' END AS reason, CASE WHEN o_orderkey % 4 = 0 THEN concat('c', CAST(o_orderkey AS VARCHAR(20))) END AS candidates,
+ CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat('v', CAST(o_orderkey % 3 AS VARCHAR(20))) END AS resolver_version, CAST(o_orderkey AS BIGINT) AS arrival_seq, CAST(o_orderdate AS TIMESTAMP) AS seen_at
+FROM {orders}""",
+    "fx_binding_saves": """
+SELECT CAST(o_orderkey % 900 AS VARCHAR(20)) AS job_id, CAST(o_orderkey AS BIGINT) AS arrival_seq, CASE WHEN o_custkey % 2 = 0 THEN 'github' ELSE 'gitlab' END AS provider,
+ concat('https://Host.example/org/repo-', CAST(o_custkey % 5 AS VARCHAR(20)), CASE WHEN o_orderkey % 2 = 0 THEN '.git' ELSE '' END) AS repository_url, 'change_request' AS resource_type, CAST(o_custkey % 40 AS VARCHAR(20)) AS resource_number,
+ CASE o_orderkey % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'completed' ELSE 'cancelled' END AS outcome, CAST(o_orderdate AS TIMESTAMP) AS created_at, CAST(o_orderkey AS BIGINT) AS binding_id
+FROM {orders}""",
+    "fx_credentials": """
+SELECT CAST(c_custkey AS BIGINT) AS credential_id, CAST(c_custkey - c_custkey % 3 + 1 AS BIGINT) AS client_id, CASE WHEN c_custkey % 7 = 0 THEN CAST('2000-01-01 00:00:00' AS TIMESTAMP) END AS revoked_at FROM {customer}""",
+    "fx_batches": """
+SELECT CAST(o_custkey * 2 AS BIGINT) AS credential_id, CAST(o_orderdate AS TIMESTAMP) AS ingested_at, CAST(o_orderkey % 50 AS BIGINT) AS record_count FROM {orders}""",
+    "fx_databases": """
+SELECT CAST(c_custkey AS BIGINT) AS source_database_id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_custkey * 10 AS BIGINT) END AS last_seen_at, CAST(c_custkey % 90 AS BIGINT) AS record_count, c_custkey % 3 <> 0 AS is_active
+FROM {customer} WHERE c_custkey % 2 = 0""",
+    "fx_tree": """
+SELECT CAST(c_custkey - c_custkey % 32 + floor((c_custkey % 32) / 2) AS BIGINT) AS parent_id, CAST(c_custkey AS BIGINT) AS child_id FROM {customer} WHERE c_custkey % 32 > 1
+UNION SELECT CAST(c_custkey AS BIGINT), CAST(c_custkey - c_custkey % 32 + (c_custkey % 32 * 3 + 1) % 32 AS BIGINT) FROM {customer}""",
     "fx_directories": """
 SELECT CAST(o_custkey AS BIGINT) AS client_id, CAST(o_orderkey AS BIGINT) AS batch,
  CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN concat(' /srv/', o_orderpriority, ' ') ELSE concat('/srv/', CAST(o_orderkey % 9 AS VARCHAR(20))) END AS directory
 FROM {orders}""",
     "fx_links": """
-SELECT concat('run-', CAST(o_custkey AS VARCHAR(20))) AS run_id, concat('issue:', CAST(o_orderkey % 500 AS VARCHAR(20))) AS entity_id, CAST(o_orderkey AS BIGINT) AS arrival_seq,
+SELECT concat('run-', CAST(o_custkey AS VARCHAR(20))) AS run_id, concat(CASE o_orderkey % 5 WHEN 0 THEN 'issue' WHEN 1 THEN 'change_request' WHEN 2 THEN 'commit' WHEN 3 THEN 'review' ELSE 'merge_event' END, ':', CAST(o_orderkey % 500 AS VARCHAR(20))) AS entity_id, CAST(o_orderkey AS BIGINT) AS arrival_seq,
  CAST(o_orderkey % 10 AS DOUBLE) / 10 AS confidence, concat('e', CAST(o_orderkey AS VARCHAR(20))) AS evidence, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS method,
  CASE WHEN o_orderkey % 2 = 0 THEN 'resolved' ELSE 'referenced' END AS role, 'direct' AS source
 FROM {orders}""",
