@@ -1,8 +1,9 @@
 """Replay-safe accounting: validation, first-wins deduplication, delta merges, upserts and snapshots.
 
-Deliveries are rows with a key and an arrival number that orders them within it. Every fold here is an aggregate
-that combines before the shuffle (least or greatest value by arrival), so a key that is delivered often costs no
-more than its partial results.
+Deliveries are rows with a key and an arrival number that orders them within it. What is stored of a key follows from
+aggregates that combine before the shuffle (least or greatest value by arrival), so a key that is delivered often costs
+no more than its partial results. What is said of each delivery (won, replayed, in conflict) is a join with its key's
+first one. Only `delta_outcomes` and `replay_deltas`, where each delivery is held against the one before, are windows by key.
 """
 
 from __future__ import annotations
@@ -35,16 +36,24 @@ def same_cost(a: Column, b: Column) -> Column:
     return (a.isNull() & b.isNull()) | F.coalesce(F.abs(a - b) < F.lit(COST_TOLERANCE).cast("decimal(9,4)"), F.lit(False))
 
 
+def _with_first(deliveries: DataFrame, key: list[str], own: Column, arrival: str) -> DataFrame:
+    """deliveries with the values and arrival of their key's first one."""
+    first = deliveries.groupBy(*key).agg(F.min_by(own, F.col(arrival)).alias("_first"), F.min(arrival).alias("_arrived"))
+    named = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_first", "_arrived")
+    on = F.lit(True)
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return deliveries.join(named, on).drop(*[f"_k{i}" for i in range(len(key))])
+
+
 def first_wins(deliveries: DataFrame, key: list[str], arrival: str = "arrival_seq", values: tuple[str, ...] = BASE_TOKENS, cost: str = "estimated_cost_usd") -> DataFrame:
-    """Deliveries with won, status and reason: the first of a key wins; later ones are idempotent or in conflict with it."""
-    own = F.struct(*values, cost)
-    first = F.first(own).over(W.partitionBy(*key).orderBy(arrival))
-    rows = deliveries.withColumn("_first", first).withColumn("won", F.row_number().over(W.partitionBy(*key).orderBy(arrival)) == 1)
+    """Deliveries with won, status and reason: the first of a key wins; later ones are idempotent or in conflict with it. Arrivals differ within a key."""
+    rows = _with_first(deliveries, key, F.struct(*values, cost), arrival).withColumn("won", F.col(arrival) == F.col("_arrived"))
     same = same_cost(F.col(cost), F.col("_first")[cost])
     for v in values:
         same = same & F.col(v).eqNullSafe(F.col("_first")[v])
     return (rows.withColumn("status", F.when(F.col("won") | same, "accepted").otherwise("conflict"))
-            .withColumn("reason", F.when(~F.col("won"), F.when(same, IDEMPOTENT).otherwise(DIVERGENT))).drop("_first"))
+            .withColumn("reason", F.when(~F.col("won"), F.when(same, IDEMPOTENT).otherwise(DIVERGENT))).drop("_first", "_arrived"))
 
 
 def earliest(c: str, arrival: str) -> Column:
@@ -91,6 +100,25 @@ def delta_outcomes(deliveries: DataFrame, key: list[str], fields: tuple[str, ...
     return deliveries.withColumn("outcome", F.when(first, "created").when(changed, "updated").otherwise("duplicate"))
 
 
+def replay_deltas(deliveries: DataFrame, key: list[str], kept: list[str], fields: tuple[str, ...] = DELTA_FIELDS, arrival: str = "arrival_seq") -> DataFrame:
+    """What each delivery adds: a null adds nothing, another value what it has more than the stored one (0 where that is unset).
+
+    kept columns (session, project, day, ...) are those of the key's first delivery, to which later ones are booked."""
+    by = W.partitionBy(*key).orderBy(arrival)
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    added = {c: F.coalesce(F.col(c) - F.coalesce(F.last(c, ignorenulls=True).over(before), F.lit(0)), F.lit(0)) for c in fields}
+    return deliveries.select(*key, arrival, *[F.first(c).over(by).alias(c) for c in kept], *[v.alias(c) for c, v in added.items()])
+
+
+def clamped_totals(deltas: DataFrame, session: str, fields: tuple[str, ...], arrival: str) -> DataFrame:
+    """Running sums of a session's deltas that never fall under zero.
+
+    The clamped sum is the last sum less the least one before it, where that is under zero: two aggregates of running sums."""
+    by = W.partitionBy(session).orderBy(*([arrival] if isinstance(arrival, str) else arrival)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = deltas.select(session, *[F.sum(c).over(by).alias(c) for c in fields], F.row_number().over(W.partitionBy(session).orderBy(*([arrival] if isinstance(arrival, str) else arrival))).alias("_k"))
+    return rows.groupBy(session).agg(*[(F.max_by(c, "_k") - F.least(F.min(c), F.lit(0))).alias(c) for c in fields])
+
+
 def session_rollup(winners: DataFrame, key: list[str], latest_of: list[str], at: str = "ingested_at", order: str = "ingest_order") -> DataFrame:
     """Running session totals: ingest times, counts, sums, and the latest values that aren't null."""
     return winners.groupBy(*key).agg(
@@ -122,9 +150,11 @@ def keep_first(deliveries: DataFrame, key: list[str], order: list) -> DataFrame:
 
 def insert_once(deliveries: DataFrame, key: list[str], compared: list[str], arrival: str) -> DataFrame:
     """Deliveries with outcome: inserted, replayed (all compared fields equal, null to null) or conflict."""
-    by = W.partitionBy(*key).orderBy(arrival)
-    same = F.struct(*compared).eqNullSafe(F.first(F.struct(*compared)).over(by))
-    return deliveries.withColumn("outcome", F.when(F.row_number().over(by) == 1, "inserted").when(same, "replayed").otherwise("conflict"))
+    rows = _with_first(deliveries, key, F.struct(*compared), arrival)
+    same = F.lit(True)
+    for c in compared:
+        same = same & F.col(c).eqNullSafe(F.col("_first")[c])
+    return rows.withColumn("outcome", F.when(F.col(arrival) == F.col("_arrived"), "inserted").when(same, "replayed").otherwise("conflict")).drop("_first", "_arrived")
 
 
 def link_upsert(links: DataFrame, run: str = "run_id", entity: str = "entity_id", arrival: str = "arrival_seq") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import NO_TIME_MS
+from ..functions.columns import NO_TIME_MS, cursor
+from ..session import drop, stage
 
 
 def header_counts(sessions: DataFrame, messages: DataFrame, parts: DataFrame) -> DataFrame:
@@ -28,9 +29,13 @@ def keyset_page(rows: DataFrame, row_id: str, after: tuple[int, str] | None = No
     return rows.orderBy(key, row_id).limit(limit + 1)
 
 
-def tool_calls(parts: DataFrame) -> DataFrame:
-    """Tool calls of tool parts: name, status, input and output, from the state or else the top level."""
+def tool_calls(parts: DataFrame, tool: str | None = None, status: str | None = None) -> DataFrame:
+    """Tool calls of tool parts, of one tool and status where given: name, status, input and output, from the state or else the top level."""
     at = lambda p: F.get_json_object("data", f"$.{p}")
+    if tool is not None:
+        parts = parts.where(at("tool") == tool)
+    if status is not None:
+        parts = parts.where(F.coalesce(at("state.status"), at("status")) == status)
     both = lambda k: F.coalesce(at(f"state.{k}"), at(k)).alias(f"tool_{k}")
     return parts.where("part_type = 'tool'").withColumn("tool_name", at("tool")).where("tool_name is not null").select(
         "session_id", "external_message_id", "external_part_id", "source_created_at", "tool_name", both("status"), both("input"), both("output"))
@@ -56,26 +61,53 @@ def session_edges(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     return s.unionByName(m).distinct()
 
 
-def descendants(edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
-    """root_id, session_id, depth: sessions below each root by the shortest way, itself at depth 0.
-
-    Sessions are a key-joined frontier that grows level by level; what was reached before is taken out, which also ends
-    cycles. The plan is one recursive query, so nothing passes through the driver."""
-    if not 0 <= depth <= 200:
-        raise ValueError("depth must be 0 to 200")
-    spark = edges.sparkSession
-    walk = spark.sql(
-        f"""WITH RECURSIVE walk(root_id, session_id, depth, path) AS (
-          SELECT session_id, session_id, 0, array(session_id) FROM {{roots}}
-          UNION ALL SELECT w.root_id, e.child_id, w.depth + 1, array_append(w.path, e.child_id) FROM walk w JOIN {{edges}} e ON e.parent_id = w.session_id
-          WHERE w.depth < {int(depth)} AND NOT array_contains(w.path, e.child_id))
-        SELECT root_id, session_id, depth FROM walk""", roots=roots, edges=edges)
-    return walk.groupBy("root_id", "session_id").agg(F.min("depth").alias("depth"))
-
-
-def timeline(parts: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
-    """Parts of each root session and those below it, each once, with the least depth."""
-    return parts.join(descendants(edges, roots, depth), "session_id")
+def descendants(edges: DataFrame, roots: DataFrame, depth: int | None = 50) -> DataFrame:
+    """root_id, session_id, depth: sessions below each root by the shortest way, itself at depth 0; depth None goes to the end.
+
+    A frontier grows level by level, by a join on its sessions' key. What a root has reached before is taken out, so each
+    session is met once for each root, whatever cycles and diamonds there are. Levels are staged tables: only whether one is
+    empty reaches the driver."""
+    if depth is not None and not 0 <= depth <= 200:
+        raise ValueError("depth must be 0 to 200, or None")
+    edges = stage(edges.select(F.col("parent_id").alias("session_id"), "child_id").distinct(), "edges")
+    level = reached = stage(roots.select(F.col("session_id").alias("root_id"), "session_id", F.lit(0).alias("depth")).distinct(), "level")
+    k = 0
+    while depth is None or k < depth:
+        k += 1
+        found = level.join(edges, "session_id").select("root_id", F.col("child_id").alias("session_id")).distinct()
+        level = stage(found.join(reached.select("root_id", "session_id"), ["root_id", "session_id"], "left_anti").select("root_id", "session_id", F.lit(k).alias("depth")), "level")
+        if level.isEmpty():
+            drop(level)
+            break
+        reached = reached.unionByName(level)
+    drop(edges)
+    return reached
+
+
+def timeline(parts: DataFrame, edges: DataFrame, roots: DataFrame, depth: int | None = 50, sessions: DataFrame | None = None, agent: str | None = None,
+             start_ms: int | None = None, end_ms: int | None = None, ms: str = "source_created_at") -> DataFrame:
+    """Parts of each root session and those below it, each once, with the least depth.
+
+    agent (of the part's session, from sessions) and times choose among the parts; parts without time meet no bound."""
+    if start_ms is not None and end_ms is not None and start_ms > end_ms:
+        raise ValueError("start is after end")
+    below = descendants(edges, roots, depth)
+    if agent is not None:
+        below = below.join(sessions.where(F.col("agent") == agent).select("session_id"), "session_id", "left_semi")
+    if start_ms is not None:
+        parts = parts.where(F.col(ms) >= start_ms)
+    if end_ms is not None:
+        parts = parts.where(F.col(ms) <= end_ms)
+    return parts.join(below, "session_id")
+
+
+def page_end(fetched: DataFrame, row_id: str, limit: int, ms: str = "source_created_at") -> DataFrame:
+    """One row for what keyset_page gave: has_more, and the cursor of the page's last row where more follow. It holds 1,001 rows at most."""
+    key = F.coalesce(ms, F.lit(NO_TIME_MS).cast("long"))
+    at = F.sort_array(F.collect_list(F.struct(key.alias("ms"), F.col(row_id).alias("id"))))
+    more = F.size("at") > limit
+    last = F.get("at", F.lit(limit - 1))
+    return fetched.agg(at.alias("at")).select(more.alias("has_more"), F.when(more, cursor(last["ms"], last["id"])).alias("next_cursor"))
 
 
 def retained(rows: DataFrame, cutoff_ms: int | Column, key: str | None = None, children: DataFrame | None = None, child_key: str | None = None, ms: str = "source_created_at") -> DataFrame:

@@ -79,6 +79,25 @@ def replay_delta(t):
     return M.delta_outcomes(t.fx_received, EVENT).groupBy("identity_id", "outcome").agg(F.count("*").alias("n"))
 
 
+BOOKED = f"""b AS (SELECT identity_id, source_record_id, arrival_seq, {', '.join(f'first_value({c}) OVER w AS {c}' for c in ('session_id', 'client_id', 'project_id', 'reported_at'))},
+ {', '.join(f'coalesce({c} - coalesce(last_value({c} IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS {c}' for c in FIELDS)}
+ FROM fx_received WINDOW w AS (PARTITION BY identity_id, source_record_id ORDER BY arrival_seq))"""
+KEPT = ["session_id", "client_id", "project_id", "reported_at"]
+
+
+@query("replay_rollup", f"WITH {BOOKED} SELECT client_id, project_id, CAST(reported_at AS DATE) AS day, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(estimated_cost_usd) AS DOUBLE) AS estimated_cost_usd FROM b WHERE project_id IS NOT NULL GROUP BY 1, 2, 3")
+def replay_rollup(t):
+    rows = M.replay_deltas(t.fx_received, EVENT, KEPT).where("project_id is not null").withColumn("day", F.to_date("reported_at"))
+    return money(rows.groupBy("client_id", "project_id", "day").agg(*[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "estimated_cost_usd")]))
+
+
+@query("replay_session_totals", f"""WITH {BOOKED}, r AS (SELECT session_id, sum(input_tokens) OVER w AS s, row_number() OVER w AS k FROM b WINDOW w AS (PARTITION BY session_id ORDER BY arrival_seq, identity_id, source_record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT session_id, CAST(arg_max(s, k) - least(min(s), 0) AS BIGINT) AS input_tokens FROM r GROUP BY 1""")
+def replay_session_totals(t):
+    rows = M.replay_deltas(t.fx_received, EVENT, KEPT)
+    return M.clamped_totals(rows, "session_id", ("input_tokens",), ["arrival_seq", *EVENT])
+
+
 @query("latest_nonnull_upsert", """SELECT source_record_id, arg_max(project_id, arrival_seq) FILTER (WHERE project_id IS NOT NULL) AS project_id, arg_max(reasoning_tokens, arrival_seq) FILTER (WHERE reasoning_tokens IS NOT NULL) AS reasoning_tokens,
  arg_max_null(cache_read_tokens, arrival_seq) AS cache_read_tokens FROM fx_received GROUP BY 1""")
 def latest_nonnull_upsert(t):
@@ -111,6 +130,11 @@ def batch_ledger(t):
     return M.batch_ledger(received(t))
 
 
+@query("ingest_audit", f"WITH {FIRST} SELECT batch, source_record_id, ingest_order, status, reason FROM v")
+def ingest_audit(t):
+    return received(t).select("batch", "source_record_id", "ingest_order", "status", "reason")
+
+
 @query("dim_upsert", f"WITH {FIRST} SELECT source_database_id, min(ingest_order) AS first_seen, max(ingest_order) AS last_seen, count(*) FILTER (WHERE won) AS record_count FROM v GROUP BY 1")
 def dim_upsert(t):
     return M.dimension_upsert(received(t), ["source_database_id"], "ingest_order")

@@ -48,6 +48,30 @@ def exec_tool_calls(t):
     return X.tool_calls(t.fx_parts).drop("session_id", "external_message_id", "source_created_at")
 
 
+@query("exec_bash_calls", f"SELECT * FROM ({TOOLS}) WHERE tool_name = 'bash' AND tool_status = 'error'")
+def exec_bash_calls(t):
+    return X.tool_calls(t.fx_parts, "bash", "error").drop("session_id", "external_message_id", "source_created_at")
+
+
+@query("exec_session", """SELECT s.session_id, s.external_session_id, s.agent, s.parent_session_id, count(DISTINCT m.external_message_id) AS messages FROM fx_sessions s LEFT JOIN fx_messages m ON m.session_id = s.session_id GROUP BY 1, 2, 3, 4""")
+def exec_session(t):
+    counts = t.fx_messages.groupBy("session_id").agg(F.count("*").alias("messages"))
+    return t.fx_sessions.select("session_id", "external_session_id", "agent", "parent_session_id").join(counts, "session_id", "left").fillna(0, ["messages"])
+
+
+@query("exec_page_end", f"""WITH p AS (SELECT {MS} AS ms, external_message_id AS id FROM fx_messages ORDER BY 1, 2 LIMIT 51), l AS (SELECT ms, id FROM (SELECT *, row_number() OVER (ORDER BY ms, id) AS k FROM p) WHERE k = 50)
+SELECT (SELECT count(*) FROM p) > 50 AS has_more, CASE WHEN (SELECT count(*) FROM p) > 50 THEN translate(to_base64(encode(ms || ':' || id)), '+/', '-_') END AS next_cursor FROM (SELECT 1) LEFT JOIN l ON true""")
+def exec_page_end(t):
+    return X.page_end(X.keyset_page(t.fx_messages, "external_message_id", None, 50), "external_message_id", 50)
+
+
+@query("tool_call_deferred", f"""WITH n AS ({TOOLS}), w AS (SELECT external_part_id, row_number() OVER (ORDER BY external_part_id) AS k FROM n WHERE tool_name = 'bash')
+SELECT n.external_part_id, CASE WHEN k IS NULL THEN 'unchanged' WHEN k <= 20 THEN 'repaired' ELSE 'deferred' END AS state FROM n LEFT JOIN w USING (external_part_id)""")
+def tool_call_deferred(t):
+    old = X.tool_calls(t.fx_parts).withColumn("tool_status", F.when(F.col("tool_name") == "bash", "old").otherwise(F.col("tool_status")))
+    return X.tool_call_repair(old, t.fx_parts, 20).select("external_part_id", "state")
+
+
 @query("tool_call_repair", f"""WITH n AS ({TOOLS}), o AS (SELECT external_part_id, tool_name, CASE WHEN tool_name = 'bash' THEN 'old' ELSE tool_status END AS tool_status, tool_input, tool_output FROM n WHERE tool_name <> 'read' OR tool_output <> '20' UNION ALL SELECT 'gone', 'x', NULL, NULL, NULL)
 SELECT coalesce(n.external_part_id, o.external_part_id) AS external_part_id, CASE WHEN n.external_part_id IS NULL THEN 'skipped' WHEN o.external_part_id IS NOT NULL AND n.tool_status IS NOT DISTINCT FROM o.tool_status THEN 'unchanged' ELSE 'repaired' END AS state
 FROM o FULL JOIN n USING (external_part_id)""")
@@ -77,6 +101,27 @@ def session_timeline(t):
     return X.timeline(t.fx_parts, edges(t), roots).select("root_id", "depth", "session_id", "external_part_id")
 
 
+@query("exec_timeline", f"""WITH RECURSIVE {EDGES}, w(root_id, session_id, depth) AS (SELECT DISTINCT session_id, session_id, 0 FROM fx_messages UNION SELECT w.root_id, e.child_id, w.depth + 1 FROM w JOIN e ON e.parent_id = w.session_id WHERE w.depth < 2)
+SELECT w.root_id, min(w.depth) AS depth, p.session_id, p.external_part_id FROM w JOIN fx_parts p ON p.session_id = w.session_id WHERE w.session_id % 2 = 0 AND p.source_created_at BETWEEN 1700000200000 AND 1700003000000 GROUP BY 1, 3, 4""")
+def exec_timeline(t):
+    ids = t.fx_messages.select("session_id").distinct()
+    agents = ids.withColumn("agent", F.when(F.col("session_id") % 2 == 0, "even").otherwise("odd"))
+    return X.timeline(t.fx_parts, edges(t), ids, 2, agents, "even", 1700000200000, 1700003000000).select("root_id", "depth", "session_id", "external_part_id")
+
+
+TREE = """t AS (SELECT DISTINCT parent_id, child_id FROM fx_tree), w(root_id, session_id, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION SELECT w.root_id, t.child_id, w.depth + 1 FROM w JOIN t ON t.parent_id = w.session_id WHERE w.depth < {})"""
+
+
+@query("session_descendants", f"WITH RECURSIVE {TREE.format(12)} SELECT root_id, session_id, min(depth) AS depth FROM w GROUP BY 1, 2")
+def session_descendants(t):
+    return X.descendants(t.fx_tree, t.customer.select(F.col("c_custkey").alias("session_id")), None)
+
+
+@query("session_descendants_bounded", f"WITH RECURSIVE {TREE.format(2)} SELECT root_id, session_id, min(depth) AS depth FROM w GROUP BY 1, 2")
+def session_descendants_bounded(t):
+    return X.descendants(t.fx_tree, t.customer.select(F.col("c_custkey").alias("session_id")), 2)
+
+
 @query("exec_children", f"WITH {EDGES} SELECT parent_id, count(*) AS children FROM e GROUP BY 1")
 def exec_children(t):
     return edges(t).groupBy("parent_id").agg(F.count("*").alias("children"))
@@ -94,9 +139,19 @@ def transcript_retention(t):
     return X.retained(t.fx_messages, CUT + 100000, "external_message_id", parts).select("external_message_id")
 
 
-@query("redacted_payloads", "SELECT external_part_id, data FROM fx_parts")
+SECRETS = ("'{\"Api-Key\":' || {k} || ',\"deep\":{\"password\":' || {p} || ',\"note\":\"n' || session_id || '\"},\"list\":[{\"token\":\"kept\"}],\"tokens\":' || session_id || '}'")
+
+
+@query("redacted_payloads", "SELECT external_part_id, " + SECRETS.replace("{k}", "'\"[REDACTED]\"'").replace("{p}", "'\"[REDACTED]\"'") + " AS data, CASE WHEN session_id % 2 = 0 THEN NULL ELSE 'no secret here' END AS other FROM fx_parts")
 def redacted_payloads(t):
-    return t.fx_parts.select("external_part_id", redaction.truncate_json(redaction.redact_json(F.col("data"))).alias("data"))
+    secret = F.expr(SECRETS.replace("{k}", "concat('\"k', session_id, '\"')").replace("{p}", "concat('[', session_id, ']')"))
+    rows = t.fx_parts.select("external_part_id", secret.alias("data"), F.when(F.col("session_id") % 2 != 0, "no secret here").alias("other"))
+    return rows.select("external_part_id", redaction.truncate_json(redaction.redact_json(F.col("data"))).alias("data"), redaction.redact_json(F.col("other")).alias("other"))
+
+
+@query("truncated_payloads", """SELECT external_part_id, CASE WHEN length(data) > 40 THEN '{"truncated":true,"prefix":"' || replace(substring(data, 1, 40), '"', '\\"') || '"}' ELSE data END AS data FROM fx_parts""".replace("\\\\", "\\"))
+def truncated_payloads(t):
+    return t.fx_parts.select("external_part_id", redaction.truncate_json(F.col("data"), 40).alias("data"))
 
 
 @query("page_cursors", f"SELECT external_message_id, translate(to_base64(encode({MS} || ':' || external_message_id)), '+/', '-_') AS cursor FROM fx_messages")
@@ -276,9 +331,12 @@ def run_usage_totals(t):
 
 
 @query("run_reconstruct", f"""WITH {CORRELATE}, ev AS (SELECT scope, entity_id, count(*) AS n FROM fx_run_events GROUP BY 1, 2), ent AS (SELECT DISTINCT scope, entity_id FROM fx_entities)
-SELECT cor.scope, run_id, count(*) AS links, CAST(coalesce(sum(n), 0) AS BIGINT) AS events, count(ent.entity_id) AS entities FROM cor LEFT JOIN ev USING (scope, entity_id) LEFT JOIN ent USING (scope, entity_id) GROUP BY 1, 2""")
+SELECT c.scope, run_id, count(*) AS links, CAST(coalesce(sum(n), 0) AS BIGINT) AS events, count(ent.entity_id) AS entities FROM (SELECT *, confidence < max(confidence) OVER (PARTITION BY scope, entity_id) AS superseded FROM cor) c
+ LEFT JOIN ev USING (scope, entity_id) LEFT JOIN ent USING (scope, entity_id) WHERE NOT superseded GROUP BY 1, 2""")
 def run_reconstruct(t):
-    return N.reconstruct(correlated(t).withColumn("superseded", F.lit(False)), t.fx_entities, t.fx_run_events)
+    found = correlated(t)
+    most = found.groupBy("scope", "entity_id").agg(F.max("confidence").alias("most"))
+    return N.reconstruct(found.join(most, ["scope", "entity_id"]).withColumn("superseded", F.col("confidence") < F.col("most")), t.fx_entities, t.fx_run_events)
 
 
 # ---- closures
@@ -350,12 +408,13 @@ def closure_rebuild(t):
 
 
 @query("episode_reconcile", f"""WITH {EPISODES}, c AS ({EPISODE_ROWS} WHERE NOT (issue_id LIKE '%9' AND latest)), o AS (SELECT * REPLACE (CASE WHEN issue_id LIKE '%1' THEN 'pending' ELSE status END AS status) FROM c WHERE segment <> 1 UNION ALL SELECT repository, issue_id || 'x', segment, opened_at, closed_at, status, cr_id FROM c WHERE segment = 2),
- oo AS (SELECT repository, issue_id, closed_at, any_value(status) AS status, any_value(cr_id) AS cr_id FROM o GROUP BY 1, 2, 3), cc AS (SELECT repository, issue_id, closed_at, any_value(status) AS status, any_value(cr_id) AS cr_id FROM c GROUP BY 1, 2, 3)
-SELECT action, count(*) AS n FROM (SELECT CASE WHEN oo.repository IS NULL THEN 'insert' WHEN cc.repository IS NULL THEN 'supersede' WHEN oo.status = cc.status AND oo.cr_id IS NOT DISTINCT FROM cc.cr_id THEN 'keep' ELSE 'update' END AS action
- FROM oo FULL JOIN cc ON oo.repository = cc.repository AND oo.issue_id = cc.issue_id AND oo.closed_at IS NOT DISTINCT FROM cc.closed_at) GROUP BY 1""")
+ oo AS (SELECT repository, issue_id, closed_at, min(status) AS status, min(cr_id) AS cr_id FROM o GROUP BY 1, 2, 3), cc AS (SELECT repository, issue_id, closed_at, min(status) AS status, min(cr_id) AS cr_id FROM c GROUP BY 1, 2, 3)
+SELECT coalesce(cc.repository, oo.repository) AS repository, coalesce(cc.issue_id, oo.issue_id) AS issue_id, coalesce(cc.closed_at, oo.closed_at) AS closed_at, CASE WHEN cc.repository IS NULL THEN 'superseded' ELSE cc.status END AS status,
+ CASE WHEN cc.repository IS NULL THEN oo.cr_id ELSE cc.cr_id END AS cr_id, CASE WHEN oo.repository IS NULL THEN 'insert' WHEN cc.repository IS NULL THEN 'supersede' WHEN oo.status = cc.status AND oo.cr_id IS NOT DISTINCT FROM cc.cr_id THEN 'keep' ELSE 'update' END AS action
+ FROM oo FULL JOIN cc ON oo.repository = cc.repository AND oo.issue_id = cc.issue_id AND oo.closed_at IS NOT DISTINCT FROM cc.closed_at""")
 def episode_reconcile(t):
     found = E.episodes(closure_facts(t)).where("not (issue_id like '%9' and status <> 'superseded')")
     one = lambda df: df.groupBy("repository", "issue_id", "closed_at").agg(F.min("status").alias("status"), F.min("cr_id").alias("cr_id"))
     stored = found.where("segment <> 1").withColumn("status", F.when(F.col("issue_id").endswith("1"), "pending").otherwise(F.col("status")))
     stored = stored.unionByName(found.where("segment = 2").withColumn("issue_id", F.concat("issue_id", F.lit("x"))))
-    return E.reconcile(one(stored), one(found)).groupBy("action").agg(F.count("*").alias("n"))
+    return E.reconcile(one(stored), one(found))
