@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import drop, ship, stage  # noqa: F401  (drop and stage for the operators)
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`; the same six bytes on which bytes.split() splits.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,23 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="runledger-")
-        atexit.register(shutil.rmtree, root[7:], ignore_errors=True)
-        sc.setCheckpointDir(root)
-    return root
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def row_key(df: DataFrame) -> Column:
+    """128 bits of all of a row's values, which tell null from any value, in hex."""
+    values = [F.col(f"`{c}`") for c in df.columns]
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *values, *[v.isNull() for v in values])), 16, "0") for k in (1, 2)])
 
 
 def lower_ascii(text: Column) -> Column:
