@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node, root for every node of edges (a, b): one root for each component, which is one of its nodes.
+    """node, root for every node of edges (a, b), of any type that has an order: one root for each component, which is one of its nodes.
 
     In each round every node moves to the neighbour (or itself) whose hash is least and the edges between merged nodes
     vanish. The hash changes with the round, so paths shrink as fast as stars: rounds grow as the logarithm of the
-    nodes. Edges and labels stay in tables; only their counts reach the driver."""
+    nodes. Edges and labels stay in tables, the last round's alone; only their counts reach the driver."""
     left = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = stage(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
     rank = lambda c, k: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("id"))
     k = 0
     while not left.isEmpty():
         moves = stage(left.groupBy("a").agg(F.min(rank("b", k)).alias("m")).select("a", F.least("m", rank("a", k))["id"].alias("to")), "moves")
+        old = labels, left, moves
         labels = stage(labels.join(moves.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
         left = stage(left.join(moves, "a").select(F.col("to").alias("a"), F.col("b")).join(moves.withColumnRenamed("a", "b").withColumnRenamed("to", "c"), "b")
                      .select("a", F.col("c").alias("b")).where("a <> b").distinct(), "edges")
+        drop(*old)
         k += 1
+    drop(left)
     return labels

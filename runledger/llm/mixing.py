@@ -8,9 +8,9 @@ parallel; their undecided documents form new blocks, level by level, together wi
 graded sizes. Once a source is down to one block, on a level of its own, it is landed on the nearest word total,
 trading decided documents for what a large undecided one leaves over.
 
-Source sizes are sums over all rows. A source is cut into blocks by a hash of the document, so a hot source is only
-more blocks, and no task ever holds more than a few thousand rows. Every draw is seeded by source, level and block and rows
-are ordered by hash, so reruns agree.
+Source sizes are sums over all rows. A source is cut into blocks by a hash of id, size, text and a number that tells
+equal rows apart, so a hot source or id is only more blocks, and no block has more than a few thousand rows. Every draw is
+seeded by source, level and block and rows are ordered by hash, so reruns agree.
 
 Defined results: a null text has size 0; the null source comes last; rows repeated are units of their own; a
 document of size 0 takes 0 words; without words every target is 0; an empty table gives no rows; other columns are
@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, fresh, row_key, stage
 
 BLOCK = 1024
-UNITS = "doc_id long, no_source boolean, source string, size long, source_size long, target double, base long, p double, h long, taken long, carried boolean"
+UNITS = "doc_id string, no_source boolean, source string, size long, source_size long, target double, base long, p double, h long, taken long, carried boolean"
 
 
 def word_count(text: Column) -> Column:
@@ -37,12 +37,12 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """no_source, source, source_size, n, target for rows of (source, size).
+    """no_source, source, source_size, n, target for rows of (no_source, source, size, count).
 
     share times all sizes is dealt by weight; a source's target stops at cap times its size and the excess is dealt
     again: target = min(cap * size, lam * weight), lam such that the targets sum to the share. Sorted by the lam at
     which each source stops, the k-th candidate for lam is closed form in running sums."""
-    per = sizes.groupBy("no_source", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    per = sizes.groupBy("no_source", "source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size"), F.sum("count").alias("n"))
     order = W.orderBy("no_source", "source")
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     per = per.withColumn("w", w.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(cap)))
@@ -130,7 +130,7 @@ def balancer(seed: int, level: int, block: int):
     """The flight of one block, and the landing too where it's the only one of its source; carried: goes on to the next level."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["h", "doc_id", "size", "p"], kind="stable")
+        part = part.sort_values(["h", "size", "p"], kind="stable")
         p, size = part["p"].tolist(), part["size"].tolist()
         goal = sum(x * n for x, n in zip(p, size, strict=True))
         p = flight(p, size, random.Random(f"{seed}|{level}|{'|'.join(map(str, key))}"))
@@ -150,14 +150,15 @@ def balancer(seed: int, level: int, block: int):
 def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
                    block: int = BLOCK, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target (its source's), copies and taken (words, repeats counted)."""
-    sizes = stage(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).isNull().alias("no_source"),
-                              F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
+                       word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("digest"))
+    sizes = stage(rows.groupBy("doc_id", "no_source", "source", "size", "digest").count(), "sizes")
     targets = stage(source_targets(sizes, weights, share, cap), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.least(F.floor(ratio + 1e-12), F.floor(F.lit(float(cap)))).cast("long")
-    units = sizes.join(targets, ["no_source", "source"]).select(
-        "doc_id", "no_source", "source", "size", "source_size", "target", base.alias("base"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio - base)).alias("p"), F.xxhash64("doc_id", F.lit(seed)).alias("h"),
+    units = sizes.join(targets, ["no_source", "source"]).withColumn("k", F.explode(F.sequence(F.lit(1), "count"))).select(
+        F.col("doc_id").cast("string").alias("doc_id"), "no_source", "source", "size", "source_size", "target", base.alias("base"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio - base)).alias("p"), F.xxhash64("doc_id", "size", "digest", "k", F.lit(seed)).alias("h"),
         F.lit(0).cast("long").alias("taken"), F.col("n").alias("_n"))
     done = units.where("p <= 1e-9 or size = 0").drop("_n").withColumn("p", F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.col("p")))
     rest = units.where("p > 1e-9 and size > 0")
@@ -173,5 +174,14 @@ def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
         rest = left.join(left.groupBy("no_source", "source").agg(F.count("*").alias("_n")), ["no_source", "source"])
         level += 1
     copies = F.col("base") + F.round("p").cast("long")
-    return done.select("doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target",
-                       copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), F.when(~F.col("no_source"), F.col("source")).alias("source"),
+                       "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The rows that the mix takes, each as often as it takes it, with their columns."""
+    row, copies = fresh(docs, "row", "copies")
+    keyed = docs.withColumn(row, row_key(docs))
+    units = mix_to_targets(keyed, doc_id=row, **options)
+    counts = units.groupBy(F.col("doc_id").alias(row)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    return keyed.dropDuplicates([row]).join(counts, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
