@@ -8,11 +8,10 @@ source is allowed everywhere; an empty table stays empty; further columns are pa
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runledger.llm import mixing, ngram_join, pieces, toxicity
-from runledger.llm.common import stage, table
+from runledger.llm.common import fresh, row_key, stage, table
 from runledger.session import ship
 
 
@@ -23,25 +22,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by five-word shingles at similarity 0.8, directly or over others, the one with the smallest id stays."""
+    """Of the documents linked by five-word shingles at similarity 0.8, directly or over others, the one with the smallest id stays.
+
+    Of different ones that share that id, it's the one with the smallest row key. A document without words is its own group."""
     ship(spark)
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    groups = ngram_join.near_duplicates(keyed, words=5, num=80, den=100, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("c")))
-    kept = keyed.select("_row", "doc_id").join(groups.distinct(), "_row").groupBy("component_id").agg(best["c"].alias("_row")).select("_row")
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    (key,) = fresh(docs, "key")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row_key(docs).alias("row")))
+    groups = ngram_join.near_duplicates(keyed, words=5, num=80, den=100, doc_id=key)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").select(*docs.columns).dropDuplicates()
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources come to their target weights."""
     ship(spark)
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text", "source"))
-    keyed = docs.withColumn("_key", key).withColumn("_size", mixing.word_count(F.col("text")))
-    mix = mixing.mix_to_targets(keyed, doc_id="_key").groupBy(F.col("doc_id").alias("_key")).agg(
-        F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias("_copies"))
-    k = F.row_number().over(W.partitionBy("_key").orderBy(F.col("source").asc_nulls_first(), "_size", "text"))
-    copies = F.get("_copies", F.col("_k") - 1)["copies"].cast("int")
-    return (keyed.join(mix, "_key").withColumn("_k", k).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns))
+    return mixing.take(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
