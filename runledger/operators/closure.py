@@ -1,22 +1,40 @@
 """Issue closures: link states of change requests, episodes of issues, and what closed them.
 
 Facts are observations (repository, entity_type, external_id, event_type, occurred_at, observed_via, links); links is
-the snapshot of issues that a change request declares to close, or null where it says nothing. Late facts change
+the snapshot of issues that a change request declares to close, or null where it says nothing: an issue's number, or
+repository#number where it's another repository's. A column `mentions` may hold issues that it refers to, in the same way. Late facts change
 nothing in the rules: an issue's episodes follow from all its facts in order of time. The folds over time are written
 as aggregates and windows by change request or issue.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CR, ISSUE = ["repository", "cr_id"], ["repository", "issue_id"]
 
 
+def named(link: Column, repository: Column) -> tuple[Column, Column]:
+    """An issue's repository and number."""
+    other = F.instr(link, "#") > 0
+    return F.when(other, F.substring_index(link, "#", 1)).otherwise(repository), F.when(other, F.substring_index(link, "#", -1)).otherwise(link)
+
+
+def _touched(facts: DataFrame) -> DataFrame:
+    """Facts of change requests with one row for each issue that they name, as issue_repository and issue_id."""
+    none = F.array().cast("array<string>")
+    every = F.coalesce("links", none)
+    if "mentions" in facts.columns:
+        every = F.concat(every, F.coalesce("mentions", none))
+    rows = facts.where("entity_type = 'change_request'").withColumn("_link", F.explode(every))
+    where, number = named(F.col("_link"), F.col("repository"))
+    return rows.withColumn("issue_repository", where).withColumn("issue_id", number).drop("_link")
+
+
 def link_states(facts: DataFrame) -> DataFrame:
-    """repository, cr_id, issue_id, state: active, parked or revoked.
+    """repository, cr_id, issue_repository, issue_id, state: active, parked or revoked.
 
     Snapshots of one instant agree, or the only one seen by webhook wins; else what all name is active and what some
     name is parked. The last instant decides; links known from earlier ones are revoked."""
@@ -28,9 +46,16 @@ def link_states(facts: DataFrame) -> DataFrame:
     union = F.array_distinct(F.flatten("every"))
     groups = groups.select(*CR, "occurred_at", F.coalesce(one, common).alias("active"), F.coalesce(one, union).alias("named"))
     last = groups.groupBy(*CR).agg(F.max_by(F.struct("active", "named"), "occurred_at").alias("last"))
-    known = groups.select(*CR, F.explode("named").alias("issue_id")).distinct()
-    state = F.when(F.array_contains("last.active", F.col("issue_id")), "active").when(F.array_contains("last.named", F.col("issue_id")), "parked").otherwise("revoked")
-    return known.join(last, CR).select(*CR, "issue_id", state.alias("state"))
+    known = groups.select(*CR, F.explode("named").alias("link")).distinct()
+    state = F.when(F.array_contains("last.active", F.col("link")), "active").when(F.array_contains("last.named", F.col("link")), "parked").otherwise("revoked")
+    where, number = named(F.col("link"), F.col("repository"))
+    return known.join(last, CR).select(*CR, where.alias("issue_repository"), number.alias("issue_id"), state.alias("state"))
+
+
+def _of_issues(links: DataFrame) -> DataFrame:
+    """Links by issue; a change request of another repository is named with it."""
+    cr = F.when(F.col("repository") == F.col("issue_repository"), F.col("cr_id")).otherwise(F.concat("repository", F.lit("#"), "cr_id"))
+    return links.withColumn("cr_id", cr).withColumn("repository", F.col("issue_repository")).drop("issue_repository")
 
 
 def merged_at(facts: DataFrame) -> DataFrame:
@@ -51,7 +76,7 @@ def intervals(facts: DataFrame) -> DataFrame:
 
 def episodes(facts: DataFrame) -> DataFrame:
     """repository, issue_id, segment, opened_at, closed_at, status, cr_id (attributed), found (status before superseding), candidates."""
-    links = link_states(facts).where("state <> 'revoked'").join(merged_at(facts), CR, "left")
+    links = _of_issues(link_states(facts).where("state <> 'revoked'").join(merged_at(facts), CR, "left"))
     declared = links.groupBy(*ISSUE).agg(
         F.collect_list(F.struct("cr_id", "merged_at", (F.col("state") == "active").alias("active"))).alias("links"))
     spans = intervals(facts)
@@ -86,7 +111,7 @@ def histories(found: DataFrame, links: DataFrame) -> DataFrame:
     item = F.struct(late("closed_at").alias("closed"), late("opened_at").alias("opened"), "segment", "status", "cr_id")
     open_ = F.when(F.col("found").isin("unmatched", "ambiguous"), F.struct("closed_at", F.col("found").alias("reason"), "candidates"))
     rows = found.groupBy(*ISSUE).agg(F.sort_array(F.collect_list(item)).alias("episodes"), F.sort_array(F.collect_list(open_)).alias("unresolved"))
-    evidence = links.groupBy(*ISSUE).agg(F.sort_array(F.collect_list(F.struct("cr_id", "state"))).alias("evidence"))
+    evidence = _of_issues(links).groupBy(*ISSUE).agg(F.sort_array(F.collect_list(F.struct("cr_id", "state"))).alias("evidence"))
     return rows.join(evidence, ISSUE, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<struct<cr_id:string,state:string>>")))
 
 
@@ -100,14 +125,15 @@ def affected(new: DataFrame, facts: DataFrame) -> DataFrame:
     """Issues that new facts touch: their own, and all that a changed change request ever named."""
     own = new.where("entity_type = 'issue'").select("repository", F.col("external_id").alias("issue_id"))
     crs = new.where("entity_type = 'change_request'").select("repository", "external_id").distinct()
-    named = facts.where("links is not null").join(crs, ["repository", "external_id"], "left_semi").select("repository", F.explode("links").alias("issue_id"))
-    return own.unionByName(named).distinct()
+    touched = _touched(facts.join(crs, ["repository", "external_id"], "left_semi")).select(F.col("issue_repository").alias("repository"), "issue_id")
+    return own.unionByName(touched).distinct()
 
 
 def facts_of(facts: DataFrame, issues: DataFrame) -> DataFrame:
     """The facts that the episodes of some issues hang on."""
     own = facts.where("entity_type = 'issue'").join(issues.withColumnRenamed("issue_id", "external_id"), ["repository", "external_id"], "left_semi")
-    naming = facts.where("links is not null").select("repository", "external_id", F.explode("links").alias("issue_id")).join(issues, ISSUE, "left_semi").select("repository", "external_id").distinct()
+    wanted = issues.select(F.col("repository").alias("issue_repository"), "issue_id")
+    naming = _touched(facts).join(wanted, ["issue_repository", "issue_id"], "left_semi").select("repository", "external_id").distinct()
     return own.unionByName(facts.where("entity_type = 'change_request'").join(naming, ["repository", "external_id"], "left_semi"))
 
 

@@ -367,7 +367,7 @@ def closure_facts(t):
 
 @query("link_state", f"WITH {LINK_STATES} SELECT * FROM ls")
 def link_state(t):
-    return E.link_states(closure_facts(t))
+    return E.link_states(closure_facts(t)).drop("issue_repository")
 
 
 @query("cr_merged_at", "SELECT repository, external_id AS cr_id, min(occurred_at) AS merged_at FROM fx_closure WHERE event_type = 'change_request.merged' GROUP BY 1, 2")

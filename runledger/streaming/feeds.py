@@ -2,21 +2,44 @@
 
 Sources give rows with a text column `value` (Kafka, or files of JSON lines). What can't be used goes to a dead-letter
 table with its reason. Micro-batches append only what the stored table doesn't have, so a batch that is replayed
-after a lost executor or driver changes nothing, however late it comes; offsets are kept in the checkpoint.
+after a lost executor or driver changes nothing, however late it comes; offsets are kept in the checkpoint. Stored tables
+are partitioned by a hash of the key, and a batch reads the partitions of its own keys alone.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import columns as C
+from ..operators import closure as E
 from ..operators import merge as M
+from ..session import drop, stage
 
 USAGE = ("source_record_id string, client_id long, source_database_id long, session_id string, model_name string, input_tokens string, output_tokens string, cached_tokens string, "
          "reasoning_tokens long, cache_read_tokens long, cache_write_tokens long, estimated_cost_usd decimal(18,6), reported_at timestamp, provider string, arrival_seq long")
 EVENTS = ("schema_version string, event_type string, provider string, delivery_id string, resource struct<type:string,repository_url:string,number:long>, action string, occurred_at timestamp, ingested_at timestamp, "
           "actor string, redacted_payload struct<reference:struct<provider:string,delivery_id:string>>, issue_links struct<references:array<struct<repository:string,number:string>>,declares_closure:array<struct<repository:string,number:string>>>")
+#: The versions of a usage batch that are read, and its lists.
+BATCH_VERSIONS = ("1.0", "1.1", "1.2", "1.3")
+BATCH = {
+    "records": USAGE,
+    "session_contexts": "external_session_id string, parent_external_session_id string, external_project_id string, source_directory string, source_path string, title string, slug string, version string, session_model string, session_cost decimal(18,6), code_change_count long, code_change_additions long, code_change_deletions long, source_created_at long, source_updated_at long",
+    "projects": "external_project_id string, worktree string, vcs string, name string, display_name string, icon string, icon_color string, source_created_at long, source_updated_at long",
+    "project_directories": "external_project_id string, directory string, directory_type string, strategy string, source_created_at long",
+    "session_todos": "external_session_id string, content string, position long, status string, priority string, content_hash string, source_created_at long",
+    "messages": "external_message_id string, external_session_id string, role string, agent string, mode string, cost_usd decimal(18,6), input_tokens long, output_tokens long, parent_external_session_id string, source_created_at long, data string",
+    "parts": "external_part_id string, external_message_id string, external_session_id string, part_type string, source_created_at long, data string",
+}
+DELIVERIES = "provider string, delivery_id string, event_type string, occurred_at string, payload string"
+BINDINGS = ("awx_job struct<job_id:string,job_template_id:string>, external_session_id string, resource struct<provider:string,repository:string,resource_type:string,resource_number:string>, outcome string, source_event_id string, "
+            "branch string, title string, started_at timestamp, finished_at timestamp, failure_reason string")
+#: How a job may end.
+ENDINGS = ("completed", "failed", "cancelled")
+BUCKETS = 64
 #: The actions that a resource may have, and the canonical name of those that have another.
 ACTIONS = {
     "issue": ("closed", "edited", "opened", "reopened", "updated"),
@@ -71,34 +94,115 @@ def parsed_events(raw: DataFrame) -> DataFrame:
     entity, external = C.resource_type(kind), F.coalesce(F.col("resource.number").cast("string"), F.lit(""))
     step = F.coalesce(*[F.when(F.col("action") == a, b) for a, b in RENAMED.items()], F.col("action"))
     event_type, at = F.concat(entity, F.lit("."), step), F.coalesce("occurred_at", "ingested_at")
-    issues = F.when(F.col("issue_links").isNotNull(), F.coalesce(F.col("issue_links.declares_closure.number"), F.array().cast("array<string>")))
+    # a snapshot is one where either list has an item, even if none can be read
+    listed = F.coalesce(F.size("issue_links.declares_closure") > 0, F.lit(False)) | F.coalesce(F.size("issue_links.references") > 0, F.lit(False))
+
+    def issues(field: str) -> Column:
+        def link(x: Column) -> Column:
+            other = C.repository(x["repository"])
+            return F.when(other == repo, x["number"]).otherwise(F.concat(other, F.lit("#"), x["number"]))
+
+        known = F.filter(F.transform(f"issue_links.{field}", link), lambda x: x.isNotNull())
+        return F.when(listed, F.coalesce(known, F.array().cast("array<string>")))
+
     return rows.select("value", reason.alias("reason"), "provider", "delivery_id", repo.alias("repository"), entity.alias("entity_type"), external.alias("external_id"), event_type.alias("event_type"), at.alias("occurred_at"), "actor",
-                       F.lit("webhook").alias("observed_via"), issues.alias("links"), C.observation_key(F.col("provider"), repo, entity, external, event_type, at).alias("observation_key"))
+                       F.lit("webhook").alias("observed_via"), issues("declares_closure").alias("links"), issues("references").alias("mentions"), C.observation_key(F.col("provider"), repo, entity, external, event_type, at).alias("observation_key"))
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """A table that may not be there yet."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
-    return spark.read.schema(like.schema).parquet(path) if there else spark.createDataFrame([], like.schema)
+def parsed_batch(raw: DataFrame) -> dict[str, DataFrame]:
+    """The tables of usage batches by the name of their list, each row with its source database and batch (replay_id); rejected: batches of another version."""
+    lists = ", ".join(f"{k} array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in _columns(v))}>>" for k, v in BATCH.items())
+    rows = raw.select("value", F.from_json("value", f"schema_version string, collector_version string, source_database_id long, replay_id string, {lists}", {"mode": "PERMISSIVE"}).alias("b")).select("value", "b.*")
+    known = F.coalesce(F.col("schema_version").isin(*BATCH_VERSIONS), F.lit(False)) & F.col("source_database_id").isNotNull()
+    out = {"rejected": rows.where(~known).select("value", F.concat(F.lit("Unsupported schema version: "), _quoted(F.col("schema_version"))).alias("reason"))}
+    for name in BATCH:
+        item = rows.where(known).select(F.col("source_database_id").alias("_database"), "replay_id", F.explode(name).alias("r")).select("_database", "replay_id", "r.*").drop("source_database_id")
+        out[name] = item.withColumnRenamed("_database", "source_database_id")
+    return out
+
 
+def _columns(schema: str) -> list[str]:
+    return re.split(r",\s*(?![^(]*\))", schema)
 
-def append_new(rows: DataFrame, path: str, key: list[str], order: list[Column]) -> None:
-    """Appends the first row of each key that the table at path doesn't have."""
-    first = M.keep_first(rows, key, order)
-    first.join(_stored(rows.sparkSession, path, first).select(*key), key, "left_anti").select(*rows.columns).write.mode("append").parquet(path)
 
+def parsed_deliveries(raw: DataFrame) -> DataFrame:
+    """Reporting deliveries with their reason; a time must carry its offset, and is given in UTC. The resource is read from the payload."""
+    rows = raw.select("value", F.from_json("value", DELIVERIES, {"mode": "PERMISSIVE"}).alias("d")).select("value", "d.*")
+    zoned = F.col("occurred_at").rlike(r"(Z|[+-]\d\d:?\d\d)$")
+    at = F.when(zoned, F.try_to_timestamp("occurred_at"))
+    reason = (F.when(F.col("provider").isNull() | F.col("delivery_id").isNull() | F.col("event_type").isNull(), "Malformed delivery")
+              .when(~F.coalesce(zoned, F.lit(False)), "occurred_at must carry an offset").when(at.isNull(), "occurred_at can't be read"))
+    part = lambda k: F.get_json_object("payload", f"$.resource.{k}")
+    return rows.select("value", reason.alias("reason"), "provider", "delivery_id", "event_type", at.alias("occurred_at"), "payload", part("repository_url").alias("repository_url"),
+                       part("resource_type").alias("resource_kind"), part("resource_number").alias("number"), part("state").alias("state"))
+
+
+def parsed_bindings(raw: DataFrame) -> DataFrame:
+    """Execution bindings with the reason of the first rule that they break."""
+    rows = raw.select("value", F.from_json("value", BINDINGS, {"mode": "PERMISSIVE"}).alias("b")).select("value", "b.*")
+    repo = C.repository(F.col("resource.repository"))
+    bad = lambda ok: ~F.coalesce(ok, F.lit(False))
+    reason = (F.when(bad(F.col("awx_job.job_id").rlike(r"^\d+$")), "job_id must be a number").when(F.col("external_session_id").isNull(), "external_session_id is missing")
+              .when(bad(F.col("resource.provider").isin("github", "gitlab")), "Unknown provider").when(repo.isNull(), "Invalid repository identity")
+              .when(bad(F.col("resource.resource_type") == "change_request"), "resource_type must be change_request").when(F.col("resource.resource_number").isNull(), "resource_number is missing")
+              .when(bad(F.col("outcome").isin(*ENDINGS)), "Unknown outcome").when(F.length("failure_reason") > 1000, "failure_reason is too long")
+              .when(F.col("finished_at") < F.col("started_at"), "finished_at is before started_at"))
+    return rows.select("value", reason.alias("reason"), F.col("awx_job.job_id").alias("job_id"), F.col("awx_job.job_template_id").alias("job_template_id"), "external_session_id", F.col("resource.provider").alias("provider"),
+                       repo.alias("repository"), F.col("resource.resource_type").alias("resource_type"), F.col("resource.resource_number").alias("resource_number"), "outcome", "source_event_id", "branch", "title", "started_at", "finished_at", "failure_reason")
 
-def run_stream(source: DataFrame, parse, key: list[str], order: list[str], table: str, dead_letters: str, checkpoint: str, after=None, **trigger):
-    """Starts a feed: good rows go to table (each key once), others to dead_letters with value and reason.
 
-    after: called with the batch's good rows, once they are stored, and its number, to bring what hangs on them up to date."""
+def _stored(spark: SparkSession, path: str, like: StructType) -> DataFrame:
+    """A table that may not be there yet."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+    return spark.read.schema(like).parquet(path) if there else spark.createDataFrame([], like)
+
+
+def bucketed(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+
+
+def merge_batch(rows: DataFrame, path: str, key: list[str], order: list[str], compared: list[str] = ()) -> DataFrame:
+    """Appends the first row of each key that the table at path doesn't have, and gives each row's key with its status.
+
+    The row that is stored is accepted, one that compares equal to it is a duplicate, any other is in conflict with it. Which
+    partitions a batch reads is told by its keys' buckets, 64 numbers at most."""
+    rows = bucketed(rows, key)
+    mine = [r.bucket for r in rows.select("bucket").distinct().collect()]
+    old = _stored(rows.sparkSession, path, rows.schema).where(F.col("bucket").isin(mine))
+    fields = [*key, *[c for c in compared if c not in key], *[c for c in order if c not in key and c not in compared]]
+    both = old.select(*fields, F.lit(0).alias("_new")).unionByName(rows.select(*fields, F.lit(1).alias("_new")))
+    first = stage(both.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(F.struct("_new", *order, F.struct(*fields).alias("v"))).alias("_f")), "first")
+    on = F.lit(True)
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = rows.join(first, on)
+    own = (F.col("_f._new") == 1) & F.struct(*order).eqNullSafe(F.struct(*[F.col(f"_f.{c}") for c in order]))
+    same = F.lit(True)
+    for c in compared:
+        same = same & F.col(c).eqNullSafe(F.col("_f.v")[c])
+    told = stage(joined.select(*key, F.when(own, "accepted").when(same, "duplicate").otherwise("conflict").alias("status"), F.when(~own, F.when(same, M.IDEMPOTENT).otherwise(M.DIVERGENT)).alias("reason")), "told")
+    fresh = M.keep_first(joined.where(own).select(*rows.columns), key, [F.col(c) for c in order])
+    fresh.write.mode("append").partitionBy("bucket").parquet(path)
+    drop(first)
+    return told
+
+
+def run_stream(source: DataFrame, parse, key: list[str], order: list[str], table: str, dead_letters: str, checkpoint: str, after=None, compared: list[str] = (), ledger: str | None = None, topic: str = "", **trigger):
+    """Starts a feed: good rows go to table (each key once), others to dead_letters with value, reason, topic and time.
+
+    ledger: where each row's key, status and reason go, by batch. after: called with the batch's good rows, once they are
+    stored, and its number, to bring what hangs on them up to date."""
     def batch(rows: DataFrame, number: int) -> None:
         rows = rows.persist()
         try:
             good = rows.where("reason is null").drop("value", "reason")
-            append_new(good, table, key, [F.col(c) for c in order])
-            rows.where("reason is not null").select("value", "reason").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{dead_letters.rstrip('/')}/batch={number}")
+            told = merge_batch(good, table, key, order, compared)
+            if ledger:
+                told.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}/batch={number}")
+            drop(told)
+            dead = rows.where("reason is not null").select("value", "reason", F.lit(topic).alias("original_topic"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("dead_lettered_at"))
+            dead.write.mode("overwrite").parquet(f"{dead_letters.rstrip('/')}/batch={number}")
             if after:
                 after(good, number)
         finally:
@@ -107,29 +211,52 @@ def run_stream(source: DataFrame, parse, key: list[str], order: list[str], table
     return parse(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def usage_feed(source: DataFrame, table: str, dead_letters: str, checkpoint: str, **trigger):
-    return run_stream(source, lambda s: parsed_usage(s).drop("status"), ["client_id", "source_database_id", "source_record_id"], ["arrival_seq", "reported_at"], table, dead_letters, checkpoint, **trigger)
+def usage_feed(source: DataFrame, table: str, dead_letters: str, checkpoint: str, ledger: str | None = None, topic: str = "", **trigger):
+    values = [*M.BASE_TOKENS, "estimated_cost_usd"]
+    return run_stream(source, lambda s: parsed_usage(s).drop("status"), ["client_id", "source_database_id", "source_record_id"], ["arrival_seq", "reported_at"], table, dead_letters, checkpoint, None, values, ledger, topic, **trigger)
 
 
-def event_feed(source: DataFrame, table: str, dead_letters: str, checkpoint: str, after=None, **trigger):
-    return run_stream(source, parsed_events, ["observation_key"], ["delivery_id"], table, dead_letters, checkpoint, after, **trigger)
+def event_feed(source: DataFrame, table: str, dead_letters: str, checkpoint: str, after=None, ledger: str | None = None, topic: str = "", **trigger):
+    return run_stream(source, parsed_events, ["observation_key"], ["delivery_id"], table, dead_letters, checkpoint, after, (), ledger, topic, **trigger)
 
 
-def closure_refresh(table: str, episodes: str):
-    """An `after` step: recomputes the episodes of the issues that a batch touches and writes them as that batch's version."""
-    from ..operators import closure as E
+def delivery_feed(source: DataFrame, table: str, dead_letters: str, checkpoint: str, ledger: str | None = None, **trigger):
+    return run_stream(source, parsed_deliveries, ["provider", "delivery_id"], ["occurred_at"], table, dead_letters, checkpoint, None, ["event_type", "payload"], ledger, **trigger)
+
+
+def binding_feed(source: DataFrame, table: str, dead_letters: str, checkpoint: str, ledger: str | None = None, **trigger):
+    """Execution bindings: a job is bound once; the same again is a duplicate, anything else a conflict."""
+    values = ["job_template_id", "external_session_id", "provider", "repository", "resource_type", "resource_number", "outcome", "source_event_id", "branch", "title", "started_at", "finished_at", "failure_reason"]
+    return run_stream(source, parsed_bindings, ["job_id"], ["started_at"], table, dead_letters, checkpoint, None, values, ledger, **trigger)
 
+
+def closure_refresh(table: str, episodes: str):
+    """An `after` step: recomputes the episodes of the issues that a batch touches and writes both as that batch's version. `current_episodes` reads them."""
     def after(good: DataFrame, number: int) -> None:
-        spark = good.sparkSession
-        facts = _stored(spark, table, good)
-        issues = E.affected(good, facts)
+        facts = _stored(good.sparkSession, table, bucketed(good, ["observation_key"]).schema)
+        issues = E.affected(good, facts).persist()
         found = E.episodes(E.facts_of(facts, issues)).join(issues, E.ISSUE, "left_semi")
-        found.write.mode("overwrite").parquet(f"{episodes.rstrip('/')}/version={number}")
+        found.write.mode("overwrite").parquet(f"{episodes.rstrip('/')}/rows/version={number}")
+        issues.write.mode("overwrite").parquet(f"{episodes.rstrip('/')}/issues/version={number}")
+        issues.unpersist()
 
     return after
 
 
+def current_episodes(spark: SparkSession, episodes: str) -> DataFrame:
+    """The episodes of each issue's newest version."""
+    read = lambda k: spark.read.option("basePath", f"{episodes.rstrip('/')}/{k}").parquet(f"{episodes.rstrip('/')}/{k}")
+    newest = read("issues").groupBy(*E.ISSUE).agg(F.max("version").alias("version"))
+    return read("rows").join(newest, [*E.ISSUE, "version"]).drop("version")
+
+
 def expired(dead: DataFrame, now, max_age_days: int) -> DataFrame:
     """Dead letters that are older than the limit, with a key to find them by after escalation."""
     rows = dead.where(C.dead_letter_class(F.col("dead_lettered_at"), now, max_age_days) == "expired")
     return rows.withColumn("key", F.sha2(F.to_json(F.struct(*sorted(dead.columns))), 256))
+
+
+def sweep(dead: DataFrame, now, max_age_days: int, escalated: str) -> None:
+    """Appends the dead letters that have expired to the escalated ones, each once."""
+    old = expired(dead, now, max_age_days)
+    old.join(_stored(dead.sparkSession, escalated, old.schema).select("key"), "key", "left_anti").select(*old.columns).dropDuplicates(["key"]).write.mode("append").parquet(escalated)

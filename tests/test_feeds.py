@@ -40,11 +40,61 @@ def test_usage_feed(spark, tmp_path):
     source.mkdir()
     rec = {"source_record_id": "a", "client_id": 1, "source_database_id": 1, "input_tokens": "5", "output_tokens": "1", "cached_tokens": "0", "arrival_seq": 1}
     (source / "a.json").write_text("\n".join(map(json.dumps, [rec, rec | {"arrival_seq": 2, "input_tokens": "6"}, rec | {"source_record_id": "b", "input_tokens": "-1"}, {"client_id": 2}])))
-    feeds.usage_feed(feeds.files(spark, str(source)), out, str(tmp_path / "dead"), str(tmp_path / "offsets")).awaitTermination()
-    assert [(r.source_record_id, r.input_tokens) for r in spark.read.parquet(out).collect()] == [("a", "5")]
+    feeds.usage_feed(feeds.files(spark, str(source)), out, str(tmp_path / "dead"), str(tmp_path / "offsets"), str(tmp_path / "ledger"), "usage").awaitTermination()
+    (source / "b.json").write_text("\n".join(map(json.dumps, [rec | {"arrival_seq": 9}, rec | {"arrival_seq": 0, "output_tokens": "3"}, rec | {"source_record_id": "c"}])))
+    feeds.usage_feed(feeds.files(spark, str(source)), out, str(tmp_path / "dead"), str(tmp_path / "offsets"), str(tmp_path / "ledger"), "usage").awaitTermination()
+    told = sorted((r.batch, r.source_record_id, r.status, (r.reason or "")[:9]) for r in spark.read.parquet(str(tmp_path / "ledger")).collect())
+    assert told == [(0, "a", "accepted", ""), (0, "a", "conflict", "Divergent"), (1, "a", "conflict", "Divergent"), (1, "a", "duplicate", "Duplicate"), (1, "c", "accepted", "")]
+    dead = spark.read.parquet(str(tmp_path / "dead"))
+    assert {r.original_topic for r in dead.collect()} == {"usage"}
+    for _ in range(2):
+        feeds.sweep(dead, datetime(2100, 1, 1), 30, str(tmp_path / "escalated"))
+    assert spark.read.parquet(str(tmp_path / "escalated")).count() == 2
+    assert [(r.source_record_id, r.input_tokens) for r in spark.read.parquet(out).orderBy("source_record_id").collect()] == [("a", "5"), ("c", "5")]
     assert {r.reason for r in spark.read.parquet(str(tmp_path / "dead")).collect()} == {"Negative token value", "Malformed record"}
 
 
+def test_issue_links(spark):
+    at = lambda repo, n: {"repository": f"https://h/o/{repo}", "number": n}
+    cases = [({}, None, None), ({"issue_links": {"declares_closure": [], "references": []}}, None, None), ({"issue_links": {"declares_closure": [at("r", "1"), at("q", "2"), {"repository": "no", "number": "3"}], "references": [at("r.git", "4")]}}, ["1", "h/o/q#2"], ["4"]),
+             ({"issue_links": {"declares_closure": [{"repository": "no", "number": "3"}]}}, [], []), ({"issue_links": {"references": [at("r", "5")]}}, [], ["5"])]
+    rows = feeds.parsed_events(spark.createDataFrame([(k, event(**c[0])) for k, c in enumerate(cases)], "k int, value string").select("value")).collect()
+    assert [(r.links, r.mentions) for r in rows] == [c[1:] for c in cases]
+
+
+def test_closure_refresh_keeps_the_newest_version(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    pull = {"type": "pull_request", "repository_url": "https://h/o/r", "number": 9}
+    issue = {"type": "issue", "repository_url": "https://h/o/q", "number": 7}
+    ref = lambda d: {"delivery_id": d, "redacted_payload": {"reference": {"provider": "github", "delivery_id": d}}}
+    days = lambda n: {"occurred_at": f"2025-01-0{n}T00:00:00Z"}
+    files = [[event(resource=issue, action="opened", **ref("a"), **days(1)), event(resource=pull, action="opened", issue_links={"declares_closure": [{"repository": "https://h/o/q.git", "number": "7"}]}, **ref("b"), **days(2))],
+             [event(resource=pull, action="merged", **ref("c"), **days(3))], [event(resource=issue, action="closed", **ref("d"), **days(4))]]
+    seen = []
+    for k, rows in enumerate(files):
+        (source / f"{k}.json").write_text("\n".join(rows))
+        feeds.event_feed(feeds.files(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "dead"), str(tmp_path / "offsets"), feeds.closure_refresh(str(tmp_path / "out"), str(tmp_path / "episodes"))).awaitTermination()
+        seen.append([(r.repository, r.issue_id, r.status, r.cr_id) for r in feeds.current_episodes(spark, str(tmp_path / "episodes")).collect()])
+    assert seen == [[("h/o/q", "7", "pending", None)], [("h/o/q", "7", "awaiting_closure", None)], [("h/o/q", "7", "inferred", "h/o/r#9")]]
+
+
+def test_batches_deliveries_and_bindings(spark):
+    batch = {"schema_version": "1.2", "source_database_id": 5, "replay_id": "x", "records": [{"source_record_id": "a", "estimated_cost_usd": 0.5}], "messages": [{"external_message_id": "m", "role": "user"}, {"external_message_id": "n"}],
+             "session_todos": [{"external_session_id": "s", "content": "do", "position": 1}], "parts": [{"external_part_id": "p", "part_type": "tool"}]}
+    raw = spark.createDataFrame([(json.dumps(batch),), (json.dumps(batch | {"schema_version": "2.0"}),), ("broken",)], "value string")
+    read = feeds.parsed_batch(raw)
+    assert {k: v.count() for k, v in read.items()} == {"rejected": 2, "records": 1, "session_contexts": 0, "projects": 0, "project_directories": 0, "session_todos": 1, "messages": 2, "parts": 1}
+    assert read["messages"].first().source_database_id == 5 and "Unsupported schema version: '2.0'" in {r.reason for r in read["rejected"].collect()}
+    d = {"provider": "github", "delivery_id": "1", "event_type": "issue", "occurred_at": "2025-01-01T02:00:00+02:00", "payload": {"resource": {"repository_url": "https://h/o/r", "resource_type": "issue", "resource_number": "7"}}}
+    rows = feeds.parsed_deliveries(spark.createDataFrame([(json.dumps(d | c),) for c in ({}, {"occurred_at": "2025-01-01T02:00:00"}, {"provider": None})], "value string")).collect()
+    assert [r.reason for r in rows] == [None, "occurred_at must carry an offset", "Malformed delivery"] and rows[0].occurred_at == datetime(2025, 1, 1) and rows[0].number == "7"
+    b = {"awx_job": {"job_id": "12"}, "external_session_id": "s", "resource": {"provider": "gitlab", "repository": "https://h/o/r", "resource_type": "change_request", "resource_number": "3"}, "outcome": "failed"}
+    bad = [{"awx_job": {"job_id": "x"}}, {"outcome": "lost"}, {"failure_reason": "x" * 1001}, {"resource": b["resource"] | {"resource_type": "issue"}}]
+    rows = feeds.parsed_bindings(spark.createDataFrame([(json.dumps(b | c),) for c in ({}, *bad)], "value string")).collect()
+    assert [r.reason for r in rows] == [None, "job_id must be a number", "Unknown outcome", "failure_reason is too long", "resource_type must be change_request"] and rows[0].repository == "h/o/r"
+
+
 def test_forge_rows(spark, tmp_path):
     dumps = {
         "issues": [{"number": 1, "title": "t", "state": "closed", "user": {"login": "u"}, "created_at": "2025-01-01T00:00:00Z", "closed_at": "2025-01-02T00:00:00Z"}, {"number": 2, "pull_request": {"url": "x"}}],
