@@ -71,6 +71,8 @@ _LOWER = np.array([0 if b in b"\x20\x09\x0a\x0b\x0c\x0d" else (b + 32 if 65 <= b
 #: The same, where ASCII other than letters and digits counts as white space.
 _ALNUM = np.where([b < 128 and not chr(b).isalnum() for b in range(256)], 0, _LOWER).astype(np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: 64-bit words of a Bloom filter: a fixed size, beyond which more rows pass that a join then drops.
+BLOOM_WORDS = 1 << 19
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -116,6 +118,33 @@ def hash_words(texts: pa.Array, alnum: bool = False, prefix: int = 0) -> tuple[n
     return h, begins
 
 
+def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
+    h = mixed(ids.view(np.uint64))
+    return [(h >> np.uint64(k * 20)) & np.uint64(BLOOM_WORDS * 64 - 1) for k in range(3)]
+
+
+def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids a filter lets through."""
+    return np.logical_and.reduce([(bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) for p in _bloom_places(ids)]).astype(bool)
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids: a bit set of fixed size, put together by Spark."""
+
+    def run(batches):
+        bits = np.zeros(BLOOM_WORDS, np.uint64)
+        for batch in batches:
+            for place in _bloom_places(batch.column(0).to_numpy()):
+                np.bitwise_or.at(bits, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], names=["at", "bits"])
+
+    found = ids.mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(BLOOM_WORDS, np.uint64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
 class KeyIndex:
     """Vectorised look-up of 64-bit keys in a fixed set: an open-addressing table."""
 

@@ -41,14 +41,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop, hash_words, mixed, slices, stage
+from .common import bloom, drop, hash_words, mixed, passes, slices, stage
 from .graph import connected
 
 FOLD = 16
-BLOOM_WORDS = 1 << 19
 #: How many sets a task remembers, and which bits of a digest keys are sent with.
 SEEN = 1 << 20
 NAMES = (1 << 47) - 1
+#: Bytes of text that a task hashes at once.
+BATCH = 1 << 20
 
 
 def band_starts(limit: int = 1 << 40) -> np.ndarray:
@@ -134,7 +135,8 @@ def shingle_set(text: Column, words: int) -> Column:
 
     @F.arrow_udf("struct<n:long,s1:long,s2:long,fold:array<long>>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([(len(s), *_digest(s), parity_sketch(s)) if len(s) else (0, 0, 0, None) for s in shingle_sets(texts, words)], SET)
+        parts = (shingle_sets(texts.slice(k, 256), words) for k in range(0, len(texts), 256))
+        return pa.array([(len(s), *_digest(s), parity_sketch(s)) if len(s) else (0, 0, 0, None) for sets in parts for s in sets], SET)
 
     return run(text)
 
@@ -149,7 +151,7 @@ def key_rows(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        for part in slices(batches):
+        for part in slices(batches, BATCH):
             keys, tags = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for s in shingle_sets(part[0], words):
                 n = len(s)
@@ -168,38 +170,16 @@ def key_rows(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, tag long")
 
 
-def _bloom_places(ids: np.ndarray) -> list[np.ndarray]:
-    h = mixed(ids.view(np.uint64))
-    return [(h >> np.uint64(k * 20)) & np.uint64(BLOOM_WORDS * 64 - 1) for k in range(3)]
-
-
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids: a bit set of fixed size, put together by Spark."""
-
-    def run(batches):
-        bits = np.zeros(BLOOM_WORDS, np.uint64)
-        for batch in batches:
-            for place in _bloom_places(batch.column(0).to_numpy()):
-                np.bitwise_or.at(bits, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], names=["at", "bits"])
-
-    found = ids.mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(BLOOM_WORDS, np.uint64)
-    bits[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return bits
-
-
 def shingle_rows(texts: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
     """The shingles of the sets whose first digest the filter lets through."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         bits = shared.value
-        for part in slices(batches):
+        for part in slices(batches, BATCH):
             sets = [s for s in shingle_sets(part[0], words) if len(s)]
             first = np.array([_digest(s)[0] for s in sets], np.int64)
-            keep = np.logical_and.reduce([(bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) for p in _bloom_places(first)]).astype(bool)
+            keep = passes(bits, first)
             sets = [s for s, k in zip(sets, keep, strict=True) if k]
             yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array([_digest(s)[1] for s in sets], pa.int64()),
                                               pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["s1", "s2", "shingles"])

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import collections
 import hashlib
 
 import pytest
@@ -9,6 +10,9 @@ import corpus_pipeline
 from runledger.llm import chat_format, fingerprints, lm, media, mixing, ngram_join, page_text, pieces, token_files, toxicity
 from runledger.llm.queries import QUERIES
 
+from ..conftest import DATA
+from .test_results import brute_groups
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, n string, size int, rep string"
 LONG = " ".join(f"w{k % 977}x{k % 31}" for k in range(40_000))
 TEXTS = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "Two words"), (6, "a b c d e f g h i j k l"), (7, "a b c d e f g h i j k l"), (8, LONG), (9, LONG + " end"),
@@ -76,6 +80,49 @@ def test_loss_mask_covers_assistant_text(spark):
     assert (r.n_turns, r.n_messages) == (4, 3)
 
 
+def test_digest_reads_through_the_mask(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q<|im_sep|>"), (1, 1, "assistant", "a<"), (1, 2, "assistant", "|b<\\|"), (1, 3, "user", "z")], "conv_id long, turn long, role string, text string")
+    made = chat_format.format_conversations(df)
+    assert (got := chat_format.digest(made).first()).loss_sha256 == hashlib.sha256("a<|b<\\|".encode()).hexdigest() and got.loss_chars == 6
+    for broken in (F.slice("loss_mask", 1, 2), F.transform("loss_mask", lambda m: m.withField("skip", m["skip"] + 1)), F.transform("loss_mask", lambda m: m.withField("keep", m["keep"] + 1))):
+        other = chat_format.digest(made.withColumn("loss_mask", broken)).first()
+        assert other.loss_sha256 != got.loss_sha256 and other.turns_sha256 == got.turns_sha256
+
+
+@pytest.mark.parametrize("step", [corpus_pipeline.keep_one_of_each_group, corpus_pipeline.mix_sources])
+def test_stages_tell_rows_apart(spark, step):
+    rows = [(1, None, "x y z"), (1, "x y z", None), (1, "x y z", None), (2, "other words " * 9, "s"), (2, "quite another text " * 9, "s"), (2, "other words " * 9, "t"), (None, "no id", "s"), (None, "nor here", "s")]
+    names = "_row long, _key string, _size string, _copies long, _k long, _copy string, row string, copies string, key string"
+    df = spark.createDataFrame([(*r, 7, "k", "s", 8, 9, "c", "r", "o", "y") for r in rows], "doc_id long, text string, source string, " + names)
+    got = [step(spark, df.repartition(n), "").collect() for n in (2, 3)]
+    assert sorted(map(repr, got[0])) == sorted(map(repr, got[1])) and got[0][0].asDict().keys() == set(df.columns)
+    assert all(tuple(r)[3:] == (7, "k", "s", 8, 9, "c", "r", "o", "y") for r in got[0])
+    kept = {tuple(r)[:3] for r in got[0]}
+    if step is corpus_pipeline.keep_one_of_each_group:
+        assert len(got[0]) == len(kept) == 6 and {(1, None, "x y z"), (1, "x y z", None), (2, "quite another text " * 9, "s")} <= kept
+    else:
+        assert kept <= set(rows)
+
+
+def test_join_keeps_links_of_repeated_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (8, "apart from all"), (None, a + " yet more"), (None, "")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 90, 100).collect()}
+    assert got == {(5, 58, 5), (6, 59, 5), (7, 59, 5), (8, 1, 8), (None, 60, 5), (None, 0, None)}
+
+
+def test_mixing_splits_rows_without_id(spark):
+    rows = [(None, "w " * (1 + k % 9), "s") for k in range(3000)] + [(4, "same text", "t")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    got = mixing.mix_to_targets(df.repartition(4)).cache()
+    assert got.count() == len(rows)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 0.01 * r.target
+        seen.append(r.source)
+    assert sorted(seen) == ["s", "t"]
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     spark.createDataFrame([(12, 1), (5, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "mixing", "sentencepiece"]
@@ -87,3 +134,24 @@ def test_pipeline_stages(spark, docs, tmp_path):
         assert step(spark, docs.limit(0), str(tmp_path)).count() == 0
     kept = corpus_pipeline.keep_one_of_each_group(spark, docs, str(tmp_path))
     assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, 8, 10, None, 11, 12], key=str)
+
+
+def test_pipeline_rows_against_plain_stages(spark):
+    """Which documents are left after each stage, and what the last one gives, with plain Python beside it."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    scored = QUERIES["op8_toxicity"](spark, DATA).where("predicted = 1").select("doc_id").collect()
+    rows = [r for r in docs.collect() if r.doc_id not in {x.doc_id for x in scored}]
+    clean = corpus_pipeline.drop_toxic(spark, docs, DATA)
+    assert sorted(clean.collect()) == sorted(rows)
+    roots = brute_groups([(r.doc_id, r.text) for r in rows], 5, 80, 100)
+    single = corpus_pipeline.keep_one_of_each_group(spark, clean, DATA)
+    assert sorted(single.collect()) == sorted(r for r in rows if roots[r.doc_id][1] == r.doc_id or not roots[r.doc_id][0])
+    mixed = corpus_pipeline.mix_sources(spark, single, DATA)
+    copies = {r.doc_id: r.copies for r in mixing.mix_to_targets(single).collect()}
+    got = collections.Counter(r.doc_id for r in mixed.collect())
+    assert got.keys() <= copies.keys() and sum(got.values()) == sum(copies.values()) and max(got.values()) <= 2
+    model = pieces.PieceModel(pieces.load_model())
+    texts = {r.doc_id: r.text for r in rows}
+    for r in corpus_pipeline.encode_pieces(spark, mixed.where("doc_id % 20 = 0"), DATA).collect():
+        best = model.nbest(" " + texts[r.doc_id], 1)[0]
+        assert r.score == pytest.approx(best[0]) and model.decode(r.ids) == texts[r.doc_id]
