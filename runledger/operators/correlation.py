@@ -1,7 +1,8 @@
 """Runs and what they brought about: rules that propose links to entities, in a fixed order, and what follows from them.
 
-Entities belong to a run's scope (the repository searched for it). Every rule joins on a key (title, number, run id),
-so no rule pairs runs with entities at large; the rule of overlapping times goes within a scope, by day buckets.
+Entities belong to a run's scope (the repository searched for it). Run ids, titles and times are joined on keys of
+their own. What a branch or commit names, what is noise, and sessions hold for every run of a scope, so these give a row
+for each run and entity of it by definition: ask for the runs that are wanted, not for a large repository's whole history.
 A run's first proposal for an entity stands: later rules can't change it.
 """
 
@@ -15,6 +16,8 @@ RESOLVED, MENTIONED, BRANCH, COMMIT, TEMPORAL, RUN_ID, THRESHOLD = 1.0, 0.1, 0.8
 #: Fixed values: `#n`, and what closes issues. "fixe" counts, "fix" doesn't.
 REFERENCE = r"#(\d+)"
 CLOSING = r"(?i)\b(?:resolves?|closes?|fixes?)\s+#?\d+(?:\s*(?:,|and|&)?\s*#?\d+)*"
+#: Days in a bucket, by level.
+LEVELS = (7, 56, 448, 3584, 28_672, 1 << 24)
 PROPOSAL = ["scope", "run_id", "entity_id", "confidence", "method", "rule"]
 
 
@@ -92,13 +95,25 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
     return F.coalesce((a_start <= b_end) & (b_start <= a_end), F.lit(False))
 
 
+def _buckets(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """rows by level and bucket: from the level whose buckets are as long as the interval upwards, the buckets that it touches, two at most on each."""
+    span = (F.unix_seconds(end) - F.unix_seconds(start)) / 86_400.0
+    own = F.lit(len(LEVELS) - 1)
+    for k in range(len(LEVELS) - 2, -1, -1):
+        own = F.when(span <= LEVELS[k], F.lit(k)).otherwise(own)
+    rows = rows.withColumn("own", own).withColumn("level", F.explode(F.sequence("own", F.lit(len(LEVELS) - 1))))
+    size = F.element_at(F.array(*[F.lit(x * 86_400) for x in LEVELS]), F.col("level") + 1)
+    return rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.unix_seconds(start) / size), F.floor(F.unix_seconds(end) / size)))).withColumn("size", size)
+
+
 def temporal(runs: DataFrame, entities: DataFrame, events: DataFrame) -> DataFrame:
-    """Entities whose time meets the run's. Both are dealt out over the weeks they touch, and meet in the first they share."""
-    weeks = lambda a, b: F.explode(F.sequence(F.date_trunc("week", a), F.date_trunc("week", b), F.expr("interval 7 days"))).alias("week")
-    r = runs.where("started_at <= finished_at").select("scope", "run_id", "started_at", "finished_at", weeks("started_at", "finished_at"))
-    e = entities.where("entity_type <> 'merge_event' and created_at <= updated_at").select("scope", "entity_id", "created_at", "updated_at", weeks("created_at", "updated_at"))
-    met = r.join(e, ["scope", "week"]).where(overlap(F.col("started_at"), F.col("finished_at"), F.col("created_at"), F.col("updated_at")))
-    return _proposal(met.where(F.col("week") == F.date_trunc("week", F.greatest("started_at", "created_at"))), TEMPORAL, "temporal", 5)
+    """Entities whose time meets the run's. Two intervals meet once: on the higher of their levels, in the bucket where the later one starts.
+
+    A level's buckets are eight times as long as those of the one before, so an entity that is open for years is a few rows."""
+    r = _buckets(runs.where("started_at <= finished_at").select("scope", "run_id", "started_at", "finished_at"), "started_at", "finished_at")
+    e = _buckets(entities.where("entity_type <> 'merge_event' and created_at <= updated_at").select("scope", "entity_id", "created_at", "updated_at"), "created_at", "updated_at")
+    met = r.join(e.withColumnRenamed("own", "other").drop("size"), ["scope", "level", "bucket"]).where((F.col("level") == F.greatest("own", "other")) & overlap(F.col("started_at"), F.col("finished_at"), F.col("created_at"), F.col("updated_at")))
+    return _proposal(met.where(F.col("bucket") == F.floor(F.unix_seconds(F.greatest("started_at", "created_at")) / F.col("size"))), TEMPORAL, "temporal", 5)
 
 
 #: A rule is a function of runs, entities and events; further ones can be appended.
