@@ -178,6 +178,12 @@ def batch_ledger(results: DataFrame, batch: str = "batch") -> DataFrame:
     return results.groupBy(batch).agg(F.count("*").alias("records"), n("accepted"), n("conflict"), n("rejected"))
 
 
+def bind_external(rows: DataFrame, sessions: DataFrame, session: str = "session_id") -> DataFrame:
+    """rows with the id of the session that (source_database_id, external_session_id) names, where they have none yet and it's known by now."""
+    known = sessions.select("source_database_id", "external_session_id", F.col("session_id").alias("_bound"))
+    return rows.join(known, ["source_database_id", "external_session_id"], "left").withColumn(session, F.coalesce(session, "_bound")).drop("_bound")
+
+
 def new_events(legacy: DataFrame, events: DataFrame, quarantined: DataFrame, key: list[str], identity: str = "identity_id") -> DataFrame:
     """Legacy records that have no canonical event and whose identity isn't quarantined."""
     return legacy.join(events.select(*key).distinct(), key, "left_anti").join(quarantined.select(identity).distinct(), identity, "left_anti")

@@ -54,9 +54,12 @@ def disagreements(stored: DataFrame, facts: DataFrame) -> DataFrame:
     return both.withColumn("action", action).where("action is not null").drop("_old", "_new")
 
 
-def repair(stored: DataFrame, facts: DataFrame) -> DataFrame:
-    """The rollup as it should be: groups that agree stay, the others are rebuilt or go."""
+def repair(stored: DataFrame, facts: DataFrame, limit: int | None = None) -> DataFrame:
+    """The rollup as it should be: groups that agree stay, the others are rebuilt or go. limit: of those to be rebuilt so many, the first by key; the rest stay as they are."""
     wrong = disagreements(stored, facts)
+    if limit is not None:
+        now = wrong.where("action <> 'delete'").orderBy(*KEY).limit(limit)
+        wrong = now.unionByName(wrong.where("action = 'delete'"))
     kept = stored.select(*KEY, *SUMS).join(wrong.select(*KEY), KEY, "left_anti")
     return kept.unionByName(wrong.where("action <> 'delete'").select(*KEY, *SUMS))
 

@@ -245,6 +245,12 @@ def client_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("client").agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.sum("session_count").alias("session_count"), F.sum("model_count").alias("model_count"))
 
 
+def client_agents(facts: DataFrame, sessions_: DataFrame) -> DataFrame:
+    """Each client's agents with their tokens, those of the cache too; most input first within a client."""
+    rows = facts.join(sessions_.select("session_id", "agent"), "session_id", "left").groupBy("client_id", F.coalesce("agent", F.lit(C.UNKNOWN)).alias("agent"))
+    return rows.agg(*[F.coalesce(F.sum(t), F.lit(0)).cast("long").alias(t) for t in TOKENS], F.count("*").alias("message_count")).orderBy("client_id", F.desc("input_tokens"), "agent")
+
+
 def model_mix(rows: DataFrame) -> DataFrame:
     """Each vendor's tokens and their share of the largest vendor's, in percent."""
     per = rows.groupBy(C.vendor(F.col("model_name")).alias("vendor")).agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))

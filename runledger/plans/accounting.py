@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import identity as I
 from ..operators import merge as M
 from ..operators import rollup as R
@@ -242,6 +243,34 @@ def rollup_repair(t):
     return money(R.repair(t.fx_rollup, t.fx_facts))
 
 
+@query("rollup_repair_limited", f"""WITH b AS ({BUILD}), w AS (SELECT coalesce(o.client_id, b.client_id) AS client_id, coalesce(o.project_id, b.project_id) AS project_id, coalesce(o.day, b.day) AS day, b.client_id IS NULL AS gone FROM fx_rollup o FULL JOIN b ON b.client_id = o.client_id AND b.project_id = o.project_id AND b.day = o.day
+  WHERE o.client_id IS NULL OR b.client_id IS NULL OR o.input_tokens <> b.input_tokens OR o.output_tokens <> b.output_tokens OR o.estimated_cost_usd <> b.estimated_cost_usd OR o.message_count <> b.message_count),
+ n AS (SELECT client_id, project_id, day FROM w WHERE NOT gone ORDER BY 1, 2, 3 LIMIT 5), d AS (SELECT client_id, project_id, day FROM n UNION ALL SELECT client_id, project_id, day FROM w WHERE gone)
+SELECT client_id, project_id, day, input_tokens, output_tokens, CAST(estimated_cost_usd AS DOUBLE) AS estimated_cost_usd, message_count FROM (SELECT o.* FROM fx_rollup o ANTI JOIN d USING (client_id, project_id, day) UNION ALL BY NAME SELECT b.* FROM b JOIN n USING (client_id, project_id, day))""")
+def rollup_repair_limited(t):
+    return money(R.repair(t.fx_rollup, t.fx_facts, 5))
+
+
+@query("late_binding", """SELECT c.source_database_id, c.external_session_id, c.title, coalesce(CASE WHEN s.session_id % 4 = 0 THEN s.session_id + 1000000 END, s.session_id) AS session_id FROM fx_contexts c LEFT JOIN fx_sessions s ON s.source_database_id = c.source_database_id AND s.external_session_id = c.external_session_id""")
+def late_binding(t):
+    number = F.regexp_extract("external_session_id", r"(\d+)", 1).cast("long")
+    rows = t.fx_contexts.select("source_database_id", "external_session_id", "title", F.when(number % 4 == 0, number + 1_000_000).alias("session_id"))
+    return M.bind_external(rows, t.fx_sessions)
+
+
+@query("normalised_fields", """SELECT source_record_id, arrival_seq, CASE WHEN cache_read_tokens IS NOT NULL AND cache_write_tokens IS NOT NULL THEN cache_read_tokens + cache_write_tokens ELSE 7 END AS cached,
+ coalesce(CASE WHEN arrival_seq = 1 THEN reported_at END, make_timestamp(946684800000000 + input_tokens * 1000)) AS at, CASE WHEN trim(provider) <> '' THEN provider END AS provider FROM fx_usage""")
+def normalised_fields(t):
+    return t.fx_usage.select("source_record_id", "arrival_seq", C.cached_tokens(F.col("cache_read_tokens"), F.col("cache_write_tokens"), F.lit(7).cast("long")).alias("cached"),
+                             C.time_of(F.when(F.col("arrival_seq") == 1, F.col("reported_at")), F.col("input_tokens") + 946_684_800_000).alias("at"), C.blank_to_null(F.col("provider")).alias("provider"))
+
+
+@query("split_entities", "SELECT entity_id, run_id, split_part(entity_id, ':', 1) AS entity_type, split_part(entity_id, ':', 2) AS external_id FROM fx_links")
+def split_entities(t):
+    kind, external = C.split_entity(F.col("entity_id"))
+    return t.fx_links.select("entity_id", "run_id", kind.alias("entity_type"), external.alias("external_id"))
+
+
 DUP, ORDER = ["source_record_id"], ["arrival_seq"]
 
 

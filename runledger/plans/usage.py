@@ -236,6 +236,11 @@ def client_summary(t):
     return money(U.client_summary(rows))
 
 
+@query("client_agents", f"WITH s AS (SELECT session_id AS sid, agent FROM fx_sessions) SELECT client_id, coalesce(agent, 'unknown') AS agent, {SUMS}, count(*) AS message_count FROM fx_facts LEFT JOIN s ON sid = session_id GROUP BY 1, 2")
+def client_agents(t):
+    return U.client_agents(t.fx_facts, t.fx_sessions)
+
+
 VENDOR_NAME = "CASE CAST(substring(model_name, 7, 1) AS INTEGER) WHEN 1 THEN 'GPT-' WHEN 2 THEN 'claude-' WHEN 3 THEN 'Gemma' WHEN 4 THEN 'mixtral' ELSE 'own' END || model_name"
 
 

@@ -21,10 +21,12 @@ SCHEMAS = {
     "commits": f"pull long, sha string, author {USER}, commit struct<message:string,author:struct<name:string,date:string>>",
     "check_runs": "pull long, id long, conclusion string, completed_at string",
     "merge_requests": f"iid long, title string, state string, description string, source_branch string, author {USER}, merged_by {USER}, created_at string, updated_at string, closed_at string, merged_at string",
-    "pipelines": "iid long, id long, status string, updated_at string",
+    "approvals": "iid long, updated_at string, approved_by array<struct<user:struct<id:long,username:string>,created_at:string>>",
+    "pipelines": "iid long, id long, status string, ref string, finished_at string, updated_at string",
 }
 #: Check conclusions that count as failures, and the second forge's states.
 FAILURES = ("failure", "timed_out", "action_required", "cancelled")
+ENDINGS = {"success": "pipeline.succeeded", "failed": "pipeline.failed"}
 STATES = {"opened": "open", "closed": "closed", "locked": "closed", "merged": "merged"}
 ENTITY = "entity_id entity_type provider repository number title state author head_ref created_at updated_at owning_change_request_id".split()
 EVENT = "event_id event_type provider repository entity_id occurred_at actor payload".split()
@@ -109,3 +111,26 @@ def merge_requests(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("iid").alias("number"), "title", state.alias("state"), F.col("description").alias("body"), user("author").alias("user"), user("merged_by").alias("merged_by"),
                        F.struct(F.col("source_branch").alias("ref"), F.lit(None).cast("string").alias("sha")).alias("head"), F.array().cast(f"array<{USER}>").alias("requested_reviewers"),
                        F.lit(None).cast("string").alias("merge_commit_sha"), "created_at", "updated_at", "closed_at", "merged_at")
+
+
+def approval_rows(approvals: DataFrame) -> DataFrame:
+    """One row for each approval of a merge request: iid, user_id, username, at (its own time, else the request's last change)."""
+    each = approvals.where("iid is not null").select("iid", "updated_at", F.explode("approved_by").alias("a")).select("iid", "updated_at", "a.created_at", F.col("a.user.id").alias("user_id"), F.col("a.user.username").alias("username"))
+    return each.where("user_id is not null").select("iid", "user_id", "username", F.coalesce(when("created_at"), when("updated_at")).alias("at"))
+
+
+def approval_entities(repository: str, approvals: DataFrame, provider: str = "gitlab") -> DataFrame:
+    rows = approval_rows(approvals)
+    return _rows(rows, ENTITY, provider, repository, entity_id=F.concat(name("review", F.col("iid")), F.lit(":"), F.col("user_id").cast("string")), entity_type=F.lit("review"), title=F.concat(F.lit("approval by "), F.col("username")),
+                 state=F.lit("approved"), author=F.col("username"), created_at=F.col("at"), owning_change_request_id=F.col("iid"))
+
+
+def pipeline_events(repository: str, pipelines: DataFrame, approvals: DataFrame, provider: str = "gitlab") -> DataFrame:
+    """Approvals, and pipelines that ended, in order of time and id."""
+    kind = F.coalesce(*[F.when(F.col("status") == a, b) for a, b in ENDINGS.items()])
+    runs = _rows(pipelines.where("id is not null"), EVENT, provider, repository, event_id=name("pipeline", F.col("id")), event_type=kind, entity_id=name("change_request", F.col("iid")),
+                 occurred_at=F.coalesce(when("finished_at"), when("updated_at")), payload=F.to_json(F.struct(F.col("id").alias("pipeline_id"), "status", "ref")))
+    rows = approval_rows(approvals)
+    of = name("change_request", F.col("iid"))
+    given = _rows(rows, EVENT, provider, repository, event_id=F.concat(of, F.lit(":approved:"), F.col("user_id").cast("string")), event_type=F.lit("change_request.approved"), entity_id=of, occurred_at=F.col("at"), actor=F.col("username"))
+    return runs.unionByName(given).where("occurred_at is not null and event_type is not null").orderBy("occurred_at", "event_id")

@@ -1,8 +1,10 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from runledger.operators import outcomes, usage
 from runledger.sources import forge
 from runledger.streaming import feeds
 
@@ -116,6 +118,30 @@ def test_forge_rows(spark, tmp_path):
     assert forge.within(read["issues"], datetime(2025, 1, 2), None).count() == 1
 
 
+def test_second_forge(spark, tmp_path):
+    dumps = {"pipelines": [{"iid": 3, "id": 1, "status": "success", "finished_at": "2025-01-02T00:00:00Z"}, {"iid": 3, "id": 2, "status": "running", "updated_at": "2025-01-02T00:00:00Z"}, {"iid": 3, "id": 4, "status": "failed", "updated_at": "2025-01-01T00:00:00Z"}],
+             "approvals": [{"iid": 3, "updated_at": "2025-01-03T00:00:00Z", "approved_by": [{"user": {"id": 9, "username": "u"}}, {"user": {}}]}]}
+    read = {}
+    for kind, rows in dumps.items():
+        (tmp_path / f"{kind}.json").write_text("\n".join(map(json.dumps, rows)))
+        read[kind] = forge.read(spark, str(tmp_path / f"{kind}.json"), kind)
+    assert [(r.event_id, r.event_type, r.entity_id) for r in forge.pipeline_events("h/r", read["pipelines"], read["approvals"]).collect()] == [
+        ("pipeline:4", "pipeline.failed", "change_request:3"), ("pipeline:1", "pipeline.succeeded", "change_request:3"), ("change_request:3:approved:9", "change_request.approved", "change_request:3")]
+    assert [(r.author, r.state, r.owning_change_request_id) for r in forge.approval_entities("h/r", read["approvals"]).collect()] == [("u", "approved", "3")]
+
+
+def test_bad_arguments_are_refused(spark):
+    rows = spark.createDataFrame([(1, datetime(2025, 1, 1))], "client_id long, reported_at timestamp")
+    calls = [lambda: usage.aggregates(rows, ["colour"]), lambda: usage.records(rows, rows, rows, "price"), lambda: usage.page(rows, [], 0), lambda: usage.window(rows, datetime(2025, 2, 1), datetime(2025, 1, 1)),
+             lambda: outcomes.runs(rows, rows, status="odd"), lambda: outcomes.correlations(rows.withColumns({"entity_type": F.lit("a"), "external_id": F.lit("b")}), "odd"), lambda: outcomes.bindings_for_resource(rows, resource_type="issue"),
+             lambda: outcomes.between(rows, "reported_at", datetime(2025, 2, 1), datetime(2025, 1, 1))]
+    for call in calls:
+        with pytest.raises(ValueError):
+            call()
+    assert outcomes.last_window(datetime(2025, 1, 2)) == (datetime(2025, 1, 1), datetime(2025, 1, 2))
+    assert usage.preset("last-month", datetime(2025, 3, 5, 7)) == (datetime(2025, 2, 1), datetime(2025, 3, 1)) and usage.preset("custom", datetime(2025, 3, 5), "x", "y")[0] == datetime(2025, 3, 1)
+
+
 def test_dead_letters_expire(spark):
     dead = spark.createDataFrame([("2025-01-01T00:00:00Z", "x"), ("never", "y"), ("2025-03-01T00:00:00Z", "z")], "dead_lettered_at string, value string")
     assert [r.value for r in feeds.expired(dead, datetime(2025, 3, 5), 30).collect()] == ["x"]
