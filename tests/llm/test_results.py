@@ -1,6 +1,7 @@
 """Results against brute force, exact round trips and held-out labels."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -8,10 +9,11 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.llm import fingerprints, gru, lm, media, mixing, ngram_join, page_text, pieces, token_files, toxicity
+from runledger.llm import common, fingerprints, gru, lm, media, mixing, ngram_join, page_text, pieces, token_files, toxicity
 from runledger.llm.queries import QUERIES
 
 from ..conftest import DATA
@@ -289,8 +291,6 @@ def test_fingerprints(spark):
     texts = ["".join(rnd.choice("abcde fghij") for _ in range(rnd.randrange(1, 400))) for _ in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     rows = {r.doc_id: r for r in fingerprints.fingerprint_edits(df).collect()}
-    import hashlib
-
     for i, t in enumerate(texts):
         nxt, half = texts[(i + 1) % len(texts)], len(t) // 2
         assert rows[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
@@ -435,6 +435,36 @@ def test_ogg_round_trip():
     assert times[0][0] == 0 and times[-1][1] == 300_000 and all(a[1] == b[0] for a, b in zip(times, times[1:], strict=False))
 
 
+def test_media_digests_by_plain_code(spark):
+    rows = {r.doc_id: r for r in QUERIES["op9_media_columns"](spark, DATA).collect()}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    assert len(rows) == len(docs)
+    for i, text in docs:
+        raw = (text or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        stored = media.encode(payload, str(len(raw)).encode())
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.samples(stored)[0] == payload
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    for r in docs.limit(80).collect():
+        scores = []
+        for word in re.findall(r"(?:[^\x00-\x7f]|[0-9A-Za-z])+", r.text or ""):
+            own, _, start = common.hash_words(pa.array([word]), alnum=True, prefix=toxicity.PREFIX)
+            scores.append(max(model.scores[0][int(own[0]) >> 44], model.scores[1][int(start[0]) >> 44]))
+        bin_ = 0
+        if any(s > 0 for s in scores):
+            chance = math.log(max(1, len(scores))) + model.log_k
+            evidence = sum(math.log1p(math.exp(model.scale * s - chance)) for _, _, s in toxicity.segments(np.array(scores)))
+            bin_ = min(toxicity.BINS - 1, math.ceil(math.log1p(evidence) * 32))
+        assert got[r.doc_id] == pytest.approx(model.chance[bin_])
+
+
 def test_mixing(spark):
     rnd = random.Random(9)
     rows = [(i, " ".join(["w"] * rnd.choice([0, 1, 3, 10, 60, 200])), rnd.choice(["a", "b", "b", "c", None])) for i in range(900)]
