@@ -35,7 +35,7 @@ from .common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 1 << 16
+CACHE = 1 << 13
 LONGEST = 48
 #: Scores below this mark pieces that the model lists without one (runs of spaces); they get the lowest score.
 UNSCORED = -1e8
@@ -262,7 +262,7 @@ class Units:
         size = sizes[first]
         plain = np.logical_and.reduceat(self.single[c], starts)[first] & (size <= LONGEST)
         for length in np.unique(size[plain]):
-            for which in np.array_split(np.flatnonzero(plain & (size == length)), -(-int((plain & (size == length)).sum()) // 20_000)):
+            for which in np.array_split(np.flatnonzero(plain & (size == length)), -(-int((plain & (size == length)).sum()) // 4_000)):
                 rows = c[starts[first[which]][:, None] + np.arange(length)]
                 score[which], second[which], ids, filled = self.viterbi(rows)
                 keep = np.arange(length)[None, :] >= length - filled[:, None]
@@ -313,7 +313,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, n_best: int = 3, doc_i
             _READY[model] = ready, Units(ready), lru_cache(CACHE)(ready.nbest)
         ready, units, nbest = _READY[model]
         raw = ready.raw
-        for part in slices(batches, 4 << 20):
+        for part in slices(batches, 2 << 20):
             texts = [" " + t if t else "" for t in part[1].to_pylist()]
             full = [k for k, t in enumerate(texts) if t]
             n, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
