@@ -163,9 +163,9 @@ def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     done = units.where("p <= 1e-9 or size = 0").drop("_n").withColumn("p", F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.col("p")))
     rest = units.where("p > 1e-9 and size > 0")
     level = 0
-    while True:
+    while True:  # dealt anew by block: rows that a join has dealt by source would stay together
         blocks = F.when(F.col("_n") <= block, F.lit(0)).otherwise(F.pmod(F.xxhash64("h", F.lit(level)), F.ceil(F.col("_n") / block)))
-        moved = rest.withColumn("block", blocks.cast("long")).groupBy("no_source", "source", "block").applyInPandas(balancer(seed, level, block), UNITS)
+        moved = rest.withColumn("block", blocks.cast("long")).repartition("no_source", "source", "block").groupBy("no_source", "source", "block").applyInPandas(balancer(seed, level, block), UNITS)
         moved = stage(moved, "moved")
         done = done.unionByName(moved.where("not carried").drop("carried"))
         left = moved.where("carried").drop("carried")
