@@ -29,7 +29,7 @@ def op5_sentencepiece(spark, sf_dir):
 
 
 def op6_document_fingerprints(spark, sf_dir):
-    return fingerprints.near_documents(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents")).drop("h1", "h2")
 
 
 def op7_chat_format(spark, sf_dir):
