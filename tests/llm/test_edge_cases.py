@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runledger.llm import chat_format, fingerprints, lm, media, mixing, ngram_join, page_text, pieces, token_files, toxicity
+from runledger.llm import chat_format, fingerprints, lm, media, mixing, ngram_join, page_text, pieces, quality, token_files, toxicity
 from runledger.llm.queries import QUERIES
 
 from ..conftest import DATA
@@ -27,6 +27,7 @@ OPS = {
     "op8": lambda s, d: toxicity.score_toxicity(d, toxicity.fit_toxicity(d, s.createDataFrame([(12, 1), (5, 0), (None, 1), (99, 1), (6, None)], "doc_id long, toxic int"))),
     "op9": lambda s, d: media.media_digests(d),
     "op10": lambda s, d: mixing.mix_to_targets(d),
+    "op11": lambda s, d: quality.score_quality(d, quality.fit_quality(d, s.createDataFrame([(12, 1), (5, 0), (6, 1), (6, 0), (None, 1), (99, 1), (8, 1), (9, None)], "doc_id long, quality int"))),
 }
 
 
@@ -54,7 +55,7 @@ def test_empty_table(spark, docs, op):
 
 
 def test_every_operator_has_its_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_chat_edges(spark):
