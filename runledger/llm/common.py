@@ -104,7 +104,7 @@ def hash_words(texts: pa.Array, alnum: bool = False, prefix: int = 0) -> tuple[n
         return (np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), *[np.empty(0, np.uint64)] * bool(prefix))
     spans = np.diff(np.append(starts, len(raw)))
     place = np.arange(starts[0], len(raw)) - np.repeat(starts, spans)
-    ends = np.flatnonzero(inside & ~np.append(inside[1:], False))
+    ends = np.flatnonzero(inside & np.append(begins[1:] | ~inside[1:], True))  # a text's last word may touch the next text's first
     longest = int((ends - starts[np.searchsorted(starts, ends, "right") - 1]).max()) + 1
     power = np.full(longest, _BASE)
     power[0] = 1
