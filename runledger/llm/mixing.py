@@ -5,8 +5,8 @@ target over its size. Instead of drawing documents on their own, the cube method
 probabilities through the null space of two constraints (number of documents, number of words), so both totals stay
 exact until at most two documents of a block are undecided. Blocks of one source are balanced on their own, in
 parallel; their undecided documents form new blocks, level by level, together with a bounded set of decided ones of
-graded sizes. Once a source is down to one block, on a level of its own, it is landed on the nearest word total,
-trading decided documents for what a large undecided one leaves over.
+graded sizes. Once a source is down to one block, on a level of its own, it is landed: pairs of decided documents are traded for what is left
+over, and where that stops over half a word off, an exact subset sum gives the nearest total that the block can reach.
 
 Source sizes are sums over all rows. A source is cut into blocks by a hash of id, size, text and a number that tells
 equal rows apart, so a hot source or id is only more blocks, and no block has more than a few thousand rows. Every draw is
@@ -19,8 +19,10 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import WORD, fresh, row_key, stage
 
 BLOCK = 1024
+FEW = 100_000  # sources whose rows may be broadcast
+HALVES = 36  # units whose sums are listed by halves
 UNITS = "doc_id string, no_source boolean, source string, size long, source_size long, target double, base long, p double, h long, taken long, carried boolean"
 
 
@@ -96,22 +100,90 @@ def flight(p: list[float], size: list[int], rng: random.Random) -> list[float]:
 
 
 def land(p: list[float], size: list[int], goal: float) -> list[float]:
-    """Decides the one or two that are left, then turns over decided ones, each time the choice whose words come nearest to goal, until none comes nearer."""
+    """Decides the one or two that are left, then sets right what the decided ones leave over, keeping most of them.
+
+    First two decided units at most are turned over, as long as the total comes nearer. Where that leaves more than half
+    a word, nearest() finds the best total that the block can reach at all."""
     left = [k for k, x in enumerate(p) if x not in (0.0, 1.0)]
     off = sum(p[k] * size[k] for k in range(len(p)) if p[k] == 1.0) - goal
     best = min(range(1 << len(left)), key=lambda m: (abs(off + sum(size[k] for b, k in enumerate(left) if m >> b & 1)), m))
     for b, k in enumerate(left):
         p[k] = float(best >> b & 1)
         off += size[k] * p[k]
-    while True:
-        k = min(range(len(p)), key=lambda k: (abs(off + size[k] * (1 - 2 * p[k])), k), default=None)
-        if k is None or abs(off + size[k] * (1 - 2 * p[k])) >= abs(off) - 1e-6:
-            break
-        off += size[k] * (1 - 2 * p[k])
-        p[k] = 1 - p[k]
+    while abs(off) > 0.5 and (turned := best_turn(p, size, off)):
+        for k in turned:
+            off += size[k] * (1 - 2 * p[k])
+            p[k] = 1 - p[k]
+    if abs(off) > 0.5:
+        for k in nearest([n if x == 0.0 else -n for x, n in zip(p, size, strict=True)], off):
+            p[k] = 1 - p[k]
     return p
 
 
+def best_turn(p: list[float], size: list[int], off: float) -> tuple[int, ...]:
+    """The one or two decided units whose turning over brings the total nearest; none if nothing brings it nearer."""
+    step = sorted((size[k] * (1 - 2 * int(p[k])), k) for k in range(len(p)) if size[k])
+    best, found, j = abs(off) - 1e-6, (), len(step) - 1
+    for at, (d, k) in enumerate(step):
+        if abs(off + d) < best:
+            best, found = abs(off + d), (k,)
+        while j > 0 and off + d + step[j][0] > 0:
+            j -= 1
+        for m in (j, j + 1):  # the pair's sums on either side of nothing left
+            if m < len(step) and m != at and abs(off + d + step[m][0]) < best - 1e-9:
+                best, found = abs(off + d + step[m][0]), (k, step[m][1])
+    return found
+
+
+def nearest(step: list[int], off: float, bits: int = 1 << 28) -> list[int]:
+    """Which of the steps to take so that off plus their sum comes nearest to 0.
+
+    An exact subset sum: reachable sums are the bits of an integer, one for each step more. Where those would take over
+    so many bits (few, very long documents), sums of two halves meet instead: exact up to HALVES units, and 2^HALVES
+    sums of graded ones beyond."""
+    order = [k for k in range(len(step)) if step[k]]
+    if (len(order) + 1) * sum(abs(step[k]) for k in order) > bits:
+        return meet(step, off, order)
+    low = -sum(step[k] for k in order if step[k] < 0)  # the bit of the sum 0
+    reach = [1 << low]
+    for k in order:
+        n = step[k]
+        reach.append(reach[-1] | (reach[-1] << n if n > 0 else reach[-1] >> -n))
+    goal = low - off
+    cut = max(0, math.floor(goal) + 1)
+    under, over = reach[-1] & ((1 << cut) - 1), reach[-1] >> cut
+    found = [under.bit_length() - 1] * bool(under) + [cut + (over & -over).bit_length() - 1] * bool(over)
+    at = min(found, key=lambda x: (abs(x - goal), x))
+    taken = []
+    for j in range(len(order) - 1, -1, -1):
+        if not reach[j] >> at & 1:
+            taken.append(order[j])
+            at -= step[order[j]]
+    return taken
+
+
+def meet(step: list[int], off: float, order: list[int]) -> list[int]:
+    """The same over at most HALVES of the steps in order: the sums of two halves, sorted, meet around -off."""
+    if len(order) > HALVES:
+        order = [order[k] for k in graded([float(step[k] < 0) for k in order], [abs(step[k]) for k in order], HALVES)]
+    halves = order[::2], order[1::2]
+    sums = []
+    for half in halves:
+        total = np.zeros(1, np.int64)
+        for k in half:
+            total = np.concatenate([total, total + step[k]])
+        sums.append(total)
+    by = np.argsort(sums[1], kind="stable")
+    at = np.searchsorted(sums[1][by], -off - sums[0])
+    best = None
+    for near in (np.maximum(at - 1, 0), np.minimum(at, len(by) - 1)):
+        gap = np.abs(off + sums[0] + sums[1][by[near]])
+        i = int(gap.argmin())
+        if best is None or gap[i] < best[0]:
+            best = gap[i], i, int(by[near[i]])
+    return [k for half, mask in zip(halves, best[1:], strict=True) for b, k in enumerate(half) if mask >> b & 1]
+
+
 def graded(p: list[float], size: list[int], most: int) -> list[int]:
     """At most so many decided documents, half of them taken and half not, dealt in turn from all size classes (powers of two), the largest of each first."""
     out: list[int] = []
@@ -147,6 +219,12 @@ def balancer(seed: int, level: int, block: int):
     return run
 
 
+def beside(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows joined with a row for each source: sent whole to the tasks where they are FEW, else a join that AQE splits where a source is hot."""
+    few = sources.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(sources) if few else sources, ["no_source", "source"])
+
+
 def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0,
                    block: int = BLOCK, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target (its source's), copies and taken (words, repeats counted)."""
@@ -156,7 +234,7 @@ def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     targets = stage(source_targets(sizes, weights, share, cap), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.least(F.floor(ratio + 1e-12), F.floor(F.lit(float(cap)))).cast("long")
-    units = sizes.join(targets, ["no_source", "source"]).withColumn("k", F.explode(F.sequence(F.lit(1), "count"))).select(
+    units = beside(sizes, targets).withColumn("k", F.explode(F.sequence(F.lit(1), "count"))).select(
         F.col("doc_id").cast("string").alias("doc_id"), "no_source", "source", "size", "source_size", "target", base.alias("base"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio - base)).alias("p"), F.xxhash64("doc_id", "size", "digest", "k", F.lit(seed)).alias("h"),
         F.lit(0).cast("long").alias("taken"), F.col("n").alias("_n"))
@@ -171,7 +249,7 @@ def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
         left = moved.where("carried").drop("carried")
         if left.isEmpty():
             break
-        rest = left.join(left.groupBy("no_source", "source").agg(F.count("*").alias("_n")), ["no_source", "source"])
+        rest = beside(left, left.groupBy("no_source", "source").agg(F.count("*").alias("_n")))
         level += 1
     copies = F.col("base") + F.round("p").cast("long")
     return done.select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("doc_id"), F.when(~F.col("no_source"), F.col("source")).alias("source"),
