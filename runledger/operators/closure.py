@@ -33,6 +33,11 @@ def _touched(facts: DataFrame) -> DataFrame:
     return rows.withColumn("issue_repository", where).withColumn("issue_id", number).drop("_link")
 
 
+def naming(facts: DataFrame) -> DataFrame:
+    """issue_repository, issue_id, repository, external_id: which issue a change request names, each pair once."""
+    return _touched(facts).select("issue_repository", "issue_id", "repository", "external_id").distinct()
+
+
 def link_states(facts: DataFrame) -> DataFrame:
     """repository, cr_id, issue_repository, issue_id, state: active, parked or revoked.
 

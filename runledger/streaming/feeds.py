@@ -2,12 +2,13 @@
 
 Sources give rows with a text column `value` (Kafka, or files of JSON lines). What can't be used goes to a dead-letter
 table with its reason. Micro-batches append only what the stored table doesn't have, so a batch that is replayed
-after a lost executor or driver changes nothing, however late it comes; offsets are kept in the checkpoint. Stored tables
-are partitioned by a hash of the key, and a batch reads the partitions of its own keys alone.
+after a lost executor or driver changes nothing and tells the same again, however late it comes; offsets are kept in the
+checkpoint. Stored tables are found by key: a batch reads what may hold its own keys.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..functions import columns as C
 from ..operators import closure as E
 from ..operators import merge as M
 from ..session import drop, stage
+from ..sources.tables import Folder, KeyedTable, Snapshot, having
 
 USAGE = ("source_record_id string, client_id long, source_database_id long, session_id string, model_name string, input_tokens string, output_tokens string, cached_tokens string, "
          "reasoning_tokens long, cache_read_tokens long, cache_write_tokens long, estimated_cost_usd decimal(18,6), reported_at timestamp, provider string, arrival_seq long")
@@ -39,7 +41,6 @@ BINDINGS = ("awx_job struct<job_id:string,job_template_id:string>, external_sess
             "branch string, title string, started_at timestamp, finished_at timestamp, failure_reason string")
 #: How a job may end.
 ENDINGS = ("completed", "failed", "cancelled")
-BUCKETS = 64
 #: The actions that a resource may have, and the canonical name of those that have another.
 ACTIONS = {
     "issue": ("closed", "edited", "opened", "reopened", "updated"),
@@ -158,53 +159,58 @@ def _stored(spark: SparkSession, path: str, like: StructType) -> DataFrame:
     return spark.read.schema(like).parquet(path) if there else spark.createDataFrame([], like)
 
 
-def bucketed(rows: DataFrame, key: list[str]) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+def merge_batch(rows: DataFrame, table: KeyedTable, order: list[str], batch: str, compared: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Appends the first row of each key that the table doesn't have: (each row's key with its status and reason, the rows that were appended).
 
-
-def merge_batch(rows: DataFrame, path: str, key: list[str], order: list[str], compared: list[str] = ()) -> DataFrame:
-    """Appends the first row of each key that the table at path doesn't have, and gives each row's key with its status.
-
-    The row that is stored is accepted, one that compares equal to it is a duplicate, any other is in conflict with it. Which
-    partitions a batch reads is told by its keys' buckets, 64 numbers at most."""
-    rows = bucketed(rows, key)
-    mine = [r.bucket for r in rows.select("bucket").distinct().collect()]
-    old = _stored(rows.sparkSession, path, rows.schema).where(F.col("bucket").isin(mine))
+    The row that is stored is accepted, one that compares equal to it is a duplicate, any other is in conflict with it; of
+    rows that tie in order one is stored. A batch that comes again finds what it stored itself under its name, leaves that
+    alone, and tells the same as the first time. Both results are staged tables."""
+    key = table.key
     fields = [*key, *[c for c in compared if c not in key], *[c for c in order if c not in key and c not in compared]]
-    both = old.select(*fields, F.lit(0).alias("_new")).unionByName(rows.select(*fields, F.lit(1).alias("_new")))
-    first = stage(both.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(F.struct("_new", *order, F.struct(*fields).alias("v"))).alias("_f")), "first")
-    on = F.lit(True)
-    for k in key:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = rows.join(first, on)
-    own = (F.col("_f._new") == 1) & F.struct(*order).eqNullSafe(F.struct(*[F.col(f"_f.{c}") for c in order]))
+    rows = stage(rows.withColumn("_id", F.monotonically_increasing_id()), "batch")
+    old = table.lookup(rows, but=batch)
+    both = old.select(*fields, F.lit(0).alias("_new"), F.lit(-1).cast("long").alias("_id")).unionByName(rows.select(*fields, F.lit(1).alias("_new"), "_id"))
+    rest = [c for c in fields if c not in order]
+    first = both.groupBy(*key).agg(F.min(F.struct("_new", *order, *rest, "_id")).alias("_first"))
     same = F.lit(True)
     for c in compared:
-        same = same & F.col(c).eqNullSafe(F.col("_f.v")[c])
-    told = stage(joined.select(*key, F.when(own, "accepted").when(same, "duplicate").otherwise("conflict").alias("status"), F.when(~own, F.when(same, M.IDEMPOTENT).otherwise(M.DIVERGENT)).alias("reason")), "told")
-    fresh = M.keep_first(joined.where(own).select(*rows.columns), key, [F.col(c) for c in order])
-    fresh.write.mode("append").partitionBy("bucket").parquet(path)
-    drop(first)
-    return told
+        same = same & F.col(f"_rows.{c}").eqNullSafe(F.col("_keys._first")[c])
+    own = (F.col("_keys._first._new") == 1) & (F.col("_keys._first._id") == F.col("_rows._id"))
+    told = having(rows, first, key, "inner").select("_rows.*", own.alias("_own"), same.alias("_same"))
+    told = stage(told.select(*rows.columns, F.when(F.col("_own"), "accepted").when(F.col("_same"), "duplicate").otherwise("conflict").alias("_status")), "told")
+    fresh = told.where("_status = 'accepted'").select(*[c for c in rows.columns if c != "_id"])
+    table.append(fresh, batch)
+    reason = F.when(F.col("_status") == "duplicate", M.IDEMPOTENT).when(F.col("_status") == "conflict", M.DIVERGENT)
+    drop(rows)
+    return told.select(*key, F.col("_status").alias("status"), reason.alias("reason")), fresh
+
+
+def batch_name(spark: SparkSession, checkpoint: str, number: int) -> str:
+    """A batch's name: its number, and the id that its query keeps in the checkpoint, so that a new checkpoint's batches are others."""
+    known = json.loads(Folder(spark, checkpoint).text("metadata"))["id"]
+    return f"{known}-{number:09d}"
 
 
 def run_stream(source: DataFrame, parse, key: list[str], order: list[str], table: str, dead_letters: str, checkpoint: str, after=None, compared: list[str] = (), ledger: str | None = None, topic: str = "", **trigger):
     """Starts a feed: good rows go to table (each key once), others to dead_letters with value, reason, topic and time.
 
-    ledger: where each row's key, status and reason go, by batch. after: called with the batch's good rows, once they are
-    stored, and its number, to bring what hangs on them up to date."""
+    ledger: where each row's key, status and reason go, by batch. after: called with the rows that the batch has stored,
+    and its name, to bring what hangs on them up to date."""
+    spark = source.sparkSession
+    good = parse(source).drop("value", "reason")
+    stored = KeyedTable(spark, table, good.schema, key)
+
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.persist()
+        rows, name = rows.persist(), batch_name(spark, checkpoint, number)
         try:
-            good = rows.where("reason is null").drop("value", "reason")
-            told = merge_batch(good, table, key, order, compared)
+            told, fresh = merge_batch(rows.where("reason is null").drop("value", "reason"), stored, order, name, compared)
             if ledger:
-                told.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}/batch={number}")
-            drop(told)
+                told.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{ledger.rstrip('/')}/batch={name}")
             dead = rows.where("reason is not null").select("value", "reason", F.lit(topic).alias("original_topic"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("dead_lettered_at"))
-            dead.write.mode("overwrite").parquet(f"{dead_letters.rstrip('/')}/batch={number}")
+            dead.write.mode("overwrite").parquet(f"{dead_letters.rstrip('/')}/batch={name}")
             if after:
-                after(good, number)
+                after(fresh, name)
+            drop(told)
         finally:
             rows.unpersist()
 
@@ -230,24 +236,53 @@ def binding_feed(source: DataFrame, table: str, dead_letters: str, checkpoint: s
     return run_stream(source, parsed_bindings, ["job_id"], ["started_at"], table, dead_letters, checkpoint, None, values, ledger, **trigger)
 
 
-def closure_refresh(table: str, episodes: str):
-    """An `after` step: recomputes the episodes of the issues that a batch touches and writes both as that batch's version. `current_episodes` reads them."""
-    def after(good: DataFrame, number: int) -> None:
-        facts = _stored(good.sparkSession, table, bucketed(good, ["observation_key"]).schema)
-        issues = E.affected(good, facts).persist()
-        found = E.episodes(E.facts_of(facts, issues)).join(issues, E.ISSUE, "left_semi")
-        found.write.mode("overwrite").parquet(f"{episodes.rstrip('/')}/rows/version={number}")
-        issues.write.mode("overwrite").parquet(f"{episodes.rstrip('/')}/issues/version={number}")
-        issues.unpersist()
+class ClosureHistory:
+    """Facts by issue and by change request, which issue is named by whom, and the current episodes: all a batch needs to bring episodes up to date.
+
+    A batch's facts are dealt out once, on arrival. What is read for it are the rows of the issues that it touches (their
+    own, and those of change requests that ever named them); of the episodes, the hash buckets of these issues."""
+
+    FACT = "provider string, delivery_id string, repository string, entity_type string, external_id string, event_type string, occurred_at timestamp, actor string, observed_via string, links array<string>, mentions array<string>, observation_key string"
+    EPISODE = "repository string, issue_id string, segment long, opened_at timestamp, closed_at timestamp, status string, cr_id string, found string, candidates string"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        path = path.rstrip("/")
+        self.facts = {kind: KeyedTable(spark, f"{path}/{kind}", self.FACT, ["repository", "external_id"]) for kind in ("issue", "change_request")}
+        self.named = KeyedTable(spark, f"{path}/named", "issue_repository string, issue_id string, repository string, external_id string", ["issue_repository", "issue_id"])
+        self.episodes = Snapshot(spark, f"{path}/episodes", self.EPISODE, E.ISSUE, buckets)
+
+    def add(self, fresh: DataFrame, batch: str) -> None:
+        """Deals out new facts and recomputes the episodes of the issues that they touch."""
+        for kind, table in self.facts.items():
+            table.append(fresh.where(F.col("entity_type") == kind), batch)
+        self.named.append(E.naming(fresh), batch)
+        issues = stage(self.touched(fresh), "issues")
+        found = stage(E.episodes(self.facts_of(issues)).join(issues, E.ISSUE, "left_semi"), "episodes")
+        self.episodes.replace(issues, found)
+        drop(issues, found)
+
+    def touched(self, fresh: DataFrame) -> DataFrame:
+        """The issues of new facts, and all that a change request among them ever named."""
+        crs = fresh.where("entity_type = 'change_request'").select("repository", "external_id").distinct()
+        return E.affected(fresh, self.facts["change_request"].lookup(crs))
+
+    def facts_of(self, issues: DataFrame) -> DataFrame:
+        own = self.facts["issue"].lookup(issues.select("repository", F.col("issue_id").alias("external_id")))
+        crs = self.named.lookup(issues.select(F.col("repository").alias("issue_repository"), "issue_id")).select("repository", "external_id").distinct()
+        return own.unionByName(self.facts["change_request"].lookup(crs))
+
+    def compact(self) -> None:
+        for table in (*self.facts.values(), self.named):
+            table.compact()
+
 
-    return after
+def closure_refresh(spark: SparkSession, history: str):
+    """An `after` step of the event feed: brings the episodes at history up to date. `current_episodes` reads them."""
+    return ClosureHistory(spark, history).add
 
 
-def current_episodes(spark: SparkSession, episodes: str) -> DataFrame:
-    """The episodes of each issue's newest version."""
-    read = lambda k: spark.read.option("basePath", f"{episodes.rstrip('/')}/{k}").parquet(f"{episodes.rstrip('/')}/{k}")
-    newest = read("issues").groupBy(*E.ISSUE).agg(F.max("version").alias("version"))
-    return read("rows").join(newest, [*E.ISSUE, "version"]).drop("version")
+def current_episodes(spark: SparkSession, history: str) -> DataFrame:
+    return ClosureHistory(spark, history).episodes.read()
 
 
 def expired(dead: DataFrame, now, max_age_days: int) -> DataFrame:

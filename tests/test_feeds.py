@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runledger.operators import outcomes, usage
 from runledger.sources import forge
+from runledger.sources.tables import KeyedTable
 from runledger.streaming import feeds
 
 
@@ -15,6 +16,11 @@ def event(**change):
     return json.dumps(e | change)
 
 
+def stored(spark, path, parse, key):
+    like = parse(spark.createDataFrame([], "value string")).drop("value", "reason", "status")
+    return KeyedTable(spark, path, like.schema, key).read()
+
+
 def test_event_rules(spark):
     bad = [event(schema_version="2"), event(event_type="x"), event(resource={"type": "wiki"}), event(action="merged"), event(resource={"type": "issue", "repository_url": "ftp://x/y"}),
            event(delivery_id="other"), "not json"]
@@ -33,7 +39,7 @@ def test_event_feed_is_idempotent(spark, tmp_path):
         ref = {"reference": {"provider": "github", "delivery_id": f"e{k}"}}
         (source / f"{k}.json").write_text("\n".join([event(), event(), event(action="closed", delivery_id=f"e{k}", redacted_payload=ref), "broken"]))
         feeds.event_feed(feeds.files(spark, str(source), maxFilesPerTrigger="1"), out, str(tmp_path / "dead"), str(tmp_path / "offsets")).awaitTermination()
-    assert sorted(r.event_type for r in spark.read.parquet(out).collect()) == ["issue.closed", "issue.updated"]
+    assert sorted(r.event_type for r in stored(spark, out, feeds.parsed_events, ["observation_key"]).collect()) == ["issue.closed", "issue.updated"]
     assert spark.read.parquet(str(tmp_path / "dead")).count() == 2
 
 
@@ -45,14 +51,14 @@ def test_usage_feed(spark, tmp_path):
     feeds.usage_feed(feeds.files(spark, str(source)), out, str(tmp_path / "dead"), str(tmp_path / "offsets"), str(tmp_path / "ledger"), "usage").awaitTermination()
     (source / "b.json").write_text("\n".join(map(json.dumps, [rec | {"arrival_seq": 9}, rec | {"arrival_seq": 0, "output_tokens": "3"}, rec | {"source_record_id": "c"}])))
     feeds.usage_feed(feeds.files(spark, str(source)), out, str(tmp_path / "dead"), str(tmp_path / "offsets"), str(tmp_path / "ledger"), "usage").awaitTermination()
-    told = sorted((r.batch, r.source_record_id, r.status, (r.reason or "")[:9]) for r in spark.read.parquet(str(tmp_path / "ledger")).collect())
+    told = sorted((r.number, r.source_record_id, r.status, (r.reason or "")[:9]) for r in spark.read.parquet(str(tmp_path / "ledger")).collect())
     assert told == [(0, "a", "accepted", ""), (0, "a", "conflict", "Divergent"), (1, "a", "conflict", "Divergent"), (1, "a", "duplicate", "Duplicate"), (1, "c", "accepted", "")]
     dead = spark.read.parquet(str(tmp_path / "dead"))
     assert {r.original_topic for r in dead.collect()} == {"usage"}
     for _ in range(2):
         feeds.sweep(dead, datetime(2100, 1, 1), 30, str(tmp_path / "escalated"))
     assert spark.read.parquet(str(tmp_path / "escalated")).count() == 2
-    assert [(r.source_record_id, r.input_tokens) for r in spark.read.parquet(out).orderBy("source_record_id").collect()] == [("a", "5"), ("c", "5")]
+    assert [(r.source_record_id, r.input_tokens) for r in stored(spark, out, feeds.parsed_usage, ["client_id", "source_database_id", "source_record_id"]).orderBy("source_record_id").collect()] == [("a", "5"), ("c", "5")]
     assert {r.reason for r in spark.read.parquet(str(tmp_path / "dead")).collect()} == {"Negative token value", "Malformed record"}
 
 
@@ -76,7 +82,7 @@ def test_closure_refresh_keeps_the_newest_version(spark, tmp_path):
     seen = []
     for k, rows in enumerate(files):
         (source / f"{k}.json").write_text("\n".join(rows))
-        feeds.event_feed(feeds.files(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "dead"), str(tmp_path / "offsets"), feeds.closure_refresh(str(tmp_path / "out"), str(tmp_path / "episodes"))).awaitTermination()
+        feeds.event_feed(feeds.files(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "dead"), str(tmp_path / "offsets"), feeds.closure_refresh(spark, str(tmp_path / "episodes"))).awaitTermination()
         seen.append([(r.repository, r.issue_id, r.status, r.cr_id) for r in feeds.current_episodes(spark, str(tmp_path / "episodes")).collect()])
     assert seen == [[("h/o/q", "7", "pending", None)], [("h/o/q", "7", "awaiting_closure", None)], [("h/o/q", "7", "inferred", "h/o/r#9")]]
 
