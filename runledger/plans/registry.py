@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from . import accounting, activity, outcomes, usage  # noqa: E402,F401
+from . import accounting, activity, ingest, outcomes, usage  # noqa: E402,F401

@@ -99,6 +99,19 @@ SELECT u.*, coalesce(u.cache_read_tokens, 0) + coalesce(u.cache_write_tokens, 0)
  concat(CAST(u.client_id AS VARCHAR(20)), ':', CAST(u.source_database_id AS VARCHAR(20))) AS batch,
  CAST(u.arrival_seq * 1000 + u.session_id % 97 AS BIGINT) AS ingest_order
 FROM {fx_usage} u""",
+    "fx_ingest": """
+SELECT client_id, source_database_id, concat(CAST(client_id AS VARCHAR(20)), ':', CAST(seq AS VARCHAR(20))) AS batch, seq,
+ CAST(row_number() OVER (PARTITION BY client_id, seq ORDER BY source_record_id, k, tie) AS BIGINT) AS idx, source_record_id, session_id,
+ CASE WHEN session_id % 61 = 0 THEN 'n/a' WHEN session_id % 67 = 0 THEN '-5' ELSE CAST(q + CASE WHEN k = 1 AND session_id % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR(20)) END AS input_tokens,
+ CAST(q * 2 AS BIGINT) AS output_tokens, CAST(7 AS BIGINT) AS cached_tokens, CASE WHEN k = 0 AND session_id % 2 = 0 THEN NULL ELSE CAST(q AS BIGINT) END AS reasoning_tokens,
+ CASE WHEN session_id % 3 = 0 AND k = 0 THEN NULL ELSE CAST(q + 3 AS BIGINT) END AS cache_read_tokens, CASE WHEN session_id % 3 = 0 THEN CASE WHEN k = 1 AND session_id % 2 = 0 THEN CAST(4 AS BIGINT) END ELSE CAST(q % 5 AS BIGINT) END AS cache_write_tokens,
+ CASE WHEN session_id % 7 = 0 THEN NULL ELSE CAST(q AS DECIMAL(18,6)) / 4 END AS estimated_cost_usd, CASE WHEN k = 0 AND session_id % 4 = 0 THEN ' ' ELSE 'p' END AS provider, CASE WHEN session_id % 4 = 1 THEN CAST(NULL AS VARCHAR(20)) ELSE 'm' END AS mode, CAST(NULL AS VARCHAR(20)) AS finish_reason
+FROM (SELECT CAST(o.o_custkey % 50 AS BIGINT) AS client_id, CAST((l.l_suppkey + CASE WHEN k.k = 2 THEN 1 ELSE 0 END) % 6 AS BIGINT) AS source_database_id, k.k, concat(CAST(l.l_orderkey AS VARCHAR(20)), '-', CAST(l.l_linenumber AS VARCHAR(20))) AS source_record_id,
+  CAST(((year(l.l_shipdate) - 1992) * 12 + month(l.l_shipdate) + k.k) * 10 + (l.l_suppkey + CASE WHEN k.k = 2 THEN 1 ELSE 0 END) % 6 AS BIGINT) AS seq, CAST(l.l_orderkey AS BIGINT) AS session_id, CAST(l.l_quantity AS BIGINT) AS q,
+  concat(CAST(l.l_partkey AS VARCHAR(20)), '|', CAST(l.l_suppkey AS VARCHAR(20)), '|', CAST(l.l_quantity AS VARCHAR(20)), '|', CAST(l.l_extendedprice AS VARCHAR(30))) AS tie
+ FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) k ON k.k = 0 OR (k.k = 1 AND l.l_orderkey % 4 = 0) OR (k.k = 2 AND l.l_orderkey % 97 = 0)) x""",
+    "fx_ingest_parents": """
+SELECT DISTINCT concat(CAST(c_custkey % 50 AS VARCHAR(20)), '/5') AS identity, concat(CAST(c_custkey % 50 AS VARCHAR(20)), '/4') AS parent FROM {customer} WHERE c_custkey % 50 % 3 = 0""",
     "fx_run_saves": """
 SELECT concat('run-', CAST(o_custkey AS VARCHAR(20))) AS run_id, CAST(o_orderkey AS BIGINT) AS arrival_seq, CASE WHEN o_orderkey % 2 = 0 THEN 'github' ELSE 'gitlab' END AS provider,
  CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('Change ', CAST(o_orderkey % 17 AS VARCHAR(20))) END AS title,
@@ -179,7 +192,7 @@ FROM {orders}""",
 }
 
 #: Projections that are written once for a session and folder, as the store they stand for would hold them, and what they are ordered by.
-STORED = {"fx_usage": "reported_at", "fx_facts": "reported_at"}
+STORED = {"fx_usage": "reported_at", "fx_facts": "reported_at", "fx_ingest": "seq"}
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
