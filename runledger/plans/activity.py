@@ -13,6 +13,7 @@ from ..operators import correlation as N
 from ..operators import reporting as G
 from ..operators import transcript as X
 from ..sources.fixtures import NOW
+from ..session import stage
 from .registry import query
 from .usage import money
 
@@ -191,6 +192,47 @@ def forward_merge(t):
     return G.forward_merge(delivered(t).withColumn("payload", F.to_json(F.struct("k1", "k2"))))
 
 
+STATED = f"""WITH {FIRST}, p AS (SELECT {RES}, occurred_at, delivery_id, 'k1' AS k, CAST(k1 AS VARCHAR) AS v FROM d UNION ALL SELECT {RES}, occurred_at, delivery_id, 'k2', CAST(k2 AS VARCHAR) FROM d WHERE k2 IS NOT NULL),
+ b AS (SELECT {RES}, k, v, occurred_at AS t, delivery_id AS w FROM (SELECT *, row_number() OVER (PARTITION BY {RES}, k ORDER BY occurred_at DESC, delivery_id) AS n FROM p) WHERE n = 1),
+ l AS (SELECT {RES}, max(occurred_at) AS last_occurred_at, arg_min(delivery_id, (-epoch_us(occurred_at), delivery_id)) AS last_delivery_id, count(*) AS deliveries FROM d GROUP BY {RES})
+SELECT {RES}, last_occurred_at, last_delivery_id, deliveries, '{{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY k) || '}}' AS merged,
+ '{{' || string_agg('"' || k || '":{{"occurred_at":"' || strftime(t, '%Y-%m-%dT%H:%M:%SZ') || '","delivery_id":"' || w || '"}}', ',' ORDER BY k) || '}}' AS key_provenance FROM l JOIN b USING ({RES}) GROUP BY ALL"""
+
+
+def stated(t):
+    return delivered(t).withColumn("payload", F.to_json(F.struct("k1", "k2")))
+
+
+@query("forward_state", STATED)
+def forward_state(t):
+    return G.rendered(G.forward_state(stated(t)))
+
+
+@query("forward_state_delta", STATED)
+def forward_state_delta(t):
+    """A stored state of two thirds of the deliveries, late ones among the rest, and the merge of the rest into it in two parts."""
+    rows = stated(t)
+    part = lambda k: G.forward_state(rows.where(F.col("event_id") % 3 == k))
+    stored = stage(G.merge_into(part(0), part(2)), "state")
+    return G.rendered(G.merge_into(stored, part(1)))
+
+
+PRODUCED = """WITH f AS (SELECT event_id, provider, 'https://Host.example:443/org/repo-' || (event_id % 50) AS url, CASE event_id % 5 WHEN 0 THEN 'issue' WHEN 1 THEN 'pull_request' WHEN 2 THEN 'merge_request' WHEN 3 THEN 'wiki' END AS kind,
+ CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'true' ELSE CAST(event_id % 20 AS VARCHAR) END AS number FROM fx_deliveries)
+SELECT event_id, 'host.example/org/repo-' || (event_id % 50) AS repository, CASE WHEN kind = 'issue' THEN 'issue' ELSE 'change_request' END AS resource_type, number FROM f WHERE kind <> 'wiki' AND number <> 'true'"""
+
+
+@query("delivery_identity", PRODUCED)
+def delivery_identity(t):
+    """Payloads as producers write them (type, number) and as they are written back (resource_type, resource_number)."""
+    url = F.concat(F.lit("https://Host.example:443/org/repo-"), F.col("event_id") % 50)
+    kind = F.get(F.array(*[F.lit(x) for x in ("issue", "pull_request", "merge_request", "wiki", None)]), (F.col("event_id") % 5).cast("int"))
+    number = F.when(F.col("event_id") % 7 == 1, F.lit("true")).when(F.col("event_id") % 7 != 0, (F.col("event_id") % 20).cast("string"))
+    name = lambda a, b: F.struct(F.struct(url.alias("repository_url"), kind.alias(a), number.alias(b)).alias("resource"))
+    payload = F.when(F.col("event_id") % 2 == 0, F.to_json(name("type", "number"))).otherwise(F.to_json(name("resource_type", "resource_number")))
+    return G.by_payload(t.fx_deliveries.select("event_id", "provider", payload.alias("payload"))).select("event_id", "repository", "resource_type", "number")
+
+
 @query("reporting_resources", f"WITH {FIRST} SELECT {RES}, max(occurred_at) AS last_occurred_at, count(*) AS deliveries, arg_min(delivery_id, (-epoch_us(occurred_at), delivery_id)) AS last_delivery_id FROM d GROUP BY {RES}")
 def reporting_resources(t):
     return G.resources(delivered(t))

@@ -225,22 +225,28 @@ class Snapshot:
         old = having(self._rows(version, touched), keys.select(*self.key).distinct(), self.key, "left_anti")
         self._publish(old.unionByName(rows.select(*self.schema.names)), touched, taken, version)
 
-    def upsert(self, rows: DataFrame, merge=None) -> None:
-        """Rows by key; merge(stored rows of these keys, new rows) gives what is stored of them, and without it new rows do."""
+    def has_batch(self, batch: str) -> bool:
+        """Whether the newest version, or one before it, was made of this batch."""
+        return batch in self.newest()[1].get("batches", [])
+
+    def upsert(self, rows: DataFrame, merge=None, batch: str | None = None) -> None:
+        """Rows by key; merge(stored rows of these keys, new rows) gives what is stored of them, and without it new rows do.
+
+        batch: a name that is kept with the version, for the last 1,000 of them; a stream repeats its last one alone."""
         if merge is None:
             return self.replace(rows, rows)
         taken, version = self.newest()
         touched = self._touched(rows, version)
         stored, keys = self._rows(version, touched), rows.select(*self.key).distinct()
         merged = merge(having(stored, keys, self.key), rows).select(*self.schema.names)
-        self._publish(having(stored, keys, self.key, "left_anti").unionByName(merged), touched, taken, version)
+        self._publish(having(stored, keys, self.key, "left_anti").unionByName(merged), touched, taken, version, batch)
 
-    def _publish(self, rows: DataFrame, touched: list[int], taken: int, version: dict) -> None:
+    def _publish(self, rows: DataFrame, touched: list[int], taken: int, version: dict, batch: str | None = None) -> None:
         name = f"data/{uuid.uuid4().hex}"
         rows.withColumn("_bucket", self._bucket(version["buckets"])).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
         parts = {b: p for b, p in version["parts"].items() if int(b) not in touched}
         parts |= {str(b): f"{name}/_bucket={b}" for b in touched if self.folder.has(f"{name}/_bucket={b}")}
-        self.folder.create(f"versions/{taken + 1:012d}", json.dumps({"buckets": version["buckets"], "parts": parts}))
+        self.folder.create(f"versions/{taken + 1:012d}", json.dumps({"buckets": version["buckets"], "parts": parts, "batches": (version.get("batches", []) + [batch] * bool(batch))[-1000:]}))
 
     def vacuum(self) -> None:
         """Deletes the files that the newest version doesn't name; not for while another write is going on."""

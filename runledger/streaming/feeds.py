@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from ..functions import columns as C
 from ..operators import closure as E
 from ..operators import merge as M
+from ..operators import reporting as G
 from ..session import drop, stage
 from ..sources.tables import Folder, KeyedTable, Snapshot, having
 
@@ -127,15 +128,15 @@ def _columns(schema: str) -> list[str]:
 
 
 def parsed_deliveries(raw: DataFrame) -> DataFrame:
-    """Reporting deliveries with their reason; a time must carry its offset, and is given in UTC. The resource is read from the payload."""
+    """Reporting deliveries with their reason; a time must carry its offset, and is given in UTC. The resource is read from the payload,
+    and null where it names none: such a delivery is stored all the same."""
     rows = raw.select("value", F.from_json("value", DELIVERIES, {"mode": "PERMISSIVE"}).alias("d")).select("value", "d.*")
     zoned = F.col("occurred_at").rlike(r"(Z|[+-]\d\d:?\d\d)$")
     at = F.when(zoned, F.try_to_timestamp("occurred_at"))
     reason = (F.when(F.col("provider").isNull() | F.col("delivery_id").isNull() | F.col("event_type").isNull(), "Malformed delivery")
               .when(~F.coalesce(zoned, F.lit(False)), "occurred_at must carry an offset").when(at.isNull(), "occurred_at can't be read"))
-    part = lambda k: F.get_json_object("payload", f"$.resource.{k}")
-    return rows.select("value", reason.alias("reason"), "provider", "delivery_id", "event_type", at.alias("occurred_at"), "payload", part("repository_url").alias("repository_url"),
-                       part("resource_type").alias("resource_kind"), part("resource_number").alias("number"), part("state").alias("state"))
+    named = {k: v.alias(k) for k, v in G.payload_identity().items()}
+    return rows.select("value", reason.alias("reason"), "provider", "delivery_id", "event_type", at.alias("occurred_at"), "payload", *named.values(), F.get_json_object("payload", "$.resource.state").alias("state"))
 
 
 def parsed_bindings(raw: DataFrame) -> DataFrame:
@@ -236,6 +237,30 @@ def binding_feed(source: DataFrame, table: str, dead_letters: str, checkpoint: s
     return run_stream(source, parsed_bindings, ["job_id"], ["started_at"], table, dead_letters, checkpoint, None, values, ledger, **trigger)
 
 
+def resource_states(spark: SparkSession, path: str, buckets: int = 64) -> Snapshot:
+    state = ("provider string, repository string, resource_type string, number string, parts map<string,struct<value:string,occurred_at:timestamp,delivery_id:string>>, "
+             "last_occurred_at timestamp, last_delivery_id string, deliveries long")
+    return Snapshot(spark, path, state, G.RESOURCE, buckets)
+
+
+def reporting_refresh(spark: SparkSession, path: str, buckets: int = 64):
+    """An `after` step of the delivery feed: merges a batch's deliveries into the stored state of their resources.
+
+    A batch that comes again would count its deliveries twice, so its name is kept with the state that it went into."""
+    stored = resource_states(spark, path, buckets)
+
+    def after(fresh: DataFrame, batch: str) -> None:
+        if not stored.has_batch(batch):
+            stored.upsert(stage(G.forward_state(fresh.where("repository is not null")), "state"), G.merge_into, batch)
+
+    return after
+
+
+def reporting_state(spark: SparkSession, path: str) -> DataFrame:
+    """The resources' merged payloads, with who wrote each key."""
+    return G.rendered(resource_states(spark, path).read())
+
+
 class ClosureHistory:
     """Facts by issue and by change request, which issue is named by whom, and the current episodes: all a batch needs to bring episodes up to date.
 

@@ -103,6 +103,28 @@ def test_batches_deliveries_and_bindings(spark):
     assert [r.reason for r in rows] == [None, "job_id must be a number", "Unknown outcome", "failure_reason is too long", "resource_type must be change_request"] and rows[0].repository == "h/o/r"
 
 
+def test_deliveries_of_producers_reach_the_reporting_state(spark, tmp_path):
+    """type/number as producers say them; states merge in any order; a batch that comes again counts once."""
+    source = tmp_path / "in"
+    source.mkdir()
+    d = lambda i, at, payload: json.dumps({"provider": "github", "delivery_id": i, "event_type": "x", "occurred_at": f"2025-01-0{at}T00:00:00Z", "payload": payload})
+    named = {"resource": {"repository_url": "https://h/o/r.git", "type": "pull_request", "number": 7}}
+    batches = [[d("b", 2, named | {"a": "new", "b": None}), d("c", 2, named | {"c": 5})], [d("a", 1, named | {"a": "old", "b": "kept"}), d("z", 3, {"resource": {"repository_url": "https://h/o/r", "type": "wiki", "number": 1}}), d("y", 3, {"resource": {"type": "issue", "number": True, "repository_url": "https://h/o/r"}})]]
+    after = feeds.reporting_refresh(spark, str(tmp_path / "state"), 4)
+    seen = []
+    for k, rows in enumerate(batches):
+        (source / f"{k}.json").write_text("\n".join(rows))
+        run = feeds.run_stream(feeds.files(spark, str(source)), feeds.parsed_deliveries, ["provider", "delivery_id"], ["occurred_at"], str(tmp_path / "out"), str(tmp_path / "dead"), str(tmp_path / "offsets"),
+                               lambda fresh, name: (after(fresh, name), after(fresh, name), seen.append(fresh.count())), ["event_type", "payload"])
+        run.awaitTermination()
+    r = feeds.reporting_state(spark, str(tmp_path / "state")).collect()
+    assert seen == [2, 3] and len(r) == 1
+    assert (r[0].repository, r[0].resource_type, r[0].number, r[0].deliveries, r[0].last_delivery_id) == ("h/o/r", "change_request", "7", 3, "b")
+    merged = json.loads(r[0].merged)
+    assert {k: merged[k] for k in "abc"} == {"a": "new", "b": "kept", "c": "5"}
+    assert {k: v["delivery_id"] for k, v in json.loads(r[0].key_provenance).items()} == {"a": "b", "b": "a", "c": "c", "resource": "b"}
+
+
 def test_forge_rows(spark, tmp_path):
     dumps = {
         "issues": [{"number": 1, "title": "t", "state": "closed", "user": {"login": "u"}, "created_at": "2025-01-01T00:00:00Z", "closed_at": "2025-01-02T00:00:00Z"}, {"number": 2, "pull_request": {"url": "x"}}],
