@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import drop, ship, stage  # noqa: F401  (drop and stage for the operators)
 
@@ -31,12 +32,33 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _has_map(kind: T.DataType) -> bool:
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType) or isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields)
+
+
+def _plain(value: Column, kind: T.DataType) -> Column:
+    """The value without maps, which Spark neither hashes nor compares: their entries in order of key."""
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, T.MapType):
+        return F.when(value.isNotNull(), F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _plain(e["value"], kind.valueType).alias("value")))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _plain(x, kind.elementType))
+    return F.when(value.isNotNull(), F.struct(*[_plain(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+
+
 def row_key(df: DataFrame) -> Column:
-    """128 bits of all of a row's values, which tell null from any value, in hex."""
-    values = [F.col(f"`{c}`") for c in df.columns]
+    """128 bits of all of a row's values, maps as their entries, which tell null from any value, in hex."""
+    values = [_plain(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
     return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *values, *[v.isNull() for v in values])), 16, "0") for k in (1, 2)])
 
 
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each key; rows may have maps."""
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_row")).select(key, "_row.*").select(*[f"`{c}`" for c in rows.columns])
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

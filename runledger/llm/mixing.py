@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, row_key, stage
+from .common import WORD, drop, fresh, once, row_key, stage
 
 BLOCK = 1024
 FEW = 100_000  # sources whose rows may be broadcast
@@ -262,4 +262,4 @@ def take(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.withColumn(row, row_key(docs))
     units = mix_to_targets(keyed, doc_id=row, **options)
     counts = units.groupBy(F.col("doc_id").alias(row)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
-    return keyed.dropDuplicates([row]).join(counts, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    return once(keyed, row).join(counts, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -7,9 +7,10 @@ the region, the innermost container that holds nine tenths of their text. Tags a
 headers, footers, sidebars, notices, adverts, forms, reader comments), known by tag, role or class words, has no ratio;
 nor has what stands beside an article or main element that holds at least half of the clusters' text.
 
-Of the region's lines those in clusters are given out, text blocks that stand in the same container as one (so short
-paragraphs and headings stay), and short gaps between cluster lines; of lists and cells only what isn't mostly links.
-A heading and lead right before the region belong to it.
+A region in an article or main element is the whole of that element, and all its lines are given out but those that
+evidence calls clutter: short sections, tables, dialogue and lists of links are text there. Of another region the lines in
+clusters are given out, what stands between them, and text blocks in the same containers; lines that are mostly links go.
+Inside an article some class words count only as whole names. A heading and lead right before the region belong to it.
 
 Defined results: null, empty and text-free pages give an empty text; broken, unclosed and cut-off markup is read as
 far as it goes, in time linear in its length; a page whose text all seems clutter by class words is read as if they
@@ -47,6 +48,8 @@ CLUTTER = frozenset("ad ads adbox advert adverts advertisement advertising spons
                     "footer masthead topbar toolbar share sharing social related recommended widget complementary contentinfo search "
                     "skip hidden".split())
 READERS = frozenset("comment comments commentlist respond disqus reply replies".split())
+#: Of these, words that mark clutter only as a whole name where they stand in an article.
+PARTS = frozenset("search reply replies respond notice alert related share sharing social menu skip hidden login widget recommended".split())
 WORDS = re.compile(r"[A-Za-z]+")
 #: Class names that begin so tell about a page's layout, not what an element is.
 LAYOUT = ("has-", "with-", "no-", "is-", "has_", "with_", "no_")
@@ -58,7 +61,6 @@ ITEMS = frozenset("li dt dd td th caption summary".split())
 IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
 #: What a line is: text, clutter by evidence, or clutter whatever stands in it.
 TEXT, SOFT, HARD = 0, 1, 2
-GAP = 3
 
 
 class Line(NamedTuple):
@@ -116,9 +118,13 @@ class Lines(HTMLParser):
         if attrs and tag not in ("html", "body"):
             for name, value in attrs:
                 if name in ("class", "id", "role") and value:
-                    words = {w for c in value.lower().split() if not c.startswith(LAYOUT) for w in WORDS.findall(c)}
-                    if words & CLUTTER:
-                        self.state = max(self.state, HARD if words & READERS else SOFT)
+                    within = self.at.get("article") or self.at.get("main")
+                    for token in value.lower().split():
+                        words = WORDS.findall(token)
+                        found = CLUTTER.intersection(words) if not token.startswith(LAYOUT) else ()
+                        # an article's own parts may be called search-methods or reply-letter
+                        if found and not (within and len(words) > 1 and PARTS >= found and not CLUTTER >= set(words)):
+                            self.state = max(self.state, HARD if READERS & found else SOFT)
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                     self.silent = True
         if tag in CONTAINERS:
@@ -204,6 +210,8 @@ def region_lines(page: Lines, clutter: np.ndarray) -> np.ndarray:
         content = ~clutter
     mass = gathered(lines, content, parents)
     region = int(np.flatnonzero(np.append(mass[-1:], mass[:-1]) * 10 >= mass[-1] * 9)[-1]) - 1
+    while region >= 0 and inside[region] and page.kinds[region] not in ARTICLE:
+        region = parents[region]  # an article's body is as large as the article
     within = np.zeros(len(parents) + 1, bool)
     within[region] = True
     if region >= 0:
@@ -212,16 +220,10 @@ def region_lines(page: Lines, clutter: np.ndarray) -> np.ndarray:
     else:
         within[:] = True
     here = within[[x.box for x in lines]] & ~clutter
-    both = np.zeros(len(parents) + 1, bool)
-    both[[x.box for x, c in zip(lines, content & here, strict=True) if c]] = True
-    at = np.flatnonzero(content & here)
-    before = np.searchsorted(at, np.arange(len(lines)), "right") - 1
-    gap = np.where((before >= 0) & (before + 1 < len(at)), at[np.minimum(before + 1, len(at) - 1)] - at[np.maximum(before, 0)], len(lines)) if len(at) else np.full(len(lines), 1 << 30)
-    out = content & here
-    for k, x in enumerate(lines):
-        if here[k] and not content[k]:
-            prose = x.block in PROSE or 2 * x.linked <= len(x.text)
-            out[k] = prose and (gap[k] <= GAP + 1 or both[x.box] and x.block in PROSE | ITEMS | CONTAINERS)
+    if region >= 0 and inside[region]:
+        out = here  # of an article, nothing but clutter by evidence goes
+    else:
+        out = kept_by_clusters(lines, content & here, here, len(parents))
     first = k = int(np.argmax(out)) if out.any() else 0
     while k and lines[k].block != "h1" and not clutter[k - 1] and lines[k - 1].block in PROSE and 2 * lines[k - 1].linked <= len(lines[k - 1].text):
         k -= 1
@@ -230,6 +232,21 @@ def region_lines(page: Lines, clutter: np.ndarray) -> np.ndarray:
     return out
 
 
+def kept_by_clusters(lines: list[Line], content: np.ndarray, here: np.ndarray, boxes: int) -> np.ndarray:
+    """Of a region that no tag names: content, what stands between it, and blocks beside it in its containers; runs of lines that are links for the most part go."""
+    beside = np.zeros(boxes + 1, bool)
+    beside[[x.box for x, c in zip(lines, content, strict=True) if c]] = True
+    at = np.flatnonzero(content)
+    out = content.copy()
+    for k, x in enumerate(lines):
+        if here[k] and not content[k]:
+            between = len(at) > 0 and at[0] < k < at[-1]
+            linked = 2 * x.linked > len(x.text)
+            near = between and any(0 <= j < len(lines) and content[j] for j in (k - 1, k + 1))
+            out[k] = (near and x.block in PROSE) if linked else between or not len(at) or beside[x.box] and x.block in PROSE | ITEMS | CONTAINERS
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""

@@ -274,3 +274,169 @@ def test_quality_sample_is_bounded(spark):
     whole = quality.fit_quality(docs, labels)
     assert not np.array_equal(quality.fit_quality(docs, labels, sample=50).weights, whole.weights)
     assert quality.fit_quality(docs, labels, entries=0).share is not None
+
+
+# pages, conversations, fingerprints
+
+
+LONG_P = "<p>" + "The long paragraph has many words, and they go on. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(("html", "kept"), [
+    (f"<article><h1>T</h1>{LONG_P}<section><h2>Results</h2><p>It was so.</p><p>Thus.</p></section><section><h2>End</h2><p>Bye.</p></section></article>", "Results It was so. Thus. End Bye."),
+    (f"<article>{LONG_P}<table><tr><th>Year</th><th>N</th></tr><tr><td>1999</td><td>13</td></tr></table></article>", "Year N 1999 13"),
+    (f"<article>{LONG_P}<ul><li><a href=x>One link</a></li><li><a href=y>Two links</a></li></ul></article>", "One link Two links"),
+    ("<main>" + "".join(f"<section><p>Line {k}.</p></section>" for k in range(6)) + "</main>", "Line 0. Line 1. Line 2. Line 3. Line 4. Line 5."),
+    (f"<article>{LONG_P}<section class='search-methods'><h2>M</h2><p>We looked.</p></section></article>", "M We looked."),
+    (f"<article>{LONG_P}<div class='reply-letter'><p>Dear all.</p></div></article>", "Dear all."),
+    (f"<main><article><div class=body>{LONG_P}</div><p>Afterword.</p></article></main>", "Afterword."),
+])
+def test_nothing_of_an_article_is_lost(html, kept):
+    from runledger.llm.page_text import main_text
+
+    page = f"<html><head><title>x</title></head><body><nav><a href=1>Home</a></nav>{html}<footer>Imprint</footer></body></html>"
+    got = main_text(page)
+    assert got.endswith(kept) and "Home" not in got and "Imprint" not in got
+    assert LONG_P[3:-5].strip() in got or "Line 0." in kept
+
+
+def test_clutter_of_an_article_goes():
+    from runledger.llm.page_text import main_text
+
+    clutter = ("<div class='comment-list'><p>First comment!</p></div><div class=share><a href=x>Share</a></div><aside>Aside</aside><div class='cookie-banner'>Cookies</div>"
+               "<div class=search>Find</div><div class='newsletter-signup'><p>Sign up</p></div><form>Form</form>")
+    assert main_text(f"<body><article><h1>T</h1>{LONG_P}{clutter}<p>Last words.</p></article></body>") == f"T {LONG_P[3:-5].strip()} Last words."
+
+
+def test_clusters_choose_where_no_tag_does():
+    """No article and no main: ratios tell the body from unmarked menus, link lists and imprints."""
+    from runledger.llm.page_text import main_text
+
+    links = "".join(f"<li><a href={k}>Topic number {k}</a></li>" for k in range(9))
+    body = f"<h1>Title here</h1>{LONG_P}<h2>Part</h2><p>Short.</p>{LONG_P}"
+    page = f"<body><div><ul>{links}</ul></div><div><a href=a>Home</a> <a href=b>News</a></div><div>{body}</div><div><ul>{links}</ul></div><div>All rights</div></body>"
+    long = LONG_P[3:-5].strip()
+    assert main_text(page) == f"Title here {long} Part Short. {long}"
+
+
+def region_by_brute_force(lines, sigma=1.0):
+    """Which lines are in a cluster, by the definition, one line at a time (text, tags, linked)."""
+    import math
+
+    own = [max(0, len(t) - linked) / max(1, tags) for t, tags, linked in lines]
+    weight = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(4)]
+    near = [sum(weight[abs(j - k)] * own[j] for j in range(max(0, k - 3), min(len(own), k + 4))) / sum(weight[abs(j - k)] for j in range(max(0, k - 3), min(len(own), k + 4))) for k in range(len(own))]
+    mean = sum(near) / len(near)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in near) / len(near))
+    high = [x >= spread and x > 0 for x in near]
+    out = []
+    for k in range(len(own)):
+        a = b = k
+        while high[k] and a > 0 and high[a - 1]:
+            a -= 1
+        while high[k] and b + 1 < len(own) and high[b + 1]:
+            b += 1
+        alone = [j for j in range(a, b + 1) if high[j] and own[j] >= spread]
+        out.append(high[k] and bool(alone) and alone[0] <= k <= alone[-1])
+    return out
+
+
+def test_clusters_against_brute_force():
+    from runledger.llm.page_text import Line, content_lines
+
+    rng = random.Random(6)
+    for _ in range(200):
+        lines = [("x" * rng.choice([3, 5, 40, 300, 800]), rng.randint(0, 9), rng.choice([0, 0, 3])) for _ in range(rng.randint(1, 30))]
+        got = content_lines([Line(t, n, linked, 0, "p", 0) for t, n, linked in lines], np.zeros(len(lines), bool))
+        assert list(got) == region_by_brute_force(lines)
+
+
+def test_long_conversations_read_back_in_linear_time(spark):
+    """8,000 turns of non-ASCII texts: the mask's text is exact; four times as many turns take no sixteen times as long."""
+    import time
+
+    from runledger.llm import chat_format
+
+    took = []
+    for n in (2_000, 32_000):
+        df = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "repeat('äbc <| ', 60) || id text")
+        made = chat_format.digest(chat_format.format_conversations(df))
+        made.collect()
+        began = time.perf_counter()
+        r = made.first()
+        took.append(time.perf_counter() - began)
+        text = "".join("äbc <| " * 60 + str(k) for k in range(1, n, 2))
+        assert (r.loss_chars, r.loss_sha256) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert took[1] < 60 * max(0.2, took[0])
+
+
+def plain_walk(text, moves, kinds):
+    """The embedding of one text, a step at a time."""
+    out, at = [], 0
+    for j in range(3 * (len(text) + 1)):
+        c = kinds[at] if at < len(text) else 0
+        out.append(c)
+        at += moves[j % len(moves)][c] if c else 0
+    return out
+
+
+def test_embedding_against_a_plain_walk():
+    from runledger.llm import fingerprints as fp
+
+    rng = random.Random(2)
+    texts = ["", "a", "ab" * 30, "".join(rng.choice("abcdé日 ") for _ in range(500)), "x" * 9000]
+    found, base = fp.embed(texts)
+    for k, t in enumerate(texts):
+        want = plain_walk(t, fp._MOVES[0], fp.classes(t)) if t else [0, 0, 0]
+        assert found[base[k] : base[k] + len(want)].tolist() == want
+        levels, samples = fp.sample([t])
+        for up in (0, 1):
+            assert samples[0, up].tolist() == [want[p] if p < len(want) else 0 for p in fp.places(int(levels[0]) + up)]
+
+
+def test_near_texts_by_edit_rate(spark):
+    """What near_id promises: most pairs of few edits; the likeness of pairs of many falls under the bound."""
+    from runledger.llm import fingerprints as fp
+
+    rng = random.Random(9)
+    base = [r.text for r in spark.read.parquet(f"{BIGGER}/documents.parquet").where("n_chars between 600 and 4000").orderBy("doc_id").limit(120).collect()]
+    rows, pairs = [], {0.001: [], 0.01: []}
+    for k, (t, rate) in enumerate((t, r) for t in base for r in pairs):
+        x = list(t)
+        for _ in range(max(1, int(rate * len(t)))):
+            x[rng.randrange(len(x))] = rng.choice("abcdefgh")
+        rows += [(2 * k, f"{k}|{t[::-1]}"[::-1]), (2 * k + 1, f"{k}|{''.join(x)[::-1]}"[::-1])]
+        pairs[rate].append((2 * k, 2 * k + 1))
+    got = {r.doc_id: r.near_id for r in fp.near_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    share = {rate: sum(got[a] == got[b] for a, b in p) / len(p) for rate, p in pairs.items()}
+    print(share)
+    assert share[0.001] >= 0.85 and share[0.01] >= 0.4
+
+
+def test_groups_of_near_copies_cost_in_proportion(spark):
+    """600 copies, each with an edit of its own: they come together, without all pairs being tested."""
+    from runledger.llm import fingerprints as fp
+
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(1500))
+    rows = []
+    for k in range(600):
+        at = rng.randrange(len(text))
+        rows.append((k, f"{text[:at]}{rng.choice('xyz')}{text[at + 1:]}"))
+    got = [r.near_id for r in fp.near_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert collections.Counter(got).most_common(1)[0][1] >= 570
+
+
+def test_map_columns_pass_through_the_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "one two three four five six", "a", {"k": 1}), (1, "one two three four five six", "a", {"k": 1}), (2, "one two three four five six", "b", {"k": 2, "j": None}), (3, None, None, None)],
+                                 "doc_id long, text string, source string, m map<string,int>").selectExpr("*", "array(named_struct('m', m)) deep")
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, step in corpus_pipeline.STAGES[:3]:
+        out = step(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        if name == "ngram_jaccard_join":
+            assert sorted((r.doc_id, r.m) for r in out.collect()) == [(1, {"k": 1}), (3, None)]
+        else:
+            out.collect()
