@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.llm import mixing, ngram_join, pieces, toxicity
-from runledger.llm.common import fresh, row_key, stage, table
+from runledger.llm.common import fresh, once, row_key, stage, table
 from runledger.session import ship
 
 
@@ -30,7 +30,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row_key(docs).alias("row")))
     groups = ngram_join.near_duplicates(keyed, words=5, num=80, den=100, doc_id=key)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(kept, key, "left_semi").select(*docs.columns).dropDuplicates()
+    return once(keyed.join(kept, key, "left_semi"), key).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
