@@ -7,6 +7,7 @@ before the shuffle. Lists take the stored tables.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,6 +119,31 @@ def read_back(links: DataFrame, stored_entities: DataFrame, events: DataFrame, r
     return counts.join(there, "run_id", "left").join(seen, "run_id", "left").join(own, "run_id", "left").fillna(0, ["entities", "events", "sessions"])
 
 
+ENTITY_KEY = ["provider", "repository", "entity_type", "external_id"]
+
+
+def run_documents(stored: DataFrame, links: DataFrame, events: DataFrame, run_sessions: DataFrame) -> DataFrame:
+    """Each run as one nested row: its own columns, entities, entity_links, correlations, events, session_links and the outcome.
+
+    Links that are superseded don't count. An entity is there once, a link for each row, a correlation for each link with a
+    method, the events of all linked entities by provider, repository, type and id. All parts of a run meet in one shuffle by
+    run; events come to their runs by a join on the entity's key before."""
+    name = C.entity_display(F.col("entity_type"), F.col("external_id"))
+    live = links.where("not superseded").withColumn("entity_id", name)
+    entity = F.struct("entity_id", *ENTITY_KEY, "owning_change_request_id")
+    link = F.struct("entity_id", "role", "confidence", "source")
+    found = F.when(F.col("method").isNotNull(), F.struct(F.concat_ws(":", "run_id", "entity_id").alias("correlation_id"), "entity_id", "confidence", "method", "evidence"))
+    parts = {"entities": entity, "entity_links": link, "correlations": found}
+    of_links = live.select("run_id", *[v.alias(k) for k, v in parts.items()])
+    happened = events.join(live.select("run_id", *ENTITY_KEY).distinct(), ENTITY_KEY).withColumn("entity_id", name)
+    of_events = happened.select("run_id", F.struct("occurred_at", F.concat_ws(":", "entity_id", "event_type").alias("event_id"), "event_type", "provider", "entity_id", "actor", "payload").alias("events"))
+    of_sessions = run_sessions.select("run_id", F.struct("external_session_id", "session_id", "started_at", "finished_at").alias("session_links"))
+    own = stored.select("run_id", F.struct(*[c for c in stored.columns if c != "run_id"]).alias("run"))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [own, of_links, of_events, of_sessions])
+    lists = [F.sort_array(F.collect_set("entities")).alias("entities"), *[F.sort_array(F.collect_list(c)).alias(c) for c in ("entity_links", "correlations", "events", "session_links")]]
+    return every.groupBy("run_id").agg(F.max("run").alias("run"), *lists).where("run is not null").select("run_id", "run.*", "entities", "entity_links", "correlations", "events", "session_links")
+
+
 def bindings_by_job(bindings: DataFrame, jobs: DataFrame) -> DataFrame:
     """The stored binding of each requested job; ids must be numbers."""
     return jobs.where(F.col("job_id").rlike(r"^\d+$")).select("job_id").distinct().join(bindings, "job_id")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import usage as U
 from .usage import one_project
 
 KEY = ["client_id", "project_id", "day"]
@@ -42,6 +43,21 @@ def client_project(rollup: DataFrame, facts: DataFrame, clients: DataFrame, proj
     return sums.join(counts, "group_value", "left").fillna(0, ["session_count", "model_count"])
 
 
+def from_rollup(group_by: list[str], model: str | None = None, session_id=None) -> bool:
+    """Whether the rollup answers: it has clients, projects and days, and neither models nor sessions to filter by."""
+    return set(group_by) == {"client", "project"} and model is None and session_id is None
+
+
+def aggregates(rollup: DataFrame, facts: DataFrame, group_by: list[str], clients: DataFrame, projects: DataFrame, sessions: DataFrame, start: date | None = None, end: date | None = None,
+               client_id=None, model: str | None = None, session_id=None) -> DataFrame:
+    """Usage by dimensions, filtered; whole days, both ends included. The stored rollup is read where it can answer, else the facts."""
+    if from_rollup(group_by, model, session_id):
+        of = (lambda df: df) if client_id is None else lambda df: df.where(F.col("client_id") == client_id)
+        return client_project(of(rollup), of(facts), clients, projects, start, end)
+    rows = U.window(facts, datetime.combine(start, time.min) if start else None, datetime.combine(end, time.max) if end else None, client_id=client_id, model_name=model, session_id=session_id)
+    return U.aggregates(rows, group_by, clients=clients, sessions=sessions, projects=projects)
+
+
 def disagreements(stored: DataFrame, facts: DataFrame) -> DataFrame:
     """Keys where the stored rollup and the facts differ, with the action that repairs them: insert, update or delete."""
     a = stored.select(*KEY, *[F.col(c).alias(f"old_{c}") for c in SUMS], F.lit(True).alias("_old"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,6 +121,47 @@ def retained(rows: DataFrame, cutoff_ms: int | Column, key: str | None = None, c
     return rows.join(held, key, "left").where(~old | F.col("_held").isNotNull()).drop("_held")
 
 
+#: The transcript's tables, children first, and of each one the children that hold its rows: (table, column that names the row).
+HELD_BY = {"tool_calls": (), "parts": (("tool_calls", "part_id"),), "messages": (("parts", "message_id"), ("tool_calls", "message_id"))}
+
+
+def expired(tables: dict[str, DataFrame], cutoffs: dict[str, int], ms: str = "source_created_at") -> dict[str, DataFrame]:
+    """What a dry run finds: by table the rows older than its cutoff that no child holds which is there now. Tables have `id`."""
+    out = {}
+    for name, holders in HELD_BY.items():
+        rows = tables[name].where(F.col(ms) < cutoffs[name]).select("id", ms)
+        for child, column in holders:
+            rows = rows.join(tables[child].select(F.col(column).alias("id")), "id", "left_anti")
+        out[name] = rows
+    return out
+
+
+def dry_run(tables: dict[str, DataFrame], cutoffs: dict[str, int], limit: int | None = None) -> DataFrame:
+    """table, eligible: how many rows of each a run would take, the limit being shared in order of the tables."""
+    counts = [rows.agg(F.lit(k).alias("k"), F.lit(name).alias("table"), F.count("*").alias("n")) for k, (name, rows) in enumerate(expired(tables, cutoffs).items())]
+    every = reduce(DataFrame.unionByName, counts)
+    before = F.coalesce(F.sum("n").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # three rows
+    left = F.greatest(F.lit(limit) - before, F.lit(0)) if limit is not None else F.col("n")
+    return every.select("table", F.least("n", left).alias("eligible"))
+
+
+def retention_plan(tables: dict[str, DataFrame], cutoffs: dict[str, int], limit: int | None = None, ms: str = "source_created_at") -> DataFrame:
+    """table, id of the rows that a run deletes: tool calls, then parts, then messages, each without those that a child holds which
+    stays; limit: so many over all tables, of each the oldest first. Deleting them leaves no child without its parent."""
+    taken: dict[str, DataFrame] = {}
+    left = limit
+    for name, holders in HELD_BY.items():
+        rows = tables[name].where(F.col(ms) < cutoffs[name]).select("id", ms)
+        for child, column in holders:
+            stays = tables[child].join(taken[child].select("id"), "id", "left_anti").select(F.col(column).alias("id"))
+            rows = rows.join(stays, "id", "left_anti")
+        if left is not None:
+            rows = stage(rows.orderBy(ms, "id").limit(left), "expired")
+            left -= rows.count()
+        taken[name] = rows
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("table"), "id") for name, rows in taken.items()])
+
+
 def newest_context(contexts: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first by order."""
     return contexts.withColumn("_k", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_k = 1").drop("_k")

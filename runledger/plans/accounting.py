@@ -11,7 +11,7 @@ from ..operators import identity as I
 from ..operators import merge as M
 from ..operators import rollup as R
 from .registry import query
-from .usage import LABEL, PROJECT_JOIN, money
+from .usage import CLIENT, LABEL, PROJECT_JOIN, measured, money
 
 KEY = ["client_id", "source_database_id", "source_record_id"]
 EVENT = ["identity_id", "source_record_id"]
@@ -119,11 +119,12 @@ def snapshot_replace_dirs(t):
     return M.replace_snapshots(t.fx_directories, ["client_id"], "directory")
 
 
-@query("snapshot_replace_todos", """SELECT session_id, position, status FROM fx_todos""")
+@query("snapshot_replace_todos", """WITH s AS (SELECT session_id % 97 AS session_id, session_id AS batch, CASE WHEN session_id % 5 = 0 THEN NULL WHEN position % 3 = 0 THEN '  ' ELSE ' ' || position || ':' || status || ' ' END AS todo FROM fx_todos),
+ l AS (SELECT session_id, max(batch) AS batch FROM s WHERE todo IS NULL OR trim(todo) <> '' GROUP BY 1) SELECT DISTINCT s.session_id, trim(todo) AS todo FROM s JOIN l USING (session_id, batch) WHERE trim(todo) <> ''""")
 def snapshot_replace_todos(t):
-    newest = t.fx_todos.withColumn("batch", F.lit(2)).unionByName(t.fx_todos.withColumn("batch", F.lit(1)).withColumn("status", F.lit("old")))
-    last = newest.groupBy("session_id").agg(F.max("batch").alias("batch"))
-    return newest.join(last, ["session_id", "batch"]).select("session_id", "position", "status")
+    """The newest list of each session, of many that it sent; some were sent empty."""
+    todo = F.when(F.col("session_id") % 5 == 0, None).when(F.col("position") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "position", F.lit(":"), "status", F.lit(" ")))
+    return M.replace_snapshots(t.fx_todos.select((F.col("session_id") % 97).alias("session_id"), F.col("session_id").alias("batch"), todo.alias("todo")), ["session_id"], "todo")
 
 
 @query("batch_ledger", f"""WITH {FIRST} SELECT batch, count(*) AS records, count(*) FILTER (WHERE status = 'accepted') AS accepted, count(*) FILTER (WHERE status = 'conflict') AS conflict, count(*) FILTER (WHERE status = 'rejected') AS rejected FROM v GROUP BY 1""")
@@ -231,6 +232,29 @@ def usage_client_project(t):
     return money(R.client_project(R.build(t.fx_facts), t.fx_facts, t.fx_clients, t.fx_projects, date(1995, 1, 1), date(1998, 12, 31)))
 
 
+def routed(t, group_by, **filters):
+    return money(R.aggregates(t.fx_rollup, t.fx_facts, group_by, t.fx_clients, t.fx_projects, t.fx_sessions, date(1995, 1, 1), date(1998, 12, 31), **filters))
+
+
+DAYS = "CAST(reported_at AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'"
+
+
+@query("usage_routed_rollup", f"""WITH s AS (SELECT {CLIENT_LABEL} AS group_value, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(estimated_cost_usd) AS DOUBLE) AS estimated_cost_usd, CAST(sum(message_count) AS BIGINT) AS message_count
+  FROM fx_rollup r {PROJECT_JOIN} LEFT JOIN fx_clients c ON c.client_id = r.client_id WHERE day BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' GROUP BY 1),
+ n AS (SELECT {CLIENT_LABEL} AS group_value, count(DISTINCT session_id) AS session_count, count(DISTINCT model_name) AS model_count FROM fx_facts r {PROJECT_JOIN} LEFT JOIN fx_clients c ON c.client_id = r.client_id
+  WHERE r.project_id IS NOT NULL AND {DAYS} GROUP BY 1)
+SELECT s.*, CAST(0 AS BIGINT) AS cached_tokens, CAST(0 AS BIGINT) AS reasoning_tokens, coalesce(session_count, 0) AS session_count, coalesce(model_count, 0) AS model_count FROM s LEFT JOIN n USING (group_value)""")
+def usage_routed_rollup(t):
+    """By project and client, in whatever order: the stored rollup answers, with what it has stored (some of which disagrees with the facts)."""
+    return routed(t, ["project", "client"])
+
+
+@query("usage_routed_facts", measured(f"{LABEL} AS project_label, client_name || '|' || {LABEL}", f"{CLIENT} {PROJECT_JOIN}", f"WHERE {DAYS} AND r.model_name = 'Brand#13'", "project_label"))
+def usage_routed_facts(t):
+    """The same dimensions with a model to filter by, which the rollup doesn't have: the facts answer."""
+    return routed(t, ["client", "project"], model="Brand#13")
+
+
 @query("rollup_verify", f"""WITH b AS ({BUILD}) SELECT coalesce(o.client_id, b.client_id) AS client_id, coalesce(o.project_id, b.project_id) AS project_id, coalesce(o.day, b.day) AS day,
  CASE WHEN o.client_id IS NULL THEN 'insert' WHEN b.client_id IS NULL THEN 'delete' ELSE 'update' END AS action FROM fx_rollup o FULL JOIN b ON b.client_id = o.client_id AND b.project_id = o.project_id AND b.day = o.day
 WHERE o.client_id IS NULL OR b.client_id IS NULL OR o.input_tokens <> b.input_tokens OR o.output_tokens <> b.output_tokens OR o.estimated_cost_usd <> b.estimated_cost_usd OR o.message_count <> b.message_count""")

@@ -140,6 +140,41 @@ def transcript_retention(t):
     return X.retained(t.fx_messages, CUT + 100000, "external_message_id", parts).select("external_message_id")
 
 
+MSG = "SELECT external_message_id AS id, source_created_at FROM fx_messages"
+KEPT = 150
+RUN = f"""p AS (SELECT external_part_id AS id, external_message_id AS message_id, source_created_at FROM fx_parts), c AS (SELECT 'call-' || external_part_id AS id, external_part_id AS part_id, external_message_id AS message_id, source_created_at FROM fx_parts WHERE part_type = 'tool'),
+ m AS ({MSG}), dc AS (SELECT id FROM c WHERE source_created_at < {CUT} ORDER BY source_created_at, id LIMIT {KEPT}), nc AS (SELECT * FROM c WHERE id NOT IN (SELECT id FROM dc)),
+ dp AS (SELECT id FROM p WHERE source_created_at < {CUT} + 500000 AND id NOT IN (SELECT part_id FROM nc) ORDER BY source_created_at, id LIMIT greatest({KEPT} - (SELECT count(*) FROM dc), 0)), np AS (SELECT * FROM p WHERE id NOT IN (SELECT id FROM dp)),
+ dm AS (SELECT id FROM m WHERE source_created_at < {CUT} + 900000 AND id NOT IN (SELECT message_id FROM np) AND id NOT IN (SELECT message_id FROM nc) ORDER BY source_created_at, id LIMIT greatest({KEPT} - (SELECT count(*) FROM dc) - (SELECT count(*) FROM dp), 0))"""
+
+
+def transcript_tables(t):
+    parts = t.fx_parts.select(F.col("external_part_id").alias("id"), F.col("external_message_id").alias("message_id"), "source_created_at", "part_type")
+    calls = parts.where("part_type = 'tool'").select(F.concat(F.lit("call-"), "id").alias("id"), F.col("id").alias("part_id"), "message_id", "source_created_at")
+    return {"tool_calls": calls, "parts": parts, "messages": t.fx_messages.select(F.col("external_message_id").alias("id"), "source_created_at")}
+
+
+CUTS = {"tool_calls": CUT, "parts": CUT + 500000, "messages": CUT + 900000}
+
+
+@query("retention_plan", f"""WITH {RUN} SELECT 'tool_calls' AS "table", id FROM dc UNION ALL SELECT 'parts', id FROM dp UNION ALL SELECT 'messages', id FROM dm""")
+def retention_plan(t):
+    """One limit over all tables, in their order."""
+    return X.retention_plan(transcript_tables(t), CUTS, KEPT)
+
+
+@query("retention_plan_unlimited", f"""WITH {RUN.replace(f"LIMIT {KEPT}", "").replace(f"LIMIT greatest({KEPT} - (SELECT count(*) FROM dc), 0)", "").replace(f"LIMIT greatest({KEPT} - (SELECT count(*) FROM dc) - (SELECT count(*) FROM dp), 0)", "")} SELECT 'tool_calls' AS "table", id FROM dc UNION ALL SELECT 'parts', id FROM dp UNION ALL SELECT 'messages', id FROM dm""")
+def retention_plan_unlimited(t):
+    return X.retention_plan(transcript_tables(t), CUTS)
+
+
+@query("retention_dry_run", f"""WITH {RUN}, n AS (SELECT 0 AS k, 'tool_calls' AS "table", count(*) AS n FROM c WHERE source_created_at < {CUT} UNION ALL SELECT 1, 'parts', count(*) FROM p WHERE source_created_at < {CUT} + 500000 AND id NOT IN (SELECT part_id FROM c)
+ UNION ALL SELECT 2, 'messages', count(*) FROM m WHERE source_created_at < {CUT} + 900000 AND id NOT IN (SELECT message_id FROM p) AND id NOT IN (SELECT message_id FROM c))
+SELECT "table", CAST(least(n, greatest({KEPT} - coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS BIGINT) AS eligible FROM n""")
+def retention_dry_run(t):
+    return X.dry_run(transcript_tables(t), CUTS, KEPT)
+
+
 SECRETS = ("'{\"Api-Key\":' || {k} || ',\"deep\":{\"password\":' || {p} || ',\"note\":\"n' || session_id || '\"},\"list\":[{\"token\":\"kept\"}],\"tokens\":' || session_id || '}'")
 
 

@@ -129,6 +129,29 @@ def run_read_back(t):
     return O.read_back(links, known, events, O.session_link_upsert(t.fx_session_saves))
 
 
+@query("run_documents", f"""WITH {RUNS}, {LINKS}, {SESSIONS}, fe AS (SELECT run_id, entity_id, string_agg(evidence, ',' ORDER BY arrival_seq) AS evidence, arg_max(source, arrival_seq) AS source FROM fx_links GROUP BY 1, 2),
+ l AS (SELECT li.*, fe.evidence, fe.source FROM li JOIN fe USING (run_id, entity_id) WHERE NOT superseded), ev AS (SELECT event_type, occurred_at, entity_type || ':' || (event_id % 500) AS entity_id, 'repo-' || (event_id % 500 % 5) AS repository, external_id AS actor FROM fx_events),
+ a AS (SELECT run_id, string_agg(entity_id || '|' || repository, ',' ORDER BY entity_id) AS entities, string_agg(entity_id || '|' || role, ',' ORDER BY entity_id) AS entity_links, string_agg(run_id || ':' || entity_id || '|' || method || '|' || evidence, ',' ORDER BY run_id || ':' || entity_id) FILTER (WHERE method IS NOT NULL) AS correlations FROM l GROUP BY 1),
+ h AS (SELECT run_id, string_agg(l.entity_id || ':' || event_type || '|' || actor, ',' ORDER BY occurred_at, l.entity_id || ':' || event_type, actor) AS events FROM l JOIN ev USING (entity_id) GROUP BY 1),
+ w AS (SELECT run_id, string_agg(external_session_id || '|' || coalesce(session_id, -1), ',' ORDER BY external_session_id) AS session_links FROM rs GROUP BY 1)
+SELECT ru.*, coalesce(entities, '') AS entities, coalesce(entity_links, '') AS entity_links, coalesce(correlations, '') AS correlations, coalesce(events, '') AS events, coalesce(session_links, '') AS session_links
+FROM ru LEFT JOIN a USING (run_id) LEFT JOIN h USING (run_id) LEFT JOIN w USING (run_id)""")
+def run_documents(t):
+    """Runs with all that hangs on them, shown as text."""
+    links = M.link_upsert(t.fx_links)
+    kind, external = C.split_entity(F.col("entity_id"))
+    links = links.withColumns({"entity_type": kind, "external_id": external, "provider": F.lit("github"), "owning_change_request_id": F.lit(None).cast("string")}).drop("entity_id")
+    links = links.withColumn("repository", F.concat(F.lit("repo-"), (F.col("external_id").cast("int") % 5).cast("string")))
+    number = F.col("event_id") % 500
+    events = t.fx_events.select(F.lit("github").alias("provider"), F.concat(F.lit("repo-"), (number % 5).cast("string")).alias("repository"), "entity_type", number.cast("string").alias("external_id"), "event_type", "occurred_at",
+                                F.col("external_id").alias("actor"), F.lit(None).cast("string").alias("payload"))
+    rows = O.run_documents(O.run_upsert(t.fx_run_saves), links, events, O.session_link_upsert(t.fx_session_saves))
+    text = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws("|", *[F.array_join(x[p], ",") if p == "evidence" else x[p] for p in parts])), ",")
+    sessions = F.array_join(F.transform("session_links", lambda x: F.concat_ws("|", x["external_session_id"], F.coalesce(x["session_id"], F.lit(-1)).cast("string"))), ",")
+    return rows.withColumns({"entities": text("entities", "entity_id", "repository"), "entity_links": text("entity_links", "entity_id", "role"), "correlations": text("correlations", "correlation_id", "method", "evidence"),
+                             "events": text("events", "event_id", "actor"), "session_links": sessions})
+
+
 BINDINGS = "bi AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY arrival_seq) AS k FROM fx_binding_saves) WHERE k = 1)"
 
 

@@ -21,6 +21,7 @@ SCHEMAS = {
     "commits": f"pull long, sha string, author {USER}, commit struct<message:string,author:struct<name:string,date:string>>",
     "check_runs": "pull long, id long, conclusion string, completed_at string",
     "merge_requests": f"iid long, title string, state string, description string, source_branch string, author {USER}, merged_by {USER}, created_at string, updated_at string, closed_at string, merged_at string",
+    "merge_request_commits": "iid long, id string, title string, author_name string, authored_date string, created_at string",
     "approvals": "iid long, updated_at string, approved_by array<struct<user:struct<id:long,username:string>,created_at:string>>",
     "pipelines": "iid long, id long, status string, ref string, finished_at string, updated_at string",
 }
@@ -134,3 +135,9 @@ def pipeline_events(repository: str, pipelines: DataFrame, approvals: DataFrame,
     of = name("change_request", F.col("iid"))
     given = _rows(rows, EVENT, provider, repository, event_id=F.concat(of, F.lit(":approved:"), F.col("user_id").cast("string")), event_type=F.lit("change_request.approved"), entity_id=of, occurred_at=F.col("at"), actor=F.col("username"))
     return runs.unionByName(given).where("occurred_at is not null and event_type is not null").orderBy("occurred_at", "event_id")
+
+
+def merge_request_commits(repository: str, commits: DataFrame, provider: str = "gitlab") -> DataFrame:
+    """Commits of the second forge's merge requests as entities; iid: the request that a commit was read from."""
+    return _rows(commits.where("id is not null"), ENTITY, provider, repository, entity_id=name("commit", F.col("id")), entity_type=F.lit("commit"), title=F.col("title"), author=F.col("author_name"),
+                 created_at=F.coalesce(when("authored_date"), when("created_at")), owning_change_request_id=F.col("iid"))

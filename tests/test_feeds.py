@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from runledger.operators import outcomes, usage
+from runledger.operators import outcomes, rollup, usage
 from runledger.sources import forge
 from runledger.sources.tables import KeyedTable
 from runledger.streaming import feeds
@@ -158,6 +158,19 @@ def test_second_forge(spark, tmp_path):
     assert [(r.author, r.state, r.owning_change_request_id) for r in forge.approval_entities("h/r", read["approvals"]).collect()] == [("u", "approved", "3")]
 
 
+def test_commits_of_the_second_forge(spark, tmp_path):
+    rows = [{"iid": 3, "id": "abc", "title": "t", "author_name": "n", "authored_date": "2025-01-02T01:00:00+01:00", "created_at": "2025-01-05T00:00:00Z"}, {"iid": 4, "id": "def", "created_at": "2025-01-05T00:00:00Z"}, {"iid": 4, "title": "no id"}]
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, rows)))
+    got = forge.merge_request_commits("h/r", forge.read(spark, str(tmp_path / "c.json"), "merge_request_commits")).collect()
+    assert [(r.entity_id, r.entity_type, r.provider, r.repository, r.title, r.author, r.created_at, r.owning_change_request_id) for r in got] == [
+        ("commit:abc", "commit", "gitlab", "h/r", "t", "n", datetime(2025, 1, 2), "3"), ("commit:def", "commit", "gitlab", "h/r", None, None, datetime(2025, 1, 5), "4")]
+
+
+def test_rollup_is_read_where_it_can_answer(spark):
+    """Two dimensions in any order and no filter by model or session; the plan of the facts has no rollup in it."""
+    assert rollup.from_rollup(["project", "client"]) and not rollup.from_rollup(["client", "project"], model="m") and not rollup.from_rollup(["client"]) and not rollup.from_rollup(["client", "project"], session_id=1)
+
+
 def test_bad_arguments_are_refused(spark):
     rows = spark.createDataFrame([(1, datetime(2025, 1, 1))], "client_id long, reported_at timestamp")
     calls = [lambda: usage.aggregates(rows, ["colour"]), lambda: usage.records(rows, rows, rows, "price"), lambda: usage.page(rows, [], 0), lambda: usage.window(rows, datetime(2025, 2, 1), datetime(2025, 1, 1)),
