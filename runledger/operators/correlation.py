@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 #: A rule's confidence, and the least one of a resolved link.
 RESOLVED, MENTIONED, BRANCH, COMMIT, TEMPORAL, RUN_ID, THRESHOLD = 1.0, 0.1, 0.8, 0.6, 0.4, 1.0, 0.5
 #: Fixed values: `#n`, and what closes issues. "fixe" counts, "fix" doesn't.
@@ -38,6 +39,10 @@ def of_kind(entities: DataFrame, kind: str) -> DataFrame:
     return entities.where(F.col("entity_type") == kind)
 
 
+#: Rows of a scope in one slice of a join by scope.
+SLICE = 10_000
+
+
 def numbered_issues(entities: DataFrame) -> DataFrame:
     """scope, number, issue_id: of several issues with one number the one with the greatest id."""
     return of_kind(entities, "issue").groupBy("scope", "number").agg(F.max("entity_id").alias("issue_id"))
@@ -48,6 +53,16 @@ def _proposal(rows: DataFrame, confidence, method: str, rule: int) -> DataFrame:
     return rows.select("scope", "run_id", "entity_id", c.cast("double").alias("confidence"), F.lit(method).alias("method"), F.lit(rule).alias("rule"))
 
 
+def by_scope(runs: DataFrame, rows: DataFrame, id_: str, how: str = "inner", slice_rows: int = SLICE) -> DataFrame:
+    """runs with all rows of their scope. A scope's rows are dealt to slices of so many, and its runs go to each slice, so a
+    large repository's pairs are made in as many tasks as they need; a scope with many runs and few rows is split by AQE."""
+    slices = F.greatest(F.lit(1), F.ceil(F.col("_n") / slice_rows)).cast("int")
+    sizes = rows.groupBy("scope").agg(F.count("*").alias("_n")).select("scope", slices.alias("_slices"))
+    dealt = rows.join(sizes, "scope").withColumn("_slice", F.pmod(F.xxhash64(id_), F.col("_slices")).cast("int")).drop("_slices")
+    sent = runs.join(sizes, "scope").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    return sent.join(dealt, ["scope", "_slice"], how).drop("_slice")
+
+
 def explicit_run_id(runs: DataFrame, entities: DataFrame, events: DataFrame) -> DataFrame:
     """An event's payload names the run."""
     named = events.withColumn("run_id", F.coalesce(F.get_json_object("payload", "$.run_id"), F.get_json_object("payload", "$.afk_run_id"))).select("scope", "run_id", "entity_id")
@@ -80,14 +95,26 @@ def _numbered(entities: DataFrame, numbers: Column, kind: str) -> DataFrame:
     return of_kind(entities, kind).select("scope", F.explode(numbers).alias("number")).distinct().join(numbered_issues(entities), ["scope", "number"]).select("scope", F.col("issue_id").alias("entity_id")).distinct()
 
 
+def scope_proposals(entities: DataFrame) -> DataFrame:
+    """scope, entity_id, confidence, method, rule: what branches and commits name, once for each scope, to be stored. It holds for every run of the scope."""
+    named = {"branch_issue": (BRANCH, 3, _numbered(entities, digits(F.col("branch")), "change_request")), "commit_issue": (COMMIT, 4, _numbered(entities, references(F.col("title")), "commit"))}
+    parts = [rows.select("scope", "entity_id", F.lit(c).cast("double").alias("confidence"), F.lit(m).alias("method"), F.lit(k).alias("rule")) for m, (c, k, rows) in named.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def expand_proposals(runs: DataFrame, proposals: DataFrame) -> DataFrame:
+    """The proposals of a scope for the runs asked for."""
+    return by_scope(runs.select("scope", "run_id"), proposals, "entity_id").select(*PROPOSAL)
+
+
 def branch_issue(runs: DataFrame, entities: DataFrame, events: DataFrame) -> DataFrame:
     """Issues whose number stands in a change request's branch."""
-    return _proposal(runs.select("scope", "run_id").join(_numbered(entities, digits(F.col("branch")), "change_request"), "scope"), BRANCH, "branch_issue", 3)
+    return _proposal(by_scope(runs.select("scope", "run_id"), _numbered(entities, digits(F.col("branch")), "change_request"), "entity_id"), BRANCH, "branch_issue", 3)
 
 
 def commit_issue(runs: DataFrame, entities: DataFrame, events: DataFrame) -> DataFrame:
     """Issues that a commit's title names."""
-    return _proposal(runs.select("scope", "run_id").join(_numbered(entities, references(F.col("title")), "commit"), "scope"), COMMIT, "commit_issue", 4)
+    return _proposal(by_scope(runs.select("scope", "run_id"), _numbered(entities, references(F.col("title")), "commit"), "entity_id"), COMMIT, "commit_issue", 4)
 
 
 def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -134,28 +161,65 @@ def role(confidence: Column) -> Column:
     return F.when(confidence >= THRESHOLD, "resolved").otherwise("referenced")
 
 
+def noise_candidates(entities: DataFrame) -> DataFrame:
+    """scope, entity_id, named (null for change requests): what is noise to every run of a scope that it isn't bound to, once for each scope."""
+    crs = of_kind(entities, "change_request").select("scope", "entity_id", F.lit(None).cast("array<bigint>").alias("named")).distinct()
+    return crs.unionByName(of_kind(entities, "commit").select("scope", "entity_id", references(F.col("title")).alias("named")).where(F.size("named") > 0).distinct())
+
+
+def known_numbers(runs: DataFrame, entities: DataFrame) -> DataFrame:
+    """scope, run_id, known: the numbers that a run's owner closes, and its own; a commit that names no other isn't noise."""
+    number = F.when(F.col("number").isNotNull(), F.array("number")).otherwise(F.array().cast("array<bigint>"))
+    return owners(runs, entities).select("scope", "run_id", F.concat(closing(F.col("description")), number).alias("known"))
+
+
+def not_noise(runs: DataFrame, entities: DataFrame, bound: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """scope, run_id, entity_id: the candidates that aren't noise to a run, being bound to it or naming only what it knows.
+
+    A run's noise is its scope's candidates without these: the anti-set has a few rows a run, where noise has one for each entity."""
+    candidates = noise_candidates(entities) if candidates is None else candidates
+    key = ["scope", "run_id", "entity_id"]
+    linked = bound.select(*key).join(candidates.select("scope", "entity_id").distinct(), ["scope", "entity_id"], "left_semi").select(*key)
+    # only commits that name a known number can name no other
+    known = known_numbers(runs, entities)
+    titles = candidates.where("named is not null").groupBy("scope", "entity_id").agg(F.collect_set("named").alias("all"))  # of copies of a commit, each counts
+    named = titles.select("scope", "entity_id", "all", F.explode(F.array_distinct(F.flatten("all"))).alias("n"))
+    meet = known.select("scope", "run_id", "known", F.explode(F.array_distinct("known")).alias("n")).join(named, ["scope", "n"])
+    tame = meet.where(F.forall("all", lambda x: F.size(F.array_except(x, F.col("known"))) == 0))
+    return linked.unionByName(tame.select(*key)).distinct()
+
+
+def noise_counts(runs: DataFrame, entities: DataFrame, bound: DataFrame) -> DataFrame:
+    """scope, run_id, noise: how many entities are noise to each run, without a row for each of them."""
+    every = noise_candidates(entities)
+    total = every.groupBy("scope").agg(F.countDistinct("entity_id").alias("all"))
+    less = not_noise(runs, entities, bound, every).groupBy("scope", "run_id").agg(F.count("*").alias("less"))
+    rows = runs.select("scope", "run_id").distinct().join(total, "scope").join(less, ["scope", "run_id"], "left")
+    return rows.select("scope", "run_id", (F.col("all") - F.coalesce("less", F.lit(0))).alias("noise"))
+
+
 def entity_links(runs: DataFrame, entities: DataFrame, correlations: DataFrame) -> DataFrame:
-    """Links with role and source: correlated ones, the owner's commits and reviews, and noise."""
+    """Links with role and source: correlated ones, the owner's commits and reviews, and noise. What links hang on more than once is staged."""
     key = ["scope", "run_id", "entity_id"]
+    correlations = stage(correlations, "correlations")
     direct = correlations.select(*key, role(F.col("confidence")).alias("role"), "confidence", F.lit("direct").alias("source"))
     own = owners(runs, entities).select("scope", "run_id", F.col("entity_id").alias("owner_id"), F.col("external_id").alias("owning_id"), "number", "description")
     sure = own.join(correlations.select("scope", "run_id", F.col("entity_id").alias("owner_id"), "confidence"), ["scope", "run_id", "owner_id"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(RESOLVED)))
     kin = entities.where("entity_type in ('commit', 'review')").select("scope", "entity_id", F.col("owning_change_request_id").alias("owning_id"))
     lineage = sure.join(kin, ["scope", "owning_id"]).select(*key, role(F.col("confidence")).alias("role"), "confidence", F.lit("owning_change_request").alias("source")).distinct()
     lineage = lineage.join(direct.select(*key), key, "left_anti")
-    bound = direct.unionByName(lineage)
-    crs = runs.select("scope", "run_id").join(of_kind(entities, "change_request").select("scope", "entity_id"), "scope")
-    known = own.select("scope", "run_id", F.concat(closing(F.col("description")), F.when(F.col("number").isNotNull(), F.array("number")).otherwise(F.array().cast("array<bigint>"))).alias("known"))
-    commits = (runs.select("scope", "run_id").join(of_kind(entities, "commit").select("scope", "entity_id", references(F.col("title")).alias("named")), "scope")
-               .join(known, ["scope", "run_id"], "left").where(F.size(F.array_except("named", F.coalesce("known", F.array().cast("array<bigint>")))) > 0).select(*key))
-    noise = crs.unionByName(commits).distinct().join(bound.select(*key), key, "left_anti")
+    bound = stage(direct.unionByName(lineage), "bound")
+    every = noise_candidates(entities)
+    noise = by_scope(runs.select("scope", "run_id").distinct(), every.select("scope", "entity_id").distinct(), "entity_id").select(*key)
+    noise = noise.join(not_noise(runs, entities, bound, every), key, "left_anti")
     return bound.unionByName(noise.select(*key, F.lit("noise").alias("role"), F.lit(0.0).alias("confidence"), F.lit("direct").alias("source")))
 
 
 def session_links(runs: DataFrame, entities: DataFrame, sessions: DataFrame) -> DataFrame:
     """Sessions of a run's scope and the first that holds: same agent as the owner's author, client, project, overlapping time."""
     own = owners(runs, entities).select("scope", "run_id", F.col("author").alias("run_agent"), F.col("repository").alias("run_project"))
-    pairs = runs.select("scope", "run_id", "started_at", "finished_at", F.col("client").alias("run_client")).join(own, ["scope", "run_id"], "left").join(sessions, "scope")
+    pairs = runs.select("scope", "run_id", "started_at", "finished_at", F.col("client").alias("run_client")).join(own, ["scope", "run_id"], "left")
+    pairs = by_scope(pairs, sessions, "session_id")
     method = (F.when(F.col("agent") == F.col("run_agent"), "agent_identity").when(F.col("client") == F.col("run_client"), "client_identity")
               .when(F.col("project") == F.col("run_project"), "project_match")
               .when(overlap(F.col("started_at"), F.col("finished_at"), F.col("session_started_at"), F.col("session_finished_at")), "temporal_overlap"))
@@ -184,7 +248,7 @@ def outcomes(runs: DataFrame, entities: DataFrame, correlations: DataFrame) -> D
 def dedupe_entities(entities: DataFrame, runs: DataFrame, order: str = "arrival_seq") -> DataFrame:
     """One copy of each entity for each run: that of the run's owner, else the first."""
     own = owners(runs, entities).select("scope", "run_id", F.col("external_id").alias("_owning"))
-    pairs = runs.select("scope", "run_id").join(own, ["scope", "run_id"], "left").join(entities, "scope")
+    pairs = by_scope(runs.select("scope", "run_id").join(own, ["scope", "run_id"], "left"), entities, "entity_id")
     best = F.min(F.struct((~F.coalesce(F.col("owning_change_request_id") == F.col("_owning"), F.lit(False))).alias("a"), F.col(order).alias("b"), F.col("owning_change_request_id").alias("c")))
     return pairs.groupBy("scope", "run_id", "entity_id").agg(best["c"].alias("owning_change_request_id"))
 

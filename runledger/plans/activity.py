@@ -366,6 +366,20 @@ def entity_links(t):
     return N.entity_links(t.fx_runs, t.fx_entities, correlated(t))
 
 
+@query("noise_counts", f"WITH {CORRELATE}, {LINKS} SELECT n.scope, n.run_id, count(DISTINCT n.entity_id) AS noise FROM noisy n WHERE NOT EXISTS (SELECT 1 FROM bound b WHERE b.scope = n.scope AND b.run_id = n.run_id AND b.entity_id = n.entity_id) GROUP BY 1, 2")
+def noise_counts(t):
+    """How much of a scope is noise to each run, from the scope's candidates and the run's exceptions."""
+    links = N.entity_links(t.fx_runs, t.fx_entities, correlated(t)).where("role <> 'noise'")
+    return N.noise_counts(t.fx_runs, t.fx_entities, links).where("noise > 0")
+
+
+@query("scope_proposals", f"WITH {CORRELATE} SELECT scope, run_id, issue_id AS entity_id, CAST(0.8 AS DOUBLE) AS confidence, 'branch_issue' AS method FROM n3 UNION ALL SELECT scope, run_id, issue_id, CAST(0.6 AS DOUBLE), 'commit_issue' FROM n4")
+def scope_proposals(t):
+    """What branches and commits name, stored once for each scope and expanded for all runs."""
+    stored = stage(N.scope_proposals(t.fx_entities), "proposals")
+    return N.expand_proposals(t.fx_runs, stored).select("scope", "run_id", "entity_id", "confidence", "method")
+
+
 SESSIONS = f"""ses AS (SELECT r.scope, r.run_id, s.session_id, CASE WHEN s.agent = o.author THEN 'agent_identity' WHEN s.client = r.client THEN 'client_identity' WHEN s.project = o.repository THEN 'project_match'
  WHEN r.started_at <= s.session_finished_at AND s.session_started_at <= r.finished_at THEN 'temporal_overlap' END AS method FROM fx_runs r JOIN fx_run_sessions s ON s.scope = r.scope LEFT JOIN own o ON o.scope = r.scope AND o.run_id = r.run_id)"""
 
