@@ -42,5 +42,25 @@ def redact_json(c: Column) -> Column:
     return run(c)
 
 
+def bounded_json(c: Column, limit: int = 4_096) -> Column:
+    """A JSON value, or the first characters of its serialised text as a JSON string where that text is longer.
+
+    What counts is the text as serialised (a blank behind separators, ASCII escapes), which is at most seven times as long
+    as what is stored: only values that may be too long go to Python."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                text = json.dumps(json.loads(t))
+            except ValueError:
+                text = json.dumps(t)
+            return t if len(text) <= limit else json.dumps(text[:limit])
+
+        return texts.map(one, na_action="ignore")
+
+    return F.when(F.length(c) * 7 > limit, run(c)).otherwise(c)
+
+
 def truncate_json(c: Column, limit: int = 65_536) -> Column:
     return F.when(F.length(c) > limit, F.to_json(F.struct(F.lit(True).alias("truncated"), F.substring(c, 1, limit).alias("prefix")))).otherwise(c)

@@ -152,8 +152,8 @@ def primary_provider(facts: DataFrame) -> DataFrame:
 
 
 def of_page(facts: DataFrame, page_: DataFrame) -> DataFrame:
-    """The facts of a page's sessions. A page has 1,000 rows at most (see `page`), so it's broadcast."""
-    return facts.join(F.broadcast(page_.select("session_id")), "session_id", "left_semi")
+    """The facts of a page's sessions. A page has 1,000 rows at most (see `page`), which Spark sees by its limit and broadcasts; it doesn't broadcast a larger table."""
+    return facts.join(page_.select("session_id"), "session_id", "left_semi")
 
 
 def records(facts: DataFrame, sessions: DataFrame, contexts: DataFrame, sort_by: str = "reported_at", sort_dir: str = "desc", limit: int | None = None, offset: int = 0) -> DataFrame:

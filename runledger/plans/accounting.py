@@ -86,6 +86,12 @@ BOOKED = f"""b AS (SELECT identity_id, source_record_id, arrival_seq, {', '.join
 KEPT = ["session_id", "client_id", "project_id", "reported_at"]
 
 
+@query("replay_delta_rows", f"WITH {BOOKED} SELECT identity_id, source_record_id, arrival_seq, session_id, client_id, project_id, reported_at, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' if c == 'estimated_cost_usd' else c for c in FIELDS)} FROM b")
+def replay_delta_rows(t):
+    """What each delivery adds, and to what it is booked."""
+    return money(M.replay_deltas(t.fx_received, EVENT, KEPT))
+
+
 @query("replay_rollup", f"WITH {BOOKED} SELECT client_id, project_id, CAST(reported_at AS DATE) AS day, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(estimated_cost_usd) AS DOUBLE) AS estimated_cost_usd FROM b WHERE project_id IS NOT NULL GROUP BY 1, 2, 3")
 def replay_rollup(t):
     rows = M.replay_deltas(t.fx_received, EVENT, KEPT).where("project_id is not null").withColumn("day", F.to_date("reported_at"))

@@ -95,6 +95,20 @@ def session_edges(t):
     return edges(t)
 
 
+@query("session_edges_both", """SELECT DISTINCT parent_id, child_id FROM (SELECT CAST(substr(parent_session_id, 5) AS BIGINT) AS parent_id, session_id AS child_id FROM fx_sessions WHERE parent_session_id IS NOT NULL
+ UNION ALL SELECT parent_session_id, session_id FROM fx_messages WHERE parent_session_id IS NOT NULL)""")
+def session_edges_both(t):
+    """Edges that the sessions name, those that the messages name, and some that both do."""
+    sessions = t.fx_sessions.select("session_id", F.substring("parent_session_id", 5, 20).cast("long").alias("parent_session_id"))
+    return X.session_edges(sessions, t.fx_messages)
+
+
+@query("tool_fields_bounded", """SELECT external_part_id, CASE WHEN n + 9 <= 4096 THEN '{"k":"' || repeat('a', n) || '"}' ELSE '"' || left('{\\"k\\": \\"' || repeat('a', n), 4096 + 3) || '"' END AS tool_input FROM (SELECT external_part_id, CAST(4000 + session_id % 20 * 10 AS INTEGER) AS n FROM fx_parts)""")
+def tool_fields_bounded(t):
+    text = F.concat(F.lit('{"k":"'), F.expr("repeat('a', cast(4000 + session_id % 20 * 10 as int))"), F.lit('"}'))
+    return t.fx_parts.select("external_part_id", redaction.bounded_json(text).alias("tool_input"))
+
+
 @query("session_timeline", f"""WITH RECURSIVE {EDGES}, w(root_id, session_id, depth) AS (SELECT DISTINCT session_id, session_id, 0 FROM fx_messages UNION ALL SELECT w.root_id, e.child_id, w.depth + 1 FROM w JOIN e ON e.parent_id = w.session_id WHERE w.depth < 50)
 SELECT w.root_id, w.depth, p.session_id, p.external_part_id FROM w JOIN fx_parts p ON p.session_id = w.session_id""")
 def session_timeline(t):

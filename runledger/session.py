@@ -32,8 +32,9 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers, unless PYTHONPATH already does that, and bound the batches that they get."""
     sc = spark.sparkContext
-    for key, value in BATCHES.items():
-        spark.conf.set(key, value)
+    for key, value in BATCHES.items():  # never over what the caller has set lower; 0 and less are no bound
+        if not 0 < _bytes(spark.conf.get(key)) <= int(value):
+            spark.conf.set(key, value)
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or sc.applicationId in _shipped:
         return
     path = Path(tempfile.mkdtemp(prefix="runledger-")) / "runledger.zip"
@@ -44,6 +45,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def _bytes(text: str) -> int:
+    """A number with or without a unit (k, m, g) as Spark writes it; 0 for what isn't one."""
+    found = re.fullmatch(r"(-?\d+)\s*([kmg]?)b?", text.strip().lower())
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else 0
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Unset, only a session in one process gets an own one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -60,7 +67,8 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors.
 
-    The write's shuffle files go as soon as the table is there."""
+    The write's shuffle files go as soon as the table is there, and the table goes when the driver ends, if `drop` doesn't
+    delete it before: whatever hangs on it is to be written by then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
@@ -69,6 +77,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

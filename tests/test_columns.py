@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -74,3 +75,30 @@ def test_bad_arguments(spark):
 def test_window_includes_both_ends(spark):
     df = spark.createDataFrame([(NOW,), (NOW + timedelta(seconds=1),), (NOW + timedelta(seconds=2),)], "reported_at timestamp")
     assert U.window(df, NOW, NOW + timedelta(seconds=1)).count() == 2
+
+
+def test_ids_links_and_canonical_json(spark):
+    """Run ids against plain Python, the explorer's link, and the canonical body of a run."""
+    import hashlib
+    from urllib.parse import unquote
+
+    alphabet = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+    def base32(n, size):
+        return "".join(alphabet[n >> 5 * k & 31] for k in reversed(range(size)))
+
+    rows = [(1_700_000_000_123, "a"), (0, ""), (1_735_689_600_000, "session-9é")]
+    got = spark.createDataFrame(rows, "ms long, seed string").select(C.ulid(F.col("ms"), F.col("seed")).alias("id")).collect()
+    assert [r.id for r in got] == [base32(ms, 10) + base32(int.from_bytes(hashlib.sha256(seed.encode()).digest()[:10], "big"), 16) for ms, seed in rows]
+    one = spark.createDataFrame([("x y", 3, datetime(2025, 1, 2, 3, 4, 5), datetime(2025, 1, 2, 3, 4, 5, 60))], "a string, b int, t timestamp, u timestamp")
+    link, body = one.select(C.explorer_url("https://h/logs", a=F.col("a"), b=F.col("b")), C.canonical_json("a", "b", "t", "u")).first()
+    assert link.startswith("https://h/logs?q=") and json.loads(unquote(link.split("=")[1].replace("+", " "))) == {"a": "x y", "b": 3}
+    assert body == '{"data":{"a":"x y","b":3,"t":"2025-01-02T03:04:05Z","u":"2025-01-02T03:04:05.000060Z"},"schema_version":1}'
+
+
+def test_tool_fields_are_bounded_as_serialised(spark):
+    """Blanks behind separators and ASCII escapes count; what isn't JSON is taken as text."""
+    cases = ['{"a":1}', json.dumps({"k": "é" * 700}, ensure_ascii=False), json.dumps({"k": "é" * 600}, ensure_ascii=False), "x" * 5000, None, json.dumps(["a" * 4090])]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cases], "c string").select(R.bounded_json(F.col("c"))).collect()]
+    assert got[0] == cases[0] and got[2] == cases[2] and got[4] is None and got[5] == cases[5]
+    assert json.loads(got[1]) == json.dumps(json.loads(cases[1]))[:4096] and json.loads(got[3]) == json.dumps(cases[3])[:4096]
