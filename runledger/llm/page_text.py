@@ -8,7 +8,7 @@ headers, footers, sidebars, notices, adverts, forms, reader comments), known by
 nor has what stands beside an article or main element that holds at least half of the clusters' text.
 
 A region in an article or main element is the whole of that element, and all its lines are given out but those that
-evidence calls clutter: short sections, tables, dialogue and lists of links are text there. Of another region the lines in
+evidence calls clutter: short sections, tables, dialogue and lists of links are text there; only long runs of bare, tag-laden scraps go. Of another region the lines in
 clusters are given out, what stands between them, and text blocks in the same containers; lines that are mostly links go.
 Inside an article some class words count only as whole names. A heading and lead right before the region belong to it.
 
@@ -59,6 +59,7 @@ PROSE = frozenset("p blockquote pre figcaption".split()) | HEADINGS
 ITEMS = frozenset("li dt dd td th caption summary".split())
 #: Elements that leave the head open; any other tag closes it.
 IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
+RUN = 5
 #: What a line is: text, clutter by evidence, or clutter whatever stands in it.
 TEXT, SOFT, HARD = 0, 1, 2
 
@@ -221,7 +222,7 @@ def region_lines(page: Lines, clutter: np.ndarray) -> np.ndarray:
         within[:] = True
     here = within[[x.box for x in lines]] & ~clutter
     if region >= 0 and inside[region]:
-        out = here  # of an article, nothing but clutter by evidence goes
+        out = here & ~bare_runs(lines, content)  # else of an article nothing but clutter by evidence goes
     else:
         out = kept_by_clusters(lines, content & here, here, len(parents))
     first = k = int(np.argmax(out)) if out.any() else 0
@@ -232,6 +233,13 @@ def region_lines(page: Lines, clutter: np.ndarray) -> np.ndarray:
     return out
 
 
+def bare_runs(lines: list[Line], content: np.ndarray) -> np.ndarray:
+    """Runs of RUN lines or more outside clusters that stand in bare containers with fewer than two characters for each tag: menus that no tag or class names."""
+    bare = np.array([x.block not in PROSE | ITEMS and len(x.text) < 2 * x.tags for x in lines]) & ~content
+    run = np.cumsum(np.diff(bare.astype(np.int8), prepend=0) != 0)
+    return bare & (np.bincount(run)[run] >= RUN)
+
+
 def kept_by_clusters(lines: list[Line], content: np.ndarray, here: np.ndarray, boxes: int) -> np.ndarray:
     """Of a region that no tag names: content, what stands between it, and blocks beside it in its containers; runs of lines that are links for the most part go."""
     beside = np.zeros(boxes + 1, bool)
