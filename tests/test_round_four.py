@@ -20,3 +20,34 @@ def test_times_that_end_before_they_start(spark):
     entities = spark.createDataFrame([("s", "issue", "wide", day(1), day(6)), ("s", "issue", "inside", day(5), day(4)), ("s", "issue", "half", day(3), day(6)), ("s", "issue", "far", day(20), day(8))], ENTITIES)
     got = {(r.run_id, r.entity_id) for r in N.temporal(runs, entities, None).collect()}
     assert got == {("back", "wide"), ("on", "wide"), ("on", "inside"), ("on", "half")}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_usage_is_read_once(spark):
+    """Aggregates pass over the facts once, and the projection of the driver's tables isn't written before it is read."""
+    from runledger.operators import usage as U
+    from runledger.plans.registry import Tables
+    from runledger.sources import fixtures
+
+    from .conftest import DATA
+
+    t = Tables(spark, DATA)
+    for df in (U.total(t.fx_facts), U.aggregates(t.fx_facts, ["agent", "month"], sessions=t.fx_sessions), U.records_with_context_grouped(U.records_with_context(t.fx_facts, t.fx_sessions, t.fx_contexts), ["session"])):
+        assert plan(df).count("/lineitem.parquet") == 1
+    assert not [key for key in fixtures._stored if key[2] in ("fx_usage", "fx_facts")]
+
+
+def test_measures_of_odd_rows(spark):
+    """No rows, nulls in every column, and a group that is null."""
+    from runledger.operators import usage as U
+
+    columns = ", ".join(f"{c} bigint" for c in U.TOKENS) + ", estimated_cost_usd decimal(18,6), provider string, session_id bigint, model_name string"
+    none = spark.createDataFrame([], columns)
+    assert U.total(none).drop("estimated_cost_usd").collect()[0].asDict() == {"group_value": "total", **dict.fromkeys(U.TOKENS, 0), "message_count": 0, "session_count": 0, "model_count": 0, "provider_breakdown": "{}", "cache_hit_ratio": None}
+    rows = spark.createDataFrame([(None,) * 10, (*(1,) * 6, None, "", 5, None), (*(2,) * 6, None, "b", 5, "m")], columns)
+    got = {r.group_value: r for r in U.aggregates(rows, ["model"]).collect()}
+    assert (got[None].message_count, got[None].session_count, got[None].model_count, got[None].provider_breakdown, got[None].input_tokens) == (2, 1, 0, '{"unknown":2}', 1)
+    assert (got["m"].message_count, got["m"].model_count, got["m"].provider_breakdown, got["m"].estimated_cost_usd) == (1, 1, '{"b":1}', None)
