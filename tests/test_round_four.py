@@ -51,3 +51,23 @@ def test_measures_of_odd_rows(spark):
     got = {r.group_value: r for r in U.aggregates(rows, ["model"]).collect()}
     assert (got[None].message_count, got[None].session_count, got[None].model_count, got[None].provider_breakdown, got[None].input_tokens) == (2, 1, 0, '{"unknown":2}', 1)
     assert (got["m"].message_count, got["m"].model_count, got["m"].provider_breakdown, got["m"].estimated_cost_usd) == (1, 1, '{"b":1}', None)
+
+
+def test_pairs_of_a_scope_are_grouped_where_they_are(spark):
+    """Entities in several slices, proposals for single runs, a run and a scope without any: the same as by the rules one by one; copies of an entity are one."""
+    n = 3 * N.HELD // 2
+    issues = [("s", "issue", f"issue:{k}", k, None, None, None, None, None, None, None, k) for k in range(n)]
+    crs = [("s", "change_request", f"change_request:{k}", k, f"T{k}", f"closes #{k}", f"b/{k}", None, None, None, None, k) for k in range(n)]
+    entities = spark.createDataFrame(issues + crs, "scope string, entity_type string, entity_id string, number bigint, title string, description string, branch string, author string, repository string, state string, external_id string, arrival_seq bigint")
+    entities = entities.withColumns({"created_at": F.lit(day(1)), "updated_at": F.lit(day(2)), "owning_change_request_id": F.lit(None).cast("string")})
+    runs = spark.createDataFrame([("s", "a", "T7", day(1), day(2), None), ("s", "b", None, None, None, None), ("t", "c", None, None, None, None)], RUNS)
+    events = spark.createDataFrame([("t", "e:1", '{"run_id":"c"}'), ("s", "issue:3", '{"run_id":"b"}')], "scope string, entity_id string, payload string")
+    got = {(r.scope, r.run_id, r.entity_id): (r.confidence, r.method) for r in N.correlate(runs, entities, events).collect()}
+    best = {}
+    for rule in N.RULES:
+        for r in rule(runs, entities, events).orderBy("confidence").collect():
+            key = (r.scope, r.run_id, r.entity_id)
+            if key not in best or best[key][0] == r.rule:
+                best[key] = r.rule, r.confidence, r.method
+    assert got == {k: v[1:] for k, v in best.items()} and len(got) == 3 * n + 1
+    assert N.dedupe_entities(entities.unionByName(entities), runs).count() == 4 * n
