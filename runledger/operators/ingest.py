@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -46,7 +47,7 @@ class State:
 
 @dataclass
 class Ingested:
-    """outcomes: batch, idx, status, reason. records: new ones, as stored (filled by later replays). fills: of stored records, the fields that
+    """outcomes: batch, idx, status, reason. records: new ones, as stored (filled by later replays). fills: of stored records, their session and the fields that
     replays filled. credits: session_id and the cache tokens that fills add to it. events: rows booked to events, with outcome. quarantines: identity and seq of the batch that stopped it."""
     outcomes: DataFrame
     records: DataFrame
@@ -66,17 +67,25 @@ def identified(deliveries: DataFrame, parents: DataFrame | None) -> DataFrame:
 
 
 def stopped(rows: DataFrame, state: State) -> DataFrame:
-    """client_id, identity, since: from which batch on an identity of valid rows is in quarantine (-1: before all of them)."""
+    """client_id, identity, since: from which batch on an identity of valid rows is in quarantine (-1: before all of them).
+
+    One shuffle by record: a window tells the records that several identities have, and only those become arrays, from which pairs are made in place."""
+    key = ["client_id", "source_record_id"]
     resolved = state.parents.select("identity").distinct() if state.parents is not None else None
-    had = rows.groupBy("client_id", "source_record_id", "identity").agg(F.min("seq").alias("first"))
-    owners = had.select("client_id", "source_record_id", F.col("identity").alias("other"), F.col("first").alias("since"), F.col("identity").alias("by"))
+    known = rows.select("client_id", "identity").distinct()
+    seen = rows.select(*key, "identity", "seq", F.lit(False).alias("old"))
     if state.events is not None:  # a stored event counts whatever becomes of its owner
-        owners = owners.unionByName(state.events.select("client_id", "source_record_id", F.col("identity").alias("other"), F.lit(-1).cast("long").alias("since"), F.lit(None).cast("string").alias("by")))
+        seen = seen.unionByName(state.events.select(*key, "identity", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("old")))
+    of_record = W.partitionBy(*key)
+    several = seen.where("source_record_id is not null").withColumns({"_low": F.min("identity").over(of_record), "_high": F.max("identity").over(of_record)}).where("_low < _high")
+    lists = several.groupBy(*key).agg(F.collect_set(F.struct("identity", "old", "seq")).alias("every"))
+    owner = lambda o: F.struct(o["identity"].alias("other"), F.array_min(F.transform(F.filter("every", lambda x: (x["identity"] == o["identity"]) & (x["old"] == o["old"])), lambda x: x["seq"])).alias("since"), F.when(~o["old"], o["identity"]).alias("by"))
+    names = F.array_distinct(F.transform("every", lambda x: F.struct(x["identity"].alias("identity"), x["old"].alias("old"))))
+    owners = lists.select("client_id", "every", F.inline(F.transform(names, owner)))
     if resolved is not None:
         owners = owners.join(resolved.withColumnRenamed("identity", "other"), "other", "left_anti")
-    met = rows.select("client_id", "source_record_id", "identity", "seq").distinct().join(owners, ["client_id", "source_record_id"]).where("other <> identity and since < seq")
+    met = owners.select("client_id", "other", "since", "by", F.inline("every")).where("not old and other <> identity and since < seq")
     edges = met.groupBy("client_id", "by", "since", "identity").agg(F.min("seq").alias("seq")).groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("seq", "since", "by", "identity"))).alias("edges"))
-    known = rows.select("client_id", "identity").distinct()
     held = having(known, state.held, ["identity"]) if state.held is not None else known.limit(0)
     start = held.groupBy("client_id").agg(F.map_from_entries(F.collect_list(F.struct("identity", F.lit(-1).cast("long")))).alias("start"))
     free = F.lit((1 << 63) - 1)
@@ -91,64 +100,76 @@ def stopped(rows: DataFrame, state: State) -> DataFrame:
             .select("client_id", F.explode("since").alias("identity", "since")))
 
 
-def _same(first: Column) -> Column:
-    same = M.same_cost(F.col("estimated_cost_usd"), first["estimated_cost_usd"])
-    for c in M.BASE_TOKENS:
-        same = same & F.col(c).eqNullSafe(first[c])
-    return same
+def rated(kept: DataFrame, state: State) -> DataFrame:
+    """Deliveries that count and the stored rows (seq -1), each held against its record and its event, by windows that share one shuffle.
 
+    All deliveries of a record and of an event name one source_record_id, so rows are dealt by that alone. stored: null for deliveries,
+    else record or event. head: the first row of its record; it alone carries first_ (the record's values) and fill_ (what replays
+    fill of them). is_first, same, fills and outcome (null where nothing is booked to an event) are said of deliveries."""
+    values = [*M.BASE_TOKENS, "estimated_cost_usd", "session_id", *FILLED]
+    rows = kept.select(*RECORD, "identity", "batch", "seq", "idx", *values, F.lit(None).cast("string").alias("stored"))
+    before = {"seq": F.lit(-1).cast("long"), "idx": F.lit(-1).cast("long")}
+    if state.records is not None:
+        rows = rows.unionByName(state.records.select(*RECORD, *values).withColumns(before | {"stored": F.lit("record")}), allowMissingColumns=True)
+    if state.events is not None:
+        rows = rows.unionByName(state.events.select(*EVENT, "client_id", "session_id", *M.DELTA_FIELDS).withColumns(before | {"stored": F.lit("event")}), allowMissingColumns=True)
+    rows = rows.repartition("source_record_id").withColumn("_event", F.coalesce(F.col("stored") == "event", F.lit(False)))
+    delivery = F.col("stored").isNull()
 
-def ingest(deliveries: DataFrame, state: State) -> Ingested:
-    """What becomes of each delivery, and what is to be stored of all. What several results hang on is staged."""
-    rows = stage(M.validate_tokens(identified(deliveries, state.parents)).withColumn("at", F.struct("seq", "idx")), "deliveries")
+    # records: the first wins, equal ones fill what it lacks
+    by = W.partitionBy(*RECORD, "_event").orderBy("seq", "idx")
+    first = {c: F.first(c).over(by.rowsBetween(W.unboundedPreceding, 0)) for c in values}
+    rows = rows.withColumns({"head": (F.row_number().over(by) == 1) & ~F.col("_event"), "replays_stored": F.first("seq").over(by.rowsBetween(W.unboundedPreceding, 0)) < 0, **{f"first_{c}": v for c, v in first.items()}})
+    same = M.same_cost(F.col("estimated_cost_usd"), F.col("first_estimated_cost_usd"))
+    for c in M.BASE_TOKENS:
+        same = same & F.col(c).eqNullSafe(F.col(f"first_{c}"))
+    rows = rows.withColumn("is_first", F.col("head") & delivery).withColumn("same", delivery & (F.col("is_first") | same))
+    gives = {c: F.when(F.col("same") & ~F.col("is_first") & F.col(f"first_{c}").isNull(), F.col(c)) for c in FILLED}
+    rows = rows.withColumns({f"fill_{c}": F.first(v, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) for c, v in gives.items()}
+                            | {f"_late_{c}": F.count(v).over(by.rowsBetween(W.unboundedPreceding, -1)) > 0 for c, v in gives.items()})
+    fills = F.lit(False)
+    for c, v in gives.items():
+        fills = fills | (v.isNotNull() & ~F.col(f"_late_{c}"))
+    only = {c: F.when(F.col("head"), F.col(c)) for c in [f"first_{c}" for c in values] + [f"fill_{c}" for c in FILLED]}
+    rows = rows.withColumns({"fills": fills, **only}).drop(*[f"_late_{c}" for c in FILLED])
+
+    # events: winners, and replays of records that have none yet; where there is one, records alone account for a replay
+    step = F.col("_event") | F.col("is_first") | (F.col("same") & F.col("replays_stored"))
+    of_event = W.partitionBy(*EVENT).orderBy("seq", "idx").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_step", step).withColumn("_counts", F.col("_step") & (F.col("is_first") | (F.count(F.when(F.col("_step"), 1)).over(of_event) == 0)))
+    return M.delta_outcomes(rows, EVENT, arrival=["seq", "idx"], counts=F.col("_counts")).drop("_step", "_counts", "_event", "replays_stored")
+
+
+def ingest(deliveries: DataFrame, state: State, keep: bool = True) -> Ingested:
+    """What becomes of each delivery, and what is to be stored of all. deliveries are read four times, so they should be stored.
+
+    keep: what several results hang on is staged; without it each result is made anew, which is right for a caller of one of them."""
+    rows = M.validate_tokens(identified(deliveries, state.parents))
     numbers = {c: F.col(c).try_cast("long") for c in (*M.BASE_TOKENS, *M.EXTRA_TOKENS)}
     valid = rows.where("reason is null").withColumns(numbers).withColumns({c: C.blank_to_null(F.col(c)) for c in TEXTS})
     valid = valid.withColumn("cached_tokens", C.cached_tokens(F.col("cache_read_tokens"), F.col("cache_write_tokens"), F.col("cached_tokens")))
     since = stage(stopped(valid, state), "stopped")
-    put = valid.join(since, ["client_id", "identity"], "left")
-    kept = put.where("since is null or seq < since").drop("since")
-    told = put.where("seq >= since").select("batch", "idx", F.lit("quarantined").alias("status"), F.when(F.col("seq") == F.col("since"), OVERLAP).otherwise(HELD).alias("reason"))
-
-    # records: the first wins, equal ones fill what it lacks
-    value = F.struct(*M.BASE_TOKENS, "estimated_cost_usd", "session_id", *FILLED)
-    before = F.struct(F.lit(-1).cast("long").alias("seq"), F.lit(-1).cast("long").alias("idx"))
-    seen = kept.select(*RECORD, "at", value.alias("v"))
-    if state.records is not None:
-        stored = having(state.records, kept.select(*RECORD).distinct(), RECORD)
-        seen = seen.unionByName(stored.select(*RECORD, before.alias("at"), value.alias("v")))
-    first = seen.groupBy(*RECORD).agg(F.min_by("v", "at").alias("first"), F.min("at").alias("won"))
-    rated = stage(kept.join(first, RECORD).withColumn("is_first", F.col("at") == F.col("won")).withColumn("same", F.col("is_first") | _same(F.col("first"))), "rated")
-    filler = {c: F.min(F.when(F.col("same") & ~F.col("is_first") & F.col("first")[c].isNull() & F.col(c).isNotNull(), F.struct("at", c))) for c in FILLED}
-    fills = stage(rated.groupBy(*RECORD).agg(F.any_value("won").alias("won"), F.any_value("first").alias("first"), *[e.alias(f"_{c}") for c, e in filler.items()]), "fills")
-    fill_value = {c: F.col(f"_{c}")[c] for c in FILLED}
-    any_fill = F.coalesce(*[F.col(f"_{c}")["at"].isNotNull() for c in FILLED], F.lit(False))
+    kept = valid.join(since, ["client_id", "identity"], "left").where("since is null or seq < since").drop("since")
+    bad = F.col("reason").isNotNull()
+    told = rows.join(since, ["client_id", "identity"], "left").where(bad | (F.col("seq") >= F.col("since"))).select(
+        "batch", "idx", F.when(bad, "rejected").otherwise("quarantined").alias("status"), F.when(bad, F.col("reason")).when(F.col("seq") == F.col("since"), OVERLAP).otherwise(HELD).alias("reason"))
+    every = rated(kept, state)
+    every = stage(every, "rated") if keep else every
+
+    heads = every.where("head")
+    filled = F.lit(False)
     for c in FILLED:
-        any_fill = any_fill | F.col(f"_{c}")["at"].isNotNull()
-    fillers = F.array_distinct(F.array_compact(F.array(*[F.col(f"_{c}")["at"] for c in FILLED])))
-    rated = rated.join(fills.select(*RECORD, fillers.alias("fillers")), RECORD).withColumn("fills", F.array_contains("fillers", F.col("at"))).drop("fillers")
-    new = fills.where("won.seq >= 0").select(*RECORD, F.col("first.session_id").alias("session_id"), *[F.col("first")[c].alias(c) for c in (*M.BASE_TOKENS, "estimated_cost_usd")],
-                                             *[F.coalesce(F.col("first")[c], v).alias(c) for c, v in fill_value.items()])
-    late = fills.where(any_fill)
-    add = lambda c: F.sum(F.greatest(F.coalesce(fill_value[c], F.lit(0)), F.lit(0))).alias(c)
-    credits_ = late.groupBy(F.col("first.session_id").alias("session_id")).agg(add("cache_read_tokens"), add("cache_write_tokens")).where("session_id is not null and cache_read_tokens + cache_write_tokens > 0")
-
-    # events: winners, and replays of records that have none yet
-    fields = ["client_id", "session_id", *M.DELTA_FIELDS]
-    rated = rated.withColumn("replays_stored", F.col("same") & (F.col("won.seq") < 0))
-    steps = rated.where("is_first or replays_stored").select(*EVENT, "batch", "idx", F.col("at").alias("arrival"), "is_first", *fields)
-    if state.events is not None:
-        had = having(state.events, steps.select(*EVENT).distinct(), EVENT).select(*EVENT, F.lit(None).cast("string").alias("batch"), F.lit(-1).cast("long").alias("idx"), before.alias("arrival"), F.lit(False).alias("is_first"), *fields)
-        steps = steps.unionByName(had)
-    begins = steps.groupBy(*EVENT).agg(F.min("arrival").alias("begins"))
-    steps = steps.join(begins, EVENT).where("is_first or arrival = begins")  # a replay makes an event where there is none; else records alone account for it
-    events = stage(M.delta_outcomes(steps.drop("is_first", "begins"), EVENT, arrival="arrival").where("batch is not null"), "events")
-    status = F.when(F.col("outcome") == "created", "accepted").otherwise(F.col("outcome"))
-    base = rated.select("batch", "idx", F.when(F.col("same"), "accepted").otherwise("conflict").alias("s"),
-                        F.when(F.col("is_first"), F.lit(None)).when(~F.col("same"), M.DIVERGENT).when(F.col("fills"), FILLS).otherwise(M.IDEMPOTENT).alias("reason"))
-    accounted = base.join(events.select("batch", "idx", status.alias("e")), ["batch", "idx"], "left").select("batch", "idx", F.coalesce("e", "s").alias("status"), "reason")
-    rejected = rows.where("reason is not null").select("batch", "idx", F.lit("rejected").alias("status"), "reason")
-    return Ingested(rejected.unionByName(told).unionByName(accounted), new, late.where("won.seq < 0").select(*RECORD, *[v.alias(c) for c, v in fill_value.items()]), credits_, events,
-                    since.where("since >= 0").select("identity", F.col("since").alias("seq")))
+        filled = filled | F.col(f"fill_{c}").isNotNull()
+    new = heads.where("is_first").select(*RECORD, *[F.col(f"first_{c}").alias(c) for c in ("session_id", *M.BASE_TOKENS, "estimated_cost_usd")], *[F.coalesce(f"first_{c}", f"fill_{c}").alias(c) for c in FILLED])
+    late = heads.where(filled)
+    add = lambda c: F.sum(F.greatest(F.coalesce(f"fill_{c}", F.lit(0)), F.lit(0))).alias(c)
+    credits_ = late.groupBy(F.col("first_session_id").alias("session_id")).agg(add("cache_read_tokens"), add("cache_write_tokens")).where("session_id is not null and cache_read_tokens + cache_write_tokens > 0")
+    fills = late.where("stored = 'record'").select(*RECORD, F.col("first_session_id").alias("session_id"), *[F.col(f"fill_{c}").alias(c) for c in FILLED])
+    own = every.where("stored is null")
+    events = own.where("outcome is not null").select(*EVENT, "batch", "idx", F.struct("seq", "idx").alias("arrival"), "client_id", "session_id", *M.DELTA_FIELDS, "outcome")
+    status = F.when(F.col("outcome") == "created", "accepted").otherwise(F.coalesce("outcome", F.when(F.col("same"), "accepted").otherwise("conflict")))
+    accounted = own.select("batch", "idx", status.alias("status"), F.when(F.col("is_first"), F.lit(None)).when(~F.col("same"), M.DIVERGENT).when(F.col("fills"), FILLS).otherwise(M.IDEMPOTENT).alias("reason"))
+    return Ingested(told.unionByName(accounted), new, fills, credits_, events, since.where("since >= 0").select("identity", F.col("since").alias("seq")))
 
 
 def ledger(outcomes: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ PATH = f"""RECURSIVE i AS (SELECT d.*, coalesce(p.parent, concat(d.client_id, '/
   FROM m LEFT JOIN o USING (client_id, seq, idx) LEFT JOIN l USING (client_id, source_database_id, source_record_id, seq, idx))"""
 
 
-def calls(t):
-    """Both calls' results. The state between them is stored, as a feed stores it."""
+def calls(t, keep=False):
+    """Both calls' results. The state between them is stored, as a feed stores it. keep: several results of the second call are wanted."""
     rows = t.fx_ingest
     parents = t.fx_ingest_parents
     own = rows.select(F.concat_ws("/", "client_id", "source_database_id").alias("identity")).distinct()
@@ -53,7 +53,7 @@ def calls(t):
     first = G.ingest(rows.where(F.col("seq") < LATER), state)
     after = G.advance(state, first)
     after.records, after.events, after.held = stage(after.records, "records"), stage(after.events, "events"), stage(after.held, "held")
-    return first, G.ingest(rows.where(F.col("seq") >= LATER), after)
+    return first, G.ingest(rows.where(F.col("seq") >= LATER), after, keep)
 
 
 @query("ingest_path", f"WITH {PATH} SELECT batch, idx, status, reason FROM r")
@@ -73,10 +73,10 @@ def ingest_path_ledger(t):
 SELECT session_id, CAST(sum(n) AS BIGINT) AS input_tokens, CAST(sum(a + ca) AS BIGINT) AS cache_read_tokens, CAST(sum(b + cb) AS BIGINT) AS cache_write_tokens, CAST(sum(ca + cb) AS BIGINT) AS credited, CAST(sum(cost) AS DOUBLE) AS estimated_cost_usd FROM x GROUP BY 1""")
 def replay_fill_session_totals(t):
     """Session totals over both calls: what the records hold at last, of which later deliveries filled some."""
-    a, b = calls(t)
-    total = a.records.unionByName(b.records).groupBy("session_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("estimated_cost_usd").alias("estimated_cost_usd"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("cache_read_tokens", "cache_write_tokens")])
-    late = b.fills.join(a.records.select(*G.RECORD, "session_id"), G.RECORD).groupBy("session_id").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(f"_{c}") for c in ("cache_read_tokens", "cache_write_tokens")])
-    paid = a.credits.unionByName(b.credits).groupBy("session_id").agg(F.sum(F.col("cache_read_tokens") + F.col("cache_write_tokens")).alias("credited"))
-    rows = total.join(late, "session_id", "left").join(paid, "session_id", "left")
-    both = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).cast("long").alias(c) for c in ("cache_read_tokens", "cache_write_tokens")]
-    return money(rows.select("session_id", "input_tokens", *both, F.coalesce("credited", F.lit(0)).cast("long").alias("credited"), "estimated_cost_usd"))
+    a, b = calls(t, keep=True)
+    caches, none = ("cache_read_tokens", "cache_write_tokens"), F.lit(None)
+    held = a.records.unionByName(b.records).select("session_id", "input_tokens", "estimated_cost_usd", *caches, none.cast("long").alias("credited"))
+    late = b.fills.select("session_id", none.cast("long").alias("input_tokens"), none.cast(held.schema["estimated_cost_usd"].dataType).alias("estimated_cost_usd"), *caches, none.cast("long").alias("credited"))
+    paid = a.credits.unionByName(b.credits).select("session_id", F.expr(" + ".join(caches)).alias("credited"))
+    sums = [F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in (*caches, "credited")]
+    return money(held.unionByName(late).unionByName(paid, allowMissingColumns=True).groupBy("session_id").agg(F.sum("input_tokens").alias("input_tokens"), *sums, F.sum("estimated_cost_usd").alias("estimated_cost_usd")))
