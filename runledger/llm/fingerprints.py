@@ -290,8 +290,10 @@ def is_within(a: str, b: str, most: int) -> bool:
     return anchored_bound(a, b, most) is not None or distance_within(a, b, most) is not None
 
 
-#: Members of a band, chosen by hash, that its texts of other components are tested against.
+#: Members of a band, chosen by hash, that its texts of other components are tested against before all pairs that are left.
 REPRESENTATIVES = 4
+#: Members of a band in one slice of the pairs that are left.
+CROWD = 2_000
 
 
 def entries(marks: DataFrame, share: float, bands: int, width: int) -> DataFrame:
@@ -353,8 +355,9 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
     marks: (h1, h2, n_chars, fingerprint), repeated ones too; texts: one column. A pair of likeness p shares a band with probability
     1 - (1 - p ** width) ** bands: 0.988 at 0.8. Each text is tested against the first of its bands, the one it shares most with. Then
     components are found, and in bands that hold several each text is tested against REPRESENTATIVES of its band that aren't in
-    its component, others in each band. So a text has 24 * REPRESENTATIVES tests at most, and a group of n near copies costs n
-    times that; a link is missed where all these are other texts. What passes is verified on the texts."""
+    its component, others in each band, so that n near copies come together by n times 24 * REPRESENTATIVES tests at most. In bands
+    that still hold several components, all pairs of different ones are tested, in slices of a band; so no pair that shares a band
+    is left out, and a band of many texts that aren't near costs the square of their number. What passes is verified on the texts."""
     found = entries(marks.dropDuplicates(["h1", "h2"]), share, bands, width)
     kept = stage(found, "entries")
     keys = kept.select("tag", F.explode("keys").alias("key"))
@@ -381,19 +384,40 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
     most = members.where("low < tag").groupBy("low", "tag").count().groupBy("tag").agg(F.max(F.struct("count", "low")).alias("m")).select(F.col("m.low").alias("tag_a"), F.col("tag").alias("tag_b"))
     links = verified(most.join(_side(sides, "a"), "tag_a").join(_side(sides, "b"), "tag_b"))
     roots = connected(links)
-    comp = sides.select("tag", F.struct("h1", "h2").alias("node")).join(roots, "node", "left").select("tag", F.coalesce("root", "node").alias("c")).select("tag", F.col("c.h1").alias("c1"), F.col("c.h2").alias("c2"))
-    placed = stage(members.select("key", "tag").join(comp, "tag"), "placed")
-    apart = placed.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("c1", "c2")],
-                                      F.array(*[F.min(F.struct(F.xxhash64("tag", F.lit(k)).alias("h"), "tag", "c1", "c2")) for k in range(REPRESENTATIVES)]).alias("some")).where("min_c1 < max_c1 or min_c2 < max_c2")
-    met = placed.join(apart.select("key", "some"), "key").select("tag", "c1", "c2", F.explode(F.array_distinct("some")).alias("r")).where("c1 <> r.c1 or c2 <> r.c2")
-    rest = stage(met.select(F.least("tag", "r.tag").alias("tag_a"), F.greatest("tag", "r.tag").alias("tag_b")).distinct(), "open")
-    drop(ends, members, placed)
-    if not rest.isEmpty():
+
+    def component(roots: DataFrame) -> DataFrame:
+        of = sides.select("tag", F.struct("h1", "h2").alias("node")).join(roots, "node", "left").select("tag", F.coalesce("root", "node").alias("c"))
+        return of.select("tag", F.col("c.h1").alias("c1"), F.col("c.h2").alias("c2"))
+
+    def mixed_bands(rows: DataFrame, *more: Column) -> DataFrame:
+        """The bands that hold several components."""
+        ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("c1", "c2")]
+        return rows.groupBy("key").agg(*ends, *more).where("min_c1 < max_c1 or min_c2 < max_c2").drop("min_c1", "max_c1", "min_c2", "max_c2")
+
+    placed = stage(members.select("key", "tag").join(component(roots), "tag"), "placed")
+    some = F.array(*[F.min(F.struct(F.xxhash64("tag", F.lit(k)).alias("h"), "tag", "c1", "c2")) for k in range(REPRESENTATIVES)]).alias("some")
+    apart = stage(mixed_bands(placed, some), "apart")
+    drop(ends, members)
+    if not apart.isEmpty():
+        met = placed.join(apart, "key").select("tag", "c1", "c2", F.explode(F.array_distinct("some")).alias("r")).where("c1 <> r.c1 or c2 <> r.c2")
+        rest = met.select(F.least("tag", "r.tag").alias("tag_a"), F.greatest("tag", "r.tag").alias("tag_b")).distinct()
         new = verified(rest.join(_side(sides, "a"), "tag_a").join(_side(sides, "b"), "tag_b"))
         if not new.isEmpty():
-            roots = connected(links.unionByName(new))
-        drop(new)
-    drop(rest, links, kept)
+            links = links.unionByName(new)
+            roots = connected(links)
+        # what is left: all pairs of different components in a band, one side dealt to slices and the other sent to each of them
+        again = stage(placed.select("key", "tag").join(apart.select("key"), "key").join(component(roots), "tag"), "again")
+        crowds = stage(mixed_bands(again, F.ceil(F.count("*") / CROWD).cast("int").alias("slices")), "crowds")
+        if not crowds.isEmpty():
+            rows = again.join(crowds, "key").join(sides, "tag")
+            one = _side(rows.withColumn("slice", F.pmod(F.xxhash64("tag"), F.col("slices")).cast("int")).drop("slices"), "a").withColumnRenamed("slice_a", "slice")
+            every = _side(rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices"), "b").withColumnRenamed("slice_b", "slice")
+            last = verified(one.join(every, ["key", "slice"]).where("tag_a < tag_b and (c1_a <> c1_b or c2_a <> c2_b)"))
+            if not last.isEmpty():
+                roots = connected(links.unionByName(last))
+            drop(last)
+        drop(new, again, crowds)
+    drop(placed, apart, kept)
     return roots.select("node.h1", "node.h2", "root")
 
 
