@@ -345,6 +345,15 @@ def _possible(share: float, alike: float) -> Column:
     return (F.abs(F.col("n_a") - F.col("n_b")) <= F.lit(share) * F.greatest("n_a", "n_b")) & (differ <= valid * F.lit(1 - alike + 1e-9))
 
 
+def _conceivable(share: float, alike: float) -> Column:
+    """What _possible needs, of the lengths, one of the eight bit planes and what isn't past the end: a quarter of the words, and nothing possible fails it."""
+    differ, valid = F.lit(0), F.lit(0)
+    for half in (0, 1):
+        differ = differ + F.bit_count(F.col(f"f{half}_a").bitwiseXOR(F.col(f"f{half}_b")))
+        valid = valid + F.bit_count(F.col(f"f{16 + half}_a").bitwiseOR(F.col(f"f{16 + half}_b")))
+    return (F.abs(F.col("n_a") - F.col("n_b")) <= F.lit(share) * F.greatest("n_a", "n_b")) & (differ <= valid * F.lit(1 - alike + 1e-9))
+
+
 def _side(df: DataFrame, k: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c == "key" else f"{c}_{k}") for c in df.columns])
 
@@ -364,13 +373,16 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
     ends = stage(keys.groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high").drop("high"), "ends")
     members = stage(keys.join(ends, "key"), "members")
     sides = kept.select("tag", "h1", "h2", "n", *[F.get("samples", F.lit(k)).alias(f"f{k}") for k in range(WORDS)])
-    possible, ids = _possible(share, alike), ["h1_a", "h2_a", "h1_b", "h2_b"]
+    light = kept.select("tag", "n", *[F.get("samples", F.lit(k)).alias(f"f{k}") for k in (0, 1, 16, 17)])  # rows of many pairs carry no more
+    possible, conceivable, ids = _possible(share, alike), _conceivable(share, alike), ["h1_a", "h2_a", "h1_b", "h2_b"]
 
     @F.pandas_udf("boolean")
     def within(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([is_within(x, y, int(share * max(len(x), len(y)))) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Links of pairs (tag_a, tag_b)."""
+        pairs = pairs.join(_side(sides, "a"), "tag_a").join(_side(sides, "b"), "tag_b")
         pairs = stage(pairs.where(possible).select(*ids).distinct(), "pairs")
         wanted = pairs.select(F.explode(F.array(F.struct(F.col("h1_a").alias("h1"), F.col("h2_a").alias("h2")), F.struct(F.col("h1_b").alias("h1"), F.col("h2_b").alias("h2")))).alias("x")).select("x.*").distinct()
         held = keyed_texts(texts, bloom(wanted.select("h1"))).join(wanted.hint("shuffle_hash"), ["h1", "h2"], "left_semi")
@@ -382,7 +394,7 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
         return links
 
     most = members.where("low < tag").groupBy("low", "tag").count().groupBy("tag").agg(F.max(F.struct("count", "low")).alias("m")).select(F.col("m.low").alias("tag_a"), F.col("tag").alias("tag_b"))
-    links = verified(most.join(_side(sides, "a"), "tag_a").join(_side(sides, "b"), "tag_b"))
+    links = verified(most)
     roots = connected(links)
 
     def component(roots: DataFrame) -> DataFrame:
@@ -401,7 +413,7 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
     if not apart.isEmpty():
         met = placed.join(apart, "key").select("tag", "c1", "c2", F.explode(F.array_distinct("some")).alias("r")).where("c1 <> r.c1 or c2 <> r.c2")
         rest = met.select(F.least("tag", "r.tag").alias("tag_a"), F.greatest("tag", "r.tag").alias("tag_b")).distinct()
-        new = verified(rest.join(_side(sides, "a"), "tag_a").join(_side(sides, "b"), "tag_b"))
+        new = verified(rest.join(_side(light, "a"), "tag_a").join(_side(light, "b"), "tag_b").where(conceivable).select("tag_a", "tag_b"))
         if not new.isEmpty():
             links = links.unionByName(new)
             roots = connected(links)
@@ -409,10 +421,11 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
         again = stage(placed.select("key", "tag").join(apart.select("key"), "key").join(component(roots), "tag"), "again")
         crowds = stage(mixed_bands(again, F.ceil(F.count("*") / CROWD).cast("int").alias("slices")), "crowds")
         if not crowds.isEmpty():
-            rows = again.join(crowds, "key").join(sides, "tag")
+            rows = again.join(crowds, "key").join(light, "tag")
             one = _side(rows.withColumn("slice", F.pmod(F.xxhash64("tag"), F.col("slices")).cast("int")).drop("slices"), "a").withColumnRenamed("slice_a", "slice")
             every = _side(rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices"), "b").withColumnRenamed("slice_b", "slice")
-            last = verified(one.join(every, ["key", "slice"]).where("tag_a < tag_b and (c1_a <> c1_b or c2_a <> c2_b)"))
+            last = one.join(every, ["key", "slice"]).where("tag_a < tag_b and (c1_a <> c1_b or c2_a <> c2_b)").where(conceivable)
+            last = verified(last.select("tag_a", "tag_b").distinct())
             if not last.isEmpty():
                 roots = connected(links.unionByName(last))
             drop(last)
