@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bloom, drop, mixed, passes, slices, stage
@@ -142,8 +142,18 @@ def fingerprint_column(df: DataFrame, text: str = "text", fingerprint: str = "fi
     return df.withColumn(fingerprint, run(F.col(text)))
 
 
-def in_id_order(docs: DataFrame) -> DataFrame:
-    """part, extra, doc_id, text: ranges of ids, each sorted within a task; extra rows are what follows the range.
+def packed(text: str, codec: pa.Codec) -> bytes:
+    """A text's size in bytes, then the text compressed: a shuffle compresses by blocks, and much less."""
+    raw = text.encode()
+    return len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
+
+
+def unpacked(data: bytes, codec: pa.Codec) -> str:
+    return codec.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode()
+
+
+def in_id_order(docs: DataFrame, pack: bool = False) -> DataFrame:
+    """part, extra, doc_id, text: ranges of ids, each sorted within a task; extra rows are what follows the range. pack: texts come packed.
 
     There are as many ranges as the data needs for RANGE_BYTES each, RANGES at most, and the driver puts their first rows in order
     (ids and hashes). An id that fills several ranges, or the rows without one, are cut further by a hash of the text."""
@@ -176,8 +186,17 @@ def in_id_order(docs: DataFrame) -> DataFrame:
     extra = spark.createDataFrame([(*k, v) for k, v in follow.items()], "head_id long, head_mix long, head_own long, parts array<int>")
     sent = rows.join(F.broadcast(extra), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("mix") == F.col("head_mix")) & (F.xxhash64("text", F.lit(1)) == F.col("head_own")), "left")
     copies = F.concat(F.array(F.struct("part", F.lit(0).alias("extra"))), F.coalesce(F.transform("parts", lambda p: F.struct(p.alias("part"), F.lit(1).alias("extra"))), F.array().cast("array<struct<part:int,extra:int>>")))
-    every = sent.select(F.explode(copies).alias("c"), "doc_id", "mix", "text").select("c.part", "c.extra", "doc_id", "mix", "text")
-    return every.repartitionById(max(1, next_part), F.col("part")).sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "mix", F.xxhash64("text", F.lit(1)), "text").drop("mix")
+    every = sent.select(copies.alias("copies"), "doc_id", "mix", F.xxhash64("text", F.lit(1)).alias("own"), "text")
+    if pack:
+
+        @F.pandas_udf("binary")
+        def pack_texts(texts: pd.Series) -> pd.Series:
+            codec = pa.Codec("zstd")
+            return pd.Series([packed(t, codec) for t in texts])
+
+        every = every.withColumn("text", pack_texts("text"))
+    every = every.select(F.explode("copies").alias("c"), "doc_id", "mix", "own", "text").select("c.part", "c.extra", "doc_id", "mix", "own", "text")
+    return every.repartitionById(max(1, next_part), F.col("part")).sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "mix", "own", "text").drop("mix", "own")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, h1 long, h2 long"
@@ -192,10 +211,24 @@ def text_key(text: str) -> tuple[int, int]:
 def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every text's fingerprint, that of its edit (second half replaced by the next text's beginning), likenesses, and the text's key (h1, h2)."""
 
+    def opened(batches, most=4 << 20):
+        """Rows with their texts unpacked, about so many bytes of them at once."""
+        codec = pa.Codec("zstd")
+        for part in slices(batches, 2 << 20, 1 << 13):
+            new, size = [], 0
+            for part_, extra, i, data in zip(*(part[k].to_pylist() for k in range(4)), strict=True):
+                new.append((part_, extra, i, unpacked(data, codec)))
+                size += int.from_bytes(data[:8], "little")
+                if size >= most:
+                    yield new
+                    new, size = [], 0
+            if new:
+                yield new
+
     def run(batches):
         held: list[tuple] = []
-        for part in slices(batches, 4 << 20, 1 << 13):
-            rows = held + list(zip(*(part[k].to_pylist() for k in range(4)), strict=True))
+        for new in opened(batches):
+            rows = held + new
             held = rows[-1:]
             texts = [r[3] for r in rows]
             emit = [k for k in range(len(rows) - 1) if not rows[k][1]]
@@ -214,7 +247,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 names=[c.split()[0] for c in RESULT.split(", ")])
 
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return in_id_order(plain).mapInArrow(run, RESULT)
+    return in_id_order(plain, pack=True).mapInArrow(run, RESULT)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -297,7 +330,7 @@ CROWD = 2_000
 
 
 def entries(marks: DataFrame, share: float, bands: int, width: int) -> DataFrame:
-    """For rows (h1, h2, n_chars, fingerprint) one row for each level at which a near text may be met: tag, samples and band keys.
+    """For rows (h1, h2, n_chars, fingerprint) one row for each level at which a near text may be met: tag, samples, how many aren't past the end, band keys.
 
     A tag holds 47 bits of h1 and the level; that is the text's own, and the next too where a longer near text may have it."""
     picks = np.array([np.argsort(mixed(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(k << 20)))[:width] for k in range(bands)])
@@ -322,10 +355,10 @@ def entries(marks: DataFrame, share: float, bands: int, width: int) -> DataFrame
             own = [r[0] for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(h1[k] & NAMES) << 16 | int(lv) for k, lv in zip(own, level, strict=True)], pa.int64()), pa.array([h1[k] for k in own], pa.int64()), pa.array([h2[k] for k in own], pa.int64()),
-                 pa.array([n[k] for k in own], pa.int64()), pa.array(list(planes(x)), pa.list_(pa.int64())), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
-                names=["tag", "h1", "h2", "n", "samples", "keys"])
+                 pa.array([n[k] for k in own], pa.int64()), pa.array((x > 0).sum(1), pa.int64()), pa.array(list(planes(x)), pa.list_(pa.int64())), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
+                names=["tag", "h1", "h2", "n", "valid", "samples", "keys"])
 
-    return marks.select("h1", "h2", "n_chars", "fingerprint").mapInArrow(run, "tag long, h1 long, h2 long, n long, samples array<long>, keys array<long>")
+    return marks.select("h1", "h2", "n_chars", "fingerprint").mapInArrow(run, "tag long, h1 long, h2 long, n long, valid long, samples array<long>, keys array<long>")
 
 
 def planes(x: np.ndarray) -> np.ndarray:
@@ -345,13 +378,15 @@ def _possible(share: float, alike: float) -> Column:
     return (F.abs(F.col("n_a") - F.col("n_b")) <= F.lit(share) * F.greatest("n_a", "n_b")) & (differ <= valid * F.lit(1 - alike + 1e-9))
 
 
-def _conceivable(share: float, alike: float) -> Column:
-    """What _possible needs, of the lengths, one of the eight bit planes and what isn't past the end: a quarter of the words, and nothing possible fails it."""
-    differ, valid = F.lit(0), F.lit(0)
-    for half in (0, 1):
-        differ = differ + F.bit_count(F.col(f"f{half}_a").bitwiseXOR(F.col(f"f{half}_b")))
-        valid = valid + F.bit_count(F.col(f"f{16 + half}_a").bitwiseOR(F.col(f"f{16 + half}_b")))
-    return (F.abs(F.col("n_a") - F.col("n_b")) <= F.lit(share) * F.greatest("n_a", "n_b")) & (differ <= valid * F.lit(1 - alike + 1e-9))
+#: What rows of many pairs carry of a text: length and number of samples not past the end (nv), one of the eight bit planes.
+LIGHT = ["nv", "f0", "f1"]
+
+
+def _conceivable(a: dict[str, Column], b: dict[str, Column], share: float, alike: float) -> Column:
+    """What _possible needs, of LIGHT: nothing possible fails it. Samples past the end are the last, so of two texts the longer's aren't in either."""
+    n, valid = ([F.shiftright(x["nv"], 8) for x in (a, b)], [x["nv"].bitwiseAND(F.lit(255).cast("long")) for x in (a, b)])
+    differ = F.bit_count(a["f0"].bitwiseXOR(b["f0"])) + F.bit_count(a["f1"].bitwiseXOR(b["f1"]))
+    return (F.abs(n[0] - n[1]) <= F.lit(share) * F.greatest(*n)) & (differ <= F.greatest(*valid) * F.lit(1 - alike + 1e-9))
 
 
 def _side(df: DataFrame, k: str) -> DataFrame:
@@ -362,19 +397,26 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
     """(h1, h2, root) of the texts that have a near one, over links: likeness alike or more, and an edit distance of at most share of the longer.
 
     marks: (h1, h2, n_chars, fingerprint), repeated ones too; texts: one column. A pair of likeness p shares a band with probability
-    1 - (1 - p ** width) ** bands: 0.988 at 0.8. Each text is tested against the first of its bands, the one it shares most with. Then
-    components are found, and in bands that hold several each text is tested against REPRESENTATIVES of its band that aren't in
-    its component, others in each band, so that n near copies come together by n times 24 * REPRESENTATIVES tests at most. In bands
-    that still hold several components, all pairs of different ones are tested, in slices of a band; so no pair that shares a band
+    1 - (1 - p ** width) ** bands: 0.988 at 0.8. One shuffle by band gives each text the REPRESENTATIVES of its bands, the same in many bands,
+    and what can't be near is left out in place. Each text is tested against the one it shares most bands with, then, of different
+    components, against the others, so that n near copies come together by n times 24 * REPRESENTATIVES tests at most. Of the members that represent
+    no band, all pairs of different components in a band are tested last, in slices of a band; so no pair that shares a band
     is left out, and a band of many texts that aren't near costs the square of their number. What passes is verified on the texts."""
     found = entries(marks.dropDuplicates(["h1", "h2"]), share, bands, width)
     kept = stage(found, "entries")
-    keys = kept.select("tag", F.explode("keys").alias("key"))
-    ends = stage(keys.groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high").drop("high"), "ends")
-    members = stage(keys.join(ends, "key"), "members")
     sides = kept.select("tag", "h1", "h2", "n", *[F.get("samples", F.lit(k)).alias(f"f{k}") for k in range(WORDS)])
-    light = kept.select("tag", "n", *[F.get("samples", F.lit(k)).alias(f"f{k}") for k in (0, 1, 16, 17)])  # rows of many pairs carry no more
-    possible, conceivable, ids = _possible(share, alike), _conceivable(share, alike), ["h1_a", "h2_a", "h1_b", "h2_b"]
+    possible, ids, band = _possible(share, alike), ["h1_a", "h2_a", "h1_b", "h2_b"], Window.partitionBy("key")
+    one = F.struct("tag", *LIGHT)
+    nv = (F.shiftleft("n", 8) + F.col("valid")).alias("nv")
+    rows = kept.select("tag", nv, *[F.get("samples", F.lit(k)).alias(f"f{k}") for k in (0, 1)], F.explode("keys").alias("key"))
+    rows = rows.withColumn("m", F.count("*").over(band)).where("m > 1")
+    rows = rows.withColumn("some", F.array_distinct(F.array(*[F.min_by(one, F.xxhash64("tag", F.lit(k))).over(band) for k in range(REPRESENTATIVES)])))
+    others = ~F.array_contains(F.col("some.tag"), F.col("tag")) & (F.col("m") > F.size("some") + 1)
+    rows = rows.select("key", one.alias("o"), F.explode(F.when(others, F.concat("some", F.array(F.lit(None)))).otherwise(F.col("some"))).alias("r"))
+    fits = _conceivable({c: F.col(f"o.{c}") for c in LIGHT}, {c: F.col(f"r.{c}") for c in LIGHT}, share, alike)
+    rows = rows.where(F.col("r").isNull() | (F.col("o.tag") != F.col("r.tag")) & fits)
+    alone = lambda c: F.when(F.col("r").isNull(), F.col(c))
+    met = stage(rows.select(F.col("o.tag").alias("tag"), F.col("r.tag").alias("to"), alone("key").alias("key"), *[alone(f"o.{c}").alias(c) for c in LIGHT]), "met")
 
     @F.pandas_udf("boolean")
     def within(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -382,8 +424,10 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links of pairs (tag_a, tag_b)."""
-        pairs = pairs.join(_side(sides, "a"), "tag_a").join(_side(sides, "b"), "tag_b")
-        pairs = stage(pairs.where(possible).select(*ids).distinct(), "pairs")
+        tags = stage(pairs, "tags")
+        few = sides.where(among("tag", bloom(tags.select(F.explode(F.array("tag_a", "tag_b")).alias("tag")))))
+        pairs = stage(tags.join(_side(few, "a"), "tag_a").join(_side(few, "b"), "tag_b").where(possible).select(*ids).distinct(), "pairs")
+        drop(tags)
         wanted = pairs.select(F.explode(F.array(F.struct(F.col("h1_a").alias("h1"), F.col("h2_a").alias("h2")), F.struct(F.col("h1_b").alias("h1"), F.col("h2_b").alias("h2")))).alias("x")).select("x.*").distinct()
         held = keyed_texts(texts, bloom(wanted.select("h1"))).join(wanted.hint("shuffle_hash"), ["h1", "h2"], "left_semi")
         held = stage(held.groupBy("h1", "h2").agg(F.first("text").alias("text")), "held")
@@ -393,47 +437,56 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
         drop(pairs, held)
         return links
 
-    most = members.where("low < tag").groupBy("low", "tag").count().groupBy("tag").agg(F.max(F.struct("count", "low")).alias("m")).select(F.col("m.low").alias("tag_a"), F.col("tag").alias("tag_b"))
-    links = verified(most)
-    roots = connected(links)
+    def components(roots: DataFrame) -> DataFrame:
+        """Components of the entries that have a link; the others are each their own."""
+        of = sides.select("tag", F.struct("h1", "h2").alias("node")).join(roots, "node").select("tag", F.col("root.h1").alias("c1"), F.col("root.h2").alias("c2"))
+        return stage(of, "components")
+
+    def placed(rows: DataFrame, of: DataFrame, tag: str = "tag", k: str = "") -> DataFrame:
+        of = of.select(F.col("tag").alias(tag), F.col("c1").alias("_1"), F.col("c2").alias("_2"))
+        return rows.join(of, tag, "left").withColumn(f"c1{k}", F.coalesce("_1", tag)).withColumn(f"c2{k}", F.coalesce("_2", F.lit(0))).drop("_1", "_2")
 
-    def component(roots: DataFrame) -> DataFrame:
-        of = sides.select("tag", F.struct("h1", "h2").alias("node")).join(roots, "node", "left").select("tag", F.coalesce("root", "node").alias("c"))
-        return of.select("tag", F.col("c.h1").alias("c1"), F.col("c.h2").alias("c2"))
-
-    def mixed_bands(rows: DataFrame, *more: Column) -> DataFrame:
-        """The bands that hold several components."""
-        ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("c1", "c2")]
-        return rows.groupBy("key").agg(*ends, *more).where("min_c1 < max_c1 or min_c2 < max_c2").drop("min_c1", "max_c1", "min_c2", "max_c2")
-
-    placed = stage(members.select("key", "tag").join(component(roots), "tag"), "placed")
-    some = F.array(*[F.min(F.struct(F.xxhash64("tag", F.lit(k)).alias("h"), "tag", "c1", "c2")) for k in range(REPRESENTATIVES)]).alias("some")
-    apart = stage(mixed_bands(placed, some), "apart")
-    drop(ends, members)
-    if not apart.isEmpty():
-        met = placed.join(apart, "key").select("tag", "c1", "c2", F.explode(F.array_distinct("some")).alias("r")).where("c1 <> r.c1 or c2 <> r.c2")
-        rest = met.select(F.least("tag", "r.tag").alias("tag_a"), F.greatest("tag", "r.tag").alias("tag_b")).distinct()
-        new = verified(rest.join(_side(light, "a"), "tag_a").join(_side(light, "b"), "tag_b").where(conceivable).select("tag_a", "tag_b"))
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            roots = connected(links)
-        # what is left: all pairs of different components in a band, one side dealt to slices and the other sent to each of them
-        again = stage(placed.select("key", "tag").join(apart.select("key"), "key").join(component(roots), "tag"), "again")
-        crowds = stage(mixed_bands(again, F.ceil(F.count("*") / CROWD).cast("int").alias("slices")), "crowds")
-        if not crowds.isEmpty():
-            rows = again.join(crowds, "key").join(light, "tag")
-            one = _side(rows.withColumn("slice", F.pmod(F.xxhash64("tag"), F.col("slices")).cast("int")).drop("slices"), "a").withColumnRenamed("slice_a", "slice")
-            every = _side(rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices"), "b").withColumnRenamed("slice_b", "slice")
-            last = one.join(every, ["key", "slice"]).where("tag_a < tag_b and (c1_a <> c1_b or c2_a <> c2_b)").where(conceivable)
-            last = verified(last.select("tag_a", "tag_b").distinct())
-            if not last.isEmpty():
-                roots = connected(links.unionByName(last))
-            drop(last)
-        drop(new, again, crowds)
-    drop(placed, apart, kept)
+    apart = "c1_a <> c1_b or c2_a <> c2_b"
+    shared = stage(met.where("to is not null").groupBy("tag", "to").count(), "shared")
+    ends = [F.least("tag", "to").alias("tag_a"), F.greatest("tag", "to").alias("tag_b")]
+    links = verified(shared.groupBy("tag").agg(F.max(F.struct("count", "to")).alias("m")).select("tag", "m.to").select(*ends).distinct())
+    roots = connected(links)
+    of = components(roots)
+    rest = shared.select(*ends).distinct()
+    new = verified(placed(placed(rest, of, "tag_a", "_a"), of, "tag_b", "_b").where(apart).select("tag_a", "tag_b"))
+    if not new.isEmpty():
+        links = links.unionByName(new)
+        roots = connected(links)
+        drop(of)
+        of = components(roots)
+    # what is left: all pairs of different components of a band's other members, one side dealt to slices and the other sent to each of them
+    left = placed(met.where("to is null").drop("to"), of)
+    left = left.withColumns({"slices": F.ceil(F.count("*").over(band) / CROWD).cast("int"), **{f"{f.__name__}_{c}": f(c).over(band) for f in (F.min, F.max) for c in ("c1", "c2")}})
+    crowds = stage(left.where("min_c1 < max_c1 or min_c2 < max_c2").select("key", "tag", *LIGHT, "c1", "c2", "slices"), "crowds")
+    drop(met, shared)
+    if not crowds.isEmpty():
+        one = _side(crowds.withColumn("slice", F.pmod(F.xxhash64("tag"), F.col("slices")).cast("int")).drop("slices"), "a").withColumnRenamed("slice_a", "slice")
+        every = _side(crowds.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices"), "b").withColumnRenamed("slice_b", "slice")
+        fits = _conceivable(*[{c: F.col(f"{c}_{k}") for c in LIGHT} for k in "ab"], share, alike)
+        last = one.join(every, ["key", "slice"]).where("tag_a < tag_b").where(apart).where(fits)
+        last = verified(last.select("tag_a", "tag_b").distinct())
+        if not last.isEmpty():
+            roots = connected(links.unionByName(last))
+    drop(of, crowds, kept)
     return roots.select("node.h1", "node.h2", "root")
 
 
+def among(column: str, bits: np.ndarray) -> Column:
+    """Whether a filter lets a long through."""
+    shared = SparkSession.active().sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def run(ids: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, ids.to_numpy(np.int64)))
+
+    return run(column)
+
+
 def keyed_texts(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(h1, h2, text) of the texts whose h1 the filter lets through; null is empty."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
@@ -458,13 +511,7 @@ def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = own.where("root is not null").groupBy("root").agg(F.min("own").alias("least"))
     near = stage(own.join(least, "root", "left").select("h1", "h2", F.coalesce("least", "own").alias("near")), "near")
     # rows are wide: only those that have a near or equal one are sent to a join, which a filter tells
-    shared = made.sparkSession.sparkContext.broadcast(bloom(near.select("h1")))
-
-    @F.pandas_udf("boolean")
-    def may_be(h1: pd.Series) -> pd.Series:
-        return pd.Series(passes(shared.value, h1.to_numpy(np.int64)))
-
-    marked = made.withColumn("_may", may_be("h1"))
+    marked = made.withColumn("_may", among("h1", bloom(near.select("h1"))))
     alone = marked.where("not _may").withColumn("near_id", F.col("doc_id"))
     held = marked.where("_may").join(near, ["h1", "h2"], "left").withColumn("near_id", F.when(F.col("near").isNull(), F.col("doc_id")).otherwise(F.col("near"))).drop("near")
     return alone.unionByName(held).drop("_may", "h1", "h2")
