@@ -250,21 +250,42 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return in_id_order(plain, pack=True).mapInArrow(run, RESULT)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit-parallel columns (Myers 1999)."""
-    if not a:
-        return len(b)
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """Two texts without their longest common beginning and then without their longest common end, which no edit distance hangs on."""
+
+    def common(same) -> int:
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            k = (low + high + 1) // 2
+            low, high = (k, high) if same(k) else (low, k - 1)
+        return low
+
+    k = common(lambda k: a[:k] == b[:k])
+    a, b = a[k:], b[k:]
+    k = common(lambda k: a[len(a) - k :] == b[len(b) - k :])
+    return a[: len(a) - k], b[: len(b) - k]
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance by bit-parallel columns (Myers 1999); with most, of those beyond it some number beyond it."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
     peq: dict[str, int] = {}
     for k, c in enumerate(a):
         peq[c] = peq.get(c, 0) | 1 << k
     full, top, pv, mv, score = (1 << len(a)) - 1, 1 << len(a) - 1, (1 << len(a)) - 1, 0, len(a)
-    for c in b:
-        eq = peq.get(c, 0)
-        xv, xh = eq | mv, (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv) & full, pv & xh
-        score += bool(ph & top) - bool(mh & top)
-        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
-        pv, mv = mh | ~(xv | ph) & full, ph & xv
+    for at in range(0, len(b), 32):
+        for c in b[at : at + 32]:
+            eq = peq.get(c, 0)
+            xv, xh = eq | mv, (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv) & full, pv & xh
+            score += bool(ph & top) - bool(mh & top)
+            ph, mh = (ph << 1 | 1) & full, mh << 1 & full
+            pv, mv = mh | ~(xv | ph) & full, ph & xv
+        if most is not None and score - max(0, len(b) - at - 32) > most:  # each column that is left takes off one at most
+            return score - max(0, len(b) - at - 32)
     return score
 
 
@@ -275,9 +296,10 @@ def common_grams(a: str, b: str, q: int = 3) -> int:
 
 def distance_within(a: str, b: str, most: int, q: int = 3) -> int | None:
     """The edit distance where it's at most most. An edit changes q substrings of q characters at most, so too few common ones rule a pair out."""
-    if abs(len(a) - len(b)) > most or common_grams(a, b, q) < max(len(a), len(b)) - q + 1 - q * most:
+    grams = max(len(a), len(b)) - q + 1 - q * most
+    if abs(len(a) - len(b)) > most or grams > 0 and common_grams(a, b, q) < grams:
         return None
-    found = edit_distance(a, b)
+    found = edit_distance(a, b, most)
     return found if found <= most else None
 
 
@@ -317,9 +339,12 @@ def anchored_bound(a: str, b: str, most: int, anchor: int = 12, reach: int = 256
 
 
 def is_within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most most."""
+    """Whether the edit distance is at most most. What long common beginnings or ends leave is much cheaper to compare."""
     if abs(len(a) - len(b)) > most:
         return False
+    a, b = trimmed(a, b)
+    if max(len(a), len(b)) <= most:
+        return True
     return anchored_bound(a, b, most) is not None or distance_within(a, b, most) is not None
 
 
@@ -329,11 +354,16 @@ REPRESENTATIVES = 4
 CROWD = 2_000
 
 
+def band_places(bands: int, width: int) -> np.ndarray:
+    """Which samples each band consists of."""
+    return np.array([np.argsort(mixed(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(k << 20)))[:width] for k in range(bands)])
+
+
 def entries(marks: DataFrame, share: float, bands: int, width: int) -> DataFrame:
     """For rows (h1, h2, n_chars, fingerprint) one row for each level at which a near text may be met: tag, samples, how many aren't past the end, band keys.
 
     A tag holds 47 bits of h1 and the level; that is the text's own, and the next too where a longer near text may have it."""
-    picks = np.array([np.argsort(mixed(np.arange(SAMPLES, dtype=np.uint64) + np.uint64(k << 20)))[:width] for k in range(bands)])
+    picks = band_places(bands, width)
     base = np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches):
@@ -368,12 +398,25 @@ def planes(x: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=2, bitorder="little").reshape(len(x), -1).view(np.int64)
 
 
+def _unlike(half: int) -> Column:
+    """Which of 64 samples differ in two entries."""
+    return reduce(Column.bitwiseOR, [F.col(f"f{2 * p + half}_a").bitwiseXOR(F.col(f"f{2 * p + half}_b")) for p in range(8)])
+
+
+def _first_shared(bands: int, width: int) -> Column:
+    """Whether two entries of one level that share the band number band_a share none before it: a pair is made in one band alone."""
+    bits = np.zeros((bands, SAMPLES), np.uint8)
+    np.put_along_axis(bits, band_places(bands, width), 1, 1)
+    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(int(m[0])).cast("long").alias("m0"), F.lit(int(m[1])).cast("long").alias("m1")) for k, m in enumerate(np.packbits(bits, axis=1, bitorder="little").view(np.int64))])
+    shares = lambda u, m: (m["k"] < F.col("band_a")) & (u["u0"].bitwiseAND(m["m0"]).bitwiseOR(u["u1"].bitwiseAND(m["m1"])) == 0)
+    return ~F.exists(F.array(F.struct(_unlike(0).alias("u0"), _unlike(1).alias("u1"))), lambda u: F.exists(masks, lambda m: shares(u, m)))
+
+
 def _possible(share: float, alike: float) -> Column:
     """Lengths and samples of two entries of one level allow a link. Each word is named once, so that joins compile it."""
     differ, valid = F.lit(0), F.lit(0)
     for half in (0, 1):
-        unlike = reduce(Column.bitwiseOR, [F.col(f"f{2 * p + half}_a").bitwiseXOR(F.col(f"f{2 * p + half}_b")) for p in range(8)])
-        differ = differ + F.bit_count(unlike)
+        differ = differ + F.bit_count(_unlike(half))
         valid = valid + F.bit_count(F.col(f"f{16 + half}_a").bitwiseOR(F.col(f"f{16 + half}_b")))
     return (F.abs(F.col("n_a") - F.col("n_b")) <= F.lit(share) * F.greatest("n_a", "n_b")) & (differ <= valid * F.lit(1 - alike + 1e-9))
 
@@ -400,8 +443,9 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
     1 - (1 - p ** width) ** bands: 0.988 at 0.8. One shuffle by band gives each text the REPRESENTATIVES of its bands, the same in many bands,
     and what can't be near is left out in place. Each text is tested against the one it shares most bands with, then, of different
     components, against the others, so that n near copies come together by n times 24 * REPRESENTATIVES tests at most. Of the members that represent
-    no band, all pairs of different components in a band are tested last, in slices of a band; so no pair that shares a band
-    is left out, and a band of many texts that aren't near costs the square of their number. What passes is verified on the texts."""
+    no band, all pairs of different components in a band are tested last, in slices of a band, each in the first band that the two share
+    (where one of them represents that one, the pair has been tested). So no pair that shares a band is left out; a band of many texts
+    that aren't near costs the square of their number, in comparisons of samples, and those alike in samples one of texts."""
     found = entries(marks.dropDuplicates(["h1", "h2"]), share, bands, width)
     kept = stage(found, "entries")
     sides = kept.select("tag", "h1", "h2", "n", *[F.get("samples", F.lit(k)).alias(f"f{k}") for k in range(WORDS)])
@@ -415,21 +459,24 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
     rows = rows.select("key", one.alias("o"), F.explode(F.when(others, F.concat("some", F.array(F.lit(None)))).otherwise(F.col("some"))).alias("r"))
     fits = _conceivable({c: F.col(f"o.{c}") for c in LIGHT}, {c: F.col(f"r.{c}") for c in LIGHT}, share, alike)
     rows = rows.where(F.col("r").isNull() | (F.col("o.tag") != F.col("r.tag")) & fits)
-    alone = lambda c: F.when(F.col("r").isNull(), F.col(c))
-    met = stage(rows.select(F.col("o.tag").alias("tag"), F.col("r.tag").alias("to"), alone("key").alias("key"), *[alone(f"o.{c}").alias(c) for c in LIGHT]), "met")
+    met = stage(rows.select(F.col("o.tag").alias("tag"), F.col("r.tag").alias("to"), F.when(F.col("r").isNull(), F.col("key")).alias("key")), "met")
 
     @F.pandas_udf("boolean")
     def within(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([is_within(x, y, int(share * max(len(x), len(y)))) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links of pairs (tag_a, tag_b)."""
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Of pairs (tag_a, tag_b) those whose samples allow a link."""
         tags = stage(pairs, "tags")
-        few = sides.where(among("tag", bloom(tags.select(F.explode(F.array("tag_a", "tag_b")).alias("tag")))))
+        few = sides.where(among("tag", bloom(tags.select("tag_a").union(tags.select("tag_b")))))
         pairs = stage(tags.join(_side(few, "a"), "tag_a").join(_side(few, "b"), "tag_b").where(possible).select(*ids).distinct(), "pairs")
         drop(tags)
+        return pairs
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links of staged pairs (h1_a, h2_a, h1_b, h2_b)."""
         wanted = pairs.select(F.explode(F.array(F.struct(F.col("h1_a").alias("h1"), F.col("h2_a").alias("h2")), F.struct(F.col("h1_b").alias("h1"), F.col("h2_b").alias("h2")))).alias("x")).select("x.*").distinct()
-        held = keyed_texts(texts, bloom(wanted.select("h1"))).join(wanted.hint("shuffle_hash"), ["h1", "h2"], "left_semi")
+        held = keyed_texts(texts, bloom(pairs.select("h1_a").union(pairs.select("h1_b")))).join(wanted.hint("shuffle_hash"), ["h1", "h2"], "left_semi")
         held = stage(held.groupBy("h1", "h2").agg(F.first("text").alias("text")), "held")
         both = pairs.join(_side(held, "a"), ["h1_a", "h2_a"]).join(_side(held, "b"), ["h1_b", "h2_b"])
         node = lambda k: F.struct(F.col(f"h1_{k}").alias("h1"), F.col(f"h2_{k}").alias("h2")).alias(k)
@@ -449,11 +496,11 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
     apart = "c1_a <> c1_b or c2_a <> c2_b"
     shared = stage(met.where("to is not null").groupBy("tag", "to").count(), "shared")
     ends = [F.least("tag", "to").alias("tag_a"), F.greatest("tag", "to").alias("tag_b")]
-    links = verified(shared.groupBy("tag").agg(F.max(F.struct("count", "to")).alias("m")).select("tag", "m.to").select(*ends).distinct())
+    links = verified(likely(shared.groupBy("tag").agg(F.max(F.struct("count", "to")).alias("m")).select("tag", "m.to").select(*ends).distinct()))
     roots = connected(links)
     of = components(roots)
     rest = shared.select(*ends).distinct()
-    new = verified(placed(placed(rest, of, "tag_a", "_a"), of, "tag_b", "_b").where(apart).select("tag_a", "tag_b"))
+    new = verified(likely(placed(placed(rest, of, "tag_a", "_a"), of, "tag_b", "_b").where(apart).select("tag_a", "tag_b")))
     if not new.isEmpty():
         links = links.unionByName(new)
         roots = connected(links)
@@ -462,14 +509,17 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
     # what is left: all pairs of different components of a band's other members, one side dealt to slices and the other sent to each of them
     left = placed(met.where("to is null").drop("to"), of)
     left = left.withColumns({"slices": F.ceil(F.count("*").over(band) / CROWD).cast("int"), **{f"{f.__name__}_{c}": f(c).over(band) for f in (F.min, F.max) for c in ("c1", "c2")}})
-    crowds = stage(left.where("min_c1 < max_c1 or min_c2 < max_c2").select("key", "tag", *LIGHT, "c1", "c2", "slices"), "crowds")
+    left = left.where("min_c1 < max_c1 or min_c2 < max_c2").groupBy("tag", "c1", "c2").agg(F.collect_list(F.struct("key", "slices")).alias("bands"))
+    crowds = stage(left, "crowds")
     drop(met, shared)
     if not crowds.isEmpty():
-        one = _side(crowds.withColumn("slice", F.pmod(F.xxhash64("tag"), F.col("slices")).cast("int")).drop("slices"), "a").withColumnRenamed("slice_a", "slice")
-        every = _side(crowds.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices"), "b").withColumnRenamed("slice_b", "slice")
-        fits = _conceivable(*[{c: F.col(f"{c}_{k}") for c in LIGHT} for k in "ab"], share, alike)
-        last = one.join(every, ["key", "slice"]).where("tag_a < tag_b").where(apart).where(fits)
-        last = verified(last.select("tag_a", "tag_b").distinct())
+        few = kept.where(among("tag", bloom(crowds.select("tag"))))
+        whole = crowds.join(few.select("tag", "keys", "h1", "h2", "n", *[F.get("samples", F.lit(k)).alias(f"f{k}") for k in range(WORDS)]), "tag").withColumn("_band", F.explode("bands"))
+        whole = whole.withColumns({"key": F.col("_band.key"), "slices": F.col("_band.slices"), "band": F.array_position("keys", F.col("_band.key")) - 1}).drop("bands", "_band", "keys")
+        one = _side(whole.withColumn("slice", F.pmod(F.xxhash64("tag"), F.col("slices")).cast("int")).drop("slices"), "a").withColumnRenamed("slice_a", "slice")
+        every = _side(whole.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices", "band"), "b").withColumnRenamed("slice_b", "slice")
+        last = one.join(every, ["key", "slice"]).where(F.expr("tag_a < tag_b") & F.expr(f"({apart})") & possible & _first_shared(bands, width))
+        last = verified(stage(last.select(*ids).distinct(), "pairs"))
         if not last.isEmpty():
             roots = connected(links.unionByName(last))
     drop(of, crowds, kept)
