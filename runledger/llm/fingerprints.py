@@ -459,7 +459,8 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
     rows = rows.select("key", one.alias("o"), F.explode(F.when(others, F.concat("some", F.array(F.lit(None)))).otherwise(F.col("some"))).alias("r"))
     fits = _conceivable({c: F.col(f"o.{c}") for c in LIGHT}, {c: F.col(f"r.{c}") for c in LIGHT}, share, alike)
     rows = rows.where(F.col("r").isNull() | (F.col("o.tag") != F.col("r.tag")) & fits)
-    met = stage(rows.select(F.col("o.tag").alias("tag"), F.col("r.tag").alias("to"), F.when(F.col("r").isNull(), F.col("key")).alias("key")), "met")
+    alone = lambda c: F.when(F.col("r").isNull(), F.col(c))
+    met = stage(rows.select(F.col("o.tag").alias("tag"), F.col("r.tag").alias("to"), alone("key").alias("key"), *[alone(f"o.{c}").alias(c) for c in LIGHT]), "met")
 
     @F.pandas_udf("boolean")
     def within(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -509,9 +510,16 @@ def near_groups(marks: DataFrame, texts: DataFrame, share: float = 0.1, alike: f
     # what is left: all pairs of different components of a band's other members, one side dealt to slices and the other sent to each of them
     left = placed(met.where("to is null").drop("to"), of)
     left = left.withColumns({"slices": F.ceil(F.count("*").over(band) / CROWD).cast("int"), **{f"{f.__name__}_{c}": f(c).over(band) for f in (F.min, F.max) for c in ("c1", "c2")}})
-    left = left.where("min_c1 < max_c1 or min_c2 < max_c2").groupBy("tag", "c1", "c2").agg(F.collect_list(F.struct("key", "slices")).alias("bands"))
-    crowds = stage(left, "crowds")
+    left = stage(left.where("min_c1 < max_c1 or min_c2 < max_c2").select("key", "tag", *LIGHT, "c1", "c2", "slices"), "left")
     drop(met, shared)
+    # all samples go along only with those that have a conceivable partner there
+    one = _side(left.withColumn("slice", F.pmod(F.xxhash64("tag"), F.col("slices")).cast("int")).withColumnRenamed("key", "band"), "a")
+    every = _side(left.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices").withColumnRenamed("key", "band"), "b")
+    fits = _conceivable(*[{c: F.col(f"{c}_{k}") for c in LIGHT} for k in "ab"], share, alike)
+    some = one.join(every, F.expr(f"band_a = band_b and slice_a = slice_b and ({apart})") & fits, "left_semi")
+    some = some.groupBy(*[F.col(f"{c}_a").alias(c) for c in ("tag", "c1", "c2")]).agg(F.collect_list(F.struct(F.col("band_a").alias("key"), F.col("slices_a").alias("slices"))).alias("bands"))
+    crowds = stage(some, "crowds")
+    drop(left)
     if not crowds.isEmpty():
         few = kept.where(among("tag", bloom(crowds.select("tag"))))
         whole = crowds.join(few.select("tag", "keys", "h1", "h2", "n", *[F.get("samples", F.lit(k)).alias(f"f{k}") for k in range(WORDS)]), "tag").withColumn("_band", F.explode("bands"))
