@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import stage
 from . import correlation as N
 from .merge import earliest, latest
 from .usage import checked
@@ -195,8 +196,10 @@ def remapped(links: DataFrame, stored_links: DataFrame) -> DataFrame:
 
 
 def backfill(runs_: DataFrame, entities_: DataFrame, events: DataFrame, stored_links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A window's runs resolved like live ones: their links, re-keyed where a stored run has their change request, and the report's counts."""
-    found = N.correlate(runs_, entities_, events)
+    """A window's runs resolved like live ones: their links, re-keyed where a stored run has their change request, and the report's counts.
+
+    What is found is staged, as links and report read it twice each; runs_, entities_ and events are read many times too."""
+    found = stage(N.correlate(runs_, entities_, events), "found")
     links = remapped(found.withColumn("role", N.role(F.col("confidence"))), stored_links)
     open_ = N.unresolved(runs_, entities_, found)
     n = lambda r: F.count(F.when(F.col("reason") == r, 1)).alias(r)

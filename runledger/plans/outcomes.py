@@ -12,6 +12,7 @@ from ..operators import merge as M
 from ..operators import outcomes as O
 from ..operators import reporting as G
 from ..operators import usage as U
+from ..session import stage
 from ..sources.fixtures import NOW
 from .activity import CORRELATE, EPISODES, FIRST, LINK_STATES, RES, closure_facts, delivered
 from .registry import query
@@ -204,10 +205,11 @@ WINDOW = f"""bf_runs AS (SELECT 'c' || s.client_id AS scope, CAST(s.session_id A
 
 
 def window_runs(t):
+    """The window's runs, which many steps read, written once: they come from all facts."""
     rows = t.fx_sessions.join(U.session_totals(t.fx_facts).select("session_id", "last_message_at"), "session_id")
     number = F.regexp_extract("title", r"#(\d+)", 1).try_cast("int") % 17
     contexts = t.fx_contexts.withColumn("title", F.concat(F.lit("Change "), number.cast("string")))
-    return O.window_runs(rows, contexts, SINCE, UNTIL, F.concat(F.lit("c"), F.col("client_id").cast("string")))
+    return stage(O.window_runs(rows, contexts, SINCE, UNTIL, F.concat(F.lit("c"), F.col("client_id").cast("string"))), "runs")
 
 
 @query("backfill_report", f"""WITH {WINDOW}, {CORRELATE.replace('fx_runs', 'bf_runs')}, un AS (SELECT count(*) AS n FROM bf_runs r WHERE NOT EXISTS (SELECT 1 FROM tm WHERE tm.scope = r.scope AND tm.run_id = r.run_id) AND NOT EXISTS (SELECT 1 FROM cor WHERE cor.scope = r.scope AND cor.run_id = r.run_id))
